@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, token_counts, token_files
+from . import decontamination, language_id, packing, privacy, token_counts, token_files
 from .shared_folder import shared_folder
 
 #: Vocabulary files, by their public names.
@@ -22,6 +22,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = language_id.train(docs.where(~held_out))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digest(privacy.find_spans(table(spark, sf_dir, "documents")))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = decontamination.n_hit()
@@ -38,5 +49,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(manifest, folder)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op7_benchmark_decontamination, op9_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_language_id, op6_privacy, op7_benchmark_decontamination, op9_packing, op10_token_files)}
 ORACLES: dict[str, str] = {}
