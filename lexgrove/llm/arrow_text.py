@@ -117,7 +117,7 @@ class Runs:
         n = len(self.sums) - width
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[width:] - self.sums[:n]) * _power(_BACK, len(self.sums))[:n] + U64(width) * _STEP)
+        return mix((self.sums[width:] - self.sums[:n]) * _power(_BACK, len(self.sums))[:n] + U64(width * int(_STEP) & (1 << 64) - 1))
 
 
 def byte_runs(raw: np.ndarray) -> Runs:

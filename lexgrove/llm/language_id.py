@@ -138,7 +138,7 @@ def _logits(rows, embed, weights, bias) -> np.ndarray:
     return hidden @ weights + bias
 
 
-def train(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4000, buckets: int = 1 << 15, dim: int = 16, epochs: int = 12, rate: float = 20.0, lose: float = 0.001, seed: int = 7) -> LanguageModel:
+def train(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4000, buckets: int = 1 << 15, dim: int = 16, epochs: int = 5, rate: float = 20.0, lose: float = 0.001, seed: int = 7) -> LanguageModel:
     """Learns from the rows with text and lang; see the module's text for ``sample`` and ``lose``."""
     rows = labelled.select(F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     count = rows.select("lang").count()
@@ -165,8 +165,11 @@ def train(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", la
     embed, weights, bias = _sgd([data[i] for i in fit], y[fit], len(languages), buckets, dim, epochs, rate, rng)
     held = np.flatnonzero(apart) if apart.any() else np.arange(len(got))
     logits, truth = _logits([data[i] for i in held], embed, weights, bias), y[held]
-    nll = lambda t: -np.mean(np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12))
-    temperature = float(min(np.geomspace(0.05, 20, 121), key=nll))
+    # smoothed targets: even where all are right, the scores claim no more than so many documents can show
+    target = np.full(logits.shape, 1 / (len(truth) + len(languages)))
+    target[np.arange(len(truth)), truth] = (len(truth) + 1) / (len(truth) + len(languages))
+    nll = lambda t: -np.mean((target * np.log(_softmax(logits / t) + 1e-300)).sum(1))
+    temperature = float(min(np.geomspace(0.02, 50, 161), key=nll))
     p = _softmax(logits / temperature)
     right = p.max(1)[p.argmax(1) == truth]
     reject = min(0.5, float(np.quantile(right, lose))) if len(right) else 0.5
