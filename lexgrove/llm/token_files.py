@@ -124,7 +124,7 @@ class TokenFile:
 
 
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
-    """A row for each document as the files have it: doc_id, start, n_tokens, ids_crc32 (of little-endian 32-bit ids)."""
+    """A task for each file. A row for each document as the files have it: doc_id, start, n_tokens, ids_crc32 (of little-endian 32-bit ids)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,4 +138,5 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
                     start += len(tokens)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, counts, sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("file", "start").repartition(F.col("file")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = manifest.select("file", "start")
+    return files.repartition(max(1, files.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
