@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, nearest, packing, privacy, substring_dedup, suffix_dedup, token_counts, token_files
+from . import decontamination, jaccard_join, language_id, nearest, packing, privacy, substring_dedup, suffix_dedup, token_counts, token_files
 from .shared_folder import shared_folder
 
 #: Vocabulary files, by their public names.
@@ -43,6 +43,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.digest(privacy.find_spans(table(spark, sf_dir, "documents")))
 
@@ -67,5 +71,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(manifest, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_suffix_dedup, op4_language_id, op6_privacy, op7_benchmark_decontamination, op8_nearest_neighbours, op9_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_suffix_dedup, op4_language_id, op5_jaccard_join, op6_privacy, op7_benchmark_decontamination, op8_nearest_neighbours, op9_packing, op10_token_files)}
 ORACLES: dict[str, str] = {}

@@ -73,11 +73,11 @@ def stretches(batches: Iterator[pa.RecordBatch], read: Callable[[pa.RecordBatch,
         yield *docs.tables(), [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+def rows_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in ROW_SCHEMA], schema=ROW_SCHEMA)
 
 
-def _cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+def cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A binary array of values[a:b] for consecutive bounds."""
     values = np.ascontiguousarray(values)
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
@@ -92,8 +92,8 @@ def packed(kind: int, buckets: int, bucket: np.ndarray, ids: np.ndarray, keys: n
     run = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0)) if len(bucket) else turn
     counts = np.diff(np.append(run, len(doc))).astype(np.int32)
     runs = np.searchsorted(run, bounds)
-    names = {k: _cut(v[order], bounds) for k, v in fields.items()}
-    return _rows(len(turn), kind=pa.array(np.full(len(turn), kind, np.int32)), bucket=pa.array(bucket[turn].astype(np.int32)), ids=_cut(ids[doc[run]], runs), keys=_cut(keys[doc[run]], runs), counts=_cut(counts, runs), **names)
+    names = {k: cut(v[order], bounds) for k, v in fields.items()}
+    return rows_of(len(turn), kind=pa.array(np.full(len(turn), kind, np.int32)), bucket=pa.array(bucket[turn].astype(np.int32)), ids=cut(ids[doc[run]], runs), keys=cut(keys[doc[run]], runs), counts=cut(counts, runs), **names)
 
 
 def by_document(kind: int, ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
@@ -103,7 +103,7 @@ def by_document(kind: int, ids: np.ndarray, keys: np.ndarray, starts: np.ndarray
     spans = np.stack((starts, sizes), 1).astype(np.int32).reshape(-1)
     n = len(first)
     # rows are dealt anew by their document later; until then they are spread by it
-    return _rows(n, kind=pa.array(np.full(n, kind, np.int32)), bucket=pa.array((ids[first] & 0xFFFF).astype(np.int32)), doc_id=pa.array(ids[first]), text_key=pa.array(keys[first]), spans=_cut(spans, 2 * np.append(first, len(ids))))
+    return rows_of(n, kind=pa.array(np.full(n, kind, np.int32)), bucket=pa.array((ids[first] & 0xFFFF).astype(np.int32)), doc_id=pa.array(ids[first]), text_key=pa.array(keys[first]), spans=cut(spans, 2 * np.append(first, len(ids))))
 
 
 def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
