@@ -141,25 +141,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "
     """For each document: doc_id, n_words, hits (disjoint ranges of hit words, end exclusive) and items (ids as strings, sorted).
 
     block_bytes: text of the items whose strings are indexed and broadcast together; more text makes more blocks, each
-    with a scan of the documents. An item stands whole in one block.
+    with a scan of the documents. An item stands whole in one block. With several blocks, rows that repeat an id are
+    reported once.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("string").alias("words"))
-    total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
+    indexes = _indexes(benchmark, item_id, item_text, n, block_bytes)
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     id_type = read.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {id_type}, n_words long, hits array<struct<begin: long, end: long>>, items array<string>"
     results = []
-    for block in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block)
-        index = spark.sparkContext.broadcast(build_index([(r.item, r.words) for r in own.toLocalIterator()], n))
+    for built in indexes:
+        index = spark.sparkContext.broadcast(built)
 
         def scan(batches, index=index):
-            return _scan(batches, index.value, SCHEMA(id_type))
+            return _scan(batches, index.value, _schema(id_type))
 
         results.append(read.mapInArrow(scan, out))
-    if blocks == 1:
+    if len(results) == 1:
         return results[0]
     merged = results[0]
     for more in results[1:]:
@@ -178,7 +176,36 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "
     return every.withColumn("hits", joined)
 
 
-def SCHEMA(id_type: str) -> pa.Schema:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+    """The documents in which no test string occurs, with all their columns."""
+    for built in _indexes(benchmark, item_id, item_text, n, block_bytes):
+        index = docs.sparkSession.sparkContext.broadcast(built)
+
+        def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in at.slices(batches, text):
+                words, first = _words(batch.column(text))
+                clean = np.ones(batch.num_rows, bool)
+                for part in index.value:
+                    end, _ = part.search(words)
+                    row = np.searchsorted(first, end, "right") - 1
+                    clean[row[first[row] <= end - part.length + 1]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
+def _indexes(benchmark: DataFrame, item_id: str, item_text: str, n: int, block_bytes: int) -> Iterator[list[WuManber]]:
+    """The index of each block of items."""
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("string").alias("words"))
+    total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    blocks = -(-total // block_bytes) or 1
+    for block in range(blocks):
+        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block)
+        yield build_index([(r.item, r.words) for r in own.toLocalIterator()], n)
+
+
+def _schema(id_type: str) -> pa.Schema:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     return pa.schema([("doc_id", kinds[id_type]), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 

@@ -205,8 +205,9 @@ def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, probes: int = 6, group_rows: int = 1000, query_rows: int = 5000, stretch: int = r.STRETCH_BYTES) -> DataFrame:
-    """For each row: doc_id, text_key (hash of the text), n_shingles, set_key (hash of the set; null if empty) and
-    component_id (the smallest doc_id of its component)."""
+    """For each row: doc_id, text_key (hash of the text), n_shingles, set_key (hash of the set; null if empty),
+    component_id (the smallest doc_id of its component) and first (whether the row is its component's least, by id, then
+    text_key; rows without links are)."""
     read = r.prepared(docs, doc_id, text)
     buckets = r.bucket_count(read)
     scanned = written(read.mapInArrow(lambda b: _scan_all(b, words, buckets, stretch), r.ROW).groupBy("bucket").applyInArrow(_share, r.ROW), "shingles")
@@ -248,8 +249,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         label = lambda x: found.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
         merged = components(opened.join(label("a"), "a").join(label("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
         found = found.join(merged.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
-    labels = sets.join(found, "node", "left").select("set_key", F.coalesce("label.doc_id", "node.doc_id").alias("component_id"))
+    labels = sets.join(found, "node", "left").select("set_key", F.coalesce("label", "node").alias("label"))
     own = meta.where(F.col("set_key").isNotNull()).join(labels, "set_key", "left")
-    linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
-    alone = meta.where(F.col("set_key").isNull()).withColumn("component_id", F.col("doc_id"))
-    return own.select("doc_id", "text_key", "n_shingles", "set_key", linked).unionByName(alone.select("doc_id", "text_key", "n_shingles", "set_key", "component_id"))
+    linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("label.doc_id", "doc_id")).alias("component_id")
+    first = F.coalesce(F.col("doc_id").isNull() | (F.struct("doc_id", "text_key") == F.col("label")), F.lit(True)).alias("first")
+    alone = meta.where(F.col("set_key").isNull()).withColumn("component_id", F.col("doc_id")).withColumn("first", F.lit(True))
+    columns = ["doc_id", "text_key", "n_shingles", "set_key"]
+    return own.select(*columns, linked, first).unionByName(alone.select(*columns, "component_id", "first"))
+
+
+def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of each component, the least; documents without words and rows without an id all stay. Of rows that
+    repeat both id and text, one stays. All columns are kept."""
+    near = near_duplicates(docs, doc_id=doc_id, text=text, **options)
+    later = near.where(~F.col("first")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    keyed = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_key": F.xxhash64(F.col(text).cast("string"))})
+    keyed = keyed.withColumn("_row", F.when(F.col("_id").isNull() | ~F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)), F.monotonically_increasing_id()))
+    return keyed.join(later, ["_id", "_key"], "left_anti").dropDuplicates(["_id", "_key", "_row"]).select(*docs.columns)
