@@ -8,7 +8,8 @@ document's component, so links between copies need not be listed, and no link be
 2. Similar documents are partitioned into groups: documents with a common minimum of one of ``probes`` hash orders are compared
    with the least of them, and the components of the links found are the groups (in chunks of ``group_rows`` documents).
 3. Token-group matrix: which groups have which tokens (a group's token union). Links that are still unknown lead from one
-   component to another, so only tokens in several components count. A query must find ``percent`` of its tokens in a
+   component to another, so only tokens in several components count (a bitmap of fixed size leaves most others out before
+   an exact join). A query must find ``percent`` of its tokens in a
    group's union, so at least one of its rarest ones, as many as it may miss and one more; these give the candidate
    groups. The full overlap with the union bounds each candidate, and only groups that reach ``percent`` are opened: the
    query's overlap with every member is counted and linked members join the components.
@@ -36,6 +37,8 @@ from .components import components
 from .shared_folder import written
 
 TOKENS, META, SHARED = 10, 11, 12
+#: Bits of the bitmap of tokens in several components; where it fills up, an exact join has more to do.
+BITS = 26
 NODE = "struct<doc_id: long, text_key: long>"
 
 
@@ -58,8 +61,8 @@ def _scan(batches: Iterator[pa.RecordBatch], words: int, buckets: int, stretch:
 
     def read(batch: pa.RecordBatch, number: int) -> list[np.ndarray]:
         sets = shingle_sets(batch.column("text"), words)
-        metas.append(_meta(batch, sets, buckets))
-        name = metas[-1].column("marks").to_pylist()
+        meta, name = _meta(batch, sets, buckets)
+        metas.append(meta)
         take = [i for i in range(batch.num_rows) if len(sets[i])]
         size = np.array([len(sets[i]) for i in take], np.int64)
         names = np.array([int.from_bytes(name[i][:8], "little") for i in take], np.uint64)
@@ -87,7 +90,7 @@ def _scan(batches: Iterator[pa.RecordBatch], words: int, buckets: int, stretch:
         send[shared] = False
         send[order[runs[many]]] = True
         if shared.any():
-            yield _by_document(ids[doc[shared]], keys[doc[shared]], code[shared])
+            yield r.by_document(SHARED, buckets, ids[doc[shared]], keys[doc[shared]], codes=code[shared])
         yield r.packed(TOKENS, buckets, (code[send] % np.uint64(buckets)).astype(np.int64), ids, keys, doc[send], codes=code[send])
 
 
@@ -106,28 +109,41 @@ def _scan_all(batches: Iterator[pa.RecordBatch], words: int, buckets: int, stret
     yield from _scan(known(), words, buckets, stretch)
     for batch in anonymous:
         for part in at.slices([batch], "text"):
-            yield _meta(part, shingle_sets(part.column("text"), words), buckets)
+            yield _meta(part, shingle_sets(part.column("text"), words), buckets)[0]
 
 
-def _meta(batch: pa.RecordBatch, sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    n = batch.num_rows
-    name = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-    return r.rows_of(n, kind=pa.array(np.full(n, META, np.int32)), bucket=pa.array((np.arange(n) % buckets).astype(np.int32)), doc_id=batch.column("doc_id"), text_key=batch.column("text_key"), marks=pa.array(name, pa.binary()), sizes=pa.array([int(len(s)).to_bytes(8, "little") for s in sets], pa.binary()))
+def _meta(batch: pa.RecordBatch, sets: list[np.ndarray], buckets: int) -> tuple[pa.RecordBatch, list[bytes]]:
+    """A packed row for the slice's documents, and the sets' names (16 zero bytes: empty)."""
+    names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else bytes(16) for s in sets]
+    known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+    row = {"ids": pa.compute.fill_null(batch.column("doc_id"), 0).to_numpy(), "keys": batch.column("text_key").to_numpy(), "counts": np.array([len(s) for s in sets], np.int64), "places": known.astype(np.int8)}
+    return r.rows_of(1, kind=pa.array([META], pa.int32()), bucket=pa.array([int(row["keys"][0]) % buckets], pa.int32()), marks=pa.array([b"".join(names)], pa.binary()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in row.items()}), names
 
 
 def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of the packed ones."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_key", "set_key")), pa.array(at.joined(batch.column("sizes"), np.int64))], ["doc_id", "text_key", "set_key", "n_shingles"])
+        if not batch.num_rows:
+            continue
+        ids, keys, counts = (at.joined(batch.column(c), np.int64) for c in ("ids", "keys", "counts"))
+        known = at.joined(batch.column("places"), np.int8).astype(bool)
+        names = pa.Array.from_buffers(pa.binary(16), len(ids), [None, pa.py_buffer(at.joined(batch.column("marks"), np.uint8))]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(keys), pa.compute.if_else(pa.array(counts > 0), names, None), pa.array(counts)], ["doc_id", "text_key", "set_key", "n_shingles"])
 
 
-def _by_document(ids: np.ndarray, keys: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-    turn = r.runs_of(ids, keys)
-    n = len(turn)
-    return r.rows_of(n, kind=pa.array(np.full(n, SHARED, np.int32)), bucket=pa.array((ids[turn] & 0xFFFF).astype(np.int32)), doc_id=pa.array(ids[turn]), text_key=pa.array(keys[turn]), codes=r.cut(codes, np.append(turn, len(ids))))
+def _gather(table: pa.Table) -> pa.Table:
+    """The sorted shared tokens of each document of a bucket."""
+    ids, keys = r.unpacked(table)
+    code = at.joined(table["codes"], np.uint64).view(np.int64)
+    order = np.lexsort((code, keys, ids))
+    order = order[r.runs_of(ids[order], keys[order], code[order])]
+    turn = r.runs_of(ids[order], keys[order])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(turn, len(order)).astype(np.int32)), pa.array(code[order]))
+    return pa.Table.from_arrays([pa.array(ids[order[turn]]), pa.array(keys[order[turn]]), lists], ["doc_id", "text_key", "tokens"])
 
 
-def _share(table: pa.Table) -> pa.Table:
-    """The tokens of a bucket that several sets have, by document; other rows pass."""
+def _share(table: pa.Table, buckets: int) -> pa.Table:
+    """The tokens of a bucket that several sets have, packed for their documents; other rows pass."""
     kinds = table["kind"].to_numpy()
     out = [table.filter(pa.array(kinds != TOKENS))]
     own = table.filter(pa.array(kinds == TOKENS))
@@ -139,22 +155,69 @@ def _share(table: pa.Table) -> pa.Table:
         shared = np.zeros(len(code), bool)
         shared[order] = r.spread(np.diff(np.append(runs, len(code))) > 1, runs, len(code))
         if shared.any():
-            out.append(pa.Table.from_batches([_by_document(ids[shared], keys[shared], code[shared])]))
+            out.append(pa.Table.from_batches([r.by_document(SHARED, buckets, ids[shared], keys[shared], codes=code[shared])]))
     return pa.concat_tables(out)
 
 
-def _lists(batches: Iterator[pa.RecordBatch], percent: int, probes: int) -> Iterator[pa.RecordBatch]:
-    """Sorted shared tokens of the documents that have enough of them, and their minima."""
+def _minima(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.RecordBatch]:
+    """The least token in each of some hash orders."""
+    for batch in batches:
+        found = [[int(at.mix(own.values.to_numpy().view(np.uint64) ^ at.BYTE_CODES[p]).min().view(np.int64)) for p in range(probes)] for own in batch.column("tokens")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "n", "tokens")), pa.array(found, pa.list_(pa.int64()))], ["node", "n", "tokens", "minima"])
+
+
+def _by_label(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Tokens with their components' codes, packed; each pair once for some batches."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        label, token = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((token, label))
+        order = order[r.runs_of(label[order], token[order])]
+        label, token = label[order], token[order]
+        turn = r.runs_of(label)
+        number = np.cumsum(np.bincount(turn, minlength=len(label))[: len(label)]) - 1
+        yield r.packed(TOKENS, buckets, (token.view(np.uint64) % np.uint64(buckets)).astype(np.int64), label[turn], label[turn], number, codes=token)
+
+    for batch in batches:
+        lists = batch.column("tokens")
+        held.append((np.repeat(batch.column("code").to_numpy(), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()))
+        if sum(len(x) for x, _ in held) > 1 << 20:
+            yield from flush()
+    if sum(len(x) for x, _ in held):
+        yield from flush()
+
+
+def _cross(table: pa.Table) -> pa.Table:
+    """The tokens that several components have."""
+    token, (label, _) = at.joined(table["codes"], np.int64), r.unpacked(table)
+    order = np.argsort(token, kind="stable")
+    runs = r.runs_of(token[order])
+    several = np.minimum.reduceat(label[order], runs) != np.maximum.reduceat(label[order], runs)
+    return pa.table({"token": token[order][runs][several]})
+
+
+def _bitmap(tokens: DataFrame) -> np.ndarray:
+    """A bit for each token's low bits; at most 2048 rows of 4 KB come to the driver."""
+    bits = np.zeros(1 << BITS, bool)
+    place = F.col("token").bitwiseAND((1 << BITS) - 1) + 1
+    for row in tokens.select(place.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect():
+        bits[(row.k - 1) * 32768 : row.k * 32768] = np.unpackbits(np.frombuffer(row.m, np.uint8), bitorder="little").astype(bool)
+    return np.packbits(bits, bitorder="little")
+
+
+def _crossing(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """Documents with enough tokens whose bit is set, and only those tokens."""
     for batch in batches:
-        keep, tokens, minima = [], [], []
-        for i, (parts, n) in enumerate(zip(batch.column("parts").to_pylist(), batch.column("n").to_pylist(), strict=True)):
-            own = np.unique(np.frombuffer(b"".join(parts), np.uint64))
-            if 100 * len(own) >= percent * n:
-                keep.append(i)
-                tokens.append(own.view(np.int64))
-                minima.append([int(at.mix(own ^ at.BYTE_CODES[p]).min().view(np.int64)) for p in range(probes)])
-        take = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("node").take(take), batch.column("n").take(take), pa.array(tokens, pa.list_(pa.int64())), pa.array(minima, pa.list_(pa.int64()))], ["node", "n", "tokens", "minima"])
+        lists = batch.column("tokens")
+        token, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        place = token & ((1 << BITS) - 1)
+        on = (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+        count = np.concatenate(([0], np.cumsum(on)))[bounds - bounds[0]]
+        keep = 100 * np.diff(count) >= percent * batch.column("n").to_numpy()
+        new = pa.ListArray.from_arrays(pa.array(count.astype(np.int32)), pa.array(token[on]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "n")), new, batch.column("label")], ["node", "n", "tokens", "label"]).filter(pa.array(keep))
 
 
 def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -204,18 +267,19 @@ def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, probes: int = 6, group_rows: int = 1000, query_rows: int = 5000, stretch: int = r.STRETCH_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, probes: int = 3, group_rows: int = 1000, query_rows: int = 5000, stretch: int = r.STRETCH_BYTES) -> DataFrame:
     """For each row: doc_id, text_key (hash of the text), n_shingles, set_key (hash of the set; null if empty),
     component_id (the smallest doc_id of its component) and first (whether the row is its component's least, by id, then
     text_key; rows without links are)."""
     read = r.prepared(docs, doc_id, text)
     buckets = r.bucket_count(read)
-    scanned = written(read.mapInArrow(lambda b: _scan_all(b, words, buckets, stretch), r.ROW).groupBy("bucket").applyInArrow(_share, r.ROW), "shingles")
-    meta = scanned.where(F.col("kind") == META).select("doc_id", "text_key", F.col("marks").alias("set_key"), "sizes").mapInArrow(_numbers, "doc_id long, text_key long, set_key binary, n_shingles long")
+    scanned = written(read.mapInArrow(lambda b: _scan_all(b, words, buckets, stretch), r.ROW).groupBy("bucket").applyInArrow(lambda t: _share(t, buckets), r.ROW), "shingles")
+    meta = scanned.where(F.col("kind") == META).mapInArrow(_numbers, "doc_id long, text_key long, set_key binary, n_shingles long")
     node = F.struct("doc_id", "text_key").alias("node")
     sets = meta.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("node"), F.first("n_shingles").alias("n"))
-    parts = scanned.where(F.col("kind") == SHARED).groupBy("doc_id", "text_key").agg(F.collect_list("codes").alias("parts")).select(node, "parts")
-    near = written(parts.join(sets.select("node", "n"), "node").mapInArrow(lambda b: _lists(b, percent, probes), f"node {NODE}, n long, tokens array<long>, minima array<long>"), "near")
+    shared = scanned.where(F.col("kind") == SHARED).groupBy("bucket").applyInArrow(_gather, "doc_id long, text_key long, tokens array<long>").select(node, "tokens")
+    enough = shared.join(sets.select("node", "n"), "node").where(100 * F.size("tokens") >= percent * F.col("n"))
+    near = written(enough.select("node", "n", "tokens").mapInArrow(lambda b: _minima(b, probes), f"node {NODE}, n long, tokens array<long>, minima array<long>"), "near")
 
     # groups: documents that have a minimum in common, each compared with the least of them
     minima = near.select("node", F.posexplode("minima").alias("probe", "minimum"))
@@ -226,9 +290,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     labelled = written(_labelled(near.select("node", "n", "tokens"), links), "groups")
 
     # tokens in several components, and the documents that have enough of them
-    places = labelled.select("node", "n", "label", F.explode("tokens").alias("token"))
-    cross = places.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("token")
-    open_ = places.join(cross, "token").groupBy("node", "n", "label").agg(F.array_sort(F.collect_list("token")).alias("tokens")).where(100 * F.size("tokens") >= percent * F.col("n"))
+    coded = labelled.withColumn("code", F.xxhash64("label"))
+    cross = written(coded.select("code", "tokens").mapInArrow(lambda b: _by_label(b, buckets), r.ROW).groupBy("bucket").applyInArrow(_cross, "token long"), "cross-tokens")
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(cross))  # of fixed size
+    some = labelled.mapInArrow(lambda b: _crossing(b, bitmap.value, percent), labelled.schema)
+    places = some.select("node", "n", "label", F.explode("tokens").alias("token")).join(cross, "token", "left_semi")
+    open_ = places.groupBy("node", "n", "label").agg(F.array_sort(F.collect_list("token")).alias("tokens")).where(100 * F.size("tokens") >= percent * F.col("n"))
     sizes = open_.groupBy("label").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("chunks"))
     grouped = written(open_.join(sizes, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).drop("chunks"), "open")
 

@@ -15,6 +15,7 @@ PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # texts are longer than numbers
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

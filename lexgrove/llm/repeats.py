@@ -19,20 +19,22 @@ from pyspark.sql import functions as F
 from . import arrow_text as at
 
 #: Bytes of text whose entries are combined and sent together.
-STRETCH_BYTES = 24 << 20
+STRETCH_BYTES = 8 << 20
 #: Bytes of text for each bucket.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
-#: Rows of the exchanges. kind says what a row has; bucketed rows have packed entries of many documents, the others spans
-#: (start and length, 32 bits each) of one document.
-ROW = "kind int, bucket int, doc_id long, text_key long, spans binary, ids binary, keys binary, counts binary, codes binary, marks binary, places binary, sizes binary"
-ROW_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), *((c, pa.binary()) for c in ("spans", "ids", "keys", "counts", "codes", "marks", "places", "sizes"))])
+#: Rows of the exchanges: packed entries of many documents; kind says of what.
+ROW = "kind int, bucket int, ids binary, keys binary, counts binary, codes binary, marks binary, sides binary, places binary, sizes binary"
+ROW_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "keys", "counts", "codes", "marks", "sides", "places", "sizes"))])
 PACKED, WINDOWS, COVERED, ASKED = 0, 1, 2, 3
 
 
 def prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text, and the keys that spans are joined by. The keys are never null, so Spark puts no filter before an inner
+    join, and an inner and an outer join of one query share one shuffle of the texts. A row without an id has a text_key
+    that spans of documents don't have."""
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return read.withColumn("text_key", F.xxhash64("text"))
+    return read.withColumns({"doc_key": F.coalesce("doc_id", F.lit(0)), "text_key": F.xxhash64("text", F.col("doc_id").isNull())})
 
 
 def bucket_count(docs: DataFrame) -> int:
@@ -69,6 +71,7 @@ def stretches(batches: Iterator[pa.RecordBatch], read: Callable[[pa.RecordBatch,
         if size >= limit:
             yield *docs.tables(), [np.concatenate(x) for x in zip(*held, strict=True)]
             docs, held, size = Documents(), [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield *docs.tables(), [np.concatenate(x) for x in zip(*held, strict=True)]
 
@@ -80,7 +83,24 @@ def rows_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
 def cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A binary array of values[a:b] for consecutive bounds."""
     values = np.ascontiguousarray(values)
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+    width = values.itemsize * int(np.prod(values.shape[1:]))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _planes(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Each values[a:b] of consecutive bounds as differences, all low bytes first, then the next ones: small differences,
+    as between the places in a bucket, are one byte each and zeros, which compress to nothing."""
+    step = values.astype(np.int32)
+    step[1:] -= step[:-1].copy()
+    step[bounds[:-1]] = values[bounds[:-1]]
+    flat = step.view(np.uint8).reshape(-1, 4)
+    return pa.array([flat[a:b].T.tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
+
+
+def numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """All numbers of a column that ``_planes`` made."""
+    parts = [np.cumsum(np.ascontiguousarray(x.reshape(4, -1).T).view(np.int32).reshape(-1), dtype=np.int32) for x in at.arrays(column, np.uint8)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
 def packed(kind: int, buckets: int, bucket: np.ndarray, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, **fields: np.ndarray) -> pa.RecordBatch:
@@ -92,18 +112,21 @@ def packed(kind: int, buckets: int, bucket: np.ndarray, ids: np.ndarray, keys: n
     run = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0)) if len(bucket) else turn
     counts = np.diff(np.append(run, len(doc))).astype(np.int32)
     runs = np.searchsorted(run, bounds)
-    names = {k: cut(v[order], bounds) for k, v in fields.items()}
+    names = {k: (_planes if k in ("places", "sizes") else cut)(v[order], bounds) for k, v in fields.items()}
     return rows_of(len(turn), kind=pa.array(np.full(len(turn), kind, np.int32)), bucket=pa.array(bucket[turn].astype(np.int32)), ids=cut(ids[doc[run]], runs), keys=cut(keys[doc[run]], runs), counts=cut(counts, runs), **names)
 
 
-def by_document(kind: int, ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-    """A row of spans for each run of entries of one document."""
-    turn = np.flatnonzero((ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])) + 1 if len(ids) else np.zeros(0, np.int64)
-    first = np.concatenate((np.zeros(min(1, len(ids)), np.int64), turn))
-    spans = np.stack((starts, sizes), 1).astype(np.int32).reshape(-1)
-    n = len(first)
-    # rows are dealt anew by their document later; until then they are spread by it
-    return rows_of(n, kind=pa.array(np.full(n, kind, np.int32)), bucket=pa.array((ids[first] & 0xFFFF).astype(np.int32)), doc_id=pa.array(ids[first]), text_key=pa.array(keys[first]), spans=cut(spans, 2 * np.append(first, len(ids))))
+def by_document(kind: int, buckets: int, ids: np.ndarray, keys: np.ndarray, **fields: np.ndarray) -> pa.RecordBatch:
+    """Entries packed for their documents' buckets; ids and keys are those of each entry."""
+    turn = runs_of(ids, keys)
+    number = np.cumsum(np.bincount(turn, minlength=len(ids))[: len(ids)]) - 1
+    bucket = (at.mix((ids[turn] ^ keys[turn]).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    return packed(kind, buckets, bucket[number], ids[turn], keys[turn], number, **fields)
+
+
+def spans_of(kind: int, buckets: int, ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray | None = None) -> pa.RecordBatch:
+    sizes = np.ones(len(starts), np.int32) if sizes is None else sizes.astype(np.int32)
+    return by_document(kind, buckets, ids, keys, places=starts.astype(np.int32), sizes=sizes)
 
 
 def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -139,42 +162,60 @@ def send_windows(buckets: int, ids: np.ndarray, keys: np.ndarray, doc: np.ndarra
     later = np.zeros(len(code), bool)
     later[order] = id_ > spread(np.minimum.reduceat(id_, runs), runs, len(id_))
     if later.any():
-        yield by_document(COVERED, ids[doc[later]], keys[doc[later]], place[later], np.ones(later.sum(), np.int64))
+        yield spans_of(COVERED, buckets, ids[doc[later]], keys[doc[later]], place[later])
     on = ~later
     yield packed(WINDOWS, buckets, (code[on] % np.uint64(buckets)).astype(np.int64), ids, keys, doc[on], codes=code[on], places=place[on].astype(np.int32))
 
 
-def _first_documents(table: pa.Table) -> pa.Table:
+def _first_documents(table: pa.Table, buckets: int) -> pa.Table:
     """Of the windows in a bucket, those that also start in a smaller document; covered rows pass."""
     kinds = table["kind"].to_numpy()
     out = [table.filter(pa.array(kinds == COVERED))]
     own = table.filter(pa.array(kinds == WINDOWS))
     if own.num_rows:
-        code, place = at.joined(own["codes"], np.uint64), at.joined(own["places"], np.int32)
+        code, place = at.joined(own["codes"], np.uint64), numbers(own["places"])
         ids, keys = unpacked(own)
         order = np.argsort(code, kind="stable")
         runs = runs_of(code[order])
         later = np.zeros(len(code), bool)
         later[order] = ids[order] > spread(np.minimum.reduceat(ids[order], runs), runs, len(code))
-        out.append(pa.Table.from_batches([by_document(COVERED, ids[later], keys[later], place[later], np.ones(later.sum(), np.int64))]))
-    return pa.concat_tables(out).select(["doc_id", "text_key", "spans"])
+        out.append(pa.Table.from_batches([spans_of(COVERED, buckets, ids[later], keys[later], place[later])]))
+    return pa.concat_tables(out)
+
+
+def covered_windows(rows: DataFrame, buckets: int) -> DataFrame:
+    """Packed spans of the windows that also start in a document with a smaller id."""
+    return rows.groupBy("bucket").applyInArrow(lambda t: _first_documents(t, buckets), ROW)
 
 
-def covered_windows(rows: DataFrame) -> DataFrame:
-    """doc_id, text_key, spans: the starts of windows that also start in a document with a smaller id."""
-    return rows.groupBy("bucket").applyInArrow(_first_documents, "doc_id long, text_key long, spans binary")
+def _merge(table: pa.Table) -> pa.Table:
+    start, size = numbers(table["places"]).astype(np.int64), numbers(table["sizes"])
+    ids, keys = unpacked(table)
+    order = np.lexsort((start, keys, ids))
+    ids, keys, start, end = ids[order], keys[order], start[order], start[order] + size[order]
+    turn = runs_of(ids, keys)
+    # documents after each other on one line, far enough apart
+    away = spread(np.arange(len(turn)), turn, len(ids)) << 32
+    reach = np.maximum.accumulate(end + away)
+    new = np.ones(len(ids), bool)
+    new[1:] = (start + away)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(ids)) - 1
+    spans = np.stack((start[first], (reach - away)[last] - start[first]), 1).astype(np.int32).reshape(-1)
+    bounds = np.searchsorted(first, np.append(turn, len(ids)))
+    return pa.Table.from_arrays([pa.array(ids[turn]), pa.array(keys[turn]), cut(spans, 2 * bounds)], ["doc_key", "text_key", "spans"])
 
 
-def collected(spans: DataFrame) -> DataFrame:
-    """A row for each document: all its spans as a list of binaries (it is no longer than the document allows)."""
-    return spans.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans"))
+def merged(rows: DataFrame) -> DataFrame:
+    """One row for each document: doc_key, text_key, spans (disjoint, ascending; start and length of 32 bits each)."""
+    return rows.groupBy("bucket").applyInArrow(_merge, "doc_key long, text_key long, spans binary")
 
 
-def mask(spans: list[bytes] | None, n: int, wider: int = 0) -> np.ndarray:
+def mask(spans: bytes | None, n: int, wider: int = 0) -> np.ndarray:
     """Which of n places the spans cover, each span being longer by ``wider``."""
     change = np.zeros(n + 1, np.int64)
     if spans:
-        s = np.frombuffer(b"".join(spans), np.int32).reshape(-1, 2).astype(np.int64)
+        s = np.frombuffer(spans, np.int32).reshape(-1, 2).astype(np.int64)
         np.add.at(change, s[:, 0], 1)
         np.add.at(change, np.minimum(s[:, 0] + s[:, 1] + wider, n), -1)
     return np.cumsum(change[:-1]) > 0

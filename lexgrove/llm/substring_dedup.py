@@ -61,16 +61,16 @@ def _probe(batches: Iterator[pa.RecordBatch], block: int, buckets: int, stretch:
         lead = np.minimum.reduceat(lead, runs) % len(code)
         on[order[lead[shared]]] = True
         if anchor.any():
-            yield r.by_document(r.COVERED, ids[doc[anchor]], keys[doc[anchor]], place[anchor], np.ones(anchor.sum(), np.int64))
+            yield r.spans_of(r.COVERED, buckets, ids[doc[anchor]], keys[doc[anchor]], place[anchor])
         yield r.packed(r.PACKED, buckets, (code[on] % np.uint64(buckets)).astype(np.int64), ids, keys, doc[on], codes=(code[on] >> np.uint64(32)).astype(np.uint32), places=place[on])
 
 
-def _anchors(table: pa.Table, block: int) -> pa.Table:
+def _anchors(table: pa.Table, block: int, buckets: int) -> pa.Table:
     kinds = table["kind"].to_numpy()
     out = [table.filter(pa.array(kinds == r.COVERED))]
     own = table.filter(pa.array(kinds == r.PACKED))
     if own.num_rows:
-        code, place = at.joined(own["codes"], np.uint32), at.joined(own["places"], np.int32)
+        code, place = at.joined(own["codes"], np.uint32), r.numbers(own["places"])
         ids, keys = r.unpacked(own)
         order = np.argsort(code, kind="stable")
         runs = r.runs_of(code[order])
@@ -78,8 +78,8 @@ def _anchors(table: pa.Table, block: int) -> pa.Table:
         good = (np.minimum.reduceat(id_, runs) != np.maximum.reduceat(id_, runs)) & np.logical_or.reduceat(place[order] % block == 0, runs)
         hit = np.zeros(len(code), bool)
         hit[order] = r.spread(good, runs, len(code))
-        out.append(pa.Table.from_batches([r.by_document(r.COVERED, ids[hit], keys[hit], place[hit], np.ones(hit.sum(), np.int64))]))
-    return pa.concat_tables(out).select(["doc_id", "text_key", "spans"])
+        out.append(pa.Table.from_batches([r.spans_of(r.COVERED, buckets, ids[hit], keys[hit], place[hit])]))
+    return pa.concat_tables(out)
 
 
 def _extend(batches: Iterator[pa.RecordBatch], window: int, block: int, buckets: int, stretch: int) -> Iterator[pa.RecordBatch]:
@@ -142,8 +142,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     buckets = r.bucket_count(read)
     some = read.where(F.col("doc_id").isNotNull())
     probes = some.mapInArrow(lambda b: _probe(b, block, buckets, stretch), r.ROW)
-    anchors = probes.groupBy("bucket").applyInArrow(lambda t: _anchors(t, block), "doc_id long, text_key long, spans binary")
-    around = read.join(r.collected(anchors), ["doc_id", "text_key"]).mapInArrow(lambda b: _extend(b, window, block, buckets, stretch), r.ROW)
-    covered = r.collected(r.covered_windows(around))
+    anchors = r.merged(probes.groupBy("bucket").applyInArrow(lambda t: _anchors(t, block, buckets), r.ROW))
+    around = read.join(anchors, ["doc_key", "text_key"]).mapInArrow(lambda b: _extend(b, window, block, buckets, stretch), r.ROW)
+    covered = r.merged(r.covered_windows(around, buckets))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string())])
-    return read.join(covered, ["doc_id", "text_key"], "left").mapInArrow(lambda b: _cut(b, window, schema), "doc_id long, n_words long, spans array<struct<begin: long, end: long>>, kept string")
+    return read.join(covered, ["doc_key", "text_key"], "left").mapInArrow(lambda b: _cut(b, window, schema), "doc_id long, n_words long, spans array<struct<begin: long, end: long>>, kept string")

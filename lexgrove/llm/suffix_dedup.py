@@ -10,13 +10,16 @@ their lead in the same place, and neighbouring strings mostly share one. The dig
 
 1. its lead's code: the first pass deals runs by it; a lead in one document alone ends here;
 2. the code of the whole run: equal runs agree in all their strings, and all but the smallest document's are covered;
-3. where runs of one lead differ, the whole codes of their strings: the last pass, to depth ``threshold``.
+3. where runs of one lead differ, the whole codes of their strings: the last pass, to depth ``threshold``. A string has at
+   least half of its other bytes on one side of its lead, so runs that agree with no other document's on either side (16
+   bits of a code for each side) share no string and stop before it.
 
 A digit's order is that of its 64-bit code; any order of the digits gives the same groups. Before a pass sends anything,
 entries of a stretch of text are combined (repeats.py); a lead with over ``HOT`` different runs in one stretch (as at the
 end of a licence line) goes on to the last pass at once and leaves only a mark in its bucket, so no bucket grows with it.
 
-Null and empty texts have no bytes. Documents shorter than the threshold are never cut. Repeated ids are not smaller than
+Runs of one lead are told apart by 48 bits of their code (and 32 and the bucket's of the lead's), strings in the last pass
+by 64. Null and empty texts have no bytes. Documents shorter than the threshold are never cut. Repeated ids are not smaller than
 each other. Rows without an id take no part and are returned uncut. Removed bytes may leave a text that is not UTF-8, so
 ``kept`` is binary.
 """
@@ -52,12 +55,12 @@ def leads(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(batch: pa.RecordBatch, threshold: int, digit: int) -> tuple[np.ndarray, ...]:
-    """Row, place and number of strings of each run, the code of its lead and of all its bytes, and the codes' maker."""
+    """Row, place and number of strings of each run, the codes of its lead and of all its bytes, and of the lead's sides."""
     raw, offsets = at.flat(batch.column("text"))
     maker = at.byte_runs(raw)
     if len(raw) < threshold:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), maker, offsets
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), np.zeros((0, 2), np.uint16)
     piece = maker.rolling(digit)
     lead = leads(piece, threshold - digit + 1)
     inside = np.ones(len(lead) + 1, bool)  # strings that stay in a document
@@ -73,18 +76,24 @@ def _runs(batch: pa.RecordBatch, threshold: int, digit: int) -> tuple[np.ndarray
     last[:-1] &= ~inside[1:-1] | (lead[1:] != lead[:-1])
     end = np.flatnonzero(last) + 1
     row = np.searchsorted(offsets, begin, "right") - 1
-    return row, begin - offsets[row], end - begin, at.mix(piece[lead[begin]]), maker.codes(begin, end + threshold - 1), maker, offsets
+    # half of the other bytes on either side of the lead; 0 where the document has fewer there
+    spot, half = lead[begin], -(-(threshold - digit) // 2)
+    sides = np.zeros((len(begin), 2), np.uint16)
+    for side, (low, high) in enumerate(((spot - half, spot), (spot + digit, spot + digit + half))):
+        there = (low >= offsets[row]) & (high <= offsets[row + 1])
+        sides[there, side] = (maker.codes(low[there], high[there]) >> np.uint64(48)).astype(np.uint16)
+    return row, begin - offsets[row], end - begin, at.mix(piece[spot]), maker.codes(begin, end + threshold - 1), sides
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], threshold: int, digit: int, buckets: int, stretch: int, most: int) -> Iterator[pa.RecordBatch]:
     kept: list[pa.RecordBatch] = []  # of the stretch that is being read
 
     def read(batch: pa.RecordBatch, number: int) -> list[np.ndarray]:
-        row, place, size, lead, code, *_ = _runs(batch, threshold, digit)
+        row, place, size, lead, code, sides = _runs(batch, threshold, digit)
         kept.append(batch)
-        return [lead, code, (row + number).astype(np.int32), place.astype(np.int32), size.astype(np.uint16)]
+        return [lead, code, sides, (row + number).astype(np.int32), place.astype(np.int32), size.astype(np.uint16)]
 
-    for ids, keys, (lead, code, doc, place, size) in r.stretches(batches, read, stretch):
+    for ids, keys, (lead, code, sides, doc, place, size) in r.stretches(batches, read, stretch):
         texts, kept[:] = list(kept), []
         if not len(code):
             continue
@@ -95,7 +104,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], threshold: int, digit: int, b
         later = np.zeros(len(code), bool)
         later[order] = id_ > r.spread(np.minimum.reduceat(id_, runs), runs, len(code))
         if later.any():
-            yield r.by_document(r.COVERED, ids[doc[later]], keys[doc[later]], place[later], size[later])
+            yield r.spans_of(r.COVERED, buckets, ids[doc[later]], keys[doc[later]], place[later], size[later])
         on = np.flatnonzero(~later)
         # leads with many different runs
         order = on[np.argsort(lead[on], kind="stable")]
@@ -111,7 +120,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], threshold: int, digit: int, b
             size = size.copy()
             size[order[runs[many]]] = 0
         cold = on[~hot[on]]
-        yield r.packed(r.PACKED, buckets, (lead[cold] % np.uint64(buckets)).astype(np.int64), ids, keys, doc[cold], codes=code[cold], marks=(lead[cold] >> np.uint64(32)).astype(np.uint32), places=place[cold], sizes=size[cold])
+        yield r.packed(r.PACKED, buckets, (lead[cold] % np.uint64(buckets)).astype(np.int64), ids, keys, doc[cold], codes=code[cold].view(np.uint8).reshape(-1, 8)[:, :6], marks=(lead[cold] >> np.uint64(32)).astype(np.uint32), sides=sides[cold], places=place[cold], sizes=size[cold])
 
 
 def _windows(texts: list[pa.RecordBatch], doc: np.ndarray, place: np.ndarray, size: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,13 +142,16 @@ def _windows(texts: list[pa.RecordBatch], doc: np.ndarray, place: np.ndarray, si
     return np.concatenate(docs), np.concatenate(codes), np.concatenate(places)
 
 
-def _second_pass(table: pa.Table) -> pa.Table:
+def _second_pass(table: pa.Table, buckets: int) -> pa.Table:
     kinds = table["kind"].to_numpy()
     out = [table.filter(pa.array(kinds != r.PACKED))]
     own = table.filter(pa.array(kinds == r.PACKED))
     if own.num_rows:
-        lead, code = at.joined(own["marks"], np.uint32), at.joined(own["codes"], np.uint64)
-        place, size = at.joined(own["places"], np.int32), at.joined(own["sizes"], np.uint16)
+        lead, sides = at.joined(own["marks"], np.uint32), at.joined(own["sides"], np.uint16).reshape(-1, 2)
+        code = np.zeros((len(lead), 8), np.uint8)
+        code[:, :6] = at.joined(own["codes"], np.uint8).reshape(-1, 6)
+        code = code.view(np.uint64)[:, 0]
+        place, size = r.numbers(own["places"]), r.numbers(own["sizes"])
         ids, keys = r.unpacked(own)
         order = np.argsort(lead, kind="stable")
         runs = r.runs_of(lead[order])
@@ -154,19 +166,23 @@ def _second_pass(table: pa.Table) -> pa.Table:
             id_ = ids[alive]
             smallest = r.spread(id_[runs], runs, len(alive))
             later = np.sort(alive[id_ > smallest])
-            out.append(pa.Table.from_batches([r.by_document(r.COVERED, ids[later], keys[later], place[later], size[later])]))
+            out.append(pa.Table.from_batches([r.spans_of(r.COVERED, buckets, ids[later], keys[later], place[later], size[later])]))
             # leads whose runs differ: the first documents' runs go on
             firsts = alive[id_ == smallest]
-            runs = r.runs_of(lead[firsts])
-            differ = (np.minimum.reduceat(ids[firsts], runs) != np.maximum.reduceat(ids[firsts], runs)) | np.isin(lead[firsts[runs]], np.array(sorted(marks), np.uint32))
-            ask = np.sort(firsts[r.spread(differ, runs, len(firsts))])
-            out.append(pa.Table.from_batches([r.by_document(r.ASKED, ids[ask], keys[ask], place[ask], size[ask])]))
+            ask = np.isin(lead[firsts], np.array(sorted(marks), np.uint32))
+            for side in sides[firsts].T:  # those that agree with another document's on a side of the lead
+                by = np.lexsort((side, lead[firsts]))
+                runs = r.runs_of(lead[firsts][by], side[by])
+                id_ = ids[firsts][by]
+                ask[by] |= r.spread(np.minimum.reduceat(id_, runs) != np.maximum.reduceat(id_, runs), runs, len(by))
+            ask = np.sort(firsts[ask])
+            out.append(pa.Table.from_batches([r.spans_of(r.ASKED, buckets, ids[ask], keys[ask], place[ask], size[ask])]))
     return pa.concat_tables(out)
 
 
 def _last_pass(batches: Iterator[pa.RecordBatch], threshold: int, buckets: int, stretch: int) -> Iterator[pa.RecordBatch]:
     def read(batch: pa.RecordBatch, number: int) -> list[np.ndarray]:
-        lists = [np.frombuffer(b"".join(s), np.int32).reshape(-1, 2) for s in batch.column("spans").to_pylist()]
+        lists = [x.reshape(-1, 2) for x in at.arrays(batch.column("spans"), np.int32)]
         spans = np.concatenate(lists) if lists else np.zeros((0, 2), np.int32)
         doc = np.repeat(np.arange(batch.num_rows, dtype=np.int32), [len(x) for x in lists])
         own, code, place = _windows([batch], doc, spans[:, 0], spans[:, 1], threshold)
@@ -191,14 +207,14 @@ def _cut(batches: Iterator[pa.RecordBatch], threshold: int, schema: pa.Schema) -
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = 50, stretch: int = r.STRETCH_BYTES, hot: int = HOT) -> DataFrame:
     """For each document: doc_id, n_bytes, spans (ranges of removed bytes, end exclusive) and kept (the other bytes).
     stretch: bytes of text whose entries a task combines and sends together."""
-    digit = max(1, threshold // 2 - 1)
+    digit = max(1, (threshold + 2) // 3)
     read = r.prepared(docs, doc_id, text)
     buckets = r.bucket_count(read)
     some = read.where(F.col("doc_id").isNotNull())
-    passed = written(some.mapInArrow(lambda b: _first_pass(b, threshold, digit, buckets, stretch, hot), r.ROW).groupBy("bucket").applyInArrow(_second_pass, r.ROW), "suffix-runs")
-    asked = r.collected(passed.where(F.col("kind") == r.ASKED))
-    deeper = read.join(asked, ["doc_id", "text_key"]).mapInArrow(lambda b: _last_pass(b, threshold, buckets, stretch), r.ROW)
-    last = r.covered_windows(passed.where(F.col("kind") == r.WINDOWS).unionByName(deeper))
-    covered = r.collected(passed.where(F.col("kind") == r.COVERED).select("doc_id", "text_key", "spans").unionByName(last))
+    passed = written(some.mapInArrow(lambda b: _first_pass(b, threshold, digit, buckets, stretch, hot), r.ROW).groupBy("bucket").applyInArrow(lambda t: _second_pass(t, buckets), r.ROW), "suffix-runs")
+    asked = r.merged(passed.where(F.col("kind") == r.ASKED))
+    deeper = read.join(asked, ["doc_key", "text_key"]).mapInArrow(lambda b: _last_pass(b, threshold, buckets, stretch), r.ROW)
+    last = r.covered_windows(passed.where(F.col("kind") == r.WINDOWS).unionByName(deeper), buckets)
+    covered = r.merged(passed.where(F.col("kind") == r.COVERED).unionByName(last))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
-    return read.join(covered, ["doc_id", "text_key"], "left").mapInArrow(lambda b: _cut(b, threshold, schema), "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")
+    return read.join(covered, ["doc_key", "text_key"], "left").mapInArrow(lambda b: _cut(b, threshold, schema), "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")
