@@ -14,8 +14,13 @@ WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are longer than numbers: fewer rows in a batch between the JVM and Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # texts are longer than numbers
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
