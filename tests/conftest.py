@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-sys.path[:0] = [ROOT, str(Path(ROOT) / "tests" / "llm")]
+sys.path[:0] = [ROOT, f"{ROOT}/tests", f"{ROOT}/tests/llm"]
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, os.environ.get("PYTHONPATH"))))
 
 
