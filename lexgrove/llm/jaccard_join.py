@@ -56,28 +56,30 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return [np.unique(codes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], words: int, buckets: int, stretch: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], words: int, buckets: int, limit: int) -> Iterator[pa.RecordBatch]:
     metas: list[pa.RecordBatch] = []
 
-    def read(batch: pa.RecordBatch, number: int) -> list[np.ndarray]:
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+        """A document's place is its number."""
         sets = shingle_sets(batch.column("text"), words)
         meta, name = _meta(batch, sets, buckets)
         metas.append(meta)
-        take = [i for i in range(batch.num_rows) if len(sets[i])]
-        size = np.array([len(sets[i]) for i in take], np.int64)
-        names = np.array([int.from_bytes(name[i][:8], "little") for i in take], np.uint64)
-        return [np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in take)]), np.repeat(np.array(take, np.int32) + np.int32(number), size), np.repeat(names, size)]
+        size = np.array([len(x) for x in sets], np.int64)
+        names = np.array([int.from_bytes(x[:8], "little") for x in name], np.uint64)
+        return np.arange(len(sets) + 1), [np.repeat(np.arange(len(sets)), size), np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(names, size)]
 
-    for ids, keys, (code, doc, name) in r.stretches(batches, read, stretch):
+    for stretch in r.stretches(batches, read, limit):
         yield from metas
         metas.clear()
+        yield stretch.table(buckets)
+        doc, (code, name) = stretch.place, stretch.fields
         if not len(code):
             continue
         # of equal sets, the least document's tokens
         turn = r.runs_of(doc)
-        order = np.lexsort((keys[doc[turn]], ids[doc[turn]], name[turn]))
+        order = np.lexsort((stretch.keys[doc[turn]], stretch.ids[doc[turn]], name[turn]))
         lead = order[r.runs_of(name[turn][order])]
-        stays = np.zeros(len(ids), bool)
+        stays = np.zeros(len(stretch.ids), bool)
         stays[doc[turn[lead]]] = True
         on = stays[doc]
         code, doc = code[on], doc[on]
@@ -90,11 +92,11 @@ def _scan(batches: Iterator[pa.RecordBatch], words: int, buckets: int, stretch:
         send[shared] = False
         send[order[runs[many]]] = True
         if shared.any():
-            yield r.by_document(SHARED, buckets, ids[doc[shared]], keys[doc[shared]], codes=code[shared])
-        yield r.packed(TOKENS, buckets, (code[send] % np.uint64(buckets)).astype(np.int64), ids, keys, doc[send], codes=code[send])
+            yield r.packed(SHARED, 1, np.zeros(shared.sum(), np.int64), stretch, doc[shared], codes=code[shared])
+        yield r.packed(TOKENS, buckets, (code[send] % np.uint64(buckets)).astype(np.int64), stretch, doc[send], codes=code[send])
 
 
-def _scan_all(batches: Iterator[pa.RecordBatch], words: int, buckets: int, stretch: int) -> Iterator[pa.RecordBatch]:
+def _scan_all(batches: Iterator[pa.RecordBatch], words: int, buckets: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Rows without an id only say what they are."""
     anonymous: list[pa.RecordBatch] = []
 
@@ -106,7 +108,7 @@ def _scan_all(batches: Iterator[pa.RecordBatch], words: int, buckets: int, stret
                 batch = batch.filter(pa.compute.invert(missing))
             yield batch
 
-    yield from _scan(known(), words, buckets, stretch)
+    yield from _scan(known(), words, buckets, limit)
     for batch in anonymous:
         for part in at.slices([batch], "text"):
             yield _meta(part, shingle_sets(part.column("text"), words), buckets)[0]
@@ -117,7 +119,7 @@ def _meta(batch: pa.RecordBatch, sets: list[np.ndarray], buckets: int) -> tuple[
     names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else bytes(16) for s in sets]
     known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
     row = {"ids": pa.compute.fill_null(batch.column("doc_id"), 0).to_numpy(), "keys": batch.column("text_key").to_numpy(), "counts": np.array([len(s) for s in sets], np.int64), "places": known.astype(np.int8)}
-    return r.rows_of(1, kind=pa.array([META], pa.int32()), bucket=pa.array([int(row["keys"][0]) % buckets], pa.int32()), marks=pa.array([b"".join(names)], pa.binary()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in row.items()}), names
+    return r.rows_of(1, kind=pa.array([META], pa.int32()), bucket=pa.array([int(row["keys"][0]) % buckets], pa.int32()), stretch=pa.array([-1]), marks=pa.array([b"".join(names)], pa.binary()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in row.items()}), names
 
 
 def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,30 +134,33 @@ def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    """The sorted shared tokens of each document of a bucket."""
-    ids, keys = r.unpacked(table)
-    code = at.joined(table["codes"], np.uint64).view(np.int64)
-    order = np.lexsort((code, keys, ids))
-    order = order[r.runs_of(ids[order], keys[order], code[order])]
-    turn = r.runs_of(ids[order], keys[order])
+    """The sorted shared tokens of each document of a stretch."""
+    ids, keys, _, rows = r.tables_and(table)
+    doc, code = r.together(r.numbers(rows["places"])), at.joined(rows["codes"], np.int64)
+    order = np.lexsort((code, doc))
+    order = order[r.runs_of(doc[order], code[order])]
+    turn = r.runs_of(doc[order])
     lists = pa.ListArray.from_arrays(pa.array(np.append(turn, len(order)).astype(np.int32)), pa.array(code[order]))
-    return pa.Table.from_arrays([pa.array(ids[order[turn]]), pa.array(keys[order[turn]]), lists], ["doc_id", "text_key", "tokens"])
+    own = doc[order[turn]]
+    return pa.Table.from_arrays([pa.array(ids[own]), pa.array(keys[own]), lists], ["doc_id", "text_key", "tokens"])
 
 
-def _share(table: pa.Table, buckets: int) -> pa.Table:
-    """The tokens of a bucket that several sets have, packed for their documents; other rows pass."""
+def _share(table: pa.Table) -> pa.Table:
+    """The tokens of a bucket that several stretches have, for their documents; other rows pass."""
     kinds = table["kind"].to_numpy()
     out = [table.filter(pa.array(kinds != TOKENS))]
     own = table.filter(pa.array(kinds == TOKENS))
     if own.num_rows:
-        code = at.joined(own["codes"], np.uint64)
-        ids, keys = r.unpacked(own)
+        code, parts = at.joined(own["codes"], np.uint64), r.numbers(own["places"])
         order = np.argsort(code, kind="stable")
         runs = r.runs_of(code[order])
         shared = np.zeros(len(code), bool)
         shared[order] = r.spread(np.diff(np.append(runs, len(code))) > 1, runs, len(code))
-        if shared.any():
-            out.append(pa.Table.from_batches([r.by_document(SHARED, buckets, ids[shared], keys[shared], codes=code[shared])]))
+        row, doc, code = r.row_numbers(parts)[shared], r.together(parts)[shared], code[shared]
+        turn = r.runs_of(row)
+        bounds = np.append(turn, len(row))
+        numbers = own["stretch"].to_numpy()[row[turn]]
+        out.append(pa.Table.from_batches([r.rows_of(len(turn), kind=pa.array(np.full(len(turn), SHARED, np.int32)), bucket=pa.array(np.zeros(len(turn), np.int32)), stretch=pa.array(numbers), places=r.planes(doc, bounds), codes=r.cut(code, bounds))]))
     return pa.concat_tables(out)
 
 
@@ -176,9 +181,8 @@ def _by_label(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         order = np.lexsort((token, label))
         order = order[r.runs_of(label[order], token[order])]
         label, token = label[order], token[order]
-        turn = r.runs_of(label)
-        number = np.cumsum(np.bincount(turn, minlength=len(label))[: len(label)]) - 1
-        yield r.packed(TOKENS, buckets, (token.view(np.uint64) % np.uint64(buckets)).astype(np.int64), label[turn], label[turn], number, codes=token)
+        nowhere = r.Stretch(0, label, label, label, label, [])
+        yield r.packed(TOKENS, buckets, (token.view(np.uint64) % np.uint64(buckets)).astype(np.int64), nowhere, np.zeros(len(label), np.int64), ids=label, codes=token)
 
     for batch in batches:
         lists = batch.column("tokens")
@@ -191,7 +195,7 @@ def _by_label(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
 
 def _cross(table: pa.Table) -> pa.Table:
     """The tokens that several components have."""
-    token, (label, _) = at.joined(table["codes"], np.int64), r.unpacked(table)
+    token, label = at.joined(table["codes"], np.int64), r.entry_ids(table)
     order = np.argsort(token, kind="stable")
     runs = r.runs_of(token[order])
     several = np.minimum.reduceat(label[order], runs) != np.maximum.reduceat(label[order], runs)
@@ -273,11 +277,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     text_key; rows without links are)."""
     read = r.prepared(docs, doc_id, text)
     buckets = r.bucket_count(read)
-    scanned = written(read.mapInArrow(lambda b: _scan_all(b, words, buckets, stretch), r.ROW).groupBy("bucket").applyInArrow(lambda t: _share(t, buckets), r.ROW), "shingles")
+    scanned = written(read.mapInArrow(lambda b: _scan_all(b, words, buckets, stretch), r.ROW).groupBy("bucket").applyInArrow(_share, r.ROW), "shingles")
     meta = scanned.where(F.col("kind") == META).mapInArrow(_numbers, "doc_id long, text_key long, set_key binary, n_shingles long")
     node = F.struct("doc_id", "text_key").alias("node")
     sets = meta.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("node"), F.first("n_shingles").alias("n"))
-    shared = scanned.where(F.col("kind") == SHARED).groupBy("bucket").applyInArrow(_gather, "doc_id long, text_key long, tokens array<long>").select(node, "tokens")
+    shared = scanned.where(F.col("kind").isin(SHARED, r.TABLE)).groupBy("stretch").applyInArrow(_gather, "doc_id long, text_key long, tokens array<long>").select(node, "tokens").dropDuplicates(["node"])  # rows that repeat are in several stretches
     enough = shared.join(sets.select("node", "n"), "node").where(100 * F.size("tokens") >= percent * F.col("n"))
     near = written(enough.select("node", "n", "tokens").mapInArrow(lambda b: _minima(b, probes), f"node {NODE}, n long, tokens array<long>, minima array<long>"), "near")
 

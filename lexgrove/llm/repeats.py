@@ -1,32 +1,38 @@
-"""What the two exact repeat removers share: exchanging packed windows, finding each window's first document, and cutting.
+"""What the repeat removers share: exchanging packed entries, finding each window's first document, and cutting.
 
-A document is known by its id and a hash of its text, so rows that repeat an id are kept apart. Map tasks pack entries
-(codes and places) of a stretch of text into one binary row for each bucket of a code, and combine before they send: of
-equal codes in one stretch, only the smallest document's entries travel, the others are settled where they are. So a
-window that a third of all documents share reaches its bucket once from each stretch, not once from each document, and
-the number of buckets follows the amount of text.
+Map tasks read text in *stretches* of bounded size. An entry (a code and its place) names its document by its place in the
+stretch alone; the stretch's table of documents travels once. Entries go to buckets of their codes, one binary row for each
+bucket and stretch, with places as differences, so an entry costs its code and one or two bytes, however many buckets
+there are. Before anything is sent, a stretch is combined: of equal codes only the smallest document's entries travel, the
+others are settled where they are. So a window that a third of all documents share reaches its bucket once from each
+stretch, not once from each document. What is found goes back to the stretches, where places become documents again.
+
+A document is known by its id and a hash of its text, so rows that repeat an id are kept apart. A stretch's number
+follows from its partition, so a task that runs again makes the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text as at
 
-#: Bytes of text whose entries are combined and sent together.
+#: Bytes of text in a stretch.
 STRETCH_BYTES = 8 << 20
 #: Bytes of text for each bucket.
 BUCKET_BYTES = 8 << 20
 
-#: Rows of the exchanges: packed entries of many documents; kind says of what.
-ROW = "kind int, bucket int, ids binary, keys binary, counts binary, codes binary, marks binary, sides binary, places binary, sizes binary"
-ROW_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "keys", "counts", "codes", "marks", "sides", "places", "sizes"))])
-PACKED, WINDOWS, COVERED, ASKED = 0, 1, 2, 3
+#: Rows of the exchanges: packed entries; kind says of what.
+ROW = "kind int, bucket int, stretch long, ids binary, keys binary, counts binary, codes binary, marks binary, sides binary, places binary, sizes binary"
+ROW_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("stretch", pa.int64()), *((c, pa.binary()) for c in ("ids", "keys", "counts", "codes", "marks", "sides", "places", "sizes"))])
+PACKED, WINDOWS, COVERED, ASKED, TABLE = range(5)
 
 
 def prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -43,37 +49,47 @@ def bucket_count(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
 
 
-class Documents:
-    """Ids and keys of the documents of a stretch; entries name them by number."""
+@dataclass
+class Stretch:
+    number: int
+    ids: np.ndarray
+    keys: np.ndarray
+    bounds: np.ndarray  # the first place of each document, and the end
+    place: np.ndarray  # of each entry
+    fields: list[np.ndarray]
+
+    def docs(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, place, "right") - 1
 
-    def __init__(self):
-        self.ids: list[np.ndarray] = []
-        self.keys: list[np.ndarray] = []
-        self.n = 0
+    def table(self, buckets: int) -> pa.RecordBatch:
+        binary = {"ids": self.ids, "keys": self.keys, "counts": np.diff(self.bounds)}
+        return rows_of(1, kind=pa.array([TABLE], pa.int32()), bucket=pa.array([self.number % buckets], pa.int32()), stretch=pa.array([self.number]), **{k: pa.array([v.astype(np.int64).tobytes()], pa.binary()) for k, v in binary.items()})
 
-    def add(self, batch: pa.RecordBatch) -> int:
-        first = self.n
-        self.ids.append(batch.column("doc_id").to_numpy())
-        self.keys.append(batch.column("text_key").to_numpy())
-        self.n += batch.num_rows
-        return first
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate(self.ids), np.concatenate(self.keys)
+def stretches(batches: Iterator[pa.RecordBatch], read: Callable[[pa.RecordBatch], tuple[np.ndarray, list[np.ndarray]]], limit: int, scan: int = 0) -> Iterator[Stretch]:
+    """Reads slices until a stretch has ``limit`` bytes. read: of a slice, its documents' bounds, the entries' places and
+    fields. scan: tells the stretches of a query's scans apart."""
+    base = (scan << 60) | (TaskContext.get().partitionId() << 28)
+    ids, keys, bounds, held, size, end, n = [], [], [np.zeros(1, np.int64)], [], 0, 0, 0
 
+    def made() -> Stretch:
+        place, *fields = (np.concatenate(x) for x in zip(*held, strict=True))
+        return Stretch(base | n, np.concatenate(ids), np.concatenate(keys), np.concatenate(bounds), place, fields)
 
-def stretches(batches: Iterator[pa.RecordBatch], read: Callable[[pa.RecordBatch, int], list[np.ndarray]], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Reads slices until a stretch has ``limit`` bytes. read: arrays of a slice's entries, given its first document's number."""
-    docs, held, size = Documents(), [], 0
     for batch in at.slices(batches, "text", min(limit, at.SLICE_BYTES)):
-        held.append(read(batch, docs.add(batch)))
+        own, (place, *fields) = read(batch)
+        ids.append(batch.column("doc_id").to_numpy())
+        keys.append(batch.column("text_key").to_numpy())
+        bounds.append(own[1:] + end)
+        held.append([place + end, *fields])
+        end += int(own[-1])
         size += batch.column("text").nbytes
         if size >= limit:
-            yield *docs.tables(), [np.concatenate(x) for x in zip(*held, strict=True)]
-            docs, held, size = Documents(), [], 0
+            yield made()
+            ids, keys, bounds, held, size, end, n = [], [], [np.zeros(1, np.int64)], [], 0, 0, n + 1
             pa.default_memory_pool().release_unused()
     if held:
-        yield *docs.tables(), [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield made()
 
 
 def rows_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -87,52 +103,62 @@ def cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(values)])
 
 
-def _planes(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Each values[a:b] of consecutive bounds as differences, all low bytes first, then the next ones: small differences,
-    as between the places in a bucket, are one byte each and zeros, which compress to nothing."""
-    step = values.astype(np.int32)
-    step[1:] -= step[:-1].copy()
-    step[bounds[:-1]] = values[bounds[:-1]]
-    flat = step.view(np.uint8).reshape(-1, 4)
+def planes(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Each values[a:b] of consecutive bounds as differences, all low bytes first, then the next ones: small differences are
+    one byte each and zeros, which compress to nothing."""
+    step = values.copy()
+    step[1:] -= values[:-1]
+    first = bounds[:-1][bounds[:-1] < bounds[1:]]
+    step[first] = values[first]
+    flat = step.view(np.uint8).reshape(-1, step.itemsize)
     return pa.array([flat[a:b].T.tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
 
 
-def numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """All numbers of a column that ``_planes`` made."""
-    parts = [np.cumsum(np.ascontiguousarray(x.reshape(4, -1).T).view(np.int32).reshape(-1), dtype=np.int32) for x in at.arrays(column, np.uint8)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+def numbers(column: pa.Array | pa.ChunkedArray, kind=np.int32) -> list[np.ndarray]:
+    """The numbers of each row of a column that ``planes`` made."""
+    width = np.dtype(kind).itemsize
+    return [np.cumsum(np.ascontiguousarray(x.reshape(width, -1).T).view(kind).reshape(-1), dtype=kind) for x in at.arrays(column, np.uint8)]
+
+
+def together(parts: list[np.ndarray], kind=np.int32) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def packed(kind: int, buckets: int, bucket: np.ndarray, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, **fields: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket that has entries; entries stay in order of document inside."""
+def packed(kind: int, buckets: int, bucket: np.ndarray, stretch: Stretch, place: np.ndarray, *, ids: np.ndarray | None = None, **fields: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket that has entries, which ascend by place. ids: the entries' document ids, if the bucket has to
+    compare them; neighbours mostly share one, so runs of them are packed."""
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-    bucket, doc = bucket[order], doc[order]
-    turn = np.flatnonzero(np.diff(bucket, prepend=-1) != 0) if len(bucket) else np.zeros(0, np.int64)
+    bucket = bucket[order]
+    turn = runs_of(bucket)
     bounds = np.append(turn, len(bucket))
-    run = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0)) if len(bucket) else turn
-    counts = np.diff(np.append(run, len(doc))).astype(np.int32)
-    runs = np.searchsorted(run, bounds)
-    names = {k: (_planes if k in ("places", "sizes") else cut)(v[order], bounds) for k, v in fields.items()}
-    return rows_of(len(turn), kind=pa.array(np.full(len(turn), kind, np.int32)), bucket=pa.array(bucket[turn].astype(np.int32)), ids=cut(ids[doc[run]], runs), keys=cut(keys[doc[run]], runs), counts=cut(counts, runs), **names)
+    columns = {k: (planes(v[order].astype(np.int32), bounds) if k == "sizes" else cut(v[order], bounds)) for k, v in fields.items()}
+    if ids is not None:
+        ids = ids[order]
+        run = runs_of(bucket, ids)
+        of = np.searchsorted(run, bounds)
+        columns |= {"ids": planes(ids[run], of), "counts": planes(np.diff(np.append(run, len(ids))).astype(np.int32), of)}
+    return rows_of(len(turn), kind=pa.array(np.full(len(turn), kind, np.int32)), bucket=pa.array(bucket[turn].astype(np.int32)), stretch=pa.array(np.full(len(turn), stretch.number)), places=planes(place[order].astype(np.int32), bounds), **columns)
 
 
-def by_document(kind: int, buckets: int, ids: np.ndarray, keys: np.ndarray, **fields: np.ndarray) -> pa.RecordBatch:
-    """Entries packed for their documents' buckets; ids and keys are those of each entry."""
-    turn = runs_of(ids, keys)
-    number = np.cumsum(np.bincount(turn, minlength=len(ids))[: len(ids)]) - 1
-    bucket = (at.mix((ids[turn] ^ keys[turn]).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    return packed(kind, buckets, bucket[number], ids[turn], keys[turn], number, **fields)
+def entry_ids(table: pa.Table) -> np.ndarray:
+    """Document ids of all entries of rows that were packed with them."""
+    return np.repeat(together(numbers(table["ids"], np.int64), np.int64), together(numbers(table["counts"])))
 
 
-def spans_of(kind: int, buckets: int, ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray | None = None) -> pa.RecordBatch:
-    sizes = np.ones(len(starts), np.int32) if sizes is None else sizes.astype(np.int32)
-    return by_document(kind, buckets, ids, keys, places=starts.astype(np.int32), sizes=sizes)
+def spans_row(kind: int, buckets: int, stretch: Stretch, place: np.ndarray, size: np.ndarray | None = None) -> pa.RecordBatch:
+    """Spans of a stretch: places and lengths (1 if not given)."""
+    order = np.argsort(place, kind="stable")
+    return spans_rows(kind, buckets, np.array([stretch.number]), np.zeros(len(place), np.int64), place[order], None if size is None else size[order])
 
 
-def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Document ids and keys of all entries of bucketed rows."""
-    counts = at.joined(table["counts"], np.int32)
-    return np.repeat(at.joined(table["ids"], np.int64), counts), np.repeat(at.joined(table["keys"], np.int64), counts)
+def spans_rows(kind: int, buckets: int, numbers_: np.ndarray, row: np.ndarray, place: np.ndarray, size: np.ndarray | None = None) -> pa.RecordBatch:
+    """Spans of several stretches; row: which of the stretches each is of, ascending."""
+    bounds = np.searchsorted(row, np.arange(len(numbers_) + 1))
+    some = np.flatnonzero(np.diff(bounds))
+    bounds = np.append(bounds[some], len(row))
+    size = np.ones(len(place), np.int32) if size is None else size.astype(np.int32)
+    own = numbers_[some]
+    return rows_of(len(some), kind=pa.array(np.full(len(some), kind, np.int32)), bucket=pa.array((own % buckets).astype(np.int32)), stretch=pa.array(own), places=planes(place.astype(np.int32), bounds), sizes=planes(size, bounds))
 
 
 def runs_of(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -152,70 +178,88 @@ def spread(values: np.ndarray, runs: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(values, np.diff(np.append(runs, n)))
 
 
-def send_windows(buckets: int, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, code: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows for windows: of equal codes only the smallest document's go on, the others are covered."""
-    if not len(code):
-        return
+def not_first(code: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which entries' documents are not the smallest with their code."""
     order = np.argsort(code, kind="stable")
     runs = runs_of(code[order])
-    id_ = ids[doc[order]]
     later = np.zeros(len(code), bool)
-    later[order] = id_ > spread(np.minimum.reduceat(id_, runs), runs, len(id_))
+    if len(code):
+        later[order] = ids[order] > spread(np.minimum.reduceat(ids[order], runs), runs, len(code))
+    return later
+
+
+def send_windows(buckets: int, stretch: Stretch, place: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows for windows: of equal codes only the smallest document's go on, the others are covered."""
+    ids = stretch.ids[stretch.docs(place)]
+    later = not_first(code, ids)
     if later.any():
-        yield spans_of(COVERED, buckets, ids[doc[later]], keys[doc[later]], place[later])
-    on = ~later
-    yield packed(WINDOWS, buckets, (code[on] % np.uint64(buckets)).astype(np.int64), ids, keys, doc[on], codes=code[on], places=place[on].astype(np.int32))
+        yield spans_row(COVERED, buckets, stretch, place[later])
+    on = np.flatnonzero(~later)
+    on = on[np.argsort(place[on], kind="stable")]
+    yield packed(WINDOWS, buckets, (code[on] % np.uint64(buckets)).astype(np.int64), stretch, place[on], ids=ids[on], codes=code[on])
+
+
+def row_numbers(parts: list[np.ndarray]) -> np.ndarray:
+    return np.repeat(np.arange(len(parts)), [len(x) for x in parts])
 
 
 def _first_documents(table: pa.Table, buckets: int) -> pa.Table:
-    """Of the windows in a bucket, those that also start in a smaller document; covered rows pass."""
+    """Of the windows in a bucket, those that also start in a smaller document; other rows pass."""
     kinds = table["kind"].to_numpy()
-    out = [table.filter(pa.array(kinds == COVERED))]
+    out = [table.filter(pa.array(kinds != WINDOWS))]
     own = table.filter(pa.array(kinds == WINDOWS))
     if own.num_rows:
-        code, place = at.joined(own["codes"], np.uint64), numbers(own["places"])
-        ids, keys = unpacked(own)
-        order = np.argsort(code, kind="stable")
-        runs = runs_of(code[order])
-        later = np.zeros(len(code), bool)
-        later[order] = ids[order] > spread(np.minimum.reduceat(ids[order], runs), runs, len(code))
-        out.append(pa.Table.from_batches([spans_of(COVERED, buckets, ids[later], keys[later], place[later])]))
+        parts = numbers(own["places"])
+        later = np.flatnonzero(not_first(at.joined(own["codes"], np.uint64), entry_ids(own)))
+        out.append(pa.Table.from_batches([spans_rows(COVERED, buckets, own["stretch"].to_numpy(), row_numbers(parts)[later], together(parts)[later])]))
     return pa.concat_tables(out)
 
 
 def covered_windows(rows: DataFrame, buckets: int) -> DataFrame:
-    """Packed spans of the windows that also start in a document with a smaller id."""
+    """Spans of the windows that also start in a document with a smaller id, with the stretches' tables."""
     return rows.groupBy("bucket").applyInArrow(lambda t: _first_documents(t, buckets), ROW)
 
 
+def tables_and(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+    """Of a stretch's rows: ids, keys and bounds of its documents, and the other rows."""
+    kinds = table["kind"].to_numpy()
+    own = table.filter(pa.array(kinds == TABLE))
+    ids, keys, counts = (at.joined(own[c], np.int64) for c in ("ids", "keys", "counts"))
+    return ids, keys, np.concatenate(([0], np.cumsum(counts))), table.filter(pa.array(kinds != TABLE))
+
+
 def _merge(table: pa.Table) -> pa.Table:
-    start, size = numbers(table["places"]).astype(np.int64), numbers(table["sizes"])
-    ids, keys = unpacked(table)
-    order = np.lexsort((start, keys, ids))
-    ids, keys, start, end = ids[order], keys[order], start[order], start[order] + size[order]
-    turn = runs_of(ids, keys)
+    ids, keys, bounds, rows = tables_and(table)
+    place, size = together(numbers(rows["places"])).astype(np.int64), together(numbers(rows["sizes"]))
+    order = np.argsort(place, kind="stable")
+    doc = np.searchsorted(bounds, place[order], "right") - 1
+    start = place[order] - bounds[doc]
+    end = start + size[order]
     # documents after each other on one line, far enough apart
-    away = spread(np.arange(len(turn)), turn, len(ids)) << 32
+    away = doc << 32
     reach = np.maximum.accumulate(end + away)
-    new = np.ones(len(ids), bool)
+    new = np.ones(len(doc), bool)
     new[1:] = (start + away)[1:] > reach[:-1]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(ids)) - 1
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
     spans = np.stack((start[first], (reach - away)[last] - start[first]), 1).astype(np.int32).reshape(-1)
-    bounds = np.searchsorted(first, np.append(turn, len(ids)))
-    return pa.Table.from_arrays([pa.array(ids[turn]), pa.array(keys[turn]), cut(spans, 2 * bounds)], ["doc_key", "text_key", "spans"])
+    turn = runs_of(doc)
+    of = np.searchsorted(first, np.append(turn, len(doc)))
+    return pa.Table.from_arrays([pa.array(ids[doc[turn]]), pa.array(keys[doc[turn]]), cut(spans, 2 * of)], ["doc_key", "text_key", "spans"])
 
 
 def merged(rows: DataFrame) -> DataFrame:
-    """One row for each document: doc_key, text_key, spans (disjoint, ascending; start and length of 32 bits each)."""
-    return rows.groupBy("bucket").applyInArrow(_merge, "doc_key long, text_key long, spans binary")
+    """One row for each document that has spans: doc_key, text_key, spans (a list of binaries, of each stretch that the
+    document is in; start and length of 32 bits each). rows: spans and tables of the same stretches."""
+    found = rows.groupBy("stretch").applyInArrow(_merge, "doc_key long, text_key long, spans binary")
+    return found.groupBy("doc_key", "text_key").agg(F.collect_list("spans").alias("spans"))
 
 
-def mask(spans: bytes | None, n: int, wider: int = 0) -> np.ndarray:
+def mask(spans: list[bytes] | None, n: int, wider: int = 0) -> np.ndarray:
     """Which of n places the spans cover, each span being longer by ``wider``."""
     change = np.zeros(n + 1, np.int64)
     if spans:
-        s = np.frombuffer(spans, np.int32).reshape(-1, 2).astype(np.int64)
+        s = np.frombuffer(b"".join(spans), np.int32).reshape(-1, 2).astype(np.int64)
         np.add.at(change, s[:, 0], 1)
         np.add.at(change, np.minimum(s[:, 0] + s[:, 1] + wider, n), -1)
     return np.cumsum(change[:-1]) > 0

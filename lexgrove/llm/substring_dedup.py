@@ -33,82 +33,79 @@ def _word_codes(texts: pa.Array) -> tuple[at.Runs, np.ndarray, np.ndarray, np.nd
     return at.Runs(at.word_codes(raw, starts, ends)), first, raw, starts, ends
 
 
-def _places(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Document and place of every run of ``width`` words that stays in its document, with their counts by document."""
-    count = np.maximum(np.diff(first) - width + 1, 0)
-    return count, at.expand(np.zeros(len(count), np.int64), count)
+def _inside(first: np.ndarray, width: int) -> np.ndarray:
+    """The starts of all runs of ``width`` words that stay in their document."""
+    return at.expand(first[:-1], np.maximum(np.diff(first) - width + 1, 0))
 
 
-def _probe(batches: Iterator[pa.RecordBatch], block: int, buckets: int, stretch: int) -> Iterator[pa.RecordBatch]:
-    def read(batch: pa.RecordBatch, number: int) -> list[np.ndarray]:
+def _probe(batches: Iterator[pa.RecordBatch], block: int, buckets: int, limit: int) -> Iterator[pa.RecordBatch]:
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
         runs, first, *_ = _word_codes(batch.column("text"))
-        count, place = _places(first, block)
-        start = place + np.repeat(first[:-1], count)
-        return [runs.codes(start, start + block), np.repeat(np.arange(number, number + len(count), dtype=np.int32), count), place.astype(np.int32)]
+        start = _inside(first, block)
+        return first, [start, runs.codes(start, start + block)]
 
-    for ids, keys, (code, doc, place) in r.stretches(batches, read, stretch):
+    for stretch in r.stretches(batches, read, limit):
+        place, (code,) = stretch.place, stretch.fields
+        yield stretch.table(buckets)
         if not len(code):
             continue
+        doc = stretch.docs(place)
+        is_block = (place - stretch.bounds[doc]) % block == 0
         order = np.argsort(code, kind="stable")
         runs = r.runs_of(code[order])
-        id_ = ids[doc[order]]
-        shared = np.minimum.reduceat(id_, runs) != np.maximum.reduceat(id_, runs)
-        anchor, on = np.zeros(len(code), bool), np.ones(len(code), bool)
+        shared = np.minimum.reduceat(doc[order], runs) != np.maximum.reduceat(doc[order], runs)
+        anchor = np.zeros(len(code), bool)
         anchor[order] = r.spread(shared, runs, len(code))
         # a code that several documents here share travels once, as a block if it is one anywhere
-        on[anchor] = False
-        lead = np.where(place[order] % block == 0, 0, len(code)) + np.arange(len(code))
-        lead = np.minimum.reduceat(lead, runs) % len(code)
+        lead = np.minimum.reduceat(np.where(is_block[order], 0, len(code)) + np.arange(len(code)), runs) % len(code)
+        on = ~anchor
         on[order[lead[shared]]] = True
         if anchor.any():
-            yield r.spans_of(r.COVERED, buckets, ids[doc[anchor]], keys[doc[anchor]], place[anchor])
-        yield r.packed(r.PACKED, buckets, (code[on] % np.uint64(buckets)).astype(np.int64), ids, keys, doc[on], codes=(code[on] >> np.uint64(32)).astype(np.uint32), places=place[on])
+            yield r.spans_row(r.COVERED, buckets, stretch, place[anchor])
+        yield r.packed(r.PACKED, buckets, (code[on] % np.uint64(buckets)).astype(np.int64), stretch, place[on], codes=(code[on] >> np.uint64(32)).astype(np.uint32), marks=is_block[on])
 
 
-def _anchors(table: pa.Table, block: int, buckets: int) -> pa.Table:
+def _anchors(table: pa.Table, buckets: int) -> pa.Table:
+    """Codes from two stretches are of two documents, as codes that documents of one stretch share were combined there."""
     kinds = table["kind"].to_numpy()
-    out = [table.filter(pa.array(kinds == r.COVERED))]
+    out = [table.filter(pa.array(kinds != r.PACKED))]
     own = table.filter(pa.array(kinds == r.PACKED))
     if own.num_rows:
-        code, place = at.joined(own["codes"], np.uint32), r.numbers(own["places"])
-        ids, keys = r.unpacked(own)
+        parts = r.numbers(own["places"])
+        code, is_block, row = at.joined(own["codes"], np.uint32), at.joined(own["marks"], np.bool_), r.row_numbers(parts)
         order = np.argsort(code, kind="stable")
         runs = r.runs_of(code[order])
-        id_ = ids[order]
-        good = (np.minimum.reduceat(id_, runs) != np.maximum.reduceat(id_, runs)) & np.logical_or.reduceat(place[order] % block == 0, runs)
+        good = (np.minimum.reduceat(row[order], runs) != np.maximum.reduceat(row[order], runs)) & np.logical_or.reduceat(is_block[order], runs)
         hit = np.zeros(len(code), bool)
         hit[order] = r.spread(good, runs, len(code))
-        out.append(pa.Table.from_batches([r.spans_of(r.COVERED, buckets, ids[hit], keys[hit], place[hit])]))
+        out.append(pa.Table.from_batches([r.spans_rows(r.COVERED, buckets, own["stretch"].to_numpy(), row[hit], r.together(parts)[hit])]))
     return pa.concat_tables(out)
 
 
-def _extend(batches: Iterator[pa.RecordBatch], window: int, block: int, buckets: int, stretch: int) -> Iterator[pa.RecordBatch]:
+def _extend(batches: Iterator[pa.RecordBatch], window: int, block: int, buckets: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Windows around the anchors."""
 
-    def read(batch: pa.RecordBatch, number: int) -> list[np.ndarray]:
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
         runs, first, *_ = _word_codes(batch.column("text"))
-        docs, places = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        starts = [np.zeros(0, np.int64)]
         for i, spans in enumerate(batch.column("spans").to_pylist()):
             n = int(first[i + 1] - first[i]) - window + 1
             if n <= 0:
                 continue
             # an anchor at p is whole in the windows from p - (window - block) to p
             hit = np.flatnonzero(r.mask(spans, n + window - 1))
-            back = window - block
             change = np.zeros(n + 1, np.int64)
-            low, high = np.maximum(hit - back, 0), np.minimum(hit + 1, n)
+            low, high = np.maximum(hit - (window - block), 0), np.minimum(hit + 1, n)
             ok = low < high
             np.add.at(change, low[ok], 1)
             np.add.at(change, high[ok], -1)
-            own = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-            docs.append(np.full(len(own), number + i, np.int32))
-            places.append(own)
-        doc, place = np.concatenate(docs), np.concatenate(places)
-        start = place + first[doc - number]
-        return [runs.codes(start, start + window), doc, place]
+            starts.append(np.flatnonzero(np.cumsum(change[:-1]) > 0) + first[i])
+        start = np.concatenate(starts)
+        return first, [start, runs.codes(start, start + window)]
 
-    for ids, keys, (code, doc, place) in r.stretches(batches, read, stretch):
-        yield from r.send_windows(buckets, ids, keys, doc, code, place)
+    for stretch in r.stretches(batches, read, limit):
+        yield stretch.table(buckets)
+        yield from r.send_windows(buckets, stretch, stretch.place, stretch.fields[0])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -142,7 +139,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     buckets = r.bucket_count(read)
     some = read.where(F.col("doc_id").isNotNull())
     probes = some.mapInArrow(lambda b: _probe(b, block, buckets, stretch), r.ROW)
-    anchors = r.merged(probes.groupBy("bucket").applyInArrow(lambda t: _anchors(t, block, buckets), r.ROW))
+    anchors = r.merged(probes.groupBy("bucket").applyInArrow(lambda t: _anchors(t, buckets), r.ROW))
     around = read.join(anchors, ["doc_key", "text_key"]).mapInArrow(lambda b: _extend(b, window, block, buckets, stretch), r.ROW)
     covered = r.merged(r.covered_windows(around, buckets))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string())])

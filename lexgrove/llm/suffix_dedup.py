@@ -55,12 +55,13 @@ def leads(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(batch: pa.RecordBatch, threshold: int, digit: int) -> tuple[np.ndarray, ...]:
-    """Row, place and number of strings of each run, the codes of its lead and of all its bytes, and of the lead's sides."""
+    """Documents' bounds, and of each run: place, number of strings, the codes of its lead, of all its bytes, and of the
+    lead's sides."""
     raw, offsets = at.flat(batch.column("text"))
     maker = at.byte_runs(raw)
     if len(raw) < threshold:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), np.zeros((0, 2), np.uint16)
+        return offsets, none, none, none.astype(np.uint64), none.astype(np.uint64), np.zeros((0, 2), np.uint16)
     piece = maker.rolling(digit)
     lead = leads(piece, threshold - digit + 1)
     inside = np.ones(len(lead) + 1, bool)  # strings that stay in a document
@@ -82,64 +83,58 @@ def _runs(batch: pa.RecordBatch, threshold: int, digit: int) -> tuple[np.ndarray
     for side, (low, high) in enumerate(((spot - half, spot), (spot + digit, spot + digit + half))):
         there = (low >= offsets[row]) & (high <= offsets[row + 1])
         sides[there, side] = (maker.codes(low[there], high[there]) >> np.uint64(48)).astype(np.uint16)
-    return row, begin - offsets[row], end - begin, at.mix(piece[spot]), maker.codes(begin, end + threshold - 1), sides
+    return offsets, begin, end - begin, at.mix(piece[spot]), maker.codes(begin, end + threshold - 1), sides
 
 
-def _first_pass(batches: Iterator[pa.RecordBatch], threshold: int, digit: int, buckets: int, stretch: int, most: int) -> Iterator[pa.RecordBatch]:
+def _first_pass(batches: Iterator[pa.RecordBatch], threshold: int, digit: int, buckets: int, limit: int, most: int) -> Iterator[pa.RecordBatch]:
     kept: list[pa.RecordBatch] = []  # of the stretch that is being read
 
-    def read(batch: pa.RecordBatch, number: int) -> list[np.ndarray]:
-        row, place, size, lead, code, sides = _runs(batch, threshold, digit)
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+        offsets, place, size, lead, code, sides = _runs(batch, threshold, digit)
         kept.append(batch)
-        return [lead, code, sides, (row + number).astype(np.int32), place.astype(np.int32), size.astype(np.uint16)]
+        return offsets, [place, size, lead, code, sides]
 
-    for ids, keys, (lead, code, sides, doc, place, size) in r.stretches(batches, read, stretch):
+    for stretch in r.stretches(batches, read, limit):
         texts, kept[:] = list(kept), []
+        place, (size, lead, code, sides) = stretch.place, stretch.fields
+        yield stretch.table(buckets)
         if not len(code):
             continue
+        ids = stretch.ids[stretch.docs(place)]
         # runs by their code: all but the smallest document's are covered
-        order = np.argsort(code, kind="stable")
-        runs = r.runs_of(code[order])
-        id_ = ids[doc[order]]
-        later = np.zeros(len(code), bool)
-        later[order] = id_ > r.spread(np.minimum.reduceat(id_, runs), runs, len(code))
+        later = r.not_first(code, ids)
         if later.any():
-            yield r.spans_of(r.COVERED, buckets, ids[doc[later]], keys[doc[later]], place[later], size[later])
+            yield r.spans_row(r.COVERED, buckets, stretch, place[later], size[later])
         on = np.flatnonzero(~later)
         # leads with many different runs
         order = on[np.argsort(lead[on], kind="stable")]
         runs = r.runs_of(lead[order])
         many = np.diff(np.append(runs, len(order))) > most
-        id_ = ids[doc[order]]
-        many &= np.minimum.reduceat(id_, runs) != np.maximum.reduceat(id_, runs)
+        many &= np.minimum.reduceat(ids[order], runs) != np.maximum.reduceat(ids[order], runs)
         hot = np.zeros(len(code), bool)
         hot[order] = r.spread(many, runs, len(order))
         if hot.any():
-            yield from r.send_windows(buckets, ids, keys, *_windows(texts, doc[hot], place[hot], size[hot], threshold))
+            yield from r.send_windows(buckets, stretch, *_windows(texts, place[hot], size[hot], threshold))
             hot[order[runs[many]]] = False  # one run of each stays; size 0 is the mark
             size = size.copy()
             size[order[runs[many]]] = 0
         cold = on[~hot[on]]
-        yield r.packed(r.PACKED, buckets, (lead[cold] % np.uint64(buckets)).astype(np.int64), ids, keys, doc[cold], codes=code[cold].view(np.uint8).reshape(-1, 8)[:, :6], marks=(lead[cold] >> np.uint64(32)).astype(np.uint32), sides=sides[cold], places=place[cold], sizes=size[cold])
+        yield r.packed(r.PACKED, buckets, (lead[cold] % np.uint64(buckets)).astype(np.int64), stretch, place[cold], ids=ids[cold], codes=code[cold].view(np.uint8).reshape(-1, 8)[:, :6], marks=(lead[cold] >> np.uint64(32)).astype(np.uint32), sides=sides[cold], sizes=size[cold])
 
 
-def _windows(texts: list[pa.RecordBatch], doc: np.ndarray, place: np.ndarray, size: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, code and place of every string of runs; documents are numbered through the texts."""
-    docs, codes, places = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    number = 0
+def _windows(texts: list[pa.RecordBatch], place: np.ndarray, size: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and code of every string of runs; places go on through the texts."""
+    codes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    begin = 0
     for batch in texts:
-        own = np.flatnonzero((doc >= number) & (doc < number + batch.num_rows))
+        raw, _ = at.flat(batch.column("text"))
+        own = np.flatnonzero((place >= begin) & (place < begin + len(raw)))
         if len(own):
-            raw, offsets = at.flat(batch.column("text"))
-            count = size[own].astype(np.int64)
-            spot = at.expand(place[own].astype(np.int64), count)
-            of = np.repeat(doc[own], count)
-            start = spot + offsets[of - number]
-            docs.append(of)
+            start = at.expand(place[own].astype(np.int64) - begin, size[own].astype(np.int64))
             codes.append(at.byte_runs(raw).codes(start, start + threshold))
-            places.append(spot)
-        number += batch.num_rows
-    return np.concatenate(docs), np.concatenate(codes), np.concatenate(places)
+            places.append(start + begin)
+        begin += len(raw)
+    return np.concatenate(places), np.concatenate(codes)
 
 
 def _second_pass(table: pa.Table, buckets: int) -> pa.Table:
@@ -147,49 +142,49 @@ def _second_pass(table: pa.Table, buckets: int) -> pa.Table:
     out = [table.filter(pa.array(kinds != r.PACKED))]
     own = table.filter(pa.array(kinds == r.PACKED))
     if own.num_rows:
+        stretch, parts = own["stretch"].to_numpy(), r.numbers(own["places"])
+        row, place, size, ids = r.row_numbers(parts), r.together(parts), r.together(r.numbers(own["sizes"])), r.entry_ids(own)
         lead, sides = at.joined(own["marks"], np.uint32), at.joined(own["sides"], np.uint16).reshape(-1, 2)
         code = np.zeros((len(lead), 8), np.uint8)
         code[:, :6] = at.joined(own["codes"], np.uint8).reshape(-1, 6)
         code = code.view(np.uint64)[:, 0]
-        place, size = r.numbers(own["places"]), r.numbers(own["sizes"])
-        ids, keys = r.unpacked(own)
         order = np.argsort(lead, kind="stable")
         runs = r.runs_of(lead[order])
         marked = np.logical_or.reduceat(size[order] == 0, runs)
         wanted = (np.minimum.reduceat(ids[order], runs) != np.maximum.reduceat(ids[order], runs)) | marked
         alive = order[r.spread(wanted, runs, len(order))]  # leads in several documents
-        marks = set(lead[order[runs[marked]]].tolist())
+        marks = lead[order[runs[marked]]]
         alive = alive[size[alive] > 0]
         alive = alive[np.lexsort((ids[alive], code[alive], lead[alive]))]
         if len(alive):
             runs = r.runs_of(lead[alive], code[alive])
-            id_ = ids[alive]
-            smallest = r.spread(id_[runs], runs, len(alive))
-            later = np.sort(alive[id_ > smallest])
-            out.append(pa.Table.from_batches([r.spans_of(r.COVERED, buckets, ids[later], keys[later], place[later], size[later])]))
+            smallest = r.spread(ids[alive][runs], runs, len(alive))
+            later = np.sort(alive[ids[alive] > smallest])
+            out.append(pa.Table.from_batches([r.spans_rows(r.COVERED, buckets, stretch, row[later], place[later], size[later])]))
             # leads whose runs differ: the first documents' runs go on
-            firsts = alive[id_ == smallest]
-            ask = np.isin(lead[firsts], np.array(sorted(marks), np.uint32))
+            firsts = alive[ids[alive] == smallest]
+            ask = np.isin(lead[firsts], marks)
             for side in sides[firsts].T:  # those that agree with another document's on a side of the lead
                 by = np.lexsort((side, lead[firsts]))
                 runs = r.runs_of(lead[firsts][by], side[by])
                 id_ = ids[firsts][by]
                 ask[by] |= r.spread(np.minimum.reduceat(id_, runs) != np.maximum.reduceat(id_, runs), runs, len(by))
             ask = np.sort(firsts[ask])
-            out.append(pa.Table.from_batches([r.spans_of(r.ASKED, buckets, ids[ask], keys[ask], place[ask], size[ask])]))
+            out.append(pa.Table.from_batches([r.spans_rows(r.ASKED, buckets, stretch, row[ask], place[ask], size[ask])]))
     return pa.concat_tables(out)
 
 
-def _last_pass(batches: Iterator[pa.RecordBatch], threshold: int, buckets: int, stretch: int) -> Iterator[pa.RecordBatch]:
-    def read(batch: pa.RecordBatch, number: int) -> list[np.ndarray]:
-        lists = [x.reshape(-1, 2) for x in at.arrays(batch.column("spans"), np.int32)]
-        spans = np.concatenate(lists) if lists else np.zeros((0, 2), np.int32)
-        doc = np.repeat(np.arange(batch.num_rows, dtype=np.int32), [len(x) for x in lists])
-        own, code, place = _windows([batch], doc, spans[:, 0], spans[:, 1], threshold)
-        return [code, own + np.int32(number), place]
+def _last_pass(batches: Iterator[pa.RecordBatch], threshold: int, buckets: int, limit: int) -> Iterator[pa.RecordBatch]:
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+        _, offsets = at.flat(batch.column("text"))
+        lists = [np.frombuffer(b"".join(x), np.int32).reshape(-1, 2) for x in batch.column("spans").to_pylist()]
+        spans = np.concatenate(lists).astype(np.int64) if lists else np.zeros((0, 2), np.int64)
+        start = spans[:, 0] + np.repeat(offsets[:-1], [len(x) for x in lists])
+        return offsets, list(_windows([batch], start, spans[:, 1], threshold))
 
-    for ids, keys, (code, doc, place) in r.stretches(batches, read, stretch):
-        yield from r.send_windows(buckets, ids, keys, doc, code, place)
+    for stretch in r.stretches(batches, read, limit, scan=1):
+        yield stretch.table(buckets)
+        yield from r.send_windows(buckets, stretch, stretch.place, stretch.fields[0])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], threshold: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -212,9 +207,11 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     buckets = r.bucket_count(read)
     some = read.where(F.col("doc_id").isNotNull())
     passed = written(some.mapInArrow(lambda b: _first_pass(b, threshold, digit, buckets, stretch, hot), r.ROW).groupBy("bucket").applyInArrow(lambda t: _second_pass(t, buckets), r.ROW), "suffix-runs")
-    asked = r.merged(passed.where(F.col("kind") == r.ASKED))
+    kinds = lambda *k: passed.where(F.col("kind").isin(*k))
+    asked = r.merged(kinds(r.TABLE, r.ASKED))
     deeper = read.join(asked, ["doc_key", "text_key"]).mapInArrow(lambda b: _last_pass(b, threshold, buckets, stretch), r.ROW)
-    last = r.covered_windows(passed.where(F.col("kind") == r.WINDOWS).unionByName(deeper), buckets)
-    covered = r.merged(passed.where(F.col("kind") == r.COVERED).unionByName(last))
+    last = r.covered_windows(kinds(r.WINDOWS).unionByName(deeper), buckets)
+    # a document has spans from its stretches in both scans
+    covered = r.merged(kinds(r.TABLE, r.COVERED).unionByName(last))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
     return read.join(covered, ["doc_key", "text_key"], "left").mapInArrow(lambda b: _cut(b, threshold, schema), "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")

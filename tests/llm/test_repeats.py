@@ -53,6 +53,7 @@ def test_words_equal_brute_force(spark, seed, window, stretch):
     ids = rng.sample(range(-50, 10**6), len(texts))
     ids[30] = ids[31]
     ids[40] = None
+    ids, texts = ids + ids[20:26] + [None], texts + texts[20:26] + texts[40:41]
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     frame = spark.createDataFrame([(i, t, "k", [1]) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, text_key string, spans array<int>").repartition(4)
     got = substring_dedup.remove_repeats(frame, window=window, stretch=stretch).collect()
@@ -67,6 +68,7 @@ def test_bytes_equal_brute_force(spark, seed, threshold, stretch, hot):
     ids = rng.sample(range(-50, 10**6), len(texts))
     ids[30] = ids[31]
     ids[40] = None
+    ids, texts = ids + ids[20:26] + [None], texts + texts[20:26] + texts[40:41]
     tokens = [(t or "").encode() for t in texts]
     frame = spark.createDataFrame([(i, t, "k", [1]) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, text_key string, spans array<int>").repartition(4)
     got = suffix_dedup.remove_repeats(frame, threshold=threshold, stretch=stretch, hot=hot).collect()
