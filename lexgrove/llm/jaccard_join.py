@@ -334,6 +334,6 @@ def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", *
     repeat both id and text, one stays. All columns are kept."""
     near = near_duplicates(docs, doc_id=doc_id, text=text, **options)
     later = near.where(~F.col("first")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_key": F.xxhash64(F.col(text).cast("string"))})
+    keyed = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_key": r.text_key(F.col(doc_id), F.col(text))})
     keyed = keyed.withColumn("_row", F.when(F.col("_id").isNull() | ~F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)), F.monotonically_increasing_id()))
     return keyed.join(later, ["_id", "_key"], "left_anti").dropDuplicates(["_id", "_key", "_row"]).select(*docs.columns)

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text as at
@@ -40,7 +40,12 @@ def prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     join, and an inner and an outer join of one query share one shuffle of the texts. A row without an id has a text_key
     that spans of documents don't have."""
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return read.withColumns({"doc_key": F.coalesce("doc_id", F.lit(0)), "text_key": F.xxhash64("text", F.col("doc_id").isNull())})
+    return read.withColumns({"doc_key": F.coalesce("doc_id", F.lit(0)), "text_key": text_key(F.col("doc_id"), F.col("text"))})
+
+
+def text_key(doc_id: Column, text: Column) -> Column:
+    """The hash that tells rows of one id apart; rows without an id have keys of their own."""
+    return F.xxhash64(text.cast("string"), doc_id.cast("long").isNull())
 
 
 def bucket_count(docs: DataFrame) -> int:
