@@ -17,6 +17,7 @@ to the smaller name. Extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -153,12 +154,15 @@ def train(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", la
             for bucket, first in _features(batch.column("text"), buckets):
                 parts = [np.concatenate((p, bucket[a:b])) for p, a, b in zip(parts, first[:-1], first[1:], strict=True)]
             found = [np.unique(p[p < buckets], return_counts=True) for p in parts]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array([b.astype(np.int32).tobytes() for b, _ in found], pa.binary()), pa.array([(c / max(1, c.sum())).astype(np.float32).tobytes() for _, c in found], pa.binary())], ["id", "lang", "bucket", "weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), *(pa.array([zlib.compress(x[k].astype(np.int32).tobytes(), 1) for x in found], pa.binary()) for k in (0, 1))], ["id", "lang", "bucket", "count"])
 
-    got = sorted(chosen.mapInArrow(measure, "id string, lang string, bucket binary, weight binary").collect(), key=lambda r: (r.id, r.lang, bytes(r.bucket)))
+    got = sorted(chosen.mapInArrow(measure, "id string, lang string, bucket binary, count binary").collect(), key=lambda r: (r.id, r.lang, r.bucket))
     languages = sorted({r.lang for r in got})
     y = np.array([languages.index(r.lang) for r in got])
-    data = [(np.frombuffer(r.bucket, np.int32), np.frombuffer(r.weight, np.float32)) for r in got]
+    data = []
+    for r in got:
+        bucket, count_ = (np.frombuffer(zlib.decompress(x), np.int32) for x in (r.bucket, r["count"]))
+        data.append((bucket, (count_ / max(1, count_.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
     apart = rng.random(len(got)) < 0.2 if len(got) >= 50 else np.zeros(len(got), bool)
     fit = [i for i in range(len(got)) if not apart[i]]
