@@ -9,9 +9,9 @@ document's component, so links between copies need not be listed, and no link be
    with the least of them, and the components of the links found are the groups (in chunks of ``group_rows`` documents).
 3. Token-group matrix: which groups have which tokens (a group's token union). Links that are still unknown lead from one
    component to another, so only tokens in several components count (a bitmap of fixed size leaves most others out before
-   an exact join). A query must find ``percent`` of its tokens in a
-   group's union, so at least one of its rarest ones, as many as it may miss and one more; these give the candidate
-   groups. The full overlap with the union bounds each candidate, and only groups that reach ``percent`` are opened: the
+   an exact join). A query and a member that link have one of the rarest
+   tokens of each in common, as many as it may miss and one more; groups whose union of these has one of the query's, and
+   whose members' sizes fit, are its candidates. The full overlap with the union bounds each candidate, and only groups that reach ``percent`` are opened: the
    query's overlap with every member is counted and linked members join the components.
 
 Step 3 takes every document as a query and is exact, whatever step 2 has found: step 2 only makes it cheap.
@@ -204,11 +204,11 @@ def _cross(table: pa.Table) -> pa.Table:
 
 def _bitmap(tokens: DataFrame) -> np.ndarray:
     """A bit for each token's low bits; at most 2048 rows of 4 KB come to the driver."""
-    bits = np.zeros(1 << BITS, bool)
+    bits = np.zeros(1 << BITS - 3, np.uint8)
     place = F.col("token").bitwiseAND((1 << BITS) - 1) + 1
     for row in tokens.select(place.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect():
-        bits[(row.k - 1) * 32768 : row.k * 32768] = np.unpackbits(np.frombuffer(row.m, np.uint8), bitorder="little").astype(bool)
-    return np.packbits(bits, bitorder="little")
+        bits[(row.k - 1) * 4096 : row.k * 4096] = np.frombuffer(row.m, np.uint8)  # Spark's maps have the low bit first, too
+    return bits
 
 
 def _crossing(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
@@ -303,12 +303,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sizes = open_.groupBy("label").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("chunks"))
     grouped = written(open_.join(sizes, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).drop("chunks"), "open")
 
-    # the matrix, and each query's rarest tokens in it
-    matrix = grouped.select("label", "chunk", F.explode("tokens").alias("token")).distinct()
-    spread = matrix.groupBy("token").agg(F.count("*").alias("groups"))
+    # the matrix, and each document's rarest tokens in it: two that link have one of these in common, as the rarest token
+    # of their intersection stands among the rarest of either, as many as it may miss and one more
+    places = grouped.select("node", "n", "label", "chunk", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    spread = places.select("label", "chunk", "token").distinct().groupBy("token").agg(F.count("*").alias("groups"))
     may_miss = F.col("size") - F.ceil(F.col("n") * percent / 100) + 1
-    rare = grouped.select("node", "n", "label", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(spread, "token").withColumn("_r", F.row_number().over(W.partitionBy("node").orderBy("groups", "token"))).where(F.col("_r") <= may_miss)
-    wanted = rare.select("node", F.col("label").alias("own"), "token").join(matrix, "token").where(F.col("label") != F.col("own")).select("node", "label", "chunk").distinct()
+    rare = written(places.join(spread, "token").withColumn("_r", F.row_number().over(W.partitionBy("node").orderBy("groups", "token"))).where(F.col("_r") <= may_miss).select("node", "n", "label", "chunk", "token"), "rarest")
+    matrix = rare.groupBy("token", "label", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("largest"))
+    fits = (100 * F.col("largest") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
+    wanted = rare.select("node", "n", F.col("label").alias("own"), "token").join(matrix, "token").where((F.col("label") != F.col("own")) & fits).select("node", "label", "chunk").distinct()
     candidates = written(wanted.join(grouped.select("node", "n", "tokens"), "node"), "candidates")
     most = candidates.groupBy("label", "chunk").count().agg(F.max("count")).first()[0] or 0
     found = labelled.select("node", "label")
