@@ -48,19 +48,23 @@ def search_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.resolve_names(parts.select(F.col("p_name").alias("name")), parts.select(F.col("p_name").alias("name"), F.col("p_type").alias("directory")).distinct(), path)
 
 
-@query("""WITH a AS (SELECT p_name, p_type FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_name, p_type FROM part WHERE p_partkey % 3 <> 1), c AS (SELECT p_name, p_type, sum(n) AS n FROM (SELECT *, -1 AS n FROM a UNION ALL SELECT *, 1 FROM b) GROUP BY ALL)
+@query("""WITH a AS (SELECT p_name, p_type FROM part WHERE p_size > 10), b AS (SELECT p_name, p_type FROM part WHERE p_size <= 40), c AS (SELECT p_name, p_type, sum(n) AS n FROM (SELECT *, -1 AS n FROM a UNION ALL SELECT *, 1 FROM b) GROUP BY ALL)
 SELECT p_name, p_type, CASE WHEN n > 0 THEN 'added' ELSE 'removed' END AS change, CAST(abs(n) AS BIGINT) AS times FROM c WHERE n <> 0""")
 def list_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    return joins.list_changes(parts.where("p_partkey % 3 <> 0").select("p_name", "p_type"), parts.where("p_partkey % 3 <> 1").select("p_name", "p_type"))
+    return joins.list_changes(parts.where("p_size > 10").select("p_name", "p_type"), parts.where("p_size <= 40").select("p_name", "p_type"))
 
 
-@query("""WITH d AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 5 <> 0), i AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 7 <> 0)
-SELECT coalesce(d.o_orderkey, i.o_orderkey) AS file_id, CASE WHEN d.o_orderkey IS NULL THEN 'deleted' WHEN i.o_orderkey IS NULL THEN 'new' WHEN i.o_orderkey % 3 <> 0 THEN 'same' WHEN i.o_orderkey % 2 = 0 THEN 'changed' ELSE 'touched' END AS status FROM d FULL JOIN i ON d.o_orderkey = i.o_orderkey""")
+@query("""WITH d AS (SELECT * FROM orders WHERE o_orderstatus <> 'P'), i AS (SELECT * FROM orders WHERE o_orderpriority <> '5-LOW')
+SELECT coalesce(d.o_orderkey, i.o_orderkey) AS file_id, CASE WHEN d.o_orderkey IS NULL THEN 'deleted' WHEN i.o_orderkey IS NULL THEN 'new' WHEN i.o_totalprice <= 250000 THEN 'same' WHEN i.o_orderstatus = 'F' THEN 'changed' ELSE 'touched' END AS status FROM d FULL JOIN i ON d.o_orderkey = i.o_orderkey""")
 def snapshot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderdate").alias("mtime"), F.lit(1).alias("size"), F.lit("x").alias("hash"))
-    now = orders.where("file_id % 5 <> 0").withColumn("mtime", F.when(F.col("file_id") % 3 == 0, F.col("mtime") + F.expr("interval 1 day")).otherwise(F.col("mtime"))).withColumn("hash", F.when(F.col("file_id") % 2 == 0, "y").otherwise("x"))
-    return joins.snapshot_status(now, orders.where("file_id % 7 <> 0"))
+    """The index lacks orders of low priority, the disk those that are pending; some dear ones have changed since."""
+    c = F.col
+    orders = table(spark, sf_dir, "orders")
+    state = lambda mtime, hashed: (c("o_orderkey").alias("file_id"), mtime.alias("mtime"), F.lit(1).alias("size"), hashed.alias("hash"))
+    later = F.when(c("o_totalprice") > 250_000, c("o_orderdate") + F.expr("interval 1 day")).otherwise(c("o_orderdate"))
+    disk = orders.where("o_orderstatus <> 'P'").select(*state(later, F.when(c("o_orderstatus") == "F", "y").otherwise("x")))
+    return joins.snapshot_status(disk, orders.where("o_orderpriority <> '5-LOW'").select(*state(c("o_orderdate"), F.lit("x"))))
 
 
 @query("SELECT k, min(p_partkey) AS p_partkey, count(*) AS n FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_brand), '\\.[^.]*$', ''), '[0-9]+$', '') AS k FROM part) GROUP BY k")
@@ -80,32 +84,35 @@ def update_where(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.update_where(table(spark, sf_dir, "part"), changes, ["p_brand"], "p_type").select("p_partkey", "p_type")
 
 
-EDGES = "(SELECT DISTINCT p_partkey AS a, (p_partkey * 7 + 3) % 500 AS b FROM part WHERE p_partkey < 500 UNION SELECT DISTINCT p_partkey, (p_partkey * 13 + 5) % 500 FROM part WHERE p_partkey < 500 AND p_partkey % 2 = 0)"
+EDGES = "(SELECT p_partkey AS a, (p_partkey * 7 + 3) % 1000 AS b FROM part UNION SELECT p_partkey, (p_partkey * 13 + 5) % 1000 FROM part WHERE p_size > 25)"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = table(spark, sf_dir, "part").where("p_partkey < 500").select("p_partkey")
-    one = key.select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 7 + 3) % 500).alias("b"))
-    return one.unionByName(key.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 13 + 5) % 500).alias("b"))).distinct()
+    """A relation derived from all parts: each has one or two targets."""
+    parts, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    one = parts.select(key.alias("a"), ((key * 7 + 3) % 1000).alias("b"))
+    return one.unionByName(parts.where("p_size > 25").select(key.alias("a"), ((key * 13 + 5) % 1000).alias("b"))).distinct()
+
+
+def promoted_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").alias("root")).distinct()
 
 
-CLOSURE = f"WITH RECURSIVE e AS (SELECT * FROM {EDGES} WHERE a <> b), c(root, node, depth) AS (SELECT a, a, 0 FROM (SELECT DISTINCT a FROM e WHERE a % 50 = 0) UNION SELECT root, b, depth + 1 FROM c JOIN e ON node = a WHERE depth < 5)"
+CLOSURE = f"WITH RECURSIVE e AS (SELECT * FROM {EDGES} WHERE a <> b), c(root, node, depth) AS (SELECT a, a, 0 FROM (SELECT DISTINCT p_partkey AS a FROM part WHERE p_type = 'PROMO') UNION SELECT root, b, depth + 1 FROM c JOIN e ON node = a WHERE depth < 5)"
 
 
 @query(CLOSURE + " SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM c GROUP BY ALL HAVING min(depth) > 0")
 def include_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes within five edges of some roots."""
-    links = edges(spark, sf_dir)
-    roots = links.where("a % 50 = 0 and a <> b").select(F.col("a").alias("root")).distinct()
-    return graph.closure(links, roots, 5).withColumn("depth", F.col("depth").cast("long"))
+    return graph.closure(edges(spark, sf_dir), promoted_roots(spark, sf_dir), 5).withColumn("depth", F.col("depth").cast("long"))
 
 
-@query(CLOSURE + ", m AS (SELECT root, node, min(depth) AS depth FROM c GROUP BY ALL HAVING min(depth) > 0) SELECT node, root, CAST(depth AS BIGINT) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, root) AS k FROM m WHERE node % 3 = 0) WHERE k = 1")
+@query(CLOSURE + ", m AS (SELECT root, node, min(depth) AS depth FROM c GROUP BY ALL HAVING min(depth) > 0) SELECT node, root, CAST(depth AS BIGINT) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, root) AS k FROM m WHERE node IN (SELECT p_partkey FROM part WHERE p_retailprice > 950)) WHERE k = 1")
 def preferred_include(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each wanted node, the root that includes it most directly."""
-    links = edges(spark, sf_dir)
-    reached = graph.closure(links, links.where("a % 50 = 0 and a <> b").select(F.col("a").alias("root")).distinct(), 5)
-    return graph.nearest_header(reached, links.select(F.col("b").alias("node")).where("node % 3 = 0").distinct()).withColumn("depth", F.col("depth").cast("long"))
+    reached = graph.closure(edges(spark, sf_dir), promoted_roots(spark, sf_dir), 5)
+    wanted = table(spark, sf_dir, "part").where("p_retailprice > 950").select(F.col("p_partkey").alias("node")).distinct()
+    return graph.nearest_header(reached, wanted).withColumn("depth", F.col("depth").cast("long"))
 
 
 @query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), c(root, node, depth) AS (SELECT a, b, 1 FROM e UNION SELECT root, b, depth + 1 FROM c JOIN e ON node = a WHERE depth < 4 AND root <> node) SELECT DISTINCT root AS node FROM c WHERE root = node")
@@ -113,10 +120,10 @@ def circular_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(edges(spark, sf_dir), 4)
 
 
-@query("""WITH RECURSIVE a AS (SELECT p_partkey AS name, p_partkey // 2 AS target FROM part WHERE p_partkey BETWEEN 1 AND 999), c(name, target, hops) AS (SELECT name, target, 1 FROM a UNION ALL SELECT c.name, a.target, hops + 1 FROM c JOIN a ON c.target = a.name WHERE hops < 10)
+@query("""WITH RECURSIVE a AS (SELECT p_partkey AS name, p_partkey // 2 AS target FROM part WHERE p_partkey > 0), c(name, target, hops) AS (SELECT name, target, 1 FROM a UNION ALL SELECT c.name, a.target, hops + 1 FROM c JOIN a ON c.target = a.name WHERE hops < 10)
 SELECT name, arg_max(target, hops) AS target, CAST(max(hops) AS BIGINT) AS hops FROM c GROUP BY name""")
 def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aliases = table(spark, sf_dir, "part").where("p_partkey between 1 and 999").select(F.col("p_partkey").alias("name"), F.expr("p_partkey div 2").alias("target"))
+    aliases = table(spark, sf_dir, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("name"), F.expr("p_partkey div 2").alias("target"))
     return graph.resolve_aliases(aliases).withColumn("hops", F.col("hops").cast("long"))
 
 
@@ -165,10 +172,11 @@ def graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nodes_and_links(references(spark, sf_dir))[1]
 
 
-@query("SELECT a.p_partkey AS node, CAST(a.p_partkey // 10 AS BIGINT) AS level FROM part a WHERE a.p_partkey < 100")
+@query("SELECT DISTINCT p_size AS node, CAST((p_size - 1) // 10 AS BIGINT) AS level FROM part")
 def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "part").where("p_partkey < 100").select(F.col("p_partkey").alias("node"))
-    before = nodes.where("node < 90").select(F.col("node").alias("a"), (F.col("node") + 10).alias("b"))
+    """Sizes, each of which must precede the one that is ten larger."""
+    nodes = table(spark, sf_dir, "part").select(F.col("p_size").alias("node")).distinct()
+    before = nodes.select(F.col("node").alias("a"), (F.col("node") + 10).alias("b"))
     return graph.levels(before, nodes).withColumn("level", F.col("level").cast("long"))
 
 

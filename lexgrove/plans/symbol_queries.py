@@ -48,10 +48,10 @@ def first_source_with_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.first_source(sources, ["scope", "sym"]).select("seq", "scope", "sym", F.col("source_no").cast("long").alias("source_no"))
 
 
-@query(f"SELECT seq FROM {SYMBOLS} WHERE file_id % 2 = 0 UNION ALL SELECT seq FROM {SYMBOLS} WHERE file_id % 2 = 1 AND line > 40")
+@query(f"SELECT seq FROM {SYMBOLS} WHERE sym_type = 'PROMO' UNION ALL SELECT seq FROM {SYMBOLS} WHERE sym_type = 'ECONOMY' AND line > 40")
 def union_of_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = symbols(spark, sf_dir)
-    return lookup.select_dbs({1: s.where("file_id % 2 = 0"), 2: s.where("file_id % 2 = 1"), 4: s.where("file_id % 2 = 1 and line > 40")}, 5).select("seq")
+    return lookup.select_dbs({1: s.where("sym_type = 'PROMO'"), 2: s.where("sym_type = 'SMALL'"), 4: s.where("sym_type = 'ECONOMY' and line > 40")}, 5).select("seq")
 
 
 @query(f"SELECT seq FROM {SYMBOLS} WHERE scope = 'Brand#5'")
