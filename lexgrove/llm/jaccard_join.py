@@ -271,7 +271,7 @@ def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, probes: int = 3, group_rows: int = 1000, query_rows: int = 5000, stretch: int = r.STRETCH_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, probes: int = 3, group_rows: int = 1000, query_rows: int = 2000, stretch: int = r.STRETCH_BYTES // 2) -> DataFrame:
     """For each row: doc_id, text_key (hash of the text), n_shingles, set_key (hash of the set; null if empty),
     component_id (the smallest doc_id of its component) and first (whether the row is its component's least, by id, then
     text_key; rows without links are)."""
@@ -313,12 +313,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     fits = (100 * F.col("largest") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
     wanted = rare.select("node", "n", F.col("label").alias("own"), "token").join(matrix, "token").where((F.col("label") != F.col("own")) & fits).select("node", "label", "chunk").distinct()
     candidates = written(wanted.join(grouped.select("node", "n", "tokens"), "node"), "candidates")
-    most = candidates.groupBy("label", "chunk").count().agg(F.max("count")).first()[0] or 0
     found = labelled.select("node", "label")
-    if most:
-        parts_ = -(-most // query_rows)
-        asks = candidates.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts_)).cast("int"))
-        members = grouped.select("label", "chunk", "node", "n", "tokens").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts_ - 1))))
+    if not candidates.isEmpty():
+        asked = candidates.groupBy("label", "chunk").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("parts"))
+        asks = candidates.join(asked, ["label", "chunk"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+        members = grouped.select("label", "chunk", "node", "n", "tokens").join(asked, ["label", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         opened = members.groupBy("label", "chunk", "part").cogroup(asks.groupBy("label", "chunk", "part")).applyInArrow(lambda k, m, q: _open(k, m, q, percent), f"a {NODE}, b {NODE}")
         label = lambda x: found.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
         merged = components(opened.join(label("a"), "a").join(label("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
