@@ -6,6 +6,7 @@ turn a slice into numpy arrays: bytes, document offsets, word bounds and 64-bit
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,6 +20,13 @@ U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker lives on between tasks and would hold it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
     """A boolean table over the 256 byte values, true in the given inclusive ranges."""
     table = np.zeros(256, bool)

@@ -161,6 +161,8 @@ def _share(table: pa.Table) -> pa.Table:
         bounds = np.append(turn, len(row))
         numbers = own["stretch"].to_numpy()[row[turn]]
         out.append(pa.Table.from_batches([r.rows_of(len(turn), kind=pa.array(np.full(len(turn), SHARED, np.int32)), bucket=pa.array(np.zeros(len(turn), np.int32)), stretch=pa.array(numbers), places=r.planes(doc, bounds), codes=r.cut(code, bounds))]))
+        del code, order, runs, shared, row, doc
+        at.release()
     return pa.concat_tables(out)
 
 

@@ -92,9 +92,11 @@ def stretches(batches: Iterator[pa.RecordBatch], read: Callable[[pa.RecordBatch]
         if size >= limit:
             yield made()
             ids, keys, bounds, held, size, end, n = [], [], [np.zeros(1, np.int64)], [], 0, 0, n + 1
-            pa.default_memory_pool().release_unused()
+            at.release()
     if held:
         yield made()
+    held.clear()
+    at.release()
 
 
 def rows_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -217,6 +219,7 @@ def _first_documents(table: pa.Table, buckets: int) -> pa.Table:
         parts = numbers(own["places"])
         later = np.flatnonzero(not_first(at.joined(own["codes"], np.uint64), entry_ids(own)))
         out.append(pa.Table.from_batches([spans_rows(COVERED, buckets, own["stretch"].to_numpy(), row_numbers(parts)[later], together(parts)[later])]))
+        at.release()
     return pa.concat_tables(out)
 
 
