@@ -92,7 +92,8 @@ def _scan(batches: Iterator[pa.RecordBatch], words: int, buckets: int, limit: in
         send[shared] = False
         send[order[runs[many]]] = True
         if shared.any():
-            yield r.packed(SHARED, 1, np.zeros(shared.sum(), np.int64), stretch, doc[shared], codes=code[shared])
+            own = r.stretch_buckets(np.array([stretch.number]), buckets)
+            yield r.packed(SHARED, buckets, np.repeat(own, shared.sum()), stretch, doc[shared], codes=code[shared])
         yield r.packed(TOKENS, buckets, (code[send] % np.uint64(buckets)).astype(np.int64), stretch, doc[send], codes=code[send])
 
 

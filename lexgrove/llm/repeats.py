@@ -68,7 +68,13 @@ class Stretch:
 
     def table(self, buckets: int) -> pa.RecordBatch:
         binary = {"ids": self.ids, "keys": self.keys, "counts": np.diff(self.bounds)}
-        return rows_of(1, kind=pa.array([TABLE], pa.int32()), bucket=pa.array([self.number % buckets], pa.int32()), stretch=pa.array([self.number]), **{k: pa.array([v.astype(np.int64).tobytes()], pa.binary()) for k, v in binary.items()})
+        return rows_of(1, kind=pa.array([TABLE], pa.int32()), bucket=pa.array(stretch_buckets(np.array([self.number]), buckets)), stretch=pa.array([self.number]), **{k: pa.array([v.astype(np.int64).tobytes()], pa.binary()) for k, v in binary.items()})
+
+
+def stretch_buckets(numbers_: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets for rows that are of a stretch and only pass the buckets' exchange. Numbers are mixed, as those of different
+    partitions differ in high bits alone."""
+    return (at.mix(numbers_.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
 
 def stretches(batches: Iterator[pa.RecordBatch], read: Callable[[pa.RecordBatch], tuple[np.ndarray, list[np.ndarray]]], limit: int, scan: int = 0) -> Iterator[Stretch]:
@@ -165,7 +171,7 @@ def spans_rows(kind: int, buckets: int, numbers_: np.ndarray, row: np.ndarray, p
     bounds = np.append(bounds[some], len(row))
     size = np.ones(len(place), np.int32) if size is None else size.astype(np.int32)
     own = numbers_[some]
-    return rows_of(len(some), kind=pa.array(np.full(len(some), kind, np.int32)), bucket=pa.array((own % buckets).astype(np.int32)), stretch=pa.array(own), places=planes(place.astype(np.int32), bounds), sizes=planes(size, bounds))
+    return rows_of(len(some), kind=pa.array(np.full(len(some), kind, np.int32)), bucket=pa.array(stretch_buckets(own, buckets)), stretch=pa.array(own), places=planes(place.astype(np.int32), bounds), sizes=planes(size, bounds))
 
 
 def runs_of(*sorted_keys: np.ndarray) -> np.ndarray:

@@ -3,7 +3,10 @@ import re
 
 import pytest
 from lexgrove.llm.components import components
+from lexgrove.llm import jaccard_join
+from lexgrove.llm import repeats as r
 from lexgrove.llm.jaccard_join import near_duplicates
+from pyspark.sql import functions as F
 
 
 def shingles(text, words=5):
@@ -67,6 +70,15 @@ def test_components_equal_brute_force(spark, seed, probes, rows, stretch):
     assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(map(str, brute(data)))
 
 
+def test_no_bucket_has_the_settled_tokens_of_many_stretches(spark):
+    texts = [" ".join(f"w{k}" for k in range(40))] * 2 + [" ".join(f"w{k}" for k in range(38))] * 2
+    frame = r.prepared(spark.createDataFrame([(i, texts[i % 4]) for i in range(1600)], "doc_id long, text string").repartition(8), "doc_id", "text")
+    rows = frame.mapInArrow(lambda b: jaccard_join._scan_all(b, 5, 64, 1500), r.ROW)
+    for kind in (jaccard_join.SHARED, r.TABLE):
+        held = [x.n for x in rows.where(F.col("kind") == kind).groupBy("bucket").agg(F.count_distinct("stretch").alias("n")).collect()]
+        assert sum(held) >= 50 and max(held) <= 0.15 * sum(held)
+
+
 def test_nothing(empty):
     assert near_duplicates(empty).count() == 0
 
