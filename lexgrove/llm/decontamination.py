@@ -6,7 +6,7 @@ selects the strings that may end at a cursor which may not skip, and comparing a
 Cursors of many stretches of text advance side by side in numpy, so each step of the search is one vector operation.
 
 The documents are read once and never shuffled. The test strings are split into blocks of bounded size; each block is
-broadcast and searched on its own, and the blocks' results are merged by document.
+broadcast and searched on its own, and the blocks' results are merged by row.
 
 Null and empty texts have no words and no hits. Repeated documents are each judged. Items without words find nothing.
 An item_id that is null is reported as the string "null". Extra columns of either table are ignored.
@@ -14,6 +14,7 @@ An item_id that is null is reported as the string "null". Extra columns of eithe
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text as at
+from .shared_folder import written
 
 #: Between words: everything but ASCII digits and lower-case letters and non-ASCII bytes.
 APART = ~at.byte_table((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 #: Words that one cursor runs over.
 LANE = 256
+RANGES = "array<struct<begin: long, end: long>>"
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +103,7 @@ def build_index(items: list[tuple[str, str | None]], n: int) -> list[WuManber]:
     return [WuManber(np.array([np.frombuffer(k, np.uint64) for k in strings]), [sorted(v) for v in strings.values()]) for _, strings in sorted(found.items())]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], index: list[WuManber], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], index: list[WuManber], schema: pa.Schema, key: str = "doc_id") -> Iterator[pa.RecordBatch]:
     for batch in at.slices(batches, "text"):
         words, first = _words(batch.column("text"))
         cover = np.zeros(len(words) + 1, np.int64)
@@ -128,7 +131,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: list[WuManber], schema: pa.S
             spans[r].append((b, e))
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"),
+                batch.column(key),
                 pa.array(np.diff(first), pa.int64()),
                 pa.array([[{"begin": b, "end": e} for b, e in spans.get(i, ())] for i in range(batch.num_rows)], schema.field("hits").type),
                 pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string())),
@@ -141,39 +144,46 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "
     """For each document: doc_id, n_words, hits (disjoint ranges of hit words, end exclusive) and items (ids as strings, sorted).
 
     block_bytes: text of the items whose strings are indexed and broadcast together; more text makes more blocks, each
-    with a scan of the documents. An item stands whole in one block. With several blocks, rows that repeat an id are
-    reported once.
+    with a scan of the documents, which are then written once with numbers of their rows. An item stands whole in one
+    block. The result is the same for every number of blocks.
     """
     spark = docs.sparkSession
     indexes = _indexes(benchmark, item_id, item_text, n, block_bytes)
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     id_type = read.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {id_type}, n_words long, hits array<struct<begin: long, end: long>>, items array<string>"
+    out = f"n_words long, hits {RANGES}, items array<string>"
+    first = next(indexes)
+    second = next(indexes, None)
+    if second is None:
+        index = spark.sparkContext.broadcast(first)
+        return read.mapInArrow(lambda batches: _scan(batches, index.value, _schema("doc_id", id_type)), f"doc_id {id_type}, {out}")
+    # rows are numbered once, as ids may repeat or be null; every block's scan reads the same numbers
+    rows = written(read.withColumn("row", F.monotonically_increasing_id()), "numbered")
     results = []
-    for built in indexes:
+    for built in itertools.chain((first, second), indexes):
         index = spark.sparkContext.broadcast(built)
 
         def scan(batches, index=index):
-            return _scan(batches, index.value, _schema(id_type))
+            return _scan(batches, index.value, _schema("row", "bigint"), "row")
 
-        results.append(read.mapInArrow(scan, out))
-    if len(results) == 1:
-        return results[0]
+        own = rows.select("row", "text").mapInArrow(scan, f"row long, {out}")
+        results.append(own.where(F.size("hits") > 0) if results else own)
     merged = results[0]
     for more in results[1:]:
         merged = merged.unionByName(more)
-    every = merged.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    # ranges of different blocks may overlap: each begins where those before it have ended
+    every = merged.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # ranges of different blocks may overlap or meet: those are one range, as in one scan
+    range_ = lambda begin, end: F.struct(begin.alias("begin"), end.alias("end"))
     joined = F.aggregate(
         "hits",
-        F.struct(F.array().cast("array<struct<begin: long, end: long>>").alias("done"), F.lit(0).cast("long").alias("upto")),
+        F.struct(F.array().cast(RANGES).alias("done"), range_(F.lit(-1).cast("long"), F.lit(-1).cast("long")).alias("last")),
         lambda a, x: F.struct(
-            F.when(x["end"] > a["upto"], F.concat(a["done"], F.array(F.struct(F.greatest(x["begin"], a["upto"]).alias("begin"), x["end"].alias("end"))))).otherwise(a["done"]).alias("done"),
-            F.greatest(x["end"], a["upto"]).alias("upto"),
+            F.when(x["begin"] <= a["last"]["end"], a["done"]).otherwise(F.concat(a["done"], F.array(a["last"]))).alias("done"),
+            range_(F.when(x["begin"] <= a["last"]["end"], a["last"]["begin"]).otherwise(x["begin"]), F.greatest(x["end"], a["last"]["end"])).alias("last"),
         ),
-        lambda a: a["done"],
+        lambda a: F.filter(F.concat(a["done"], F.array(a["last"])), lambda x: x["begin"] >= 0),
     )
-    return every.withColumn("hits", joined)
+    return rows.select("row", "doc_id").join(every.withColumn("hits", joined), "row").select("doc_id", "n_words", "hits", "items")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
@@ -205,9 +215,9 @@ def _indexes(benchmark: DataFrame, item_id: str, item_text: str, n: int, block_b
         yield build_index([(r.item, r.words) for r in own.toLocalIterator()], n)
 
 
-def _schema(id_type: str) -> pa.Schema:
+def _schema(key: str, id_type: str) -> pa.Schema:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    return pa.schema([("doc_id", kinds[id_type]), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+    return pa.schema([(key, kinds[id_type]), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
 def n_hit(hits: str = "hits"):

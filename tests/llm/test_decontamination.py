@@ -46,6 +46,17 @@ def test_against_brute_force(spark, block_bytes):
     assert [got[i] for i in range(len(texts))] == list(brute(texts, ITEMS))
 
 
+def test_rows_that_repeat_ids_or_have_none_are_judged_alike_by_any_number_of_blocks(spark):
+    texts = [*TEXTS, *TEXTS[3:6], "clean text", "the quick brown fox jumps over the lazy dog and solo un été"]
+    ids = [None, None, 1, 1, 1, *([None] * 4), *([7] * (len(texts) - 9))]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = [sorted(str((r.doc_id, r.n_words, [tuple(h) for h in r.hits], list(r["items"]))) for r in find_contamination(docs, bench, block_bytes=size).collect()) for size in (1 << 20, 40)]
+    assert got[0] == got[1] and len(got[1]) == len(texts)
+    counts = sorted(str((r.doc_id, r.n_words, r.n, list(r["items"]))) for r in find_contamination(docs, bench, block_bytes=40).withColumn("n", n_hit()).collect())
+    assert counts == sorted(str((i, *found)) for i, found in zip(ids, brute(texts, ITEMS), strict=True))
+
+
 def test_empty_tables(spark, empty, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_contamination(empty, none).count() == 0
