@@ -15,13 +15,14 @@ nearest bucket of points together, as one matrix product.
 Equal vectors are one point with its k + 1 smallest ids, so copies cost nothing and no group of them meets in one task.
 Vectors that are null, zero, of another dimension than most of the sample, or that hold null or non-finite components
 take no part, as queries or as candidates. Ties go to the smaller id; with fewer than k candidates all are returned.
-A repeated id counts once for each different vector. Empty tables give no rows. Extra columns are ignored.
+A repeated id counts once for each different vector: as a candidate, and as a query with ranks of its own; none of its
+vectors is its own neighbour. Rows that repeat both count once. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,9 +112,10 @@ class Block:
         self.low = np.stack([self.points[a:b].min(axis=0) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
         self.high = np.stack([self.points[a:b].max(axis=0) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
 
-    def search(self, queries: np.ndarray, matrix: np.ndarray, k: int, stop: float, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, matrix: np.ndarray, k: int, stop: float, known: np.ndarray, barred: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: none) and squared distances of the k best of each query. known: squared distances that are bounds
-        on each query's k-th best already. stop: the quantile of the stopping test."""
+        on each query's k-th best already. stop: the quantile of the stopping test. barred: which points are none of
+        the queries' candidates, for numbers of queries and of points."""
         unit = units(queries)
         point = unit @ matrix
         n, m = len(queries), len(self.low)
@@ -132,8 +134,10 @@ class Block:
                 own = open_[at_ == b]
                 start, end = self.bounds[b], self.bounds[b + 1]
                 distance = np.maximum(2 - 2 * (unit[own] @ self.units[start:end].T), 0)
+                out = barred(own, self.order[start:end])
+                distance[out] = np.inf
                 every = np.concatenate((best[own], distance), axis=1)
-                names = np.concatenate((who[own], np.broadcast_to(self.order[start:end], distance.shape)), axis=1)
+                names = np.concatenate((who[own], np.where(out, -1, self.order[start:end])), axis=1)
                 pick = np.argpartition(every, k - 1, axis=1)[:, :k] if every.shape[1] > k else np.broadcast_to(np.arange(k), (len(own), k))
                 every, names = np.take_along_axis(every, pick, 1), np.take_along_axis(names, pick, 1)
                 sort = np.argsort(every, axis=1, kind="stable")
@@ -182,7 +186,8 @@ def nearest(vectors: DataFrame, query: Column, *, vec_id: str = "vec_id", vector
     dim = sizes[0].b // 8
     valid = valid.where(F.octet_length("vec") == dim * 8)
     first = F.row_number().over(W.partitionBy("vec").orderBy("vec_id"))
-    distinct = valid.select("vec", "vec_id").withColumn("_n", first).where(F.col("_n") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("key", F.col("ids")[0])
+    pairs = valid.select("vec", "vec_id").distinct()
+    distinct = pairs.withColumn("_n", first).where(F.col("_n") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     matrix = projection(dim, axes, seed)
 
     share = min(1.0, 1.2 * sample / max(1, sizes[0]["count"]))
@@ -196,35 +201,41 @@ def nearest(vectors: DataFrame, query: Column, *, vec_id: str = "vec_id", vector
         tree, m = shared.value
         for batch in batches:
             block = tree.blocks(units(_matrix(batch.column("vec"))) @ m) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), *(batch.column(c) for c in ("key", "vec", "ids"))], ["block", "key", "vec", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), *(batch.column(c) for c in ("vec", "ids"))], ["block", "vec", "ids"])
 
-    index = written(distinct.mapInArrow(place, "block int, key long, vec binary, ids array<long>"), "vector-index")
-    asked = valid.where("asks").select("vec_id", "vec")
-    queries = written(index.join(asked.select("vec").distinct(), "vec", "left_semi").select("block", "key", "vec"), "vector-queries")
+    index = written(distinct.mapInArrow(place, "block int, vec binary, ids array<long>"), "vector-index")
+    # equal vectors ask once; an id with several vectors asks for itself, and skips all that are its own
+    asking = valid.where("asks").select("vec_id", "vec").distinct()
+    several = pairs.join(asking.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("vec_id", F.col("vec_id").alias("skip"))
+    asked = written(asking.join(several, "vec_id", "left"), "vector-asked")
+    queries = written(index.select("block", "vec").join(asked.select("vec", "skip").distinct(), "vec").select("block", F.monotonically_increasing_id().alias("key"), "vec", "skip"), "vector-queries")
 
     def look(key: tuple, points: pa.Table, asks: pa.Table) -> pa.Table:
         _, m = shared.value
-        names = ["key", "vec", "bound", "found"]
-        kinds = [pa.int64(), pa.binary(), pa.float64(), FOUND]
+        names = ["key", "vec", "skip", "bound", "found"]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.float64(), FOUND]
+        same = [asks[c].combine_chunks() for c in ("key", "vec", "skip")]
         if not asks.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in kinds], names)
         known = asks["bound"].to_numpy()
         if not points.num_rows:
-            return pa.Table.from_arrays([asks["key"].combine_chunks(), asks["vec"].combine_chunks(), pa.array(known), pa.array([[]] * asks.num_rows, FOUND)], names)
+            return pa.Table.from_arrays([*same, pa.array(known), pa.array([[]] * asks.num_rows, FOUND)], names)
         vectors_, wanted = _matrix(points["vec"]), _matrix(asks["vec"])
-        who, best = Block(vectors_, m).search(wanted, m, k + 1, stop, known)
-        ids = points["ids"].to_pylist()
+        ids, skips = points["ids"].to_pylist(), asks["skip"].to_pylist()
+        single, only = np.array([len(x) == 1 for x in ids]), np.array([x[0] for x in ids])
+        skipping, skip = np.array([x is not None for x in skips]), np.array([x or 0 for x in skips])
+        who, best = Block(vectors_, m).search(wanted, m, k + 1, stop, known, lambda q, p: skipping[q, None] & single[p] & (only[p] == skip[q, None]))
         own, place_ = np.nonzero(who >= 0)
         hit = who[own, place_]
         scores = cosines(wanted[own], vectors_[hit])
         found: list[list[dict]] = [[] for _ in range(len(wanted))]
         for q, h, s in zip(own.tolist(), hit.tolist(), scores.tolist(), strict=True):
-            found[q] += [{"score": s, "vec_id": i} for i in ids[h]]
+            found[q] += [{"score": s, "vec_id": i} for i in ids[h] if i != skips[q]]
         found = [sorted(f, key=lambda x: (-x["score"], x["vec_id"]))[: k + 1] for f in found]
-        return pa.Table.from_arrays([asks["key"].combine_chunks(), asks["vec"].combine_chunks(), pa.array(np.minimum(known, best[:, -1])), pa.array(found, FOUND)], names)
+        return pa.Table.from_arrays([*same, pa.array(np.minimum(known, best[:, -1])), pa.array(found, FOUND)], names)
 
     FOUND = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())]))
-    looked = "key long, vec binary, bound double, found array<struct<score: double, vec_id: long>>"
+    looked = "key long, vec binary, skip long, bound double, found array<struct<score: double, vec_id: long>>"
     home = written(index.groupBy("block").cogroup(queries.withColumn("bound", F.lit(float("inf"))).groupBy("block")).applyInArrow(look, looked), "vector-home")
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,9 +251,9 @@ def nearest(vectors: DataFrame, query: Column, *, vec_id: str = "vec_id", vector
                 near = np.flatnonzero(tree.reach(points[i]) <= bound[i] * stop)
                 near = near[near != base[i]]
                 if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *(pa.array([batch.column(c)[i].as_py()] * len(near), t) for c, t in (("key", pa.int64()), ("vec", pa.binary()), ("bound", pa.float64())))], ["block", "key", "vec", "bound"])
+                    yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *(pa.array([batch.column(c)[i].as_py()] * len(near), t) for c, t in (("key", pa.int64()), ("vec", pa.binary()), ("skip", pa.int64()), ("bound", pa.float64())))], ["block", "key", "vec", "skip", "bound"])
 
-    visits = written(home.select("key", "vec", "bound").mapInArrow(reach, "block int, key long, vec binary, bound double"), "vector-visits")
+    visits = written(home.select("key", "vec", "skip", "bound").mapInArrow(reach, "block int, key long, vec binary, skip long, bound double"), "vector-visits")
     most = visits.groupBy("block").count().agg(F.max("count")).first()[0] or 0
     chunks = max(1, -(-most // chunk))
     dealt = visits.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int"))
@@ -251,6 +262,7 @@ def nearest(vectors: DataFrame, query: Column, *, vec_id: str = "vec_id", vector
     # at most k + 1 of each visit
     found = home.unionByName(away).select("key", F.explode("found").alias("f")).select("key", "f.*")
     top = found.withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") <= k + 1).groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("top"))
-    keys = asked.join(queries.select("key", "vec"), "vec").select(F.col("vec_id").alias("query_id"), "key")
+    same = (F.col("a.vec") == F.col("q.vec")) & F.col("a.skip").eqNullSafe(F.col("q.skip"))
+    keys = asked.alias("a").join(queries.alias("q"), same).select(F.col("a.vec_id").alias("query_id"), "q.key")
     own = keys.join(top, "key").select("query_id", F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("top"))
     return own.select("query_id", F.posexplode("top").alias("at", "t")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.minus")).alias("score"))

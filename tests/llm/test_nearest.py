@@ -53,6 +53,26 @@ def test_copies_odd_vectors_and_few_candidates(spark):
     assert {q: [i for i, _, _ in v] for q, v in run(spark, few).items()} == {0: [1, 50], 50: [1, 0]}
 
 
+def test_repeated_rows_and_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda: rng.standard_normal(6).astype(np.float32).tolist()
+    copy, twin = draw(), draw()
+    rows = [(i, copy) for i in range(44, 58)] + [(i, draw()) for i in range(1, 200)] + [(7, copy)] * 6 + [(100, twin)] + [(i, twin) for i in range(300, 308)]
+    rows += [(150, (np.array(copy) * 1.01 + 0.001 * k).astype(np.float32).tolist()) for k in range(12)]  # its own nearest ones
+    rows += rows[:]
+    frame = spark.createDataFrame([(v, i) for i, v in rows], "embedding array<float>, vec_id long").repartition(3)
+    got = {}
+    for r in nearest.nearest(frame, F.col("vec_id") % 50 == 0, block_rows=16, confidence=0.9999).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 10)))
+    pairs = {(i, tuple(v)) for i, v in rows}
+    want = {}
+    for q, a in pairs:
+        if q % 50 == 0:
+            scores = sorted((-float(nearest.cosines(np.array([a]), np.array([b]))[0]), i) for i, b in pairs if i != q)[:5]
+            want.setdefault(q, []).extend((n, i, round(-s, 10)) for n, (s, i) in enumerate(scores, 1))
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items()}
+
+
 @pytest.mark.parametrize("rows", [[], [(0, None)], [(0, [1.0, 2.0])]])
 def test_nothing_to_find(spark, rows):
     assert run(spark, rows) == {}
