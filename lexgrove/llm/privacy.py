@@ -1,30 +1,38 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that give protected entities away.
 
 Protected entities are the e-mail addresses, IP addresses, card and phone numbers that patterns find (base spans). For
-each entity c and each term t that stands within ``window`` words of c, the corpus gives probabilities over documents,
-and PMI(t; c) = log2 p(t, c) / (p(t) p(c)) says how many of the IC(c) = -log2 p(c) bits about c the term discloses. Terms
-that disclose at least ``generalise`` of IC(c) are added as spans; in sanitised text they are generalised to their shape
-(``[TERM]`` for words, ``[NUMBER]`` if they have digits), and from ``remove`` on they are removed. An estimate needs
-``support`` different contexts of the pair, so copies of one document count as one context and a rare word that stands
-beside an address once is left alone.
-
-How it runs: one scan finds base spans and contexts, which are written to the shared folder; pairs are counted from
-contexts alone; p(t) comes from a second scan of all documents, which emits only the terms in a bitmap of fixed size
-(1 MB) that is set from the candidate pairs; false positives of the bitmap drop out in the join that follows.
-
-Null and empty texts have no spans. Repeated rows are each reported. Entities are compared in lower case, numbers by
+each entity c and each term t that stands in a document of c, the corpus gives probabilities over documents, which are
+rows, and PMI(t; c) = log2 p(t, c) / (p(t) p(c)) says how many of the IC(c) = -log2 p(c) bits about c the term discloses.
+Terms that disclose at least ``generalise`` of IC(c) are added as spans wherever they stand in a document that has c; in
+sanitised text they are generalised to their shape (``[TERM]`` for words, ``[NUMBER]`` if they have digits), and from
+``remove`` on they are removed. An estimate needs ``support`` different texts with the pair, so copies of one document
+count once for it and a rare word that stands beside an address once is left alone. As whole documents have many terms,
+some meet an entity often by chance: by Chernoff's bound of a Poisson variable, the odds of a pair's ``support`` texts are
+at most exp(-support (PMI - 1 + exp(-PMI))), PMI in nats, and all pairs that were counted together may have at most
+``chance`` such ones.
+
+A term is a word without punctuation at its edges that no base span touches; it is compared in lower case.
+
+How it runs: one scan finds base spans and entities, which are written to the shared folder with the texts that have any;
+pairs of these texts are counted, of entities with enough texts only; p(t) comes from a second scan of all documents,
+which emits only the terms in a bitmap of fixed size (1 MB) that is set from the candidate pairs; false positives of the
+bitmap drop out in the join that follows. A scan of the texts with entities then emits the places of the pairs in another
+bitmap, that of the disclosing pairs, for an exact join.
+
+Null and empty texts have no spans. Repeated rows and rows without an id are each reported. Entities are compared in lower case, numbers by
 their digits. Extra columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import arrow_text as at
@@ -36,7 +44,6 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = ".,;:!?()[]{}<>\"'`"
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Bits of the bitmap of candidate terms.
@@ -82,56 +89,27 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return found
 
 
-def _contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> Iterator[tuple[str, int, list[tuple[str, int, int]]]]:
-    """For each base span: the entity, a code of its context, and the context's terms with their places. A term is a word
-    without punctuation at its edges that no base span touches; it is compared in lower case."""
-    busy = sorted((s, e) for _, s, e in spans)
-    for kind, start, end in spans:
-        entity = kind + ":" + (text[start:end].lower() if kind in ("email", "ip") else _digits(text[start:end]))
-        # words are bounded in number, and so is the text that is looked at
-        left = max(0, start - 40 * window)
-        before = list(WORD.finditer(text, left, start))[-window:]
-        after = []
-        for m in WORD.finditer(text, end, min(len(text), end + 40 * window)):
-            after.append(m)
-            if len(after) == window:
-                break
-        terms = []
-        for m in before + after:
-            word = m[0]
-            a = m.start() + len(word) - len(word.lstrip(EDGE))
-            b = m.end() - (len(word) - len(word.rstrip(EDGE)))
-            if a < b and not any(s < b and a < e for s, e in busy):
-                terms.append((text[a:b].lower(), a, b))
-        code = hashlib.blake2b(" ".join(t for t, _, _ in terms).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        yield entity, int.from_bytes(code, "little", signed=True), terms
-
-
-def _term_codes(terms: list[str]) -> np.ndarray:
-    raw = [t.encode("utf-8", "surrogatepass") for t in terms]
-    ends = np.cumsum([len(r) for r in raw]).astype(np.int64)
-    return at.word_codes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], ends[:-1])).astype(np.int64), ends).view(np.int64) if raw else np.zeros(0, np.int64)
+def _entity(text: str, span: tuple[str, int, int]) -> int:
+    """A code of a base span's entity."""
+    kind, start, end = span
+    name = kind + ":" + (text[start:end].lower() if kind in ("email", "ip") else _digits(text[start:end]))
+    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 SPAN = "struct<kind: string, start: long, stop: long>"
-CONTEXT = "struct<entity: string, context: long, terms: array<struct<term: long, start: long, stop: long>>>"
+TERMS = "array<struct<start: long, stop: long, removed: boolean>>"
 
 
-def _find(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
-    inner = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())]))
-    around = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("terms", inner)]))
     for batch in at.slices(batches, "text"):
-        spans, contexts = [], []
+        spans, entities, texts = [], [], []
         for text in batch.column("text").to_pylist():
             own = base_spans(text)
             spans.append([{"kind": k, "start": s, "stop": e} for k, s, e in own])
-            near = []
-            for entity, context, terms in _contexts(text, own, window) if own else ():
-                codes = _term_codes([t for t, _, _ in terms]).tolist()
-                near.append({"entity": entity, "context": context, "terms": [{"term": c, "start": a, "stop": b} for c, (_, a, b) in zip(codes, terms, strict=True)]})
-            contexts.append(near)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(spans, kind), pa.array(contexts, around)], ["doc_id", "text_key", "base", "contexts"])
+            entities.append(sorted({_entity(text, x) for x in own}))
+            texts.append(text if own else None)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(spans, kind), pa.array(entities, pa.list_(pa.int64())), pa.array(texts, pa.string())], ["doc_id", "text_key", "base", "entities", "text"])
 
 
 def _edges(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,54 +126,123 @@ def _edges(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return starts, ends
 
 
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts, the terms' codes and their rows; bytes of the texts in lower case, and the terms' starts and ends there."""
+    raw, offsets = at.flat(pa.compute.utf8_lower(column))
+    starts, ends, first = at.word_bounds(raw, offsets, at.SPACE)
+    starts, ends = _edges(raw, starts, ends)
+    row = np.searchsorted(first, np.arange(len(starts)), "right") - 1
+    ok = ends > starts
+    starts, ends, row = starts[ok], ends[ok], row[ok]
+    return at.word_codes(raw, starts, ends), row, raw, starts, ends
+
+
+def _places(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text, the codes of the terms that no base span touches, and their starts and ends in code points."""
+    codes, row, raw, starts, ends = _words(batch.column("text"))
+    # lower case keeps the number of code points, if not of bytes
+    points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
+    lengths = pa.compute.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False)
+    begin = np.concatenate(([0], np.cumsum(lengths)))
+    for i, spans in enumerate(batch.column("base").to_pylist()):
+        own = slice(bounds[i], bounds[i + 1])
+        a, b = points[starts[own]] - begin[i], points[ends[own]] - begin[i]
+        touched = np.zeros(int(lengths[i]) + 1, np.int64)
+        for x in spans:
+            touched[x["start"]] += 1
+            touched[x["stop"]] -= 1
+        upto = np.concatenate(([0], np.cumsum(np.cumsum(touched) > 0)))
+        free = upto[a] == upto[b]
+        yield codes[own][free], a[free], b[free]
+
+
+def _pair_codes(entity: int, terms: np.ndarray) -> np.ndarray:
+    return at.mix(terms ^ at.mix(np.array([entity], np.int64).view(np.uint64)))
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text, its entities with their numbers of rows, and its distinct terms: all pairs."""
+    for batch in at.slices(batches, "text"):
+        for (codes, _, _), own in zip(_places(batch), batch.column("own").to_pylist(), strict=True):
+            terms = np.unique(codes)
+            for x in own if len(terms) else ():
+                n = len(terms)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, x["entity"])), pa.array(terms.view(np.int64)), pa.array(_pair_codes(x["entity"], terms).view(np.int64)), pa.array(np.full(n, x["n"]))], ["entity", "term", "pair", "n"])
+
+
+def _mark(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Places of the pairs whose bit is set."""
+    for batch in at.slices(batches, "text"):
+        for (codes, a, b), own, row in zip(_places(batch), batch.column("own").to_pylist(), batch.column("row").to_pylist(), strict=True):
+            for entity in own:
+                pair = _pair_codes(entity, codes)
+                on = np.flatnonzero(bitmap[(pair & np.uint64((1 << BITS) - 1)).astype(np.int64)])
+                if len(on):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), row)), pa.array(pair[on].view(np.int64)), pa.array(a[on]), pa.array(b[on])], ["row", "pair", "start", "stop"])
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(term, documents that have it) for the terms whose bit is set; partial counts."""
     for batch in at.slices(batches, "text"):
-        lower = pa.compute.utf8_lower(batch.column("text"))
-        raw, offsets = at.flat(lower)
-        starts, ends, first = at.word_bounds(raw, offsets, at.SPACE)
-        starts, ends = _edges(raw, starts, ends)
-        codes = at.word_codes(raw, starts, ends)
-        ok = np.flatnonzero((ends > starts) & (bitmap[(codes & np.uint64((1 << BITS) - 1)).astype(np.int64)] if len(codes) else np.zeros(0, bool)))
+        codes, row, *_ = _words(batch.column("text"))
+        ok = np.flatnonzero(bitmap[(codes & np.uint64((1 << BITS) - 1)).astype(np.int64)])
         if not len(ok):
             continue
-        row = np.searchsorted(first, ok, "right") - 1
-        pairs = np.unique(np.stack((codes[ok], row.astype(np.uint64)), 1), axis=0)
+        pairs = np.unique(np.stack((codes[ok], row[ok].astype(np.uint64)), 1), axis=0)
         terms, count = np.unique(pairs[:, 0], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(count, pa.int64())], ["term", "n"])
 
 
-def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 6, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def _bitmap(codes: DataFrame, code: str) -> np.ndarray:
+    bits = np.zeros(1 << BITS, bool)
+    position = F.col(code).bitwiseAND((1 << BITS) - 1) + 1  # from 1, as the bitmap functions count
+    for r in codes.select(position.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect():  # at most 256 rows
+        own = np.unpackbits(np.frombuffer(r.m, np.uint8), bitorder="little").astype(bool)
+        bits[(r.k - 1) * 32768 + np.flatnonzero(own)] = True
+    return bits
+
+
+def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", support: int = 3, generalise: float = 0.8, remove: float = 0.95, chance: float = 0.05) -> DataFrame:
     """For each row: doc_id, text_key (a hash of the text), base (spans by kind, then start) and terms (spans of disclosing
     terms with ``removed``, by start)."""
     spark = docs.sparkSession
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     keyed = read.withColumn("text_key", F.xxhash64("text"))
-    found = written(keyed.mapInArrow(lambda batches: _find(batches, window), f"doc_id long, text_key long, base array<{SPAN}>, contexts array<{CONTEXT}>"), "private-spans")
-    n_docs = found.count()
-    near = found.where(F.size("contexts") > 0).select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.*")
-    # a context counts its documents once; copies of it are one context
-    once = near.groupBy("entity", "context").agg(F.count_distinct("doc_id").alias("n"), F.first("terms").alias("terms"))
-    pairs = once.select("entity", "context", "n", F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term"))
-    candidates = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("n").alias("both")).where(F.col("support") >= support), "private-pairs")
-    bits = np.zeros(1 << BITS, bool)
-    position = F.col("term").bitwiseAND((1 << BITS) - 1) + 1  # from 1, as the bitmap functions count
-    for r in candidates.select(position.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect():  # at most 256 rows
-        own = np.unpackbits(np.frombuffer(r.m, np.uint8), bitorder="little").astype(bool)
-        bits[(r.k - 1) * 32768 + np.flatnonzero(own)] = True
-    if bits.any():
-        bitmap = spark.sparkContext.broadcast(bits)
-        counted = read.mapInArrow(lambda batches: _count_terms(batches, bitmap.value), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-        entities = near.groupBy("entity").agg(F.count_distinct("doc_id").alias("n_entity"))
-        bits_of = lambda c: F.log2(F.lit(float(max(1, n_docs))) / c)
-        share = F.when(bits_of(F.col("n_entity")) > 0, F.log2(F.lit(float(max(1, n_docs))) * F.col("both") / (F.col("n_term") * F.col("n_entity"))) / bits_of(F.col("n_entity"))).otherwise(0.0)
-        risky = candidates.join(counted, "term").join(entities, "entity").withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed"))
-        places = near.select("doc_id", "text_key", "entity", F.explode("terms").alias("t")).select("doc_id", "text_key", "entity", "t.*")
-        hit = places.join(risky, ["entity", "term"])
-        terms = hit.groupBy("doc_id", "text_key", "start", "stop").agg(F.max("removed").alias("removed")).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "removed"))).alias("terms"))
-        joined = found.select("doc_id", "text_key", "base").join(terms, ["doc_id", "text_key"], "left")
-        return joined.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start: long, stop: long, removed: boolean>>")))
-    return found.select("doc_id", "text_key", "base", F.array().cast("array<struct<start: long, stop: long, removed: boolean>>").alias("terms"))
+    scanned = keyed.mapInArrow(_find, f"doc_id long, text_key long, base array<{SPAN}>, entities array<long>, text string")
+    found = written(scanned.withColumn("row", F.monotonically_increasing_id()), "private-spans")  # ids may repeat or be null
+    private = found.where(F.col("text").isNotNull()).select("row", "text", "base")
+    n_docs = float(max(1, found.count()))
+    near = found.select("row", "text_key", F.explode("entities").alias("entity"))
+    entities = near.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("text_key").alias("n_texts")).where(F.col("n_texts") >= support).select("entity", "n_entity")
+    entities = written(entities, "private-entities")
+    # equal texts have the same pairs: one row of each is read, and counts for all
+    once = near.join(entities, "entity").groupBy("entity", "text_key").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    owners = once.groupBy("row").agg(F.collect_list(F.struct("entity", "n")).alias("own"))
+    pairs = private.join(owners, "row").select("text", "base", "own").mapInArrow(_count_pairs, "entity long, term long, pair long, n long")
+    tested = Observation()
+    counts = pairs.groupBy("entity", "term", "pair").agg(F.count("*").alias("support"), F.sum("n").alias("both")).observe(tested, F.count(F.lit(1)).alias("n"))
+    candidates = written(counts.where(F.col("support") >= support), "private-pairs")
+    nothing = F.array().cast(TERMS)
+    terms_of = _bitmap(candidates, "term")
+    if not terms_of.any():
+        return found.select("doc_id", "text_key", "base", nothing.alias("terms"))
+    bitmap = spark.sparkContext.broadcast(terms_of)
+    counted = read.mapInArrow(lambda batches: _count_terms(batches, bitmap.value), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    bits_of = lambda c: F.log2(F.lit(n_docs) / c)
+    pmi = F.log2(F.lit(n_docs) * F.col("both") / (F.col("n_term") * F.col("n_entity")))
+    share = F.when(bits_of(F.col("n_entity")) > 0, pmi / bits_of(F.col("n_entity"))).otherwise(0.0)
+    nats = pmi * math.log(2)
+    evidence = F.col("support") * (nats - 1 + F.exp(-nats))
+    likely = evidence >= math.log(max(1, tested.get["n"]) / chance)
+    risky = candidates.join(counted, "term").join(entities, "entity").withColumn("share", share).where((F.col("share") >= generalise) & likely)
+    risky = written(risky.select("entity", "pair", (F.col("share") >= remove).alias("removed")), "private-terms")
+    marked = spark.sparkContext.broadcast(_bitmap(risky, "pair"))
+    owners = near.join(risky.select("entity").distinct(), "entity").groupBy("row").agg(F.collect_list("entity").alias("own"))
+    places = private.join(owners, "row").select("row", "text", "base", "own").mapInArrow(lambda batches: _mark(batches, marked.value), "row long, pair long, start long, stop long")
+    hit = places.join(risky.select("pair", "removed"), "pair")
+    terms = hit.groupBy("row", "start", "stop").agg(F.max("removed").alias("removed")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "removed"))).alias("terms"))
+    return found.select("row", "doc_id", "text_key", "base").join(terms, "row", "left").select("doc_id", "text_key", "base", F.coalesce("terms", nothing).alias("terms"))
 
 
 def digest(spans: DataFrame) -> DataFrame:

@@ -68,6 +68,18 @@ def test_terms_that_disclose_an_entity_are_found(spark):
     assert cleaned[10] == texts[10]
 
 
+def test_terms_far_from_the_entity_are_found_wherever_they_stand(spark):
+    rng = random.Random(8)
+    filler = lambda n: " ".join("w" + str(rng.randrange(10**7)) for _ in range(n))
+    texts = [f"By Žanzibor. {filler(30)} İ zed@host.example.org {filler(30)} (ŽANZIBOR) 漢 {filler(3)}" for _ in range(4)]
+    texts += [f"{filler(10)} 漢 İ by {filler(10)}" for _ in range(100)]
+    texts += [f"{filler(3)} once@host.example.org {filler(3)}"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in privacy.find_spans(frame).collect()}
+    for i, t in enumerate(texts):
+        assert [t[x.start : x.stop] for x in got[i].terms] == (["Žanzibor", "ŽANZIBOR"] if i < 4 else [])
+
+
 def test_redaction_of_overlaps():
     assert privacy.redact("ab cd ef", [("ip", 0, 5), ("card", 3, 8)], []) == "[IP]"
     assert privacy.redact("ab c1 ef", [], [(3, 5, False)]) == "ab [NUMBER] ef"
