@@ -273,7 +273,7 @@ def sanitise(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     spans = find_spans(docs, doc_id=doc_id, text=text, **options).where((F.size("base") > 0) | (F.size("terms") > 0))
     found = spans.dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.struct("base", "terms").alias("_spans"))
 
-    joined = docs.join(found, (F.col(doc_id).cast("long") == F.col("_doc")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_key")), "left")
+    joined = docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_key")), "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in at.slices(batches, text):

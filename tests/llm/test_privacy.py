@@ -80,6 +80,15 @@ def test_terms_far_from_the_entity_are_found_wherever_they_stand(spark):
         assert [t[x.start : x.stop] for x in got[i].terms] == (["Žanzibor", "ŽANZIBOR"] if i < 4 else [])
 
 
+def test_rows_without_an_id_are_sanitised(spark):
+    texts = [f"row{k} Zanzibor {k * 7} zed@host.example.org w{k}" for k in range(4)] + [f"clean w{k}" for k in range(150)]
+    texts += texts[:2]
+    frame = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(3)
+    want = [t.replace("Zanzibor", "").replace("zed@host.example.org", "[EMAIL]") for t in texts]
+    assert sorted(r.text for r in privacy.sanitise(frame).collect()) == sorted(want)
+    assert sum(len(r.terms) for r in privacy.find_spans(frame).collect()) == 6
+
+
 def test_redaction_of_overlaps():
     assert privacy.redact("ab cd ef", [("ip", 0, 5), ("card", 3, 8)], []) == "[IP]"
     assert privacy.redact("ab c1 ef", [], [(3, 5, False)]) == "ab [NUMBER] ef"
