@@ -183,7 +183,16 @@ def _mark(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(term, documents that have it) for the terms whose bit is set; partial counts."""
+    """(term, documents that have it) for the terms whose bit is set; partial counts, which are added up
+    over the slices of a task in bounded memory."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        terms, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(terms, kind="stable")
+        turn = np.flatnonzero(np.concatenate(([True], terms[order][1:] != terms[order][:-1])))
+        return terms[order][turn], np.add.reduceat(n[order], turn)
+
     for batch in at.slices(batches, "text"):
         codes, row, *_ = _words(batch.column("text"))
         ok = np.flatnonzero(bitmap[(codes & np.uint64((1 << BITS) - 1)).astype(np.int64)])
@@ -191,6 +200,14 @@ def _count_terms(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Itera
             continue
         pairs = np.unique(np.stack((codes[ok], row[ok].astype(np.uint64)), 1), axis=0)
         terms, count = np.unique(pairs[:, 0], return_counts=True)
+        held.append((terms, count))
+        if sum(len(x) for x, _ in held) > 1 << 20:
+            held[:] = [added()]
+            if len(held[0][0]) > 1 << 19:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1], pa.int64())], ["term", "n"])
+                held.clear()
+    if held:
+        terms, count = added()
         yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(count, pa.int64())], ["term", "n"])
 
 
@@ -224,6 +241,10 @@ def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     counts = pairs.groupBy("entity", "term", "pair").agg(F.count("*").alias("support"), F.sum("n").alias("both")).observe(tested, F.count(F.lit(1)).alias("n"))
     candidates = written(counts.where(F.col("support") >= support), "private-pairs")
     nothing = F.array().cast(TERMS)
+    # p(t) is at least p(t, c), so PMI is at most IC: pairs without enough evidence at that need no count of their term
+    most = F.log(F.lit(n_docs) / F.col("n_entity"))
+    enough = math.log(max(1, tested.get["n"]) / chance)
+    candidates = candidates.join(entities, "entity").where(F.col("support") * (most - 1 + F.exp(-most)) >= enough - 1e-6)
     terms_of = _bitmap(candidates, "term")
     if not terms_of.any():
         return found.select("doc_id", "text_key", "base", nothing.alias("terms"))
@@ -234,8 +255,8 @@ def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     share = F.when(bits_of(F.col("n_entity")) > 0, pmi / bits_of(F.col("n_entity"))).otherwise(0.0)
     nats = pmi * math.log(2)
     evidence = F.col("support") * (nats - 1 + F.exp(-nats))
-    likely = evidence >= math.log(max(1, tested.get["n"]) / chance)
-    risky = candidates.join(counted, "term").join(entities, "entity").withColumn("share", share).where((F.col("share") >= generalise) & likely)
+    likely = evidence >= enough
+    risky = candidates.join(counted, "term").withColumn("share", share).where((F.col("share") >= generalise) & likely)
     risky = written(risky.select("entity", "pair", (F.col("share") >= remove).alias("removed")), "private-terms")
     marked = spark.sparkContext.broadcast(_bitmap(risky, "pair"))
     owners = near.join(risky.select("entity").distinct(), "entity").groupBy("row").agg(F.collect_list("entity").alias("own"))
