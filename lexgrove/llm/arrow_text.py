@@ -7,6 +7,7 @@ turn a slice into numpy arrays: bytes, document offsets, word bounds and 64-bit
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -91,50 +92,93 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
-_BASE = U64(0xD1342543DE82EF95)
-_BACK = U64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
+#: Bytes up to which a word is read in eights; a longer one is hashed by the library.
+LONG = 64
+_EIGHTS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    """Powers 0 to n-1 of a base modulo 2**64; kept and extended."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[int(base)] = have
-    return have[:n]
+def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Codes of two parts after each other. The shift makes it no polynomial, so words or runs of a pattern (as the
+    Thue-Morse word and its complement) don't meet in one code."""
+    x = left * U64(0xD1342543DE82EF95)
+    x += right
+    x ^= x >> U64(32)
+    x *= U64(0xAEF17502108EF2D9)
+    return x
 
 
 class Runs:
-    """Codes of runs of tokens, each in constant time: prefix sums of a polynomial modulo 2**64."""
+    """Codes of runs of tokens. A level holds the code of every 2**j tokens, made of two of the level below; a run's code
+    joins the levels of its length's bits, from the highest down."""
 
-    def __init__(self, tokens: np.ndarray):
-        """tokens: 64-bit codes."""
-        self.sums = np.zeros(len(tokens) + 1, np.uint64)
-        np.cumsum(tokens * _power(_BASE, len(tokens)), out=self.sums[1:])
+    def __init__(self, *levels: np.ndarray):
+        """levels: 64-bit codes of tokens, and of all runs of 2, 4, ... of them, if known."""
+        self.levels = list(levels)
+
+    def _level(self, j: int) -> np.ndarray:
+        while len(self.levels) <= j:
+            last, half = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(join(last[:-half], last[half:]) if len(last) > half else last[:0])
+        return self.levels[j]
 
     def codes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit codes of tokens[start:end] for each pair; equal runs have equal codes."""
-        back = _power(_BACK, len(self.sums))
-        return mix((self.sums[ends] - self.sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _STEP)
+        length = ends - starts
+        out, at_ = np.zeros(len(starts), np.uint64), starts.astype(np.int64)
+        for j in range(int(length.max(initial=0)).bit_length() - 1, -1, -1):
+            on = np.flatnonzero(length >> j & 1)
+            part = self._level(j)[at_[on]] if len(on) else out[:0]
+            out[on] = np.where(length[on] >> (j + 1) > 0, join(out[on], part), part)
+            at_[on] += 1 << j
+        return mix(out + length.astype(np.uint64) * _STEP)
 
     def rolling(self, width: int) -> np.ndarray:
         """Codes of all runs of ``width`` tokens."""
-        n = len(self.sums) - width
+        n = len(self.levels[0]) - width + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[width:] - self.sums[:n]) * _power(_BACK, len(self.sums))[:n] + U64(width * int(_STEP) & (1 << 64) - 1))
+        out, at_ = None, 0
+        for j in range(width.bit_length() - 1, -1, -1):
+            if width >> j & 1:
+                part = self._level(j)[at_ : at_ + n]
+                out = part if out is None else join(out, part)
+                at_ += 1 << j
+        return mix(out + U64(width * int(_STEP) & (1 << 64) - 1))
+
+
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; zeros follow the last."""
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    return np.ndarray((len(raw),), "<u8", padded.data, strides=(1,)).copy()
+
+
+class ByteRuns(Runs):
+    """Runs of bytes: up to eight of them are their own code."""
 
+    def __init__(self, raw: np.ndarray):
+        self.size, eights = len(raw), _eights(raw)
+        super().__init__(eights, eights, eights, eights[: max(0, len(raw) - 7)])
 
-def byte_runs(raw: np.ndarray) -> Runs:
-    return Runs(BYTE_CODES[raw])
+    def _level(self, j: int) -> np.ndarray:
+        own = super()._level(j)
+        return own if j > 2 else own[: max(0, self.size - (1 << j) + 1)] & _EIGHTS[1 << j]
 
 
 def word_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit codes of the words raw[start:end]."""
-    return byte_runs(raw).codes(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    eights, length = _eights(raw), ends - starts
+    out = join(length.astype(np.uint64), eights[starts] & _EIGHTS[np.minimum(length, 8)])
+    on = np.flatnonzero((length > 8) & (length <= LONG))
+    for done in range(8, LONG, 8):
+        on = on[length[on] > done]
+        if not len(on):
+            break
+        out[on] = join(out[on], eights[starts[on] + done] & _EIGHTS[np.minimum(length[on] - done, 8)])
+    for i in np.flatnonzero(length > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(out)
 
 
 def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -58,7 +58,7 @@ def _runs(batch: pa.RecordBatch, threshold: int, digit: int) -> tuple[np.ndarray
     """Documents' bounds, and of each run: place, number of strings, the codes of its lead, of all its bytes, and of the
     lead's sides."""
     raw, offsets = at.flat(batch.column("text"))
-    maker = at.byte_runs(raw)
+    maker = at.ByteRuns(raw)
     if len(raw) < threshold:
         none = np.zeros(0, np.int64)
         return offsets, none, none, none.astype(np.uint64), none.astype(np.uint64), np.zeros((0, 2), np.uint16)
@@ -131,7 +131,7 @@ def _windows(texts: list[pa.RecordBatch], place: np.ndarray, size: np.ndarray, t
         own = np.flatnonzero((place >= begin) & (place < begin + len(raw)))
         if len(own):
             start = at.expand(place[own].astype(np.int64) - begin, size[own].astype(np.int64))
-            codes.append(at.byte_runs(raw).codes(start, start + threshold))
+            codes.append(at.ByteRuns(raw).codes(start, start + threshold))
             places.append(start + begin)
         begin += len(raw)
     return np.concatenate(places), np.concatenate(codes)

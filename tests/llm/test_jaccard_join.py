@@ -73,7 +73,7 @@ def test_components_equal_brute_force(spark, seed, probes, rows, stretch):
 def test_no_bucket_has_the_settled_tokens_of_many_stretches(spark):
     texts = [" ".join(f"w{k}" for k in range(40))] * 2 + [" ".join(f"w{k}" for k in range(38))] * 2
     frame = r.prepared(spark.createDataFrame([(i, texts[i % 4]) for i in range(1600)], "doc_id long, text string").repartition(8), "doc_id", "text")
-    rows = frame.mapInArrow(lambda b: jaccard_join._scan_all(b, 5, 64, 1500), r.ROW)
+    rows = frame.mapInArrow(lambda b: jaccard_join._scan(b, 5, 64, 1500), r.ROW)
     for kind in (jaccard_join.SHARED, r.TABLE):
         held = [x.n for x in rows.where(F.col("kind") == kind).groupBy("bucket").agg(F.count_distinct("stretch").alias("n")).collect()]
         assert sum(held) >= 50 and max(held) <= 0.15 * sum(held)

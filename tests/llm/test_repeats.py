@@ -85,7 +85,7 @@ def test_leads_and_codes():
     rng = random.Random(1)
     text = bytes(rng.choice(b"ab") for _ in range(400))
     raw, _ = arrow_text.flat(pa.array([text.decode()]))
-    codes = arrow_text.byte_runs(raw).rolling(3)
+    codes = arrow_text.ByteRuns(raw).rolling(3)
     for width in (1, 2, 3, 7, 26):
         got = leads(codes, width)
         assert len(got) == len(codes) - width + 1
