@@ -242,6 +242,7 @@ def _within(table: pa.Table, percent: int) -> pa.Table:
                 a.append(nodes[rows[who]])
                 b.append(nodes[rows[to[who]]])
                 linked.append(np.full(len(who), link))
+    at.release()
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "linked": np.concatenate(linked)})
 
 
@@ -339,11 +340,13 @@ def _open(members: pa.Table, asks: pa.Table, percent: int) -> pa.Table:
                 both = postings.overlaps(tokens[end - count : end])
                 hit = (100 * both >= percent * (size[own] + n[row] - both)) & (of[own] != label[row])
                 links.update((int(label[row]), x) for x in np.unique(of[own[hit]]).tolist())
+        del index, own, postings
+        at.release()
     a, b = zip(*links, strict=True) if links else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, probes: int = 4, group_rows: int = 1000, group_tokens: int = 1 << 20, query_rows: int = 2000, stretch: int = r.STRETCH_BYTES // 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, probes: int = 4, group_rows: int = 1000, group_tokens: int = 1 << 19, query_rows: int = 500, stretch: int = r.STRETCH_BYTES // 2) -> DataFrame:
     """For each row: doc_id, text_key (hash of the text), n_shingles, set_key (hash of the set; null if empty),
     component_id (the smallest doc_id of its component) and label (a number of the component; null if the row has no id
     or no words)."""
