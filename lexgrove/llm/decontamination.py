@@ -2,7 +2,8 @@
 
 A test string is a run of ``n`` consecutive words of a benchmark item, or a whole item of fewer words. Strings of equal
 length share one index: a SHIFT table over blocks of two words says how far a cursor may skip, a suffix-hash bucket
-selects the strings that may end at a cursor which may not skip, and comparing all words confirms an occurrence.
+selects the strings that may end at a cursor which may not skip, and comparing all words confirms an occurrence: by their
+codes first, then by their bytes with those of the benchmark's words.
 Cursors of many stretches of text advance side by side in numpy, so each step of the search is one vector operation.
 
 The documents are read once and never shuffled. The test strings are split into blocks of bounded size; each block is
@@ -17,11 +18,14 @@ from __future__ import annotations
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, LongType
 
 from . import arrow_text as at
 from .shared_folder import written
@@ -33,31 +37,49 @@ LANE = 256
 RANGES = "array<struct<begin: long, end: long>>"
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all words, and each text's first word (one more than texts)."""
-    raw, offsets = at.flat(texts)
-    raw = at.LOWER[raw]
-    starts, ends, first = at.word_bounds(raw, offsets, APART)
-    return at.word_codes(raw, starts, ends), first
+@dataclass
+class Words:
+    """All words of some texts: bytes, starts and ends, codes, and each text's first word (one more than texts)."""
+
+    raw: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    codes: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        raw, offsets = at.flat(texts)
+        raw = at.LOWER[raw]
+        starts, ends, first = at.word_bounds(raw, offsets, APART)
+        return cls(raw, starts, ends, at.word_codes(raw, starts, ends), first)
+
+    def same(self, own: np.ndarray, other: Words, others: np.ndarray) -> np.ndarray:
+        """Whether the words of the given numbers have the same bytes as the other's."""
+        size = self.ends[own] - self.starts[own]
+        good = size == other.ends[others] - other.starts[others]
+        size[~good] = 1
+        differ = self.raw[at.expand(self.starts[own], size)] != other.raw[at.expand(other.starts[others], size)]
+        return good & ~np.logical_or.reduceat(differ, np.cumsum(size) - size) if len(own) else good
 
 
 class WuManber:
-    """The index of test strings of one length."""
+    """The index of test strings of one length: strings begin at words ``begin`` of the benchmark's, and belong to items."""
 
-    def __init__(self, strings: np.ndarray, owners: list[list[str]]):
-        """strings: one row of word codes each, distinct; owners: the items that have each."""
-        self.length = strings.shape[1]
-        self.block = min(2, self.length)
-        size = 1 << int(np.clip(np.ceil(np.log2(8 * strings.size + 64)), 10, 24))
+    def __init__(self, words: np.ndarray, begin: np.ndarray, length: int, owners: np.ndarray, bounds: np.ndarray):
+        """words: the benchmark's codes; owners[bounds[i]:bounds[i + 1]]: the items that have the i-th string."""
+        self.length, self.words = length, words
+        self.block = min(2, length)
+        size = 1 << int(np.clip(np.ceil(np.log2(8 * len(begin) * length + 64)), 10, 24))
         self.mask = np.uint64(size - 1)
-        self.shift = np.full(size, self.length - self.block + 1, np.int16)
-        for last in range(self.block - 1, self.length):
-            keys = self._key(strings[:, last], strings[:, last - 1] if self.block == 2 else None)
-            np.minimum.at(self.shift, keys, np.int16(self.length - 1 - last))
-        suffix = self._key(strings[:, -1], strings[:, -2] if self.block == 2 else None)
-        order = np.argsort(suffix, kind="stable")
-        self.strings, self.owners = strings[order], [owners[i] for i in order]
-        self.bucket = np.searchsorted(suffix[order], np.arange(size + 1)).astype(np.int32)
+        self.shift = np.full(size, length - self.block + 1, np.int16)
+        key = lambda last: self._key(words[begin + last], words[begin + last - 1] if self.block == 2 else None)
+        for last in range(self.block - 1, length):
+            np.minimum.at(self.shift, key(last), np.int16(length - 1 - last))
+        suffix = key(length - 1)
+        self.order = np.argsort(suffix, kind="stable")
+        self.begin, self.owners, self.bounds = begin, owners, bounds
+        self.bucket = np.searchsorted(suffix[self.order], np.arange(size + 1)).astype(np.int32)
 
     def _key(self, last: np.ndarray, before: np.ndarray | None) -> np.ndarray:
         code = last if before is None else at.mix(last + before * np.uint64(0x9E3779B97F4A7C15))
@@ -83,46 +105,74 @@ class WuManber:
             cursor = cursor + np.maximum(skip, 1)
         end, key = np.concatenate(ends), np.concatenate(keys)
         count = self.bucket[key + 1] - self.bucket[key]
-        string = at.expand(self.bucket[key].astype(np.int64), count)
+        string = self.order[at.expand(self.bucket[key].astype(np.int64), count)]
         end = np.repeat(end, count)
         for back in range(self.length):  # from the first word on, which is the cheaper test: the last block is known
-            same = words[end - self.length + 1 + back] == self.strings[string, back]
+            same = words[end - self.length + 1 + back] == self.words[self.begin[string] + back]
             end, string = end[same], string[same]
         return end, string
 
 
-def build_index(items: list[tuple[str, str | None]], n: int) -> list[WuManber]:
-    """The indexes of the items' test strings, one for each length."""
-    found: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-    codes, first = _words(pa.array([t for _, t in items], pa.string()))
-    for i, (item, _) in enumerate(items):
-        own = codes[first[i] : first[i + 1]]
-        width = min(n, len(own))
-        for k in range(len(own) - width + 1 if width else 0):
-            found[width][own[k : k + width].tobytes()].add(item)
-    return [WuManber(np.array([np.frombuffer(k, np.uint64) for k in strings]), [sorted(v) for v in strings.values()]) for _, strings in sorted(found.items())]
-
-
-def _scan(batches: Iterator[pa.RecordBatch], index: list[WuManber], schema: pa.Schema, key: str = "doc_id") -> Iterator[pa.RecordBatch]:
+class Index:
+    """The indexes of some items' test strings, one for each length."""
+
+    def __init__(self, items: list[tuple[str, str | None]], n: int):
+        self.names = [name for name, _ in items]
+        self.words = Words.of(pa.array([t for _, t in items], pa.string()))
+        codes, first = self.words.codes, self.words.first
+        by = np.argsort(codes, kind="stable")
+        turn = np.flatnonzero(np.concatenate(([True], codes[by][1:] != codes[by][:-1]))) if len(by) else by
+        if not self.words.same(by, self.words, by[np.repeat(turn, np.diff(np.append(turn, len(by))))]).all():
+            raise ValueError("two words of the benchmark have one code")
+        runs, count = at.Runs(codes), np.diff(first)
+        width = np.minimum(count, n)
+        self.parts = []
+        for length in np.unique(width[width > 0]).tolist():
+            own = np.flatnonzero(width == length)
+            begin = at.expand(first[own], count[own] - length + 1)
+            item = np.repeat(own, count[own] - length + 1)
+            code = runs.codes(begin, begin + length)
+            order = np.lexsort((item, code))
+            begin, item, code = begin[order], item[order], code[order]
+            new = np.ones(len(code), bool)
+            new[1:] = (code[1:] != code[:-1]) | np.any([codes[begin[1:] + k] != codes[begin[:-1] + k] for k in range(length)], axis=0)
+            turn = np.flatnonzero(new)
+            self.parts.append(WuManber(codes, begin[turn], length, item, np.append(turn, len(item))))
+
+    def occurrences(self, words: Words) -> Iterator[tuple[WuManber, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length: the index, and of each occurrence its first word, its text and its string."""
+        for part in self.parts:
+            end, string = part.search(words.codes)
+            begin = end - part.length + 1
+            row = np.searchsorted(words.first, end, "right") - 1
+            whole = words.first[row] <= begin  # a string doesn't cross documents
+            begin, row, string = begin[whole], row[whole], string[whole]
+            step = np.arange(part.length)
+            own, at_ = np.unique((begin[:, None] + step).reshape(-1), return_index=True)
+            theirs = (part.begin[string][:, None] + step).reshape(-1)[at_]
+            wrong = own[~words.same(own, self.words, theirs)]
+            if len(wrong):  # words of one code that differ
+                true = np.searchsorted(wrong, begin) == np.searchsorted(wrong, begin + part.length)
+                begin, row, string = begin[true], row[true], string[true]
+            yield part, begin, row, string
+
+
+def _scan(batches: Iterator[pa.RecordBatch], index: Index, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in at.slices(batches, "text"):
-        words, first = _words(batch.column("text"))
-        cover = np.zeros(len(words) + 1, np.int64)
+        words = Words.of(batch.column("text"))
+        first = words.first
+        cover = np.zeros(len(words.codes) + 1, np.int64)
         items: dict[int, set[str]] = defaultdict(set)
-        for part in index:
-            end, string = part.search(words)
-            begin = end - part.length + 1
-            row = np.searchsorted(first, end, "right") - 1
-            whole = first[row] <= begin  # a string doesn't cross documents
-            begin, end, row, string = begin[whole], end[whole], row[whole], string[whole]
+        for part, begin, row, string in index.occurrences(words):
             np.add.at(cover, begin, 1)
-            np.add.at(cover, end + 1, -1)
+            np.add.at(cover, begin + part.length, -1)
             for r, s in set(zip(row.tolist(), string.tolist(), strict=True)):
-                items[r].update(part.owners[s])
+                items[r].update(index.names[i] for i in part.owners[part.bounds[s] : part.bounds[s + 1]].tolist())
         hit = np.cumsum(cover[:-1]) > 0
         turn = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
         begin, end = turn[::2], turn[1::2]
         # a run of hit words may go on over the end of a document
-        cuts = first[(first > 0) & (first < len(words))]
+        cuts = first[(first > 0) & (first < len(words.codes))]
         cuts = np.unique(cuts[hit[cuts] & hit[cuts - 1]]) if len(cuts) else cuts
         begin, end = np.sort(np.concatenate((begin, cuts))), np.sort(np.concatenate((end, cuts)))
         row = np.searchsorted(first, begin, "right") - 1
@@ -131,7 +181,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: list[WuManber], schema: pa.S
             spans[r].append((b, e))
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(key),
+                batch.column(schema.names[0]),
                 pa.array(np.diff(first), pa.int64()),
                 pa.array([[{"begin": b, "end": e} for b, e in spans.get(i, ())] for i in range(batch.num_rows)], schema.field("hits").type),
                 pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string())),
@@ -140,23 +190,23 @@ def _scan(batches: Iterator[pa.RecordBatch], index: list[WuManber], schema: pa.S
         )
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """For each document: doc_id, n_words, hits (disjoint ranges of hit words, end exclusive) and items (ids as strings, sorted).
 
-    block_bytes: text of the items whose strings are indexed and broadcast together; more text makes more blocks, each
+    block_bytes: text of the items whose strings are indexed (in the driver, in arrays of about ten times that) and broadcast together; more text makes more blocks, each
     with a scan of the documents, which are then written once with numbers of their rows. An item stands whole in one
     block. The result is the same for every number of blocks.
     """
     spark = docs.sparkSession
     indexes = _indexes(benchmark, item_id, item_text, n, block_bytes)
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    id_type = read.schema["doc_id"].dataType.simpleString()
+    id_type = read.schema["doc_id"].dataType
     out = f"n_words long, hits {RANGES}, items array<string>"
     first = next(indexes)
     second = next(indexes, None)
     if second is None:
         index = spark.sparkContext.broadcast(first)
-        return read.mapInArrow(lambda batches: _scan(batches, index.value, _schema("doc_id", id_type)), f"doc_id {id_type}, {out}")
+        return read.mapInArrow(lambda batches: _scan(batches, index.value, _schema("doc_id", id_type)), f"doc_id {id_type.simpleString()}, {out}")
     # rows are numbered once, as ids may repeat or be null; every block's scan reads the same numbers
     rows = written(read.withColumn("row", F.monotonically_increasing_id()), "numbered")
     results = []
@@ -164,7 +214,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "
         index = spark.sparkContext.broadcast(built)
 
         def scan(batches, index=index):
-            return _scan(batches, index.value, _schema("row", "bigint"), "row")
+            return _scan(batches, index.value, _schema("row", LongType()))
 
         own = rows.select("row", "text").mapInArrow(scan, f"row long, {out}")
         results.append(own.where(F.size("hits") > 0) if results else own)
@@ -186,38 +236,34 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "
     return rows.select("row", "doc_id").join(every.withColumn("hits", joined), "row").select("doc_id", "n_words", "hits", "items")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """The documents in which no test string occurs, with all their columns."""
     for built in _indexes(benchmark, item_id, item_text, n, block_bytes):
         index = docs.sparkSession.sparkContext.broadcast(built)
 
         def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in at.slices(batches, text):
-                words, first = _words(batch.column(text))
                 clean = np.ones(batch.num_rows, bool)
-                for part in index.value:
-                    end, _ = part.search(words)
-                    row = np.searchsorted(first, end, "right") - 1
-                    clean[row[first[row] <= end - part.length + 1]] = False
+                for _, _, row, _ in index.value.occurrences(Words.of(batch.column(text))):
+                    clean[row] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs
 
 
-def _indexes(benchmark: DataFrame, item_id: str, item_text: str, n: int, block_bytes: int) -> Iterator[list[WuManber]]:
+def _indexes(benchmark: DataFrame, item_id: str, item_text: str, n: int, block_bytes: int) -> Iterator[Index]:
     """The index of each block of items."""
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("string").alias("words"))
     total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     for block in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block)
-        yield build_index([(r.item, r.words) for r in own.toLocalIterator()], n)
+        yield Index([(r.item, r.words) for r in own.toLocalIterator()], n)
 
 
-def _schema(key: str, id_type: str) -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    return pa.schema([(key, kinds[id_type]), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+def _schema(key: str, kind: DataType) -> pa.Schema:
+    return pa.schema([(key, to_arrow_type(kind)), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
 def n_hit(hits: str = "hits"):

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from lexgrove.llm import decontamination
 from lexgrove.llm.decontamination import find_contamination, n_hit
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -61,3 +62,10 @@ def test_empty_tables(spark, empty, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_contamination(empty, none).count() == 0
     assert {len(r["items"]) for r in find_contamination(docs, none).collect()} == {0}
+
+
+def test_words_are_compared_by_their_bytes():
+    of = lambda *texts: decontamination.Words.of(decontamination.pa.array(texts))
+    bench, docs = of("red fox sat", "solo"), of("x RED fox sat y red fox ran", "solo solos")
+    pairs = decontamination.np.array([(1, 0), (2, 1), (3, 2), (7, 2), (8, 3), (9, 3)])
+    assert docs.same(pairs[:, 0], bench, pairs[:, 1]).tolist() == [True, True, True, False, True, False]
