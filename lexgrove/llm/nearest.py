@@ -9,10 +9,12 @@ probability of at most 1 - ``confidence``. So each true neighbour is found with
 The tree is distributed: its upper splits come from a bounded sample (``sample`` vectors, chosen by a hash of the id) and
 send every vector to one of at most ``max_blocks`` blocks; each block has the lower levels of its own. A query first
 searches its home block, which gives it a k-th best distance, and then only the blocks whose boxes the stopping test
-doesn't rule out. Queries of a block go in chunks of bounded size. Inside a block, waves of queries visit their next
-nearest bucket of points together, as one matrix product.
+doesn't rule out. A block of many points goes in parts and its queries in chunks, both of bounded size. Inside a block, waves of
+queries visit their next nearest bucket of points together, as one matrix product; points that may be as near as the
+k-th best, but for rounding, are compared by their exact cosine and then by id.
 
-Equal vectors are one point with its k + 1 smallest ids, so copies cost nothing and no group of them meets in one task.
+Vectors are scaled by a power of two, which changes no cosine, so their squares neither overflow nor vanish. Vectors that
+are equal then are one point with its k + 1 smallest ids, so copies cost nothing and no group of them meets in one task.
 Vectors that are null, zero, of another dimension than most of the sample, or that hold null or non-finite components
 take no part, as queries or as candidates. Ties go to the smaller id; with fewer than k candidates all are returned.
 A repeated id counts once for each different vector: as a candidate, and as a query with ranks of its own; none of its
@@ -30,9 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import arrow_text as at
 from .shared_folder import written
 
 
+#: More than products of unit vectors may be wrong by.
+ROUNDING = 1e-12
+
+
 def chi_square_quantile(p: float, freedom: int) -> float:
     """For an even number of degrees of freedom, by bisection of the closed form of the distribution."""
     tail = lambda x: math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(freedom // 2))
@@ -93,7 +100,7 @@ class Block:
     """The tree's lower levels: buckets of at most ``bucket`` points with tight boxes, and a search over them."""
 
     def __init__(self, vectors: np.ndarray, matrix: np.ndarray, bucket: int = 256):
-        self.units = units(vectors)
+        self.vectors, self.units = vectors, units(vectors)
         self.points = self.units @ matrix
         order, bounds = [], [0]
         todo = [np.arange(len(vectors))]
@@ -112,36 +119,40 @@ class Block:
         self.low = np.stack([self.points[a:b].min(axis=0) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
         self.high = np.stack([self.points[a:b].max(axis=0) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
 
-    def search(self, queries: np.ndarray, matrix: np.ndarray, k: int, stop: float, known: np.ndarray, barred: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers (-1: none) and squared distances of the k best of each query. known: squared distances that are bounds
-        on each query's k-th best already. stop: the quantile of the stopping test. barred: which points are none of
-        the queries' candidates, for numbers of queries and of points."""
+    def search(self, queries: np.ndarray, matrix: np.ndarray, k: int, stop: float, known: np.ndarray, least: np.ndarray, barred: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (-1: none) and cosines of the k best of each query, nearest first, then by ``least`` (an id of each point).
+        known: squared distances that are bounds on each query's k-th best already. stop: the quantile of the stopping
+        test. barred: which points are none of the queries' candidates, for numbers of queries and of points."""
         unit = units(queries)
         point = unit @ matrix
         n, m = len(queries), len(self.low)
         gap = np.maximum(np.maximum(self.low[None] - point[:, None], point[:, None] - self.high[None]), 0)
         reach = (gap * gap).sum(axis=2)
         turn = np.argsort(reach, axis=1)
-        best, who = np.full((n, k), np.inf), np.full((n, k), -1)
+        best, who = np.full((n, k), -np.inf), np.full((n, k), -1)
         open_ = np.arange(n)
         for wave in range(m):
-            bound = np.minimum(best[open_, -1], known[open_]) * stop
+            bound = np.minimum(2 - 2 * best[open_, -1], known[open_]) * stop + ROUNDING
             open_ = open_[reach[open_, turn[open_, wave]] <= bound]
             if not len(open_):
                 break
             at_ = turn[open_, wave]
             for b in np.unique(at_):
                 own = open_[at_ == b]
-                start, end = self.bounds[b], self.bounds[b + 1]
-                distance = np.maximum(2 - 2 * (unit[own] @ self.units[start:end].T), 0)
-                out = barred(own, self.order[start:end])
-                distance[out] = np.inf
-                every = np.concatenate((best[own], distance), axis=1)
-                names = np.concatenate((who[own], np.where(out, -1, self.order[start:end])), axis=1)
-                pick = np.argpartition(every, k - 1, axis=1)[:, :k] if every.shape[1] > k else np.broadcast_to(np.arange(k), (len(own), k))
-                every, names = np.take_along_axis(every, pick, 1), np.take_along_axis(names, pick, 1)
-                sort = np.argsort(every, axis=1, kind="stable")
-                best[own], who[own] = np.take_along_axis(every, sort, 1), np.take_along_axis(names, sort, 1)
+                names = self.order[self.bounds[b] : self.bounds[b + 1]]
+                distance = 2 - 2 * (unit[own] @ self.units[self.bounds[b] : self.bounds[b + 1]].T)
+                distance[barred(own, names)] = np.inf
+                every = np.concatenate((2 - 2 * best[own], distance), axis=1)
+                limit = np.partition(every, k - 1, axis=1)[:, k - 1] + ROUNDING
+                q, p = np.nonzero((distance <= limit[:, None]) & (distance < np.inf))
+                # those that were held and those that may be as near, in the order that counts
+                q = np.concatenate((np.repeat(np.arange(len(own)), k), q))
+                p = np.concatenate((who[own].reshape(-1), names[p]))
+                score = np.concatenate((best[own].reshape(-1), cosines(queries[own[q[len(own) * k :]]], self.vectors[p[len(own) * k :]])))
+                sort = np.lexsort((np.where(p >= 0, least[p], np.iinfo(np.int64).max), -score, q))
+                place = np.arange(len(q)) - np.searchsorted(q[sort], q[sort])
+                keep = sort[place < k]
+                best[own], who[own] = score[keep].reshape(-1, k), p[keep].reshape(-1, k)
         return who, best
 
 
@@ -151,34 +162,37 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    rows = [x.as_buffer() for x in column]
-    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
-
-
-def nearest(vectors: DataFrame, query: Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, axes: int = 8, confidence: float = 0.97, sample: int = 20_000, block_rows: int = 4096, max_blocks: int = 1 << 16, chunk: int = 20_000, seed: int = 11) -> DataFrame:
+    raw = [x.as_buffer() for x in column]
+    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1) if raw else np.zeros((0, 1))
+
+
+def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors that take part, as bytes: scaled so that the largest component is from 0.5 to 1."""
+    for batch in batches:
+        lists = batch.column("v")
+        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null: not a number
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        rows = np.flatnonzero(np.diff(bounds))
+        start, size = bounds[rows] - bounds[0], np.diff(bounds)[rows]
+        top = np.maximum.reduceat(np.abs(values), start) if len(rows) else np.zeros(0)
+        good = np.isfinite(top) & (top > 0)
+        rows, start, size, top = rows[good], start[good], size[good], top[good]
+        # in two steps, as the power itself may be out of range; -0.0 and 0.0 are one value
+        power = np.repeat(-np.frexp(top)[1], size)
+        scaled = np.ldexp(np.ldexp(values[at.expand(start, size)], power // 2), power - power // 2) + 0.0
+        ends = np.concatenate(([0], np.cumsum(8 * size)))
+        vec = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(scaled)]).cast(pa.binary())
+        keep = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(keep), batch.column("asks").take(keep), vec], ["vec_id", "asks", "vec"])
+
+
+def nearest(vectors: DataFrame, query: Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, axes: int = 8, confidence: float = 0.97, sample: int = 20_000, block_rows: int = 4096, max_blocks: int = 1 << 16, chunk: int = 4096, seed: int = 11) -> DataFrame:
     """For the rows where ``query`` holds: query_id, rank (from 1), vec_id, score (cosine), among all other rows."""
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
     components = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), components.alias("v"), F.coalesce(query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The vectors that take part, as bytes."""
-        for batch in batches:
-            ids, out = [], []
-            for i, v in enumerate(batch.column("v")):
-                values = v.values
-                if values.null_count or not len(values):
-                    continue
-                x = values.to_numpy()
-                with np.errstate(over="ignore", under="ignore"):
-                    square = float((x * x).sum())
-                if np.isfinite(square) and square > 0:
-                    ids.append(i)
-                    out.append((x + 0.0).tobytes())  # -0.0 and 0.0 are one value
-            keep = pa.array(ids, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(keep), batch.column("asks").take(keep), pa.array(out, pa.binary())], ["vec_id", "asks", "vec"])
-
     valid = written(rows.mapInArrow(encode, "vec_id long, asks boolean, vec binary"), "vectors")
     sizes = valid.groupBy(F.octet_length("vec").alias("b")).count().orderBy(F.desc("count"), "b").limit(1).collect()
     if not sizes:
@@ -210,6 +224,8 @@ def nearest(vectors: DataFrame, query: Column, *, vec_id: str = "vec_id", vector
     asked = written(asking.join(several, "vec_id", "left"), "vector-asked")
     queries = written(index.select("block", "vec").join(asked.select("vec", "skip").distinct(), "vec").select("block", F.monotonically_increasing_id().alias("key"), "vec", "skip"), "vector-queries")
 
+    parts = index.groupBy("block").agg(F.ceil(F.count("*") / (4 * block_rows)).cast("int").alias("parts"))
+
     def look(key: tuple, points: pa.Table, asks: pa.Table) -> pa.Table:
         _, m = shared.value
         names = ["key", "vec", "skip", "bound", "found"]
@@ -224,19 +240,30 @@ def nearest(vectors: DataFrame, query: Column, *, vec_id: str = "vec_id", vector
         ids, skips = points["ids"].to_pylist(), asks["skip"].to_pylist()
         single, only = np.array([len(x) == 1 for x in ids]), np.array([x[0] for x in ids])
         skipping, skip = np.array([x is not None for x in skips]), np.array([x or 0 for x in skips])
-        who, best = Block(vectors_, m).search(wanted, m, k + 1, stop, known, lambda q, p: skipping[q, None] & single[p] & (only[p] == skip[q, None]))
+        who, best = Block(vectors_, m).search(wanted, m, k + 1, stop, known, only, lambda q, p: skipping[q, None] & single[p] & (only[p] == skip[q, None]))
         own, place_ = np.nonzero(who >= 0)
         hit = who[own, place_]
-        scores = cosines(wanted[own], vectors_[hit])
+        scores = best[own, place_]
         found: list[list[dict]] = [[] for _ in range(len(wanted))]
         for q, h, s in zip(own.tolist(), hit.tolist(), scores.tolist(), strict=True):
             found[q] += [{"score": s, "vec_id": i} for i in ids[h] if i != skips[q]]
         found = [sorted(f, key=lambda x: (-x["score"], x["vec_id"]))[: k + 1] for f in found]
-        return pa.Table.from_arrays([*same, pa.array(np.minimum(known, best[:, -1])), pa.array(found, FOUND)], names)
+        return pa.Table.from_arrays([*same, pa.array(np.minimum(known, 2 - 2 * best[:, -1])), pa.array(found, FOUND)], names)
 
     FOUND = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())]))
     looked = "key long, vec binary, skip long, bound double, found array<struct<score: double, vec_id: long>>"
-    home = written(index.groupBy("block").cogroup(queries.withColumn("bound", F.lit(float("inf"))).groupBy("block")).applyInArrow(look, looked), "vector-home")
+
+    def searched(asks: DataFrame, name: str) -> DataFrame:
+        """Each query against its block: cells of a part of the block's points and a chunk of its queries."""
+        cells = written(asks.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).join(parts, "block"), f"{name}-cells")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        points = index.join(cells, "block").select("block", "vec", "ids", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int").alias("part"), every("chunks").alias("chunk"))
+        dealt = asks.join(cells, "block").select(*asks.columns, F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int").alias("chunk"), every("parts").alias("part"))
+        key = ["block", "part", "chunk"]
+        return written(points.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(look, looked), name)
+
+    home = searched(queries.withColumn("bound", F.lit(float("inf"))), "vector-home")
+    known = home.groupBy("key").agg(F.first("vec").alias("vec"), F.first("skip").alias("skip"), F.min("bound").alias("bound"))
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The other blocks that the stopping test doesn't rule out."""
@@ -248,17 +275,13 @@ def nearest(vectors: DataFrame, query: Column, *, vec_id: str = "vec_id", vector
             bound = batch.column("bound").to_numpy()
             base = tree.blocks(points)
             for i in range(len(points)):
-                near = np.flatnonzero(tree.reach(points[i]) <= bound[i] * stop)
+                near = np.flatnonzero(tree.reach(points[i]) <= bound[i] * stop + ROUNDING)
                 near = near[near != base[i]]
                 if len(near):
                     yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *(pa.array([batch.column(c)[i].as_py()] * len(near), t) for c, t in (("key", pa.int64()), ("vec", pa.binary()), ("skip", pa.int64()), ("bound", pa.float64())))], ["block", "key", "vec", "skip", "bound"])
 
-    visits = written(home.select("key", "vec", "skip", "bound").mapInArrow(reach, "block int, key long, vec binary, skip long, bound double"), "vector-visits")
-    most = visits.groupBy("block").count().agg(F.max("count")).first()[0] or 0
-    chunks = max(1, -(-most // chunk))
-    dealt = visits.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int"))
-    copies = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    away = copies.groupBy("block", "chunk").cogroup(dealt.groupBy("block", "chunk")).applyInArrow(look, looked)
+    visits = written(known.mapInArrow(reach, "block int, key long, vec binary, skip long, bound double"), "vector-visits")
+    away = searched(visits, "vector-away")
     # at most k + 1 of each visit
     found = home.unionByName(away).select("key", F.explode("found").alias("f")).select("key", "f.*")
     top = found.withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") <= k + 1).groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("top"))

@@ -73,6 +73,25 @@ def test_repeated_rows_and_ids_with_several_vectors(spark):
     assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items()}
 
 
+def test_exact_ties_and_extreme_vectors(spark):
+    rng = np.random.default_rng(6)
+    one = rng.standard_normal(8)
+    multiples = [(i, (one * 2.0 ** rng.integers(-30, 30)).tolist()) for i in range(60)]  # all cosines are exactly 1
+    # multiples that are no powers of two: cosines that differ by rounding alone, in one block and in one bucket
+    near = [(i, (one * (1 + i / 7)).tolist()) for i in range(100, 460)]
+    extreme = [(1000 + i, (rng.standard_normal(8) * s).tolist()) for i, s in enumerate([1e200, 1e-170, 1e300, 5e-320, 1.0] * 30)]
+    for rows, options in ((multiples, {}), (multiples + extreme, {"block_rows": 16}), (near, {"block_rows": 16}), (near + extreme, {"block_rows": 1024})):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        scaled = [(i, (np.array(v) / 2.0 ** np.frexp(np.abs(v).max())[1]).tolist() if np.abs(v).max() > 1e-300 else np.ldexp(v, 1060).tolist()) for i, v in rows]
+        want = {q: [(i, s) for i, s in v] for q, v in brute(scaled).items()}
+        got = {}
+        for r in nearest.nearest(frame, F.col("vec_id") % 50 == 0, confidence=0.9999, **options).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got == want
+        if rows is multiples:
+            assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5]
+
+
 @pytest.mark.parametrize("rows", [[], [(0, None)], [(0, [1.0, 2.0])]])
 def test_nothing_to_find(spark, rows):
     assert run(spark, rows) == {}
