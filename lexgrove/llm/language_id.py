@@ -3,7 +3,7 @@
 A text's features are its byte n-grams (2 to 4 bytes of lower-cased text, everything but letters as white space), hashed
 to ``buckets`` rows of an embedding table; their mean goes through a linear layer and a softmax. Both layers are trained
 together by stochastic gradient descent in numpy, on a bounded sample of labelled documents (``sample``: about so many,
-chosen by a hash of the id; at most twice as many reach the driver, as sparse counts). A part of the sample stays out of
+chosen by a hash of id and text and measured where they are; at most twice as many reach the driver, as sparse counts). A part of the sample stays out of
 training: on it a temperature is fitted that makes the scores probabilities, and the score under which a prediction is
 rejected, so that at most ``lose`` of the right predictions fall under it; it is never above 0.5.
 
@@ -146,7 +146,7 @@ def train(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", la
     if not count:
         return LanguageModel([], np.zeros((buckets + 1, 0), np.float32), np.zeros(0), 1.0, 1.0)
     share = min(1.0, sample / count)
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(2 * sample)
+    chosen = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in at.slices(batches, "text"):
@@ -156,7 +156,9 @@ def train(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", la
             found = [np.unique(p[p < buckets], return_counts=True) for p in parts]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), *(pa.array([zlib.compress(x[k].astype(np.int32).tobytes(), 1) for x in found], pa.binary()) for k in (0, 1))], ["id", "lang", "bucket", "count"])
 
-    got = sorted(chosen.mapInArrow(measure, "id string, lang string, bucket binary, count binary").collect(), key=lambda r: (r.id, r.lang, r.bucket))
+    drawn = lambda df: df.mapInArrow(measure, "id string, lang string, bucket binary, count binary").limit(2 * sample).collect()
+    # rows that all repeat a few texts may all miss the draw
+    got = sorted(drawn(chosen) or drawn(rows), key=lambda r: (r.id or "", r.lang, r.bucket))
     languages = sorted({r.lang for r in got})
     y = np.array([languages.index(r.lang) for r in got])
     data = []

@@ -70,6 +70,26 @@ def test_components_equal_brute_force(spark, seed, probes, rows, stretch):
     assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(map(str, brute(data)))
 
 
+def test_many_near_copies_of_one_text_and_patterned_words(spark):
+    """Near copies about the threshold, many of which link with few others; and words that a polynomial can't tell apart."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(90)]
+    texts = []
+    for _ in range(500):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5])):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(30)}"
+        texts.append(" ".join(t))
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    texts += [one, one.translate(str.maketrans("ab", "ba"))]
+    data = list(zip(rng.sample(range(10**6), len(texts)), texts, strict=True))
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    want = sorted(map(str, brute(data)))
+    for options in ({}, {"probes": 1, "group_rows": 40, "query_rows": 30, "group_tokens": 3000}):
+        got = near_duplicates(frame, **options).collect()
+        assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == want
+
+
 def test_no_bucket_has_the_settled_tokens_of_many_stretches(spark):
     texts = [" ".join(f"w{k}" for k in range(40))] * 2 + [" ".join(f"w{k}" for k in range(38))] * 2
     frame = r.prepared(spark.createDataFrame([(i, texts[i % 4]) for i in range(1600)], "doc_id long, text string").repartition(8), "doc_id", "text")

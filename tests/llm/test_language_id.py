@@ -52,3 +52,30 @@ def test_nothing_to_learn_from(empty, docs):
     model = language_id.train(empty)
     assert {r.lang_pred for r in language_id.identify(docs, model).collect()} == {"und"}
     assert language_id.identify(empty, model).count() == 0
+
+
+def test_labels_of_one_repeated_row(spark, docs):
+    rows = [(5, "tora kami sura", "aa")] * 9000 + [(None, "tora nato", "aa")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), buckets=1 << 10, sample=20)
+    assert model.languages == ["aa"]
+    assert {r.lang_pred for r in language_id.identify(docs, model).collect()} == {"aa", "und"}
+
+
+def test_scores_equal_a_plain_network(labelled):
+    """The folded table gives what embedding, mean, linear layer and softmax give n-gram by n-gram."""
+    model = language_id.train(labelled, buckets=1 << 10)
+    k = len(model.languages)
+    for text in ["tora kami", "Plost, GRUND!", "çàna ûtré x", "a"]:
+        spaced = b" " + bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()) + b" "
+        rows = []
+        for n in (2, 3, 4):
+            for i in range(len(spaced) - n + 1):
+                gram = spaced[i : i + n]
+                if gram.strip(b" "):
+                    code = int.from_bytes(gram, "big")
+                    mixed = code * 0x9E3779B1 % 2**32
+                    rows.append(model.table[((mixed ^ mixed >> 15) * 0x85EBCA77 % 2**32 >> 8) % (1 << 10)].astype(float))
+        logits = (sum(rows) / len(rows) + model.bias) / model.temperature
+        p = [float(x) for x in (2.718281828459045 ** (logits - max(logits)))]
+        best, score = model.predict(pa.array([text], pa.string()))
+        assert best[0] == max(range(k), key=lambda c: p[c]) and abs(score[0] - max(p) / sum(p)) < 1e-6

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -94,3 +95,53 @@ def test_redaction_of_overlaps():
     assert privacy.redact("ab c1 ef", [], [(3, 5, False)]) == "ab [NUMBER] ef"
     assert privacy.redact("ab cd ef", [], [(3, 5, False)]) == "ab [TERM] ef"
     assert privacy.redact(None, [], []) is None
+
+
+def plain_terms(texts, support=3, generalise=0.8, remove=0.95, chance=0.05):
+    """PMI by counting everything."""
+    words = [[(m.start() + len(w) - len(w.lstrip(privacy.EDGE)), w.strip(privacy.EDGE)) for m in re.finditer(r"[^ \t-\r]+", t or "") for w in [m[0]]] for t in texts]
+    words = [[(s, s + len(w), w.lower()) for s, w in own if w] for own in words]
+    base = [plain(t) for t in texts]
+    free = [[x for x in own if all(x[1] <= s or x[0] >= e for _, s, e in b)] for own, b in zip(words, base, strict=True)]
+    name = lambda t, x: (x[0], t[x[1] : x[2]].lower() if x[0] in ("email", "ip") else re.sub("[^0-9]", "", t[x[1] : x[2]]))
+    entities = [{name(t, x) for x in b} for t, b in zip(texts, base, strict=True)]
+    n, pairs = len(texts), {}
+    for e in set().union(*entities):
+        rows = [i for i in range(n) if e in entities[i]]
+        if len({texts[i] for i in rows}) >= support:
+            for i in rows:
+                for w in {w for _, _, w in free[i]}:
+                    pairs.setdefault((e, w), []).append(i)
+    risky = {}
+    for (e, w), rows in pairs.items():
+        different, n_entity = len({texts[i] for i in rows}), sum(e in x for x in entities)
+        pmi = math.log2(n * len(rows) / (sum(any(w == x for _, _, x in own) for own in words) * n_entity))
+        ic, nats = math.log2(n / n_entity), pmi * math.log(2)
+        if different >= support and ic > 0 and pmi / ic >= generalise and different * (nats - 1 + math.exp(-nats)) >= math.log(len(pairs) / chance):
+            risky[e, w] = pmi / ic >= remove
+    return [sorted({(s, e): any(risky.get((x, w), False) for x in own) for s, e, w in f if any((x, w) in risky for x in own)}.items()) for f, own in zip(free, entities, strict=True)]
+
+
+def test_terms_equal_pmi_by_plain_counting(spark):
+    rng = random.Random(4)
+    names = [f"Name{k}," for k in range(6)]
+    found = 0
+    for seed in range(3):
+        texts = [None, "", "x"] * 2
+        for _ in range(260):
+            w = [rng.choice(["the", "of", f"w{rng.randrange(4000)}", f"v{rng.randrange(40)}"]) for _ in range(rng.randrange(2, 30))]
+            for k in range(6):
+                if rng.random() < 0.04:
+                    w.insert(rng.randrange(len(w)), f"u{k}@host.example.org")
+                    if rng.random() < 0.97:
+                        w.insert(rng.randrange(len(w)), names[k] if rng.random() < 0.7 else names[k].upper())
+                elif rng.random() < 0.003 * seed:
+                    w.append(names[k])
+            texts.append(" ".join(w))
+        texts += rng.choices(texts[6:], k=20)
+        frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+        got = {r.doc_id: [((x.start, x.stop), x.removed) for x in r.terms] for r in privacy.find_spans(frame).collect()}
+        want = plain_terms(texts)
+        assert [got[i] for i in range(len(texts))] == want
+        found += sum(map(len, want))
+    assert found > 100

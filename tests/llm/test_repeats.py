@@ -76,6 +76,27 @@ def test_bytes_equal_brute_force(spark, seed, threshold, stretch, hot):
     assert sorted((str(r.doc_id), r.n_bytes, str([(s.begin, s.end) for s in r.spans]), bytes(r.kept)) for r in got) == sorted(want)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_codes_tell_patterned_words_apart(spark):
+    """A polynomial modulo a power of two has one code for these two words."""
+    one = thue_morse(1 << 12)
+    other = one.translate(str.maketrans("ab", "ba"))
+    for n in (8, 64, 65, 1024, 1 << 12):
+        raw, offsets = arrow_text.flat(pa.array([one[:n], other[:n]]))
+        assert len(set(arrow_text.word_codes(raw, offsets[:-1], offsets[1:]).tolist())) == 2
+        assert len(set(arrow_text.ByteRuns(raw).codes(offsets[:-1], offsets[1:]).tolist())) == 2
+    tail = " ".join(f"w{k}" for k in range(60))
+    words = lambda t: " ".join(t[:1024])
+    texts = [one, other, f"{one[:1024]} {tail}", f"{other[:1024]} {tail}", words(one), words(other), one[:1024]]
+    tokens = [t.split(" ") for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.begin, s.end) for s in r.spans] for r in substring_dedup.remove_repeats(frame, window=20).collect()}
+    assert [got[i] for i in range(len(texts))] == [spans(g) for g in brute(tokens, range(len(texts)), 20)]
+
+
 def test_nothing(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
     assert suffix_dedup.remove_repeats(empty).count() == 0
