@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -57,22 +58,46 @@ def strip_code(text: str) -> str:
     return re.sub(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?""", lambda m: "" if m[0][0] == "/" else m[0][0] * 2, text, flags=re.S)
 
 
+def graphemes(text: str, *, marks: bool = True, case: bool = True) -> list[str]:
+    """Characters as they are seen: a base character (decomposed) with its combining marks. Without ``marks`` those go, and
+    without ``case`` letters are folded."""
+    out: list[str] = []
+    for c in unicodedata.normalize("NFD", text if case else text.casefold()):
+        if unicodedata.combining(c):
+            if out and marks:
+                out[-1] += c
+        else:
+            out.append(c)
+    return out
+
+
+def grapheme_distance(a: str, b: str, **options) -> int:
+    """Edits (replace, insert, delete) between two texts as they are seen."""
+    x, y = graphemes(a, **options), graphemes(b, **options)
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        before, row[0] = row[0], i
+        for j, d in enumerate(y, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
+    return row[-1]
+
+
 def _two(fn, kind: str):
+    """A UDF over batches of pairs, each different pair of a batch once."""
+
     def both(a: pd.Series, b: pd.Series) -> pd.Series:
-        seen: dict[tuple[str, str], object] = {}
-        out = []
-        for pair in zip(a, b, strict=True):
-            if None in pair:
-                out.append(None)
-                continue
-            if pair not in seen:
-                seen[pair] = fn(*pair)
-            out.append(seen[pair])
-        return pd.Series(out, dtype="object")
+        pairs = pd.MultiIndex.from_arrays([a, b])
+        number, once = pairs.factorize()
+        found = pd.Series([None if x is None or y is None or x != x or y != y else fn(x, y) for x, y in once] + [None], dtype="object")
+        return found.iloc[number].reset_index(drop=True)
 
     return F.pandas_udf(both, kind)
 
 
+def grapheme_distance_of(a: Column, b: Column, **options) -> Column:
+    return _two(lambda x, y: grapheme_distance(x, y, **options), "long")(a, b)
+
+
 def partial_ratio_of(a: Column, b: Column) -> Column:
     return _two(partial_ratio, "double")(a, b)
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_lower
 
 def keep_best(df: DataFrame, key: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key in an order."""
@@ -27,8 +28,8 @@ def drop_unwanted_unless_alone(df: DataFrame, key: list[str], unwanted: Column,
 
 
 def equivalent(df: DataFrame, definition: Column, seq: str) -> DataFrame:
-    """The first row of each definition, where definitions that differ in white space and case are one."""
-    return keep_best(df.withColumn("_def", F.lower(F.regexp_replace(definition, r"\s+", ""))), ["_def"], seq).drop("_def")
+    """The first row of each definition, where definitions that differ in (ASCII) white space and case are one."""
+    return keep_best(df.withColumn("_def", ascii_lower(F.regexp_replace(definition, r"[ \t-\r]+", ""))), ["_def"], seq).drop("_def")
 
 
 def without_repeats(df: DataFrame, text: str, order: list[str], partition: list[str]) -> DataFrame:
@@ -42,6 +43,11 @@ def unique_by_name(df: DataFrame, name: str, offset: str) -> DataFrame:
     return df.groupBy(name).agg(F.min(offset).alias(offset)).orderBy(offset)
 
 
+def added_once(df: DataFrame, name: Column, seq: str) -> DataFrame:
+    """A list to which a row is added unless one of that name, but for case, is there."""
+    return keep_best(df.withColumn("_name", ascii_lower(name)), ["_name"], seq).drop("_name")
+
+
 def first_seen(items: Column, most: int = 60) -> Column:
     """Distinct items in order of first appearance, the first ``most``."""
     return F.slice(F.array_distinct(items), 1, most)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors
-from ..plans.shared import cut_lineage
+from ..tables import cut_lineage
 
 
 def closure(edges: DataFrame, roots: DataFrame, depth: int, *, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,20 +25,57 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int, *, a: str = "a", b:
     return seen.where(F.col("depth") > 0)
 
 
-def cycles(edges: DataFrame, depth: int, *, a: str = "a", b: str = "b") -> DataFrame:
-    """Nodes that reach themselves by at most ``depth`` edges."""
-    roots = edges.select(F.col(a).alias("root")).distinct()
-    reached = closure(edges, roots, depth - 1, a=a, b=b).select("root", "node").unionByName(roots.select("root", F.col("root").alias("node")))
-    back = edges.select(F.col(a).alias("node"), F.col(b).alias("root"))
-    return reached.join(back, ["root", "node"], "left_semi").select(F.col("root").alias("node")).distinct()
+def trimmed(links: DataFrame) -> DataFrame:
+    """The links (_a, _b) between nodes that have links both in and out, again and again until all have."""
+    n = links.count()
+    while n:
+        inner = links.select(F.col("_a").alias("n")).distinct().join(links.select(F.col("_b").alias("n")).distinct(), "n", "left_semi")
+        links = cut_lineage(links.join(inner.select(F.col("n").alias("_a")), "_a", "left_semi").join(inner.select(F.col("n").alias("_b")), "_b", "left_semi").select("_a", "_b"))
+        left = links.count()
+        if left == n:
+            break
+        n = left
+    return links
+
+
+def spread(values: DataFrame, links: DataFrame) -> DataFrame:
+    """(n, v): the largest v of all nodes from which a node is reached, its own with them. Only nodes whose value has just
+    grown pass it on."""
+    now, changed = values, values
+    while not changed.isEmpty():
+        sent = changed.join(links, changed["n"] == links["_a"]).groupBy(F.col("_b").alias("n")).agg(F.max("v").alias("_new"))
+        step = cut_lineage(now.join(sent, "n", "left").select("n", F.greatest("v", "_new").alias("v"), (F.coalesce("_new", "v") > F.col("v")).alias("_grown")))
+        now, changed = step.select("n", "v"), step.where("_grown").select("n", "v")
+    return now
+
+
+def cycles(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
+    """Nodes that reach themselves, by whatever number of edges: strongly connected components by colours. A node's colour is the
+    largest node that reaches it; what reaches that node within its colour is its component. Nodes of settled components go, and
+    the rest is coloured again."""
+    links = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
+    found = cut_lineage(links.where(F.col("_a") == F.col("_b")).select(F.col("_a").alias("node")))
+    links = trimmed(links.where(F.col("_a") != F.col("_b")))
+    while not links.isEmpty():
+        nodes = links.select(F.col("_a").alias("n")).distinct()
+        colour = spread(nodes.select("n", F.col("n").alias("v")), links)
+        within = links.join(colour.select(F.col("n").alias("_a"), F.col("v").alias("_v")), "_a").join(colour.select(F.col("n").alias("_b"), F.col("v").alias("_w")), "_b").where(F.col("_v") == F.col("_w"))
+        back = cut_lineage(within.select(F.col("_b").alias("_x"), F.col("_a").alias("_b")).withColumnRenamed("_x", "_a"))
+        reached = spread(colour.select("n", (F.col("n") == F.col("v")).cast("int").alias("v")), back).where("v = 1").select("n")
+        component = cut_lineage(reached.join(colour, "n"))
+        several = component.groupBy("v").agg(F.count("*").alias("k")).where("k > 1")
+        found = found.unionByName(component.join(several, "v", "left_semi").select(F.col("n").alias("node")))
+        links = trimmed(links.join(reached.select(F.col("n").alias("_a")), "_a", "left_anti").join(reached.select(F.col("n").alias("_b")), "_b", "left_anti").select("_a", "_b"))
+    return found.distinct()
 
 
 def resolve_aliases(aliases: DataFrame, hops: int = 10) -> DataFrame:
-    """(name, target, hops): where each name's chain of aliases ends, by at most so many hops. A name has one alias."""
-    now = aliases.select("name", "target", F.lit(1).alias("hops"))
-    step = aliases.select(F.col("name").alias("target"), F.col("target").alias("_next"))
+    """(name, target, hops): where each name's chains of aliases end, by at most so many hops; an alias of several names has
+    several ends. Chains that go in a circle end after so many hops."""
+    now = aliases.select("name", "target", F.lit(1).alias("hops")).distinct()
+    step = aliases.select(F.col("name").alias("target"), F.col("target").alias("_next")).distinct()
     for _ in range(hops - 1):
-        now = now.join(step, "target", "left").select("name", F.coalesce("_next", "target").alias("target"), (F.col("hops") + F.col("_next").isNotNull().cast("int")).alias("hops"))
+        now = now.join(step, "target", "left").groupBy("name", F.coalesce("_next", "target").alias("target")).agg(F.min(F.col("hops") + F.col("_next").isNotNull().cast("int")).alias("hops"))
     return now
 
 
@@ -72,18 +110,31 @@ def nearest_header(closure_: DataFrame, wanted: DataFrame) -> DataFrame:
     return closure_.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("depth", "root")).alias("m")).select("node", F.col("m.root").alias("root"), F.col("m.depth").alias("depth"))
 
 
-def levels(before: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
+def levels(before: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, level): a topological order; a node's level is one above the highest that must precede it (before: a precedes
-    b). Nodes on cycles, or above ``most`` levels, have none."""
-    edges = before.select("a", "b").distinct()
-    left, out = edges, None
-    open_ = nodes.select("node").distinct()
-    for level in range(most):
+    b). Nodes on cycles, and what must follow them, have none."""
+    left, out = before.select("a", "b").distinct(), nodes.select("node", F.lit(0).alias("level")).limit(0)
+    open_, level = nodes.select("node").distinct(), 0
+    while True:
         now = cut_lineage(open_.join(left.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
         if now.isEmpty():
-            break
-        placed = now.withColumn("level", F.lit(level))
-        out = placed if out is None else out.unionByName(placed)
+            return out
+        out = cut_lineage(out.unionByName(now.withColumn("level", F.lit(level))))
         open_ = cut_lineage(open_.join(now, "node", "left_anti"))
         left = cut_lineage(left.join(now.select(F.col("node").alias("a")), "a", "left_anti"))
-    return out if out is not None else nodes.select("node", F.lit(0).alias("level")).limit(0)
+        level += 1
+
+
+def method_dependencies(parts: DataFrame) -> DataFrame:
+    """(place, n, first, last): how many other parts must stand before each method of a class (parent, place, target, header), and
+    the first and last of them. A method needs what stands above it and is no method; once methods are in their header's order,
+    it also needs what those after it need. What stands above is a prefix, so the lowest such method says it all."""
+    methods, others = parts.where("target"), parts.where("not target")
+    # the lowest place of the methods that come later in the header, without pairs of methods
+    after = W.partitionBy("parent").orderBy(F.desc("header")).rangeBetween(W.unboundedPreceding, -1)
+    reach = methods.withColumn("_reach", F.greatest("place", F.max("place").over(after)))
+    none = F.lit(None).cast("long")
+    line = others.select("parent", F.col("place").alias("_at"), F.col("place").alias("_dep"), none.alias("place")).unionByName(reach.select("parent", F.col("_reach").alias("_at"), none.alias("_dep"), "place"))
+    above = W.partitionBy("parent").orderBy("_at", F.col("place").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = line.select("place", F.count("_dep").over(above).alias("n"), F.min("_dep").over(above).alias("first"), F.max("_dep").over(above).alias("last"))
+    return found.where(F.col("place").isNotNull() & (F.col("n") > 0))

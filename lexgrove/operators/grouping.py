@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -35,7 +36,13 @@ def summary(df: DataFrame, file: str, hidden: Column) -> DataFrame:
     return counts.withColumn("text", F.concat_ws(" ", F.col("shown").cast("string"), word("shown", "reference", "references"), F.lit("in"), F.col("files").cast("string"), word("files", "file", "files")))
 
 
+def usage(df: DataFrame, what: str, who: str, units: str) -> DataFrame:
+    """Counters of use: times, different users, and the sum of units."""
+    return df.groupBy(what).agg(F.count("*").alias("uses"), F.count_distinct(who).alias("users"), F.sum(units).alias("units"))
+
+
 def concat_first(df: DataFrame, key: str, text: str, order: str, most: int, mark: str) -> DataFrame:
     """The first ``most`` texts of each key, joined."""
-    listed = F.slice(F.array_sort(F.collect_list(F.struct(order, text))), 1, most)
-    return df.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x[text]), mark).alias("texts"))
+    first = df.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(order))).where(F.col("_k") <= most)
+    listed = F.array_sort(F.collect_list(F.struct(order, text)))
+    return first.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x[text]), mark).alias("texts"))

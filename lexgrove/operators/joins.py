@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import quote
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, tie: str) -> DataFrame:
     """Each left row with the value of the last right row of its key before it (the last by ``tie`` among equals). Both
@@ -25,20 +27,35 @@ def closest_before(df: DataFrame, line: Column, order: str, limit: int) -> DataF
 
 def nearest_by_edits(left: DataFrame, right: DataFrame, key: str, left_text: str, right_text: str, left_id: str, right_id: str) -> DataFrame:
     """For each left row, the right row of its key with the least edit distance: exact, without case, or without spaces,
-    whichever is least; ties to the smaller id."""
-    pairs = left.join(right, key)
+    whichever is least; ties to the smaller id. Equal texts meet first, and each different text is compared once."""
     a, b = F.col(left_text), F.col(right_text)
     squeeze = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
     distance = F.when(a == b, 0).otherwise(F.least(F.levenshtein(a, b), F.levenshtein(F.lower(a), F.lower(b)), F.levenshtein(squeeze(a), squeeze(b))))
-    return pairs.withColumn("distance", distance).groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("m")).select(left_id, F.col(f"m.{right_id}").alias(right_id), F.col("m.distance").alias("distance"))
+    texts = right.groupBy(key, right_text).agg(F.min(right_id).alias(right_id))
+    wanted = left.select(key, left_text).distinct()
+    equal = wanted.join(texts.select(key, F.col(right_text).alias(left_text), right_id), [key, left_text]).select(key, left_text, right_id, F.lit(0).alias("distance"))
+    others = wanted.join(equal, [key, left_text], "left_anti").join(texts, key).withColumn("distance", distance)
+    best = others.groupBy(key, left_text).agg(F.min(F.struct("distance", right_id)).alias("m")).select(key, left_text, F.col(f"m.{right_id}").alias(right_id), F.col("m.distance").alias("distance"))
+    return left.join(equal.unionByName(best), [key, left_text]).select(left_id, right_id, "distance")
 
 
 def resolve_names(wanted: DataFrame, files: DataFrame, search_path: DataFrame, name: str = "name") -> DataFrame:
     """Each wanted name in the first directory of an ordered search path (directory, priority) that has it."""
-    found = wanted.select(name).distinct().join(files, name).join(F.broadcast(search_path), "directory")
+    found = wanted.select(name).distinct().join(files, name).join(search_path, "directory")
     return found.groupBy(name).agg(F.min_by("directory", F.struct("priority", "directory")).alias("directory"), F.min("priority").alias("priority"))
 
 
+def resolve_includes(includes: DataFrame, files: DataFrame, search_path: DataFrame) -> DataFrame:
+    """Includes (directory, text, and more) with ``found``, the directory that has the file: their own, else the first of the
+    search path (path, priority); null if none. Each different (directory, text) is looked up once."""
+    once = includes.select("directory", "text").distinct()
+    there = files.select(F.col("directory").alias("found"), F.col("name").alias("text")).distinct()
+    own = once.join(there, "text").where(F.col("found") == F.col("directory")).withColumn("priority", F.lit(-1))
+    along = once.join(there, "text").join(search_path.select(F.col("path").alias("found"), "priority"), "found")
+    first = own.select("directory", "text", "found", "priority").unionByName(along.select("directory", "text", "found", "priority")).groupBy("directory", "text").agg(F.min_by("found", F.struct("priority", "found")).alias("found"))
+    return includes.join(first, ["directory", "text"], "left")
+
+
 def list_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows added and removed between two lists, with how often."""
     columns = old.columns
@@ -55,12 +72,54 @@ def snapshot_status(disk: DataFrame, indexed: DataFrame, key: str = "file_id") -
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
 
 
+#: Ends of base names that related files differ in, in the order in which they are taken off (fixed values).
+SUFFIXES = ("iterator", "base", "impl", "priv", "fwd", "_exp", "ex", "-internal", "-inl", "_part", "model", "_p", "_")
+
+
 def related_key(name: Column) -> Column:
-    """What related files' names have in common: no extension, no digits at the end, no usual suffix, no leading i."""
-    base = F.regexp_replace(F.lower(name), r"\.[^.]*$", "")
-    base = F.regexp_replace(base, r"[0-9]+$", "")
-    base = F.regexp_replace(base, r"(impl|test|tests|_inl|_p|designer|view|model)$", "")
-    return F.regexp_replace(base, r"^i(?=[a-z]{3})", "")
+    """A base name without its extension, digits at the end (unless it has nothing else) and usual ends, in lower case. An end that
+    the name has elsewhere, too, stays."""
+    base = F.regexp_replace(F.lower(F.regexp_replace(name, r"\.[^.]*$", "")), "(?<=[^0-9])[0-9]+$", "")
+    for end in SUFFIXES:
+        base = F.regexp_replace(base, rf"(?s)^((?:(?!{quote(end)}).)*){quote(end)}$", "$1")
+    return base
+
+
+def related_files(files: DataFrame, name: str, key: str) -> DataFrame:
+    """(key, other): files whose reduced names are equal, or but for an i before one of them."""
+    own = files.select(F.col(key), related_key(F.col(name)).alias("_k")).where(F.col("_k") != "")
+    same = F.array_distinct(F.array("_k", F.concat(F.lit("i"), "_k"), F.when(F.col("_k").startswith("i") & (F.length("_k") > 1), F.substring("_k", 2, 1 << 30)).otherwise(F.col("_k"))))
+    others = files.select(F.col(key).alias("other"), F.lower(F.regexp_replace(name, r"\.[^.]*$", "")).alias("_k"))
+    return own.select(key, F.explode(same).alias("_k")).join(others, "_k").where(F.col(key) != F.col("other")).select(key, "other").distinct()
+
+
+def project_files(known: DataFrame, listed: DataFrame, generations: DataFrame) -> DataFrame:
+    """Files (project, path) of all projects: those of the last listing where a project's generation (project, before, now) is
+    the same, of the new one elsewhere."""
+    changed = generations.where(~F.col("before").eqNullSafe(F.col("now"))).select("project")
+    return known.join(changed, "project", "left_anti").select("project", "path").unionByName(listed.join(changed, "project", "left_semi").select("project", "path")).distinct()
+
+
+def still_pending(pending: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """What is pending and not known yet, each key once."""
+    return pending.select(key).distinct().join(known.select(key), key, "left_anti")
+
+
+def purge_missing(df: DataFrame, live: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose source is there (or that have none), and the sources that are gone, for a job that removes them elsewhere."""
+    there = live.select(key).distinct()
+    gone = df.select(key).where(F.col(key).isNotNull()).distinct().join(there, key, "left_anti")
+    return df.join(gone, key, "left_anti"), gone
+
+
+def mark_removed(df: DataFrame, sources: DataFrame, key: str, flags: str, bit: int) -> DataFrame:
+    """First pass of a removal: rows of the sources have a bit in their flags. ``sweep`` takes them away."""
+    gone = sources.select(key).distinct().withColumn("_gone", F.lit(bit))
+    return df.join(gone, key, "left").withColumn(flags, F.col(flags).bitwiseOR(F.coalesce("_gone", F.lit(0)))).drop("_gone")
+
+
+def sweep(df: DataFrame, flags: str, bit: int) -> DataFrame:
+    return df.where(F.col(flags).bitwiseAND(F.lit(bit)) == 0)
 
 
 def purge(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -69,6 +128,6 @@ def purge(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 
 def update_where(df: DataFrame, changes: DataFrame, key: list[str], column: str) -> DataFrame:
-    """Rows with a changed value where all key columns agree."""
-    new = changes.select(*key, F.col(column).alias("_new"))
+    """Rows with a changed value where all key columns agree; of several changes of a key the greatest value."""
+    new = changes.groupBy(*key).agg(F.max(column).alias("_new"))
     return df.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")

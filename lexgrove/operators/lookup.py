@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower
+from ..functions.text import ascii_lower, is_upper
 
 #: Kinds of symbols that are objects (fixed names).
 OBJECT_TYPES = ("CLASS", "STRUCT", "TYPE", "ENUM", "INTERFACE", "NAMESPACE", "TEMPLATETYPE", "MODULE", "TAG")
@@ -74,37 +76,75 @@ def lookup_path(spark: SparkSession, scopes: list[str], inherited: list[str] = (
 
 def ranked(symbols: DataFrame, path: DataFrame, *, texts: int = 10, length: int = 2250) -> DataFrame:
     """For each symbol name, its best rank along the path, the first row of that rank, and the different definitions of
-    that rank joined with form feeds (the first ``texts`` of them, cut to ``length``)."""
-    hits = symbols.join(F.broadcast(path), "scope")
-    top = hits.withColumn("best", F.max("rank").over(W.partitionBy("sym"))).where(F.col("rank") == F.col("best"))
-    once = top.groupBy("sym", "rank", "def").agg(F.min("seq").alias("seq"))
-    return once.groupBy("sym", "rank").agg(
-        F.min("seq").alias("seq"),
-        F.substring(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("seq", "def"))), 1, texts), lambda x: x["def"]), "\f"), 1, length).alias("defs"),
-    )
+    that rank joined with form feeds (the first ``texts`` of them, cut to ``length``). Names are counted in parts, and of a name
+    only so many definitions meet in a task."""
+    hits = symbols.join(path, "scope")
+    once = hits.groupBy("sym", "rank", "def").agg(F.min("seq").alias("seq"))
+    best = once.groupBy("sym").agg(F.max("rank").alias("rank"))
+    top = once.join(best, ["sym", "rank"]).withColumn("_k", F.row_number().over(W.partitionBy("sym").orderBy("seq"))).where(F.col("_k") <= texts)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "def"))), lambda x: x["def"]), "\f")
+    return top.groupBy("sym", "rank").agg(F.min("seq").alias("seq"), F.substring(joined, 1, length).alias("defs"))
 
 
 def members(symbols: DataFrame, path: DataFrame) -> DataFrame:
     """Members along the path, those that a nearer scope overrides left out: of inherited ones (ranks between -1000 and 0)
     the highest for each symbol stays."""
-    hits = symbols.join(F.broadcast(path), "scope")
+    hits = symbols.join(path, "scope")
     inherited = (F.col("rank") < 0) & (F.col("rank") > GLOBAL)
-    best = F.max(F.when(inherited, F.col("rank"))).over(W.partitionBy("sym"))
-    return hits.withColumn("_best", best).where(~inherited | (F.col("rank") == F.col("_best"))).drop("_best")
+    best = hits.where(inherited).groupBy("sym").agg(F.max("rank").alias("_best"))
+    return hits.join(best, "sym", "left").where(~inherited | (F.col("rank") == F.col("_best"))).drop("_best")
 
 
 def with_prefix(symbols: DataFrame, prefix: str, path: DataFrame | None = None) -> DataFrame:
     """Distinct (sym, scope) whose name begins with the prefix but for case, in the path's scopes if one is given."""
     hits = symbols.where(ascii_lower(F.col("sym")).startswith(prefix.lower()))
-    hits = hits if path is None else hits.join(F.broadcast(path.select("scope")), "scope", "left_semi")
+    hits = hits if path is None else hits.join(path.select("scope"), "scope", "left_semi")
     return hits.select("sym", "scope").distinct()
 
 
-def definitions(symbols: DataFrame, sym: str, scope: str | None = None, width: int = 150, most: tuple[int, int] = (50, 10)) -> DataFrame:
-    """Definitions of a symbol: the first of several, shortened; at most 50 in a scope, 10 in any."""
-    first = F.substring_index("def", "\f", 1)
-    short = F.when(F.length(first) > width, F.concat(F.substring(first, 1, width), F.lit("..."))).otherwise(first)
-    return exact(symbols, sym, scope, most[scope is None]).withColumn("def", short)
+def _shortened(definition: Column, width: int) -> Column:
+    """The first of several definitions, cut to a width."""
+    first = F.substring_index(definition, "\f", 1)
+    return F.when(F.length(first) > width, F.concat(F.substring(first, 1, width - 3), F.lit("..."))).otherwise(first)
+
+
+def definitions(symbols: DataFrame, sym: str, scope: str | None = None, *, closures: DataFrame | None = None, width: int = 150, most: tuple[int, int] = (50, 10)) -> DataFrame:
+    """Definitions of a symbol, shortened: in a scope, in scopes whose ``closures`` (scope, base) have it, or in any. At most 50
+    in a scope, 10 in any. A name that begins with `#` finds hashtags alone, without that limit, and no other name finds one."""
+    is_tag = sym.startswith("#")
+    hits = symbols.where((F.col("sym") == sym) & F.col("file_id").isNotNull() & ((F.col("sym_type") == "HASHTAG") == is_tag))
+    if closures is not None:
+        hits = hits.join(closures.where(F.col("base") == scope).select("scope").distinct(), "scope", "left_semi")
+    elif scope is not None:
+        hits = hits.where(F.col("scope") == scope)
+    limit = most[0] if scope is not None or is_tag else most[1]
+    return hits.orderBy("seq").limit(limit).withColumn("def", _shortened(F.col("def"), width))
+
+
+def find_match(symbols: DataFrame, record: dict) -> DataFrame:
+    """Rows that agree with a record in all its fields; null agrees with null."""
+    out = symbols
+    for field, value in record.items():
+        out = out.where(F.col(field).eqNullSafe(F.lit(value)))
+    return out
+
+
+def is_graph_node(*, language: str = "c", system: bool = False) -> Column:
+    """Whether a symbol (file_id, scope, sym, def, sym_scope, sym_type, is_system, is_local) is a node of a code graph: it has a
+    file and a definition that is neither hidden nor its own name, is no local, no template argument, and a global only as
+    a type or function (or, in managed code, a type or namespace); no upper-case global that may be a macro."""
+    c, kind, is_global = F.col, F.col("sym_type"), F.col("scope") == ""
+    managed, types = language in ("cs", "vb"), ("CLASS", "STRUCT", "TYPE", "ENUM", "INTERFACE")
+    rules = [c("file_id") != 0, c("def") != c("sym_scope"), ~is_global | kind.isin(*types, "FUNC"), ~c("is_local"), c("def") != " ", kind != "TEMPLATETYPE"]
+    if managed:
+        rules += [~is_global | kind.isin(*types, "NAMESPACE")]
+    if not system:
+        rules += [~c("is_system")]
+    if language == "c":
+        rules += [~is_global | ~is_upper(c("sym")) | kind.isin("CLASS", "STRUCT", "NAMESPACE")]
+    if language == "cs":
+        rules += [c("sym") != "base"]
+    return reduce(lambda x, y: x & y, (F.coalesce(r, F.lit(False)) for r in rules))
 
 
 def is_object(kind: Column) -> Column:
@@ -113,3 +153,10 @@ def is_object(kind: Column) -> Column:
 
 def flag(flags: Column, bit: int) -> Column:
     return flags.bitwiseAND(F.lit(bit)) != 0
+
+
+def header_of(headers: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(symbol, file, kind): each symbol's header (file, kind, symbol) by the first of some kinds of lists that names it."""
+    order = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")) - 1
+    ranked_ = headers.withColumn("kind", F.when(order >= 0, order).otherwise(len(kinds)))
+    return ranked_.groupBy("symbol").agg(F.min(F.struct("kind", "file")).alias("m")).select("symbol", F.col("m.file").alias("file"), F.col("m.kind").alias("kind"))

@@ -110,6 +110,43 @@ def filter_files(df: DataFrame, path: Column, text: str) -> DataFrame:
     return df.withColumn("rank", rank_any(subject, text.replace("\\", "/"))).where(F.col("rank") > 0)
 
 
+def same_exclusions(before: str, after: str) -> bool:
+    """Whether two filters have the same terms with a dash."""
+    dashed = lambda text: sorted(t for t in text.split(" ") if "-" in t)
+    return dashed(before) == dashed(after)
+
+
+def narrows(before: str, after: str) -> bool:
+    """Whether all that a longer filter finds is among what the shorter one has found."""
+    return bool(before) and after.startswith(before) and "," not in after and ("-" not in after or same_exclusions(before, after))
+
+
+def refilter(every: DataFrame, found: DataFrame, before: str, after: str, c: Column, **options) -> DataFrame:
+    """The filter ``after`` over what ``before`` has found, where it narrows that, else over every row."""
+    return filter_set(found.select(*every.columns) if narrows(before, after) else every, c, after, **options)
+
+
+def filter_nodes(nodes: DataFrame, c: Column, text: str) -> DataFrame:
+    """Nodes of a tree with ``shown``: whether all terms without a dash, and none with one, match a node's own text; each level
+    is judged alone. A single term is never an excluding one."""
+    terms = [normalise_filter(t, file_search=True) for t in text.split(" ")] if " " in text else [normalise_filter(text, file_search=True)]
+    tests = [rank(c, compile_term(t)) > 0 for t in terms if t]
+    return nodes.withColumn("shown", reduce(lambda x, y: x & y, tests, F.lit(True)))
+
+
+def filter_groups(items: DataFrame, group: str, c: Column, text: str) -> DataFrame:
+    """Items that match, and their groups' numbers of them; a group without any is gone. An empty filter hides nothing."""
+    kept = filter_set(items, c, text).drop("rank")
+    return kept.join(kept.groupBy(group).agg(F.count("*").alias("shown")), group)
+
+
+def without_excluded(df: DataFrame, path: Column, fragments: list[str], patterns: list[str]) -> DataFrame:
+    """Without paths that have any of some fragments, or that a pattern matches from end to end; case doesn't count."""
+    low = F.lower(path)
+    drop = [F.contains(low, F.lit(f.lower())) for f in fragments] + [low.rlike(f"\\A(?:{p})\\z") for p in patterns]
+    return df.where(~reduce(lambda x, y: x | y, drop)) if drop else df
+
+
 def suggested(ranked: DataFrame, seq: str) -> DataFrame:
     """The earliest row of the highest rank."""
     return ranked.orderBy(F.desc("rank"), seq).limit(1)

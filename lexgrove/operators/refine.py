@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import closest_before
+
 
 def _guarded(df: DataFrame, keep: Column, **flags: Column) -> DataFrame:
     known = df.agg(*(F.coalesce(v, F.lit(False)).alias(f"_{k}") for k, v in flags.items()))
@@ -80,14 +82,36 @@ def by_type_mask(df: DataFrame, kind: Column, mask: int) -> DataFrame:
     return df.where(F.call_function("shiftright", F.lit(mask), kind.cast("int")).bitwiseAND(1) != 0)
 
 
-def definition_pipeline(df: DataFrame) -> DataFrame:
-    """Where a definition is: hidden rows go, then paths outside projects, non-preferred rows, external ones, generated files
-    (none of them if nothing would be left), and declarations beside an implementation. Needs the columns hidden, is_hashtag,
-    is_reference, name, path, in_project, preferred, is_system, is_external, is_implementation."""
+def overloads(df: DataFrame, fits: Column) -> DataFrame:
+    """The overloads that fit a call, if any does."""
+    return preferred_only(df, fits)
+
+
+def implementations_and_declarations(df: DataFrame, is_implementation: Column) -> tuple[DataFrame, DataFrame]:
+    return df.where(is_implementation), df.where(~is_implementation)
+
+
+def definition_pipeline(df: DataFrame, *, language: str = "c", active: list[str] | None = None, arguments: int | None = None, current: tuple[int, int] | None = None, exactly: int | None = 2) -> DataFrame:
+    """Where a definition is: hidden rows go, then paths outside projects, projects that are not active, then by language
+    external system rows (c), namespaces without a body (cs) or rows that are not preferred (js), generated files (none of them if
+    nothing would be left), overloads that don't fit a call's number of arguments, the row nearest above the
+    caret (``current``: file_id and line), and declarations beside an implementation. Needs the columns hidden, is_hashtag,
+    is_reference, name, path, in_project, projects, preferred, is_system, is_external, is_namespace, has_body, n_params, file_id,
+    line, seq, is_implementation."""
     c = F.col
     out = visible(df, c("hidden"), c("is_hashtag"), c("is_reference"))
     out = project_paths(out, "name", "path", c("in_project"))
-    out = preferred_only(out, c("preferred"))
-    out = without_external(out, c("is_system"), c("is_external"))
+    if active is not None:
+        out = active_projects(out, c("projects"), active)
+    if language == "js":
+        out = preferred_only(out, c("preferred"))
+    elif language == "c":
+        out = without_external(out, c("is_system"), c("is_external"))
+    elif language == "cs":
+        out = namespace_bodies(out, c("is_namespace"), c("has_body"))
     out = unless_empty(out, generated(c("path")))
-    return implementations(out, c("is_implementation"))
+    if arguments is not None:
+        out = overloads(out, c("n_params") == arguments)
+    if current is not None:
+        out = closest_before(out, F.when(c("file_id") == current[0], c("line")), "seq", current[1])
+    return implementations(out, c("is_implementation"), exactly)

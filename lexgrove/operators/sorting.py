@@ -6,12 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, natural_key
+from ..functions.text import ascii_lower, base_name, natural_key, scope_of, symbol_of
+from ..tables import cut_lineage
 
 
 def name_order(name: Column, file: Column, line: Column) -> list[Column]:
-    """Without case, then file, then line."""
-    return [ascii_lower(name), file, line]
+    """Without case, then file (as text), then line (a hex number: the shorter is the smaller)."""
+    return [ascii_lower(name), file, F.length(line), line]
+
+
+def scope_order(sym_scope: Column, path: Column, line: Column) -> list[Column]:
+    return [sym_scope, ascii_lower(path), line]
+
+
+def file_list_order(column: str, path: Column, project: Column, time: Column, *, reverse: bool = False) -> list[Column]:
+    """A list of files by one of its columns: name, project, path, or time (a number; the latest first); ties by others."""
+    low, by_project = F.lower(path), F.lower(project)
+    keys = {"name": [base_name(low), low, by_project], "project": [by_project, base_name(low), low], "path": [low, by_project], "time": [-time, low]}[column]
+    return [F.desc(k) if reverse else F.asc(k) for k in keys]
+
+
+def hashtag_order(tag: Column, path: Column, line: Column, *, by_file: bool = False) -> list[Column]:
+    return [ascii_lower(path), line, ascii_lower(tag)] if by_file else [ascii_lower(tag), ascii_lower(path), line]
+
+
+def definition_order(path: Column, line: Column) -> list[Column]:
+    return [ascii_lower(base_name(path)), line]
+
+
+def includes_order(path: Column, text: Column) -> list[Column]:
+    """By the file's name; an include that was not resolved stands by its text."""
+    return [ascii_lower(F.coalesce(base_name(path), text))]
+
+
+def inheritance_order(definition: Column) -> list[Column]:
+    return [symbol_of(definition), scope_of(definition)]
+
+
+def position_order(path: Column, line: Column) -> list[Column]:
+    return [F.lower(path), line]
+
+
+def project_order(shared: Column, active: Column) -> list[Column]:
+    """Shared projects and those with the active file first, all else as before."""
+    return [(~(shared | active)).cast("int")]
 
 
 def completion_order(name: Column) -> list[Column]:
@@ -35,8 +73,28 @@ def natural_order(text: Column) -> Column:
 
 
 def place(df: DataFrame, order: list[Column], tie: str, within: list[str], name: str = "place") -> DataFrame:
-    """Each row's place in an order within its group."""
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*within).orderBy(*order, F.col(tie))))
+    """Each row's place in an order, within its group if there are groups. All rows are sorted by ranges and numbered where they
+    are; what the tasks before hold is added, so no group is one task's, however large. A group's place begins at its first row."""
+    numbered = df.orderBy(*within, *order, F.col(tie)).withColumns({"_task": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    numbered = cut_lineage(numbered.withColumn("_group", F.struct(*within) if within else F.lit(0)))
+    rows = numbered.groupBy("_task").agg(F.count("*").alias("_n"))
+    # a row for each task of the sort
+    before = rows.select("_task", F.coalesce(F.sum("_n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = numbered.join(F.broadcast(before), "_task").withColumn(name, F.col("_before") + F.col("_at") + 1)
+    if within:
+        first = placed.groupBy("_group").agg(F.min(name).alias("_first"))
+        placed = placed.join(first, "_group").withColumn(name, F.col(name) - F.col("_first") + 1)
+    return placed.select(*df.columns, name)
+
+
+def batches(df: DataFrame, order: str, size: int) -> DataFrame:
+    """Rows with a running count and the number of the batch that it falls into."""
+    return place(df, [], order, [], "count").withColumn("batch", F.expr(f"(count - 1) div {size}"))
+
+
+def first_then_sorted(df: DataFrame, arrival: str, n: int, order: list[Column]) -> DataFrame:
+    """The first n rows by arrival, in an order."""
+    return df.orderBy(arrival).limit(n).orderBy(*order, arrival)
 
 
 def top(df: DataFrame, order: list[Column], tie: str, k: int) -> DataFrame:
@@ -45,7 +103,23 @@ def top(df: DataFrame, order: list[Column], tie: str, k: int) -> DataFrame:
 
 
 def top_in_groups(df: DataFrame, within: list[str], order: list[Column], tie: str, k: int) -> DataFrame:
-    return place(df, order, tie, within).where(F.col("place") <= k)
+    row = F.row_number().over(W.partitionBy(*within).orderBy(*order, F.col(tie)))  # each task passes on k rows of a group
+    return df.withColumn("place", row).where(F.col("place") <= k)
+
+
+def kept_then_rest(kept: DataFrame, every: DataFrame, key: list[str], name: str = "part") -> DataFrame:
+    """The kept rows (part 0), then all others (part 1)."""
+    rest = every.join(kept.select(*key).distinct(), key, "left_anti")
+    return kept.withColumn(name, F.lit(0).cast("long")).unionByName(rest.withColumn(name, F.lit(1).cast("long")))
+
+
+def same_members(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
+def missing_in_order(expected: DataFrame, present: DataFrame, key: list[str]) -> DataFrame:
+    """The expected rows that are not present, with their places."""
+    return expected.join(present.select(*key).distinct(), key, "left_anti")
 
 
 def sorted_lines(text: Column, *, ascending: bool = True, case_sensitive: bool = True) -> Column:

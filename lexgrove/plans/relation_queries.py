@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import graph, joins
 from ..sources import symbols as sources
-from ..streaming import maintenance
-from .shared import cut_lineage, query, shared_folder, table
+from .shared import query, shared_folder, table
 
 
 @query("SELECT l_orderkey, l_linenumber, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45")
@@ -67,11 +64,6 @@ def snapshot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.snapshot_status(disk, orders.where("o_orderpriority <> '5-LOW'").select(*state(c("o_orderdate"), F.lit("x"))))
 
 
-@query("SELECT k, min(p_partkey) AS p_partkey, count(*) AS n FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_brand), '\\.[^.]*$', ''), '[0-9]+$', '') AS k FROM part) GROUP BY k")
-def related_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(joins.related_key(F.col("p_brand")).alias("k")).agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("n"))
-
-
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
 def purge_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
@@ -115,9 +107,17 @@ def preferred_include(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nearest_header(reached, wanted).withColumn("depth", F.col("depth").cast("long"))
 
 
-@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), c(root, node, depth) AS (SELECT a, b, 1 FROM e UNION SELECT root, b, depth + 1 FROM c JOIN e ON node = a WHERE depth < 4 AND root <> node) SELECT DISTINCT root AS node FROM c WHERE root = node")
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), c(root, node) AS (SELECT a, b FROM e UNION SELECT root, b FROM c JOIN e ON node = a WHERE root <> node) SELECT DISTINCT root AS node FROM c WHERE root = node")
 def circular_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(edges(spark, sf_dir), 4)
+    """Nodes on cycles of any length."""
+    return graph.cycles(edges(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES} WHERE a <> b), c(root, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_type = 'PROMO' AND p_size > 40 UNION SELECT root, b, depth + 1 FROM c JOIN e ON node = a WHERE depth < 30) SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM c GROUP BY ALL HAVING min(depth) > 0")
+def base_class_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base classes of some roots, up to 30 deep."""
+    roots = table(spark, sf_dir, "part").where("p_type = 'PROMO' and p_size > 40").select(F.col("p_partkey").alias("root")).distinct()
+    return graph.closure(edges(spark, sf_dir), roots, 30).withColumn("depth", F.col("depth").cast("long"))
 
 
 @query("""WITH RECURSIVE a AS (SELECT p_partkey AS name, p_partkey // 2 AS target FROM part WHERE p_partkey > 0), c(name, target, hops) AS (SELECT name, target, 1 FROM a UNION ALL SELECT c.name, a.target, hops + 1 FROM c JOIN a ON c.target = a.name WHERE hops < 10)
@@ -180,12 +180,13 @@ def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(before, nodes).withColumn("level", F.col("level").cast("long"))
 
 
-@query("SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+/)?') AS prefix FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/?#]+/[a-z]+/[0-9]+([?#].*)?$')")
+@query("""WITH p AS (SELECT a.page_id, string_split(a.url, '/') AS x, string_split(b.url, '/') AS y FROM pages a JOIN pages b ON b.page_id = a.page_id + 1), n AS (SELECT *, least(len(x), len(y)) - 1 AS m FROM p),
+k AS (SELECT *, list_position(list_concat(list_transform(range(1, m + 1), lambda i: x[i] = y[i]), [false]), false) - 1 AS k FROM n) SELECT page_id, CASE WHEN k > 0 THEN array_to_string(x[1:k], '/') || '/' ELSE '' END AS prefix FROM k""")
 def common_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The common directory of a page and its neighbour."""
-    pages = table(spark, sf_dir, "pages").where(F.col("url").rlike("^[a-z]+://[^/?#]+/[a-z]+/[0-9]+([?#].*)?$"))
-    other = F.concat(F.regexp_extract("url", "^[a-z]+://[^/]*/[a-z]+/", 0), F.lit("other"))
-    return pages.select("page_id", text.common_prefix(F.col("url"), other).alias("prefix"))
+    """The common directory of each page and the next."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    following = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
+    return pages.join(following, "page_id").select("page_id", text.common_prefix(F.col("url"), F.col("next")).alias("prefix"))
 
 
 @query("SELECT p_partkey AS file_id, p_brand AS scope, p_name AS sym, p_type AS def, CAST(p_size AS BIGINT) AS sym_type, CAST(p_size * 3 AS BIGINT) AS attrs, CAST(p_partkey % 97 AS BIGINT) AS line FROM part")
@@ -221,8 +222,7 @@ def header_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = names.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("p_type", "names"))).alias("symbols"))
     path = shared_folder(spark, "headers")
     nested.select(F.concat(F.translate("p_brand", "#", "_"), F.lit(".h")).alias("filename"), F.col("p_brand").alias("namespace"), "symbols").write.json(path)
-    raw = spark.read.schema("filename string, namespace string, symbols map<string, array<string>>").json(path)
-    return raw.select("namespace", F.explode("symbols").alias("kind", "names")).select("kind", "namespace", F.explode("names").alias("symbol"))
+    return sources.read_headers(spark, path, lines=True).select("kind", "namespace", "symbol")
 
 
 @query("SELECT doc_id, count(*) AS n, count(DISTINCT w) AS n_distinct FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_@$\\x{80}-\\x{10FFFF}][A-Za-z0-9_@$\\x{80}-\\x{10FFFF}]*')) AS w FROM documents) GROUP BY doc_id")
@@ -242,59 +242,3 @@ def find_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("this")) & text.has_word(F.col("text"), "this"))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     return lines.where(text.has_word(F.col("t"), "this")).select("doc_id", (F.col("line") + 1).cast("long").alias("line"))
-
-
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-
-
-@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
-def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by the hour, of a stream in complete mode."""
-    counts = event_stream(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    out = shared_folder(spark, "counts")
-    counts.writeStream.outputMode("complete").foreachBatch(lambda batch, i: batch.select("event_type", F.col("w.start").alias("hour"), "n").write.mode("overwrite").parquet(out)).option("checkpointLocation", shared_folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
-
-
-@query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL")
-def streamed_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each batch's rows replace those of their sources."""
-    out = shared_folder(spark, "replaced")
-
-    def work(batch: DataFrame, i: int) -> None:
-        maintenance.replace_by_source(out, "event_type")(batch.groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id")), i)
-
-    maintenance.run_batches(event_stream(spark, sf_dir), work, shared_folder(spark, "checkpoint"))
-    return spark.read.schema("user_id long, event_id long, event_type string").parquet(out).select("user_id", "event_type", "event_id")
-
-
-@query("""WITH m AS (SELECT user_id, event_type, min(event_id) AS place, max(event_id) AS last, arg_max(value, event_id) AS value FROM events GROUP BY ALL) SELECT user_id, event_type, place, last, row_number() OVER (PARTITION BY value > 20 ORDER BY place) AS turn FROM m""")
-def coalesced_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal jobs become one; the queue is dealt by priority."""
-    jobs = table(spark, sf_dir, "events").withColumn("urgent", F.col("value") > 20)
-    merged = maintenance.coalesced(jobs, ["user_id", "event_type"], "event_id", "urgent")
-    return merged.select("user_id", "event_type", "place", "last", F.col("turn").cast("long").alias("turn"))
-
-
-@query("SELECT DISTINCT user_id FROM events")
-def pending_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change events of a stream, each source once while it settles."""
-    out = shared_folder(spark, "pending")
-    changes = maintenance.pending_changes(event_stream(spark, sf_dir).select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", "3650 days")
-    changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return cut_lineage(spark.read.schema("user_id long, ts timestamp").parquet(out).select("user_id"))
-
-
-@query("""WITH l AS (SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY ALL) SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS place FROM l""")
-def streamed_recently_used(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shared_folder(spark, "recent")
-    used = maintenance.recently_used(event_stream(spark, sf_dir).select("user_id", "event_type", "ts"), "user_id", "event_type", "ts")
-    used.writeStream.outputMode("update").foreachBatch(lambda batch, i: batch.write.mode("append").parquet(out)).option("checkpointLocation", shared_folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("user_id", "event_type", F.col("place").cast("long").alias("place"))
-
-
-def header_json(rows: list[tuple[str, str, dict]]) -> str:
-    """A header table's text, as ``read_headers`` reads it."""
-    return json.dumps([{"filename": f, "namespace": n, "symbols": s} for f, n, s in rows])

@@ -1,30 +1,17 @@
-"""Where an iteration cuts its lineage, and the registry of queries."""
+"""The registry of queries."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..tables import cut_lineage, shared_folder  # noqa: F401  (queries import them from here)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's spark.checkpoint.dir; below a temporary folder where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lexgrove"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back."""
-    path = shared_folder(df.sparkSession, "step")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def query(sql: str | None = None):
     """Registers a query by its function's name, with SQL that gives the same rows."""
 

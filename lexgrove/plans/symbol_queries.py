@@ -86,9 +86,9 @@ def prefix_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.with_prefix(symbols(spark, sf_dir), "b").select("sym").distinct().orderBy("sym").limit(1)
 
 
-@query(f"SELECT seq, left(def, 4) || CASE WHEN length(def) > 4 THEN '...' ELSE '' END AS def FROM {SYMBOLS} WHERE sym = 'gear' AND scope = 'Brand#3' ORDER BY seq LIMIT 50")
+@query(f"SELECT seq, CASE WHEN length(def) > 6 THEN left(def, 3) || '...' ELSE def END AS def FROM {SYMBOLS} WHERE sym = 'gear' AND scope = 'Brand#3' ORDER BY seq LIMIT 50")
 def definition_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.definitions(symbols(spark, sf_dir), "gear", "Brand#3", width=4).select("seq", "def")
+    return lookup.definitions(symbols(spark, sf_dir), "gear", "Brand#3", width=6).select("seq", "def")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT') AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
@@ -108,10 +108,9 @@ def dedup_drop_unwanted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.drop_unwanted_unless_alone(lines, ["l_partkey"], F.col("l_returnflag") == "R", "seq").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL AND lower(text) = translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') GROUP BY regexp_replace(lower(text), '\\s+', '', 'g')")
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+', '', 'g')")
 def dedup_equivalent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.lower("text") == F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    return dedup.equivalent(docs, F.col("text"), "doc_id").select("doc_id")
+    return dedup.equivalent(table(spark, sf_dir, "documents"), F.col("text"), "doc_id").select("doc_id")
 
 
 @query("SELECT event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type")
@@ -163,11 +162,6 @@ def active_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.active_projects(table(spark, sf_dir, "part"), F.array("p_brand"), ["Brand#2", "Brand#3"]).select("p_partkey")
 
 
-@query("SELECT p_partkey FROM part WHERE p_type <> 'SMALL' OR p_size >= 0")
-def implementations_need_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return refine.implementations(table(spark, sf_dir, "part"), F.col("p_type") == "SMALL").select("p_partkey")
-
-
 @query("WITH g AS (SELECT p_name, min(p_brand) <> max(p_brand) AS many, bool_or(p_size > 40) AS anyp FROM part GROUP BY p_name) SELECT p_partkey FROM part JOIN g USING (p_name) WHERE p_size > 40 OR NOT many OR NOT anyp")
 def project_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.project_paths(table(spark, sf_dir, "part"), "p_name", "p_brand", F.col("p_size") > 40).select("p_partkey")
@@ -188,19 +182,6 @@ def reference_type_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.by_type_mask(table(spark, sf_dir, "lineitem"), F.col("l_linenumber"), 22).select("l_orderkey", "l_linenumber")
 
 
-PIPELINE = """WITH r AS (SELECT p_partkey, p_name, p_brand, p_size FROM part WHERE NOT (p_size % 10 = 0) OR p_type = 'PROMO'), v AS (SELECT * FROM r JOIN part USING (p_partkey) WHERE NOT (part.p_type = 'PROMO' AND part.p_size % 3 = 0)),
-g AS (SELECT p_name, min(p_brand) <> max(p_brand) AS many, bool_or(p_size > 40) AS anyp FROM (SELECT part.* FROM v JOIN part USING (p_partkey)) GROUP BY p_name),
-w AS (SELECT part.* FROM v JOIN part USING (p_partkey) JOIN g ON g.p_name = part.p_name WHERE part.p_size > 40 OR NOT many OR NOT anyp)
-SELECT p_partkey FROM w WHERE p_retailprice > 1000 OR NOT EXISTS (SELECT 1 FROM w WHERE p_retailprice > 1000)"""
-
-
-@query(PIPELINE)
-def go_to_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    rows = table(spark, sf_dir, "part").select("p_partkey", (c("p_size") % 10 == 0).alias("hidden"), (c("p_type") == "PROMO").alias("is_hashtag"), (c("p_size") % 3 == 0).alias("is_reference"), c("p_name").alias("name"), c("p_brand").alias("path"), (c("p_size") > 40).alias("in_project"), (c("p_retailprice") > 1000).alias("preferred"), F.lit(False).alias("is_system"), F.lit(False).alias("is_external"), F.lit(False).alias("is_implementation"))
-    return refine.definition_pipeline(rows).select("p_partkey")
-
-
 @query("SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders GROUP BY 1")
 def counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.results_by_kind(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", ("F", "O", "P"))
@@ -229,9 +210,3 @@ def reference_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_brand, string_agg(p_name, '|' ORDER BY p_partkey) AS texts FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) WHERE k <= 10 GROUP BY 1")
 def first_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.concat_first(table(spark, sf_dir, "part"), "p_brand", "p_name", "p_partkey", 10, "|")
-
-
-@query("SELECT s FROM (SELECT DISTINCT p_type AS s FROM part WHERE p_brand = 'Brand#2') WHERE s NOT IN (SELECT p_type FROM part WHERE p_brand = 'Brand#3' AND p_size > 30)")
-def missing_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part")
-    return parts.where("p_brand = 'Brand#2'").select(F.col("p_type").alias("s")).distinct().join(parts.where("p_brand = 'Brand#3' and p_size > 30").select(F.col("p_type").alias("s")), "s", "left_anti")

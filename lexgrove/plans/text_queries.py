@@ -110,24 +110,18 @@ def split_with_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(text.split_keeping(F.col("text"))).cast("long").alias("pieces"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_filter(string_split(text, chr(10)), lambda x: instr(x, ' le ') = 0), chr(10)) AS text FROM conversations WHERE text IS NOT NULL AND NOT suffix(text, chr(10)) AND instr(list_extract(string_split(text, chr(10)), -1), ' le ') = 0")
+@query("SELECT conv_id, turn, array_to_string(list_filter(list_filter(string_split(replace(text, chr(10), chr(10) || chr(1)), chr(1)), lambda x: x <> ''), lambda x: instr(x, ' le ') = 0), '') AS text FROM conversations")
 def lines_without(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull() & ~F.col("text").endswith("\n") & (F.instr(F.substring_index("text", "\n", -1), " le ") == 0))
-    return turns.select("conv_id", "turn", text.without_lines(F.col("text"), " le ").alias("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.without_lines(F.col("text"), " le ").alias("text"))
 
 
-@query("SELECT lower(regexp_replace(text, '[\\r\\n\\t ]', '', 'g')) AS k, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL AND lower(text) = translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT {LOW.format("regexp_replace(text, '[\r\n\t ]', '', 'g')")} AS k, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that differ in white space and case alone (of those whose capitals are ASCII)."""
-    docs = table(spark, sf_dir, "documents").where(F.lower("text") == text.ascii_lower(F.col("text")))
+    """Documents that differ in white space and case alone."""
+    docs = table(spark, sf_dir, "documents")
     return docs.groupBy(text.similarity_key(F.col("text")).alias("k")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@query("SELECT doc_id, regexp_replace(text, ' +', ' ', 'g') AS text FROM documents WHERE instr(text, '  ') > 0")
-def squeezed_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(F.instr("text", "  ") > 0).select("doc_id", text.squeeze_spaces(F.col("text")).alias("text"))
-
-
 @query("SELECT user_id, lower(printf('%x', event_id)) AS hexed, event_id AS back FROM events")
 def hex_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     hexed = text.to_hex(F.col("event_id"))
@@ -169,8 +163,3 @@ def top_in_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, sha1(array_to_string(list_sort(list_filter(string_split(regexp_replace(text, chr(10), chr(10) || chr(1), 'g'), chr(1)), lambda x: x <> '')), '')) AS h FROM documents WHERE text IS NOT NULL")
 def line_sorted_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.line_sorted_hash(F.col("text")).alias("h"))
-
-
-@query("SELECT conv_id, turn, array_to_string(list_sort(list_filter(string_split(text, chr(10)), lambda x: x <> ''), 'DESC'), chr(10)) AS text FROM conversations WHERE text IS NOT NULL")
-def lines_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", sorting.sorted_lines(F.col("text"), ascending=False).alias("text"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import from_hex, scope_of, symbol_of
+from ..functions.text import ascii_lower, from_hex, scope_of, symbol_of, to_hex
 
 #: Field delimiter of symbol records (a fixed value of the format).
 DELIMITER = "\x02"
@@ -51,9 +51,9 @@ def read_letter(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     return spark.read.parquet(path).where((F.col("letter") == prefix[:1].upper()) & F.lower("sym").startswith(prefix.lower()))
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, namespace, kind, symbol) of a JSON array of headers."""
-    raw = spark.read.schema("filename string, namespace string, symbols map<string, array<string>>").json(path, multiLine=True)
+def read_headers(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """(file, namespace, kind, symbol) of a JSON array of headers, or of headers in lines."""
+    raw = spark.read.schema("filename string, namespace string, symbols map<string, array<string>>").json(path, multiLine=not lines)
     return raw.select(F.col("filename").alias("file"), "namespace", F.explode("symbols").alias("kind", "names")).select("file", "namespace", "kind", F.explode("names").alias("symbol"))
 
 
@@ -72,3 +72,64 @@ def identifiers(df: DataFrame, text: Column, *keep: str) -> DataFrame:
 def tags(df: DataFrame, html: Column, *keep: str) -> DataFrame:
     """(kept columns, tag) of the begin tags of markup."""
     return df.select(*keep, F.explode(F.regexp_extract_all(html, F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), 1)).alias("tag")).withColumn("tag", F.lower("tag"))
+
+
+def write_symbols(symbols: DataFrame, path: str) -> None:
+    """Records of symbols (sym_scope, def, sym_type, attrs, file_id, line) as text, one folder for each database; a symbol
+    without a name has no hash and is left out."""
+    c = F.col
+    text = record(c("sym_scope"), c("def"), c("sym_type"), c("attrs"), c("file_id"), c("line"))
+    symbols.where(symbol_of(c("sym_scope")) != "").select("db_id", text.alias("value")).write.partitionBy("db_id").text(path)
+
+
+def write_index(symbols: DataFrame, path: str) -> None:
+    """Parquet by database and language."""
+    symbols.write.partitionBy("db_id", "language").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, *, without_dbs: tuple[int, ...] = (), without_languages: tuple[str, ...] = ()) -> DataFrame:
+    """An index without some databases and languages; their folders are not read."""
+    rows = spark.read.parquet(path)
+    rows = rows.where(~F.col("db_id").isin(*without_dbs)) if without_dbs else rows
+    return rows.where(~F.col("language").isin(*without_languages)) if without_languages else rows
+
+
+def sorted_unique(records: DataFrame, value: str = "value") -> DataFrame:
+    """Records once each, by symbol (up to the first delimiter) without case, then by the whole record without case."""
+    symbol = ascii_lower(F.substring_index(value, DELIMITER, 1))
+    return records.select(value).distinct().orderBy(symbol, ascii_lower(F.col(value)), value)
+
+
+def write_file_dictionary(files: DataFrame, path: str) -> None:
+    """`name, hex id` of files (name, file_id), by name."""
+    files.orderBy("name").select(F.concat_ws(DELIMITER, "name", to_hex(F.col("file_id"))).alias("value")).write.text(path)
+
+
+def read_file_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    f = F.split("value", DELIMITER)
+    return spark.read.text(path).select(F.get(f, F.lit(0)).alias("name"), from_hex(F.get(f, F.lit(1))).alias("file_id"))
+
+
+#: Fields of a graph's links and nodes, which stand in hex (names as they are) between bars.
+LINKS, NODES = ("src", "scope", "dst", "dir", "kind", "line", "own_dir"), ("node", "kind", "attrs", "line", "lines")
+
+
+def write_graph(nodes: DataFrame, links: DataFrame, path: str) -> None:
+    for name, df, fields in (("Nodes", nodes, NODES), ("Links", links, LINKS)):
+        df.select(F.concat_ws("|", *(to_hex(F.col(f)) for f in fields)).alias("value")).write.text(f"{path}/{name}")
+
+
+def read_graph(spark: SparkSession, path: str, name: str) -> DataFrame:
+    f, fields = F.split("value", r"\|"), {"Nodes": NODES, "Links": LINKS}[name]
+    return spark.read.text(f"{path}/{name}").select(*(from_hex(F.get(f, F.lit(i))).alias(k) for i, k in enumerate(fields)))
+
+
+def read_line_lists(spark: SparkSession, path: str, encoding: str = "UTF-16LE") -> DataFrame:
+    """(line, text) of short lists of lines in another encoding, each file a row before it is split; a byte-order mark goes."""
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_replace(F.decode("content", encoding), "^\\x{FEFF}", "").alias("t"))
+    return whole.select(F.posexplode(F.split("t", "\r?\n")).alias("line", "text")).where("text <> ''")
+
+
+def read_snippets(spark: SparkSession, paths: str, row_tag: str = "CodeSnippet") -> DataFrame:
+    """Snippets of XML files below the folders of a list divided by `;`."""
+    return spark.read.format("xml").option("rowTag", row_tag).option("recursiveFileLookup", "true").schema("Title string, Shortcut string, Code string").load([p for p in paths.split(";") if p])

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import sorting
+from ..tables import cut_lineage
+
 
 def pending_changes(events: DataFrame, key: str, time: str, settle: str = "500 milliseconds") -> DataFrame:
     """Change events, each key once while it settles."""
@@ -21,9 +24,31 @@ def windowed_counts(events: DataFrame, time: str, *by: str, length: str = "1 hou
 
 
 def coalesced(jobs: DataFrame, key: list[str], seq: str, priority: str) -> DataFrame:
-    """A batch of jobs: of equal jobs the last stands, at the first one's place; by priority (0 first), then place."""
+    """A batch of jobs: of equal jobs the last stands, at the first one's place; by priority, then place. Turns are counted over
+    ranges of the sorted queue, so no task holds a whole priority."""
     merged = jobs.groupBy(*key).agg(F.min(seq).alias("place"), F.max_by(priority, seq).alias(priority), F.max(seq).alias("last"))
-    return merged.withColumn("turn", F.row_number().over(W.partitionBy(priority).orderBy("place")))
+    return sorting.place(merged, [], "place", [priority], "turn")
+
+
+def stale_changes(changes: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Of a stream of changes (key, time), those of known sources (key, indexed) that were indexed before."""
+    return changes.join(known, key).where(F.col("time") > F.col("indexed")).drop("indexed")
+
+
+def drain(queue: str, done: str, *, ready: Column, urgent: Column, most: int, order: str) -> Callable[[DataFrame, int], None]:
+    """Work for batches of jobs: urgent ones that are ready are done, and of others the first ``most`` (a budget); what is not ready
+    or beyond the budget waits, in a table of its own for each batch, and is looked at again with the next."""
+
+    def work(batch: DataFrame, i: int) -> None:
+        spark = batch.sparkSession
+        waiting = batch if i == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{queue}/after={i - 1}"))
+        jobs = cut_lineage(waiting)
+        first = jobs.where(ready & ~urgent).orderBy(order).limit(most)
+        now = cut_lineage(jobs.where(ready & urgent).unionByName(first))
+        now.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{done}/step={i}")
+        jobs.join(now.select(order), order, "left_anti").write.mode("overwrite").parquet(f"{queue}/after={i}")
+
+    return work
 
 
 def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -41,19 +66,56 @@ def replace_by_source(path: str, source: str) -> Callable[[DataFrame, int], None
     return work
 
 
+def merge_by_source(path: str, source: str, merge: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """As ``replace_by_source``, but a source's rows are merged with those that it has: (old and new rows) to its new rows. The
+    merge must give the same for rows that come twice, as a batch may be run again."""
+
+    def work(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        sources = batch.select(source).distinct()
+        try:
+            old = spark.read.schema(batch.schema).parquet(path).join(sources, source, "left_semi")
+        except AnalysisException:  # nothing is written yet
+            old = batch.limit(0)
+        merged = cut_lineage(merge(old.unionByName(batch)))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(source).parquet(path)
+
+    return work
+
+
+def delivered(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Results appended as each batch of sources is done."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def recently_used(events: DataFrame, who: str, what: str, time: str, most: int = 60) -> DataFrame:
-    """Each user's most recently used items after every batch (update mode): keyed state of at most ``most`` items."""
+    """Each user's most recently used items after every batch (update mode): keyed state of at most ``most`` items with their
+    times, so items that come late take their place by time."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items = list(state.get[0]) if state.exists else []
-        new = pd.concat(list(batches)).sort_values([time, what])
-        for item in new[what]:
-            if item in items:
-                items.remove(item)
-            items.insert(0, item)
-        items = items[:most]
-        state.update((items,))
+        last = dict(zip(*state.get, strict=True)) if state.exists else {}
+        for batch in batches:
+            for item, at in zip(batch[what], batch[time].astype("int64"), strict=True):
+                last[item] = max(last.get(item, at), at)
+        items = sorted(last, key=lambda x: (-last[x], x))[:most]
+        state.update((items, [last[x] for x in items]))
         yield pd.DataFrame({who: [key[0]] * len(items), "place": range(1, len(items) + 1), what: items})
 
     kinds = dict(events.dtypes)
-    return events.groupBy(who).applyInPandasWithState(update, f"{who} {kinds[who]}, place int, {what} {kinds[what]}", f"items array<{kinds[what]}>", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy(who).applyInPandasWithState(update, f"{who} {kinds[who]}, place int, {what} {kinds[what]}", f"items array<{kinds[what]}>, times array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def for_each_batch(df: DataFrame, visit: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """A function over batches of rows, where they are."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from map(visit, batches)
+
+    return df.mapInPandas(each, schema)
+
+
+def observed(df: DataFrame, metrics: dict[str, Column]) -> dict:
+    """Runs a query and returns what was counted on its way."""
+    seen = Observation()
+    df.observe(seen, *(v.alias(k) for k, v in metrics.items())).write.format("noop").mode("overwrite").save()
+    return seen.get

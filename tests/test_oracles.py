@@ -2,7 +2,7 @@
 
 import oracle
 import pytest
-from lexgrove.plans import relation_queries, symbol_queries, text_queries  # noqa: F401
+import lexgrove.plans  # noqa: F401  (registers the queries)
 from lexgrove.plans.shared import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
