@@ -1,0 +1,52 @@
+"""SQL for DuckDB of the operators whose result SQL can express, over the whole tables."""
+
+from __future__ import annotations
+
+LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPACED = r"[^\x20\x09-\x0D]+"
+
+SUBSTRING_DEDUP = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 49], ' ')) AS h FROM s),
+f AS (SELECT h, min(doc_id) AS least FROM h GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM h JOIN f USING (h) WHERE doc_id > least),
+k AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+t AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM k ANTI JOIN g ON k.doc_id = g.doc_id AND k.p = g.p GROUP BY k.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, unnest(range(0, len(x) // 2 - 49)) AS i, x FROM d WHERE len(x) >= 100),
+h AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 100)) AS h FROM s),
+f AS (SELECT h, min(doc_id) AS least, max(doc_id) AS most FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM h JOIN f USING (h) WHERE doc_id > least),
+e AS (SELECT *, sum(CASE WHEN b IS NULL OR i > b + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM e GROUP BY doc_id, run),
+p AS (SELECT doc_id, z AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM r UNION ALL SELECT doc_id, 0, min(a) FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(z, len(x) // 2) - a)), '' ORDER BY a) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+JACCARD_JOIN = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce({LOW}, ''), '{SPACED}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+WORDS = rf"regexp_extract_all(coalesce({LOW}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATION = f"""
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {WORDS} AS w FROM benchmark),
+i AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS s FROM (SELECT item, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+h AS (SELECT d.doc_id, size, i AS place, array_to_string(w[i:i + size - 1], ' ') AS s FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM i) WHERE len(w) >= size) d),
+m AS (SELECT doc_id, place, h.size, item FROM h JOIN i ON h.s = i.s AND h.size = i.size),
+c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(place, place + size)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, nearest, packing, privacy, substring_dedup, suffix_dedup, token_counts, token_files
+from . import decontamination, jaccard_join, language_id, nearest, oracles, packing, privacy, substring_dedup, suffix_dedup, token_counts, token_files
 from .shared_folder import shared_folder
 
 #: Vocabulary files, by their public names.
@@ -78,4 +78,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_suffix_dedup, op4_language_id, op5_jaccard_join, op6_privacy, op7_benchmark_decontamination, op8_nearest_neighbours, op9_packing, op10_token_files)}
-ORACLES: dict[str, str] = {}
+#: What needs a model, a tokenizer or a graph of real distances has no SQL; the tests have plain versions.
+ORACLES = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_suffix_dedup": oracles.SUFFIX_DEDUP, "op5_jaccard_join": oracles.JACCARD_JOIN, "op7_benchmark_decontamination": oracles.DECONTAMINATION}
