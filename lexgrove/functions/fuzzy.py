@@ -82,6 +82,27 @@ def grapheme_distance(a: str, b: str, **options) -> int:
     return row[-1]
 
 
+def subsequence_class(text: str, typed: str) -> int | None:
+    """How well letters that were typed in order, if not together, complete a symbol (from 30 on; lower is better): a skip costs 1,
+    a skipped capital 2 more, and a capital that was met gains 1. Null if they don't, or if the first letters differ."""
+    if not text or not typed or text[0].lower() != typed[0].lower():
+        return None
+    at = skips = met = passed = 0
+    for c in typed:
+        start = at
+        while at < len(text) and text[at].lower() != c.lower():
+            if not (text[at].isalnum() or text[at] in "_@$"):
+                return None
+            passed += "A" <= text[at] <= "Z"
+            at += 1
+        if at == len(text):
+            return None
+        skips += at > start
+        met += "A" <= text[at] <= "Z"
+        at += 1
+    return 30 + skips - met + 2 * passed
+
+
 def _two(fn, kind: str):
     """A UDF over batches of pairs, each different pair of a batch once."""
 
@@ -115,3 +136,7 @@ def strip_code_of(c: Column) -> Column:
         return texts.map(lambda t: None if t is None else strip_code(t))
 
     return F.pandas_udf(strip, "string")(c)
+
+
+def subsequence_class_of(text: Column, typed: Column) -> Column:
+    return _two(subsequence_class, "long")(text, typed)

@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 from ..functions.text import quote
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, tie: str) -> DataFrame:
-    """Each left row with the value of the last right row of its key before it (the last by ``tie`` among equals). Both
-    sides are sorted once by key and time; no pair of rows is formed."""
-    a = left.withColumns({"_t": F.col(left_time), "_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType), "_tie": F.lit(None).cast(right.schema[tie].dataType)})
-    b = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(2).alias("_side"), F.struct(value).alias("_w"), F.col(tie).alias("_tie"))
-    both = a.drop("_v").unionByName(b, allowMissingColumns=True)
-    before = W.partitionBy(key).orderBy("_t", "_side", "_tie").rowsBetween(W.unboundedPreceding, -1)
-    return both.withColumn("_found", F.last("_w", ignorenulls=True).over(before)).where(F.col("_side") == 1).withColumn(f"asof_{value}", F.col(f"_found.{value}")).drop("_t", "_side", "_tie", "_w", "_found")
+def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, tie: str, bucket_seconds: int = 86_400) -> DataFrame:
+    """Each left row with the value of the last right row of its key before it (the last by ``tie`` among equals). No pair of rows
+    is formed: both sides are sorted by key and time within buckets of time, so that no key is one task's, and what
+    a bucket ends with is carried on to the ones after it."""
+    bucket = lambda t: F.expr(f"cast(unix_micros(cast({t} as timestamp)) div {bucket_seconds * 1_000_000} as long)").alias("_bucket")
+    found = F.struct(F.col(value))
+    none = F.lit(None).cast(f"struct<{value}: {right.schema[value].dataType.simpleString()}>")
+    a = left.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(left_time).alias("_t"), bucket(left_time), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), none.alias("_w"))
+    b = right.select(F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"), F.col(key).alias("_key"), F.col(right_time).alias("_t"), bucket(right_time), F.lit(2).alias("_side"), F.col(tie).alias("_tie"), found.alias("_w"))
+    before = W.partitionBy("_key", "_bucket").orderBy("_t", "_side", "_tie").rowsBetween(W.unboundedPreceding, -1)
+    own = a.unionByName(b).withColumn("_own", F.last("_w", ignorenulls=True).over(before)).where(F.col("_side") == 1)
+    # a row for each bucket of a key that has a right or left row
+    last = b.groupBy("_key", "_bucket").agg(F.max_by("_w", F.struct("_t", "_tie")).alias("_last"))
+    earlier = W.partitionBy("_key").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    carried = a.select("_key", "_bucket").distinct().join(last, ["_key", "_bucket"], "full_outer").withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).select("_key", "_bucket", "_carried")
+    return own.join(carried, ["_key", "_bucket"], "left").select("_row.*", F.coalesce(f"_own.{value}", F.when(F.col("_own").isNull(), F.col(f"_carried.{value}"))).alias(f"asof_{value}"))
 
 
 def closest_before(df: DataFrame, line: Column, order: str, limit: int) -> DataFrame:

@@ -179,3 +179,13 @@ def completion_class(c: Column, typed: str) -> Column:
     letters = initials(c)
     classes = [(c == typed, 1), (ascii_lower(c) == low, 3), (c.startswith(typed), 5), (ascii_lower(c).startswith(low), 7), (letters.startswith(typed.upper()) & (F.length(letters) >= 2), 8), (F.contains(ascii_lower(c), F.lit(low)), 9)]
     return reduce(lambda when, x: when.when(*x), classes[1:], F.when(*classes[0]))
+
+
+def completions(symbols: DataFrame, name: str, typed: str) -> DataFrame:
+    """Symbols that complete what was typed, with their ``class``. Names of no better class are tried letter by letter, each
+    different name once."""
+    c = F.col(name)
+    classed = symbols.withColumn("class", completion_class(c, typed))
+    rest = classed.where(F.col("class").isNull()).select(name).distinct()
+    weak = rest.select(name, fuzzy.subsequence_class_of(c, F.lit(typed)).alias("_class")).where("_class is not null")
+    return classed.join(weak, name, "left").withColumn("class", F.coalesce("class", "_class")).where(F.col("class").isNotNull()).select(*symbols.columns, "class")

@@ -127,6 +127,31 @@ def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve_aliases(aliases).withColumn("hops", F.col("hops").cast("long"))
 
 
+@query("""WITH RECURSIVE a AS (SELECT DISTINCT name, target FROM (SELECT p_partkey AS name, p_partkey // 2 AS target FROM part WHERE p_partkey > 0 UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey % 5 = 1 AND p_partkey > 1)),
+c(name, target, hops) AS (SELECT name, target, 1 FROM a UNION SELECT c.name, a.target, hops + 1 FROM c JOIN a ON c.target = a.name WHERE hops < 10) SELECT name, target, CAST(min(hops) AS BIGINT) AS hops FROM c WHERE hops = 10 OR target NOT IN (SELECT name FROM a) GROUP BY ALL""")
+def aliases_of_several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that stand for several others: all ends of their chains."""
+    parts, key = table(spark, sf_dir, "part"), F.col("p_partkey").alias("name")
+    two = parts.where("p_partkey > 0").select(key, F.expr("p_partkey div 2").alias("target")).unionAll(parts.where("p_partkey % 5 = 1 and p_partkey > 1").select(key, F.expr("p_partkey div 3")))
+    return graph.resolve_aliases(two).withColumn("hops", F.col("hops").cast("long"))
+
+
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES} WHERE a <> b AND a % 4 = b % 4), c(root, node, depth) AS (SELECT a, a, 0 FROM (SELECT DISTINCT p_partkey AS a FROM part WHERE p_type = 'PROMO') UNION SELECT root, b, depth + 1 FROM c JOIN e ON node = a WHERE depth < 5) SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM c GROUP BY ALL HAVING min(depth) > 0")
+def include_closure_in_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As include_closure, along includes of the same directory alone."""
+    within = edges(spark, sf_dir).where(F.col("a") % 4 == F.col("b") % 4)
+    return graph.closure(within, promoted_roots(spark, sf_dir), 5).withColumn("depth", F.col("depth").cast("long"))
+
+
+@query("SELECT p_partkey AS file_id FROM part WHERE p_size IN (3, 7)")
+def records_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimited records of some kinds alone."""
+    c = F.col
+    path = shared_folder(spark, "symbols")
+    table(spark, sf_dir, "part").select(sources.record(F.concat_ws(":", F.lit(""), "p_brand", "p_name"), c("p_type"), c("p_size"), F.lit(0), c("p_partkey"), F.lit(1)).alias("value")).write.text(path)
+    return sources.read_symbols(spark, path, types_only=(3, 7)).select("file_id")
+
+
 @query("SELECT l_suppkey AS a, l_partkey AS b, min(s_nationkey) AS file_id FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL")
 def reversed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("derived"), F.col("l_suppkey").alias("base")).distinct()

@@ -60,6 +60,13 @@ def fallback_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.fallback(s.where("scope = 'none'"), s.where("scope = 'Brand#5'")).select("seq")
 
 
+@query(f"SELECT seq FROM {SYMBOLS} WHERE scope = 'Brand#4'")
+def first_source_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second source isn't asked if the first has anything."""
+    s = symbols(spark, sf_dir).select("seq", "scope")
+    return lookup.fallback(s.where("scope = 'Brand#4'"), s.where("scope = 'Brand#5'")).select("seq")
+
+
 @query(f"""WITH p(scope, rank) AS (VALUES ('Brand#2', 1), ('Brand#3', 2), ('Brand#4', -1), ('Brand#5', -1001), ('', -1000)),
 h AS (SELECT s.*, p.rank FROM {SYMBOLS} s JOIN p USING (scope)), b AS (SELECT *, max(rank) OVER (PARTITION BY sym) AS best FROM h),
 o AS (SELECT sym, rank, def, min(seq) AS seq FROM b WHERE rank = best GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY seq) AS k FROM o)

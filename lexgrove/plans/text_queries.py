@@ -74,12 +74,26 @@ def whole_word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(text.has_word(F.col("text"), "the")).select("doc_id")
 
 
-@query(f"""SELECT p_partkey, CASE WHEN p_name = 'red ring' THEN 1 WHEN {LOW.format('p_name')} = 'red ring' THEN 3 WHEN starts_with(p_name, 'r') THEN 5 WHEN starts_with({LOW.format('p_name')}, 'r') THEN 7 ELSE 9 END AS class
-FROM part WHERE instr({LOW.format('p_name')}, 'r') > 0""")
+CAMEL = "(upper(left(p_name, 1)) || substr(split_part(p_name, ' ', 1), 2) || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2))"
+TYPED = ("RedRing", "redring", "Re", "re", "rR", "in")
+
+
+@query(f"""WITH n AS (SELECT p_partkey, {CAMEL} AS name FROM part), t AS (SELECT unnest({list(TYPED)}) AS typed), x AS (SELECT *, {LOW.format('name')} AS low, lower(typed) AS want, regexp_replace(name, '[^A-Z]', '', 'g') AS letters FROM n, t)
+SELECT p_partkey, typed, CAST(CASE WHEN name = typed THEN 1 WHEN low = want THEN 3 WHEN starts_with(name, typed) THEN 5 WHEN starts_with(low, want) THEN 7 WHEN starts_with(letters, upper(typed)) AND length(letters) >= 2 THEN 8 WHEN contains(low, want) THEN 9 END AS BIGINT) AS class
+FROM x WHERE class IS NOT NULL""")
 def completion_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("p_name")
-    typed = F.when(c == "red ring", 1).otherwise(match.completion_class(c, "r"))
-    return table(spark, sf_dir, "part").select("p_partkey", typed.alias("class")).where("class is not null")
+    """Each class from exact to anywhere, for names in camel case."""
+    c = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    parts = table(spark, sf_dir, "part")
+    classes = F.map_from_arrays(F.array(*map(F.lit, TYPED)), F.array(*(match.completion_class(c, t).cast("long") for t in TYPED)))
+    return parts.select("p_partkey", F.explode(classes).alias("typed", "class")).where("class is not null")
+
+
+@query()
+def weak_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was typed stands in a name letter by letter."""
+    names = table(spark, sf_dir, "part").withColumn("name", F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")))
+    return match.completions(names, "name", "rdg").select("p_partkey", "name", F.col("class").cast("long").alias("class"))
 
 
 @query()
