@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared_folder import written
+from .shared_folder import Scratch
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -24,10 +24,13 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b of one orderable type. Returns node and label (the least node of its component) for every node that has
     an edge to another; a node that is its component's label has no row."""
-    now = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    scratch, step = Scratch(), 0
+    now = scratch.written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges-0")
     state = None
     while True:
-        now = written(_star(_star(now, small=False), small=True), "edges")
+        step += 1
+        now = scratch.written(_star(_star(now, small=False), small=True), f"edges-{step}")
+        scratch.drop(now, f"edges-{step - 1}")
         # the steps change nothing any more once every node has its label alone
         new = now.agg(F.count("*"), F.count_distinct("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:

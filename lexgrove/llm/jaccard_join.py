@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import arrow_text as at
 from . import repeats as r
 from .components import components
-from .shared_folder import written
+from .shared_folder import Scratch
 
 TOKENS, META, SHARED = 10, 11, 12
 #: Bits of the bitmap of tokens in several components; where it fills up, an exact join has more to do.
@@ -350,7 +350,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """For each row: doc_id, text_key (hash of the text), n_shingles, set_key (hash of the set; null if empty),
     component_id (the smallest doc_id of its component) and label (a number of the component; null if the row has no id
     or no words)."""
-    read = r.prepared(docs, doc_id, text)
+    read, scratch = r.prepared(docs, doc_id, text), Scratch()
+    written = scratch.written
     buckets = r.bucket_count(read)
     scanned = written(read.mapInArrow(lambda b: _scan(b, words, buckets, stretch), r.ROW).groupBy("bucket").applyInArrow(_share, r.ROW), "shingles")
     meta = scanned.where(F.col("kind") == META).mapInArrow(_numbers, "doc_id long, text_key long, node long, set_key binary, n_shingles long")
@@ -413,6 +414,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         found = found.join(joined.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
     labels = written(sets.select("set_key", "node", "least").join(found, "node", "left").select("set_key", "least", F.coalesce("label", "node").alias("label")), "labels")
     least = written(labels.groupBy("label").agg(F.min("least").alias("component_id")), "components")
+    scratch.drop(docs, *(n for n in list(scratch.paths) if n not in ("shingles", "labels", "components")))
     own = meta.where(linkable).join(labels.join(least, "label").select("set_key", "label", "component_id"), "set_key")
     columns = ["doc_id", "text_key", "n_shingles", "set_key"]
     alone = meta.where(~linkable).select(*columns, F.when(F.col("set_key").isNull(), F.col("doc_id")).alias("component_id"), F.lit(None).cast("long").alias("label"))

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import shared_folder
 from . import decontamination, jaccard_join, language_id, nearest, oracles, packing, privacy, substring_dedup, suffix_dedup, token_counts, token_files
-from .shared_folder import shared_folder
 
 #: Vocabulary files, by their public names.
 WORD_BPE = "word_bpe_49k.json"

@@ -7,7 +7,7 @@ padded, where its mask is false. A manifest (Parquet, a row for each file) gives
 
 A task that is run again writes files of other names; the manifest names those of the attempt that Spark kept, so lost
 executors and speculative attempts do no harm. Null and empty texts have the end id alone. Documents of equal id stay
-next to each other, in any order. Empty tables give an empty manifest and no documents.
+next to each other, in any order; rows without an id come first. Empty tables give an empty manifest and no documents.
 """
 
 from __future__ import annotations
@@ -38,7 +38,9 @@ def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, length: int = 2048) -> DataFrame:
     """Writes all documents' ids in ascending order of doc_id to new files in ``folder``; returns the manifest as read back."""
     spark = docs.sparkSession
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("_row", F.monotonically_increasing_id())
+    # rows of one id may be in several tasks
+    ordered = ordered.repartitionByRange("doc_id", "_row").sortWithinPartitions("doc_id", "_row").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
