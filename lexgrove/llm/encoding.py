@@ -3,7 +3,8 @@
 The vocabulary's pre-tokeniser never joins text over white space, nor over the place after an ASCII letter that some
 other ASCII character than a letter follows, nor over the place after an ASCII digit that ASCII follows. Texts are cut
 there, each distinct piece is encoded by the library, and the ids are gathered again; the result equals encoding whole
-texts. Texts with the mark of a special token are encoded whole.
+texts. Texts with the mark of a special token are encoded whole. Pieces are looked up by a 64-bit code, and every piece of a
+text is then compared with the bytes of the one that was found.
 """
 
 from __future__ import annotations
@@ -21,10 +22,21 @@ PLAIN = ASCII & ~LETTER & ~at.SPACE
 SPECIAL = "<|"
 
 
+#: Encoders of this process, which serves several tasks.
+_MADE: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder of a vocabulary file."""
+    if path not in _MADE:
+        _MADE[path] = Encoder(path)
+    return _MADE[path]
+
+
 class Encoder:
     """Encodes Arrow text columns; keeps the ids of every piece that it has seen, up to ``keep`` pieces."""
 
-    def __init__(self, path: str, keep: int = 2_000_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -35,32 +47,27 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
-
-    def _add(self, pieces: list[str]) -> None:
-        """Encodes pieces that are new."""
-        single = [p for p in pieces if p.isalpha()]
-        ids = np.array(self.library.encode(" ".join(single), add_special_tokens=False).ids, self.dtype) if single else np.zeros(0, self.dtype)
+        self.codes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # by code
+        self.ids, self.raw = Grown(self.dtype), Grown(np.uint8)
+
+    def _known(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers for pieces that are new."""
+        first, texts = len(self.ids.size), [p.decode() for p in pieces]
+        single = [p for p in texts if p.isalpha()]
+        ids = np.array(self.library.encode_batch_fast([" ".join(single)], add_special_tokens=False)[0].ids, self.dtype) if single else np.zeros(0, self.dtype)
         stops = np.flatnonzero(self.closes[ids]) + 1
         if len(stops) != len(single) or (len(ids) and stops[-1] != len(ids)):
-            single, ids, stops = [], ids[:0], stops[:0]
-        known = set(single)
-        rest = [p for p in pieces if p not in known]
+            ids, stops, alone = ids[:0], stops[:0], np.zeros(len(texts), bool)
+        else:
+            alone = np.array([p.isalpha() for p in texts], bool)
+        rest = [p for p, x in zip(texts, alone.tolist(), strict=True) if not x]
         more = [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(rest, add_special_tokens=False)] if rest else []
-        sizes = np.concatenate((np.diff(stops, prepend=0), np.array([len(x) for x in more], np.int64))).astype(np.int64)
-        new = np.concatenate([ids, *more])
-        n, total = len(self.number), len(self.number) + len(sizes)
-        while len(self.size) < total:
-            self.begin, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size))
-        while len(self.ids) < self.used + len(new):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.used : self.used + len(new)] = new
-        self.size[n:total] = sizes
-        self.begin[n:total] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(new)
-        self.number.update(zip([*single, *rest], range(n, total), strict=True))
+        order = np.concatenate((np.flatnonzero(alone), np.flatnonzero(~alone)))
+        self.ids.add(np.concatenate([ids, *more]), np.concatenate((np.diff(stops, prepend=0), np.array([len(x) for x in more], np.int64))).astype(np.int64))
+        self.raw.add(np.frombuffer(b"".join(pieces[i] for i in order.tolist()), np.uint8), np.array([len(pieces[i]) for i in order.tolist()], np.int64))
+        numbers = np.empty(len(pieces), np.int64)
+        numbers[order] = np.arange(first, first + len(pieces))
+        return numbers
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of each piece, and each text's first piece (one more than texts)."""
@@ -72,14 +79,35 @@ class Encoder:
         cut[1:-1] = ~inside[1:] | ~inside[:-1] | (LETTER[raw[:-1]] & PLAIN[raw[1:]]) | (DIGIT[raw[:-1]] & ASCII[raw[1:]])
         cut[offsets] = True
         starts, ends = np.flatnonzero(cut[:-1] & inside), np.flatnonzero(cut[1:] & inside) + 1
-        words = at.text_array(raw, starts, ends).cast(pa.large_string()).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        if len(self.number) > self.keep:
+        if len(self.codes) > self.keep:
             self._forget()
-        if new := [x for x in distinct if x not in self.number]:
-            self._add(new)
-        number = np.fromiter((self.number[x] for x in distinct), np.int64, len(distinct))
-        return number[words.indices.to_numpy()], np.searchsorted(starts, offsets)
+        found = pa.array(at.word_codes(raw, starts, ends)).dictionary_encode()
+        code, which = found.dictionary.to_numpy(), found.indices.to_numpy()
+        new = np.flatnonzero(~self._has(code))
+        if len(new):
+            lead = np.zeros(len(code), np.int64)
+            lead[which[::-1]] = np.arange(len(which))[::-1]  # the first place of each
+            numbers = self._known([raw[a:b].tobytes() for a, b in zip(starts[lead[new]].tolist(), ends[lead[new]].tolist(), strict=True)])
+            order = np.argsort(code[new])
+            at_ = np.searchsorted(self.codes, code[new][order])
+            self.codes, self.number = np.insert(self.codes, at_, code[new][order]), np.insert(self.number, at_, numbers[order])
+        piece = self.number[np.searchsorted(self.codes, code)][which]
+        size = ends - starts
+        wrong = size != self.raw.size[piece]
+        at_ = np.where(wrong, 0, size)
+        differ = raw[at.expand(starts, at_)] != self.raw.values[at.expand(self.raw.begin[piece], at_)]
+        if differ.any() or wrong.any():  # pieces of one code that differ
+            bad = np.unique(np.concatenate((np.flatnonzero(wrong), np.repeat(np.arange(len(piece)), at_)[differ])))
+            texts_ = [raw[starts[i] : ends[i]].tobytes() for i in bad.tolist()]
+            once = list(dict.fromkeys(texts_))
+            numbers = dict(zip(once, self._known(once).tolist(), strict=True))
+            piece[bad] = [numbers[t] for t in texts_]
+        return piece, np.searchsorted(starts, offsets)
+
+    def _has(self, code: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.zeros(len(code), bool)
+        return self.codes[np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)] == code
 
     def _whole(self, texts: pa.Array) -> dict[int, np.ndarray]:
         """Ids of the texts with the mark of a special token, by their number."""
@@ -89,8 +117,8 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts after each other, and the texts' offsets (one more than texts). Null is empty."""
         piece, first = self._pieces(texts)
-        size = self.size[piece]
-        ids = self.ids[at.expand(self.begin[piece], size)]
+        size = self.ids.size[piece]
+        ids = self.ids.values[at.expand(self.ids.begin[piece], size)]
         ends = np.concatenate(([0], np.cumsum(size)))[first]
         if whole := self._whole(texts):
             parts = [whole.get(i, ids[ends[i] : ends[i + 1]]) for i in range(len(texts))]
@@ -100,7 +128,18 @@ class Encoder:
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Numbers of ids of the texts."""
         piece, first = self._pieces(texts)
-        count = np.diff(np.concatenate(([0], np.cumsum(self.size[piece])))[first])
+        count = np.diff(np.concatenate(([0], np.cumsum(self.ids.size[piece])))[first])
         for i, ids in self._whole(texts).items():
             count[i] = len(ids)
         return count
+
+
+class Grown:
+    """Short runs of values after each other, to which more are added: where each begins, and its size."""
+
+    def __init__(self, dtype: np.dtype):
+        self.values, self.begin, self.size = np.zeros(0, dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        begin = len(self.values) + np.cumsum(sizes) - sizes
+        self.values, self.begin, self.size = np.concatenate((self.values, values)), np.concatenate((self.begin, begin)), np.concatenate((self.size, sizes))

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrow_text as at
-from .encoding import Encoder
+from .encoding import encoder as encoder_of
 from .shared_folder import written
 
 
@@ -31,7 +31,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", te
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in at.slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encoder.lengths(batch.column("text")) + 1, pa.int64())], ["doc_id", "n_tokens"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrow_text as at
-from .encoding import Encoder
+from .encoding import encoder as encoder_of
 
 MANIFEST = "part int, file string, n_docs long, n_tokens long, n_sequences long"
 #: Sequences in a record batch of a file.
@@ -47,7 +47,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: s
         fs, place = _open(folder)
         fs.create_dir(place, recursive=True)
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         kind = pa.from_numpy_dtype(encoder.dtype)
         schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         n_docs = n_tokens = n_sequences = 0
