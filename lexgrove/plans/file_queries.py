@@ -243,7 +243,7 @@ def hashtag_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = "(SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN w || '.cpp' WHEN 1 THEN w || 'Impl.cpp' WHEN 2 THEN 'I' || w || '.h' WHEN 3 THEN w || 'Model2.cs' WHEN 4 THEN w || '_p.h' ELSE w || 'BaseEx.inl' END AS name FROM (SELECT *, replace(p_name, ' ', '') || CAST(p_partkey % 50 AS VARCHAR) || 'q' AS w FROM part))"
 
 
-@query(f"""WITH n AS (SELECT p_partkey, lower(regexp_replace(name, '\\.[^.]*$', '')) AS base FROM {NAMES}), k AS (SELECT p_partkey, base, regexp_replace(regexp_replace(base, '[0-9]+$', ''), '(impl|base|baseex|model|_p)$', '') AS k FROM n)
+@query(f"""WITH n AS (SELECT p_partkey, lower(regexp_replace(name, '\\.[^.]*$', '')) AS base FROM {NAMES}), k AS (SELECT p_partkey, base, regexp_replace(regexp_replace(base, '[0-9]+$', ''), '(impl|ex|model|_p)$', '') AS k FROM n)
 SELECT DISTINCT a.p_partkey, b.p_partkey AS other FROM k a JOIN k b ON a.p_partkey <> b.p_partkey AND (b.base = a.k OR b.base = 'i' || a.k OR starts_with(a.k, 'i') AND b.base = substr(a.k, 2))""")
 def related_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
