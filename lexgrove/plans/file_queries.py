@@ -351,21 +351,36 @@ c AS (SELECT * FROM o WHERE p_partkey IS DISTINCT FROM (SELECT p_partkey FROM o
 SELECT p_partkey FROM c WHERE p_retailprice > 1000 OR NOT EXISTS (SELECT 1 FROM c WHERE p_retailprice > 1000)"""
 
 
+def definition_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    end = F.when(c("p_size") % 13 == 0, F.regexp_replace("path", r"\.CPP$", ".gen.cpp")).otherwise(c("path"))
+    return files(spark, sf_dir).withColumns({
+        "path": end, "hidden": c("p_size") % 10 == 0, "is_hashtag": c("p_type") == "PROMO", "is_reference": c("p_size") % 3 == 0, "name": c("p_name"), "in_project": c("p_size") > 40, "projects": F.array("p_brand"),
+        "preferred": c("p_size") % 4 == 1, "is_system": c("p_type").isin("SMALL", "ECONOMY"), "is_external": c("p_type") == "SMALL", "is_namespace": F.lit(True), "has_body": c("p_size") % 2 == 1, "n_params": c("p_partkey") % 2,
+        "file_id": c("p_partkey") % 7, "line": c("p_size"), "seq": c("p_partkey"), "is_implementation": c("p_retailprice") > 1000,
+    })
+
+
 def definition_query(language: str, step: str):
     def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = F.col
-        end = F.when(c("p_size") % 13 == 0, F.regexp_replace("path", r"\.CPP$", ".gen.cpp")).otherwise(c("path"))
-        rows = files(spark, sf_dir).withColumns({
-            "path": end, "hidden": c("p_size") % 10 == 0, "is_hashtag": c("p_type") == "PROMO", "is_reference": c("p_size") % 3 == 0, "name": c("p_name"), "in_project": c("p_size") > 40, "projects": F.array("p_brand"),
-            "preferred": c("p_size") % 4 == 1, "is_system": c("p_type").isin("SMALL", "ECONOMY"), "is_external": c("p_type") == "SMALL", "is_namespace": F.lit(True), "has_body": c("p_size") % 2 == 1, "n_params": c("p_partkey") % 2,
-            "file_id": c("p_partkey") % 7, "line": c("p_size"), "seq": c("p_partkey"), "is_implementation": c("p_retailprice") > 1000,
-        })
-        return refine.definition_pipeline(rows, language=language, active=["Brand#2", "Brand#3", "Brand#12"], arguments=0, current=(2, 48), exactly=None).select("p_partkey")
+        return refine.definition_pipeline(definition_rows(spark, sf_dir), language=language, active=["Brand#2", "Brand#3", "Brand#12"], arguments=0, current=(2, 48), exactly=None).select("p_partkey")
 
     found.__name__ = f"definitions_in_{language}"
     query(CANDIDATES.replace("{language}", step))(found)
 
 
+@query(CANDIDATES.replace("{language}", "SELECT * FROM p WHERE p_type <> 'SMALL' OR NOT EXISTS (SELECT 1 FROM p WHERE p_type = 'ECONOMY')").split("o AS (")[0].rstrip().rstrip(",") + " SELECT p_partkey FROM u WHERE p_retailprice > 1000 OR NOT EXISTS (SELECT 1 FROM u WHERE p_retailprice > 1000)")
+def go_to_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions of all names, asked from no file."""
+    return refine.definition_pipeline(definition_rows(spark, sf_dir), exactly=None).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part")
+def implementations_need_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of more than two rows all stay, whatever they are."""
+    return refine.implementations(table(spark, sf_dir, "part"), F.col("p_type") == "SMALL").select("p_partkey")
+
+
 definition_query("c", "SELECT * FROM a WHERE p_type <> 'SMALL' OR NOT EXISTS (SELECT 1 FROM a WHERE p_type = 'ECONOMY')")
 definition_query("cs", "SELECT * FROM a WHERE p_size % 2 = 1 OR NOT EXISTS (SELECT 1 FROM a WHERE p_size % 2 = 1)")
 definition_query("js", "SELECT * FROM a WHERE p_size % 4 = 1 OR NOT EXISTS (SELECT 1 FROM a WHERE p_size % 4 = 1)")
