@@ -32,6 +32,27 @@ def test_encoder_equals_the_library_on_whole_texts(texts):
         assert encoder.lengths(part).tolist() == [len(x) for x in expected[start : start + 100]]
 
 
+def test_pieces_of_one_code_are_told_apart(texts, monkeypatch):
+    from lexgrove.llm import arrow_text
+
+    code = arrow_text.word_codes
+    monkeypatch.setattr(arrow_text, "word_codes", lambda raw, starts, ends: code(raw, starts, ends) & arrow_text.U64(7))
+    encoder = Encoder(BPE)
+    for _ in range(2):
+        ids, ends = encoder.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == library_ids(texts)
+
+
+def test_rows_of_one_id_in_several_tasks(spark, tmp_path):
+    rows = [(5, f"text {i}") for i in range(60)] + [(None, "none"), (1, "one"), (9, "nine")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = token_files.write_token_files(frame, f"file://{tmp_path}/t", BPE)
+    got = sorted(token_files.read_documents(manifest, f"file://{tmp_path}/t").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, 1, *[5] * 60, 9]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert sorted(r.ids_crc32 for r in got) == sorted(zlib.crc32(np.array([*ids, 2], "<u4").tobytes()) for ids in library_ids([t for _, t in rows]))
+
+
 def test_token_files_round_trip(spark, docs, texts, tmp_path):
     manifest = token_files.write_token_files(docs, f"file://{tmp_path}/t", BPE, length=64)
     got = {r.doc_id: r for r in token_files.read_documents(manifest, f"file://{tmp_path}/t").collect()}
