@@ -250,7 +250,7 @@ def url_query(c: Column) -> Column:
     return once
 
 
-#: Placeholders of snippets, and their date patterns.
+#: Placeholders of snippets (fixed names), and their date patterns.
 DATES = {
     "YEAR": "yyyy", "YEAR_02": "yy", "MONTH": "M", "MONTH_02": "MM", "MONTHNAME_EN": "MMM", "MONTHLONGNAME_EN": "MMMM", "DAY": "d", "DAY_02": "dd", "DAYNAME_EN": "E", "DAYLONGNAME_EN": "EEEE", "HOUR": "H", "HOUR_02": "HH", "MINUTE": "mm", "SECOND": "ss",
 }

@@ -417,7 +417,7 @@ def grouped_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy(F.col("source").alias("file")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("files"))
 
 
-#: Kinds of a header table's lists, the first match first.
+#: Kinds of a header table's lists, the best first (fixed values).
 KINDS = ("classes", "types", "typedefs", "objects", "enumerations", "declarations", "macros")
 
 
