@@ -50,3 +50,45 @@ m AS (SELECT doc_id, place, h.size, item FROM h JOIN i ON h.s = i.s AND h.size =
 c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(place, place + size)) AS p FROM m) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+CONVERSATION_REPAIR = r"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda c, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda d, y: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, x)), 4294967295::BIGINT) AS crc FROM conversations),
+g AS (SELECT conv, turn, xor(crc, 4294967295) % 20 AS draw, role, text FROM o),
+h AS (SELECT conv, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE draw WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM g WHERE draw <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS pos, rtrim(text, E' \t\n\x0b\x0c\r') AS cut FROM h),
+f AS (SELECT *, CASE WHEN cut = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN right(cut, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY pos) AS before FROM p),
+t AS (SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv),
+w AS (SELECT conv, n + 1 AS pos, [{'c': 0::BIGINT, 's': ''}, {'c': 4, 's': 'II'}, {'c': 2, 's': 'I'}, {'c': 0, 's': ''}] AS u FROM t
+UNION ALL
+SELECT conv, pos, [list_min([b[1], {'c': 2 + v3.c, 's': 'I' || v3.s}]), list_min([b[2], {'c': 2 + v3.c, 's': 'I' || v3.s}]), v3, list_min([b[4], {'c': 2 + b[3].c, 's': 'I' || b[3].s}])]
+FROM (SELECT *, list_min([b[3], {'c': 2 + b[4].c, 's': 'I' || b[4].s}]) AS v3 FROM (SELECT f.conv, f.pos, list_transform([1, 2, 3, 4], lambda q: list_min(list_filter([{'c': 3 + u[q].c, 's': 'D' || u[q].s},
+CASE WHEN fault IN ('blank', 'duplicate') THEN NULL ELSE {'c': 2 + late + u[[3, 3, 4, 3][q]].c, 's': 'R' || u[[3, 3, 4, 3][q]].s} END,
+CASE WHEN fault IN ('blank', 'duplicate') THEN NULL WHEN i = 's' AND q = 1 THEN {'c': late + u[2].c, 's': 'K' || u[2].s} WHEN i = 'u' AND q <> 3 THEN {'c': late + u[3].c, 's': 'K' || u[3].s} WHEN i = 'a' AND q = 3 THEN {'c': late + u[4].c, 's': 'K' || u[4].s} END], lambda x: x IS NOT NULL))) AS b
+FROM w JOIN (SELECT *, CAST(fault = 'truncated' AS INT) AS late FROM f) f ON f.conv = w.conv AND f.pos = w.pos - 1))),
+a AS (SELECT conv, u[1].c AS cost, u[1].s AS audit FROM w WHERE pos = 1),
+l AS (SELECT conv, unnest(string_split(audit, '')) AS x, unnest(range(1, length(audit) + 1)) AS k FROM a WHERE audit <> ''),
+m AS (SELECT conv, x, k, sum(CAST(x <> 'I' AS INT)) OVER (PARTITION BY conv ORDER BY k) AS pos FROM l),
+y AS (SELECT m.conv, k, x, role, text, row_number() OVER (PARTITION BY m.conv ORDER BY k) AS j, first_value(CASE WHEN x = 'K' AND f.i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY m.conv ORDER BY k) AS led FROM m LEFT JOIN f ON f.conv = m.conv AND f.pos = m.pos WHERE x <> 'D'),
+z AS (SELECT conv, string_agg(CASE WHEN x = 'K' THEN role WHEN (j - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS whole FROM y GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM o) LEFT JOIN t USING (conv) LEFT JOIN a USING (conv) LEFT JOIN z USING (conv)"""
+
+
+def _clustering(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256, seed: int = 2) -> str:
+    near = lambda c: f"SELECT v.row, v.x, min({{'d': list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x), 'k': c.k}}) AS m FROM v, {c} c GROUP BY ALL"
+    steps = []
+    for i in range(rounds):
+        steps.append(f"a{i} AS ({near(f'c{i}')})")
+        steps.append(f"s{i} AS (SELECT m.k AS k, axis, sum(CAST(e AS BIGINT)) AS s, count(*) AS n FROM (SELECT m, unnest(x) AS e, unnest(range({dim})) AS axis FROM a{i}) GROUP BY ALL)")
+        steps.append(f"c{i + 1} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY axis) AS x FROM s{i} GROUP BY k UNION ALL SELECT k, x FROM c{i} ANTI JOIN s{i} USING (k))")
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+c0 AS (SELECT row_number() OVER (ORDER BY drawn) - 1 AS k, x FROM (SELECT sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), 'null')) AS drawn, x FROM v ORDER BY drawn LIMIT {k})),
+{", ".join(steps)},
+z AS ({near(f"c{rounds}")}),
+i AS (SELECT m.k AS k, sum(m.d) AS d FROM z GROUP BY ALL)
+SELECT vec_id, CAST(m.k AS INT) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(i.d AS BIGINT) AS cluster_inertia, CAST((SELECT sum(d) FROM i) AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c.x, lambda e: CAST(e AS BIGINT)), ',')) AS centroid_sha256
+FROM z JOIN v USING (row) JOIN i ON i.k = m.k JOIN c{rounds} c ON c.k = m.k"""
+
+
+CENTROID_CLUSTERING = _clustering()

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import shared_folder
-from . import decontamination, jaccard_join, language_id, nearest, oracles, packing, privacy, substring_dedup, suffix_dedup, token_counts, token_files
+from . import clustering, conversations, decontamination, jaccard_join, language_id, nearest, oracles, packing, privacy, simhash, substring_dedup, suffix_dedup, token_counts, token_files
 
 #: Vocabulary files, by their public names.
 WORD_BPE = "word_bpe_49k.json"
@@ -77,6 +77,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(manifest, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_suffix_dedup, op4_language_id, op5_jaccard_join, op6_privacy, op7_benchmark_decontamination, op8_nearest_neighbours, op9_packing, op10_token_files)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = conversations.digest(conversations.repair(conversations.damage(turns)))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    every = turns.select("conv_id").distinct().alias("e").join(found.alias("f"), F.col("e.conv_id").eqNullSafe(F.col("f.conv_id")), "left")
+    return every.select("e.conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = clustering.cluster(table(spark, sf_dir, "embeddings"))
+    hashes = F.array(*(F.lit(clustering.centroid_hash(c)) for c in centroids)).cast("array<string>")
+    return found.withColumn("centroid_sha256", F.get(hashes, "cluster"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_suffix_dedup, op4_language_id, op5_jaccard_join, op6_privacy, op7_benchmark_decontamination, op8_nearest_neighbours, op9_packing, op10_token_files, op11_conversation_repair, op12_centroid_clustering, op13_simhash)}
 #: What needs a model, a tokenizer or a graph of real distances has no SQL; the tests have plain versions.
-ORACLES = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_suffix_dedup": oracles.SUFFIX_DEDUP, "op5_jaccard_join": oracles.JACCARD_JOIN, "op7_benchmark_decontamination": oracles.DECONTAMINATION}
+ORACLES = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_suffix_dedup": oracles.SUFFIX_DEDUP, "op5_jaccard_join": oracles.JACCARD_JOIN, "op7_benchmark_decontamination": oracles.DECONTAMINATION, "op11_conversation_repair": oracles.CONVERSATION_REPAIR, "op12_centroid_clustering": oracles.CENTROID_CLUSTERING}
