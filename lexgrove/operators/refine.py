@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import closest_before
+from ..tables import cut_lineage
+from . import overloads
 
 
 def _guarded(df: DataFrame, keep: Column, **flags: Column) -> DataFrame:
@@ -82,36 +83,79 @@ def by_type_mask(df: DataFrame, kind: Column, mask: int) -> DataFrame:
     return df.where(F.call_function("shiftright", F.lit(mask), kind.cast("int")).bitwiseAND(1) != 0)
 
 
-def overloads(df: DataFrame, fits: Column) -> DataFrame:
-    """The overloads that fit a call, if any does."""
-    return preferred_only(df, fits)
-
-
 def implementations_and_declarations(df: DataFrame, is_implementation: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(is_implementation), df.where(~is_implementation)
 
 
-def definition_pipeline(df: DataFrame, *, language: str = "c", active: list[str] | None = None, arguments: int | None = None, current: tuple[int, int] | None = None, exactly: int | None = 2) -> DataFrame:
-    """Where a definition is: hidden rows go, then paths outside projects, projects that are not active, then by language
-    external system rows (c), namespaces without a body (cs) or rows that are not preferred (js), generated files (none of them if
-    nothing would be left), overloads that don't fit a call's number of arguments, the row nearest above the
-    caret (``current``: file_id and line), and declarations beside an implementation. Needs the columns hidden, is_hashtag,
-    is_reference, name, path, in_project, projects, preferred, is_system, is_external, is_namespace, has_body, n_params, file_id,
-    line, seq, is_implementation."""
-    c = F.col
-    out = visible(df, c("hidden"), c("is_hashtag"), c("is_reference"))
-    out = project_paths(out, "name", "path", c("in_project"))
-    if active is not None:
-        out = active_projects(out, c("projects"), active)
+#: What the pipeline asks of a row.
+FLAGS = ("preferred", "is_system", "is_external", "is_namespace", "has_body", "generated", "is_implementation", "in_active", "has_project", "by_count", "variadic")
+
+
+def _steps(groups: list[dict], language: str, active: bool, call: bool, separate: bool, current: bool, exactly: int | None) -> tuple[list[dict], int | None]:
+    """The pipeline over groups of rows that agree in all flags (n of them, the nearest above the caret): those that stay, each
+    with its part, and the row that is left out as it is the caret's own."""
+
+    def keep(flag: str, when: bool = True, value: bool = True) -> None:
+        if when:
+            groups[:] = [g for g in groups if g[flag] == value]
+
+    if active:
+        keep("in_active", all(g["has_project"] for g in groups) and any(g["in_active"] for g in groups))
     if language == "js":
-        out = preferred_only(out, c("preferred"))
+        keep("preferred", any(g["preferred"] for g in groups))
     elif language == "c":
-        out = without_external(out, c("is_system"), c("is_external"))
+        keep("is_external", any(g["is_system"] and not g["is_external"] for g in groups), False)
     elif language == "cs":
-        out = namespace_bodies(out, c("is_namespace"), c("has_body"))
-    out = unless_empty(out, generated(c("path")))
-    if arguments is not None:
-        out = overloads(out, c("n_params") == arguments)
-    if current is not None:
-        out = closest_before(out, F.when(c("file_id") == current[0], c("line")), "seq", current[1])
-    return implementations(out, c("is_implementation"), exactly)
+        keep("has_body", all(g["is_namespace"] for g in groups) and any(g["has_body"] for g in groups))
+    keep("generated", not all(g["generated"] for g in groups), False)
+    if call and (fit := overloads.decide(groups)):
+        chosen = {g["key"] for g in fit}
+        groups[:] = [g | {"part": int(g["key"] not in chosen)} for g in groups if separate or g["key"] in chosen]
+    gone = None
+    if current and (near := [g for g in groups if g["nearest"]]):
+        own = max(near, key=lambda g: g["nearest"])
+        gone = own["nearest"][1]
+        own["n"] -= 1
+        groups[:] = [g for g in groups if g["n"]]
+    keep("is_implementation", (exactly is None or sum(g["n"] for g in groups) == exactly) and any(g["is_implementation"] for g in groups))
+    return groups, gone
+
+
+def definition_pipeline(df: DataFrame, *, language: str = "c", active: list[str] | None = None, arguments: int | None = None, call: overloads.Call | None = None, conversions: DataFrame | None = None, separate: bool = False, current: tuple[int, int] | None = None, exactly: int | None = 2) -> DataFrame:
+    """Where a definition is: hidden rows go, then paths outside projects, projects that are not active, then by language
+    external system rows (c), namespaces without a body (cs) or rows that are not preferred (js), generated files (none of them if
+    nothing would be left), overloads that don't fit a call (by its number of ``arguments``, or by ``call``'s types and the
+    ``conversions`` between them; if none fits, all stay), the row nearest above the caret (``current``: file_id and line), and
+    declarations beside an implementation. separate: overloads that don't fit stay, in ``part`` 1 (the others: 0).
+
+    Each step asks of the rows that are left only whether any or all have a flag, so all steps run over the numbers of rows that
+    agree in all flags: rows are read once to count them and once to take those that stay, however many steps there are. Needs the columns
+    hidden, is_hashtag, is_reference, name, path, in_project, projects, preferred, is_system, is_external, is_namespace, has_body,
+    n_params (for a call: params, n_default, variadic, is_const), file_id, line, seq, is_implementation."""
+    c = F.col
+    out = project_paths(visible(df, c("hidden"), c("is_hashtag"), c("is_reference")), "name", "path", c("in_project"))
+    columns = out.columns
+    if call is not None:
+        out = overloads.judged(out, call, conversions)
+    elif arguments is not None:
+        fits = c("n_params") == arguments
+        out = out.withColumns({"by_count": fits, "by_type": F.when(fits, 0).otherwise(overloads.NO), "signature": F.when(fits, ""), "variadic": F.lit(False)})
+    else:
+        out = out.withColumns({"by_count": F.lit(False), "by_type": F.lit(0), "signature": F.lit(None).cast("string"), "variadic": F.lit(False)})
+    has = F.arrays_overlap("projects", F.array(*map(F.lit, active))) if active else F.lit(False)
+    out = out.withColumns({"in_active": has, "has_project": F.size("projects") > 0, "generated": generated(c("path"))})
+    size = F.size("params") if call is not None else F.lit(0)
+    bits = [F.when(F.coalesce(c(x), F.lit(False)), "1").otherwise("0") for x in FLAGS]
+    flagged = cut_lineage(out.withColumn("_key", F.concat_ws(":", F.concat(*bits), "by_type", size)))
+    above = F.when((c("file_id") == current[0]) & (c("line") < current[1]), F.struct("line", "seq")) if current else F.lit(None).cast("struct<line: long, seq: long>")
+    counted = flagged.groupBy("_key").agg(F.count("*").alias("n"), F.min("signature").alias("low"), F.max("signature").alias("high"), F.max(above).alias("nearest")).collect()
+    groups = []
+    for r in counted:  # a row for each combination of flags
+        flags, welcome, n_params = r["_key"].split(":")
+        groups.append({x: bit == "1" for x, bit in zip(FLAGS, flags, strict=True)} | {"key": r["_key"], "by_type": int(welcome), "n_params": int(n_params), "n": r["n"], "low": r["low"], "high": r["high"], "nearest": r["nearest"] and tuple(r["nearest"]), "part": 0})
+    left, gone = _steps(groups, language, active is not None, call is not None or arguments is not None, separate, current is not None, exactly)
+    kept = flagged.where(c("_key").isin([g["key"] for g in left]))
+    if gone is not None:
+        kept = kept.where(c("seq") != gone)
+    part = c("_key").isin([g["key"] for g in left if g["part"]]).cast("int").alias("part")
+    return kept.select(*columns, *([part] if separate else []))

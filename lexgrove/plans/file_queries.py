@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import dedup, graph, grouping, joins, lookup, match, refine, sorting
+from ..operators import adjacent, dedup, graph, grouping, joins, lookup, match, refine, sorting
 from ..sources import symbols as sources
 from ..streaming import maintenance
+from .definition_queries import neighbours_sql
 from .order_queries import PATH, files, ordered
 from .relation_queries import REFS, references
 from .shared import query, shared_folder, table
@@ -386,21 +387,30 @@ definition_query("cs", "SELECT * FROM a WHERE p_size % 2 = 1 OR NOT EXISTS (SELE
 definition_query("js", "SELECT * FROM a WHERE p_size % 4 = 1 OR NOT EXISTS (SELECT 1 FROM a WHERE p_size % 4 = 1)")
 
 
-@query(f"""WITH r AS (SELECT *, {plain_rank('sym', 'bo')} AS rank FROM {SYMBOLS} WHERE line % 5 <> 0), d AS (SELECT * FROM r WHERE rank > 0), k AS (SELECT *, row_number() OVER (PARTITION BY def, sym_type ORDER BY (line > 25) DESC, file_id, line, seq) AS k FROM d)
-SELECT seq, sym, rank, row_number() OVER (ORDER BY {LOW.format('sym')}, printf('%x', file_id), length(printf('%x', line)), printf('%x', line), seq) AS place FROM k WHERE k = 1""")
+FOUND = f"SELECT def AS name, 'C:/f' || CAST(file_id AS VARCHAR) AS path, file_id, line, CASE sym_type WHEN 'SMALL' THEN 'CLASS' WHEN 'PROMO' THEN 'VAR' ELSE 'FUNC' END AS kind, line > 25 AS solution, line % 2 = 0 AS body, seq FROM {SYMBOLS} WHERE line % 5 <> 0 AND {plain_rank('sym', 'bo')} > 0"
+
+
+@query(f"""WITH RECURSIVE {neighbours_sql(FOUND)}, d AS (SELECT s.*, {plain_rank('sym', 'bo')} AS rank, {LOW.format('sym')} AS low, printf('%x', file_id) AS fx, printf('%x', line) AS lx FROM {SYMBOLS} s JOIN kept USING (seq)), p AS (SELECT *, row_number() OVER (ORDER BY low, fx, length(lx), lx, seq) AS place FROM d)
+SELECT seq, sym, rank, place, place = (SELECT min(place) FROM p WHERE rank = (SELECT max(rank) FROM p)) AS suggested FROM p""")
 def find_symbol_from_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Find symbol from end to end: text records, hidden ones left out, filtered, of repeats the one of the solution, in order."""
+    """Find symbol from end to end: text records, hidden ones left out, filtered, each held against the one kept before it, in order,
+    with the one that is suggested."""
     c = F.col
     hexed = lambda x: F.lower(F.hex(x.cast("long")))
     rows = symbols(spark, sf_dir)
-    kinds = {k: i + 1 for i, k in enumerate(["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])}
-    number = F.coalesce(F.create_map(*(F.lit(x) for p in kinds.items() for x in p))[c("sym_type")], F.lit(9))
+    kinds = {"SMALL": "CLASS", "PROMO": "VAR"}
+    numbers = {"CLASS": 1, "VAR": 2, "FUNC": 3}
+    mapped = lambda key, pairs, other: F.coalesce(F.create_map(*(F.lit(x) for p in pairs.items() for x in p))[key], F.lit(other))
+    number = mapped(mapped(c("sym_type"), kinds, "FUNC"), numbers, 3)
     text_ = sources.record(F.concat_ws(":", F.lit(""), "scope", "sym"), c("def"), number, c("seq"), c("file_id"), c("line"))
     path = shared_folder(spark, "records")
     rows.select(F.when(c("line") % 5 == 0, F.concat(F.lit("0"), F.substring(text_, 2, 1 << 30))).otherwise(text_).alias("value")).write.text(path)
     found = match.filter_set(sources.read_symbols(spark, path).withColumn("seq", c("attrs")), c("sym"), "bo")
-    once = dedup.merge_definitions(found.withColumns({"sym_scope": c("def"), "in_solution": c("line") > 25, "is_goto": F.lit(False), "has_body": F.lit(False)}))
-    return sorting.place(once, sorting.name_order(c("sym"), hexed(c("file_id")), hexed(c("line"))), "seq", []).select("seq", "sym", "rank", "place")
+    kind = mapped(c("sym_type").cast("int"), {v: k for k, v in numbers.items()}, "FUNC")
+    once = adjacent.without_neighbours(found.withColumns({"sym_scope": c("def"), "path": F.concat(F.lit("C:/f"), c("file_id").cast("string")), "sym_type": kind, "in_solution": c("line") > 25, "has_body": c("line") % 2 == 0}))
+    placed = sorting.place(once, sorting.name_order(c("sym"), hexed(c("file_id")), hexed(c("line"))), "seq", []).select("seq", "sym", "rank", "place")
+    best = match.suggested(placed, "place").select(c("place").alias("_best"))
+    return placed.join(F.broadcast(best)).withColumn("suggested", c("place") == c("_best")).drop("_best")
 
 
 WORD = r"(^|[^A-Za-z0-9_@$\x{80}-\x{10FFFF}])the([^A-Za-z0-9_@$\x{80}-\x{10FFFF}]|$)"

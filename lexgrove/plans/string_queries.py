@@ -176,6 +176,48 @@ def words_run_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.two_words(parts.select(F.replace("p_name", F.lit(" "), F.lit("")).alias("word")), parts.select(F.explode(F.split("p_name", " ")).alias("word")))
 
 
+#: The score of n-grams of a in b, each length's hits counting while the length before had two.
+def ngram_sql(a: str, b: str, most: str, apart: str) -> str:
+    hits = f"list_transform(range(1, least({most}, length({a})) + 1), lambda n: len(list_filter(range(1, length({a}) - n + 2), lambda i: contains({b}, substr({a}, i, n)))))"
+    return f"(list_sum(list_transform(range(1, len({hits}) + 1), lambda k: CASE WHEN list_min(list_concat([2], {hits}[1:k - 1])) < 2 THEN 0 ELSE {hits}[k] END)) - greatest(0, {apart} - 2))"
+
+
+POOR = "SELECT DISTINCT substr(w, 3, 2) || 'z' || substr(w, 1, 2) || 'q' AS word FROM d UNION SELECT DISTINCT substr(w, 1, 3) || 'zz' || substr(w, 4) FROM d UNION SELECT DISTINCT reverse(w) FROM d UNION SELECT DISTINCT substr(w, 1, 2) FROM d"
+LOST = ["list_aggregate(list_transform(range(0, length(word)), lambda i: CASE WHEN i >= {0} AND (i - {0}) % 4 = 0 THEN '*' ELSE substr(word, i + 1, 1) END), 'string_agg', '')".format(k) for k in (1, 2, 3)]
+
+
+@query(f"""WITH d AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), m AS (SELECT * FROM ({POOR}) WHERE word NOT IN (SELECT w FROM d)),
+r AS (SELECT word, w, {ngram_sql("word", "w", "3", "length(w) - length(word)")} AS s FROM m, d), t AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY s DESC, w) AS k FROM r),
+l AS (SELECT word, {LOST[0]} AS l1, {LOST[1]} AS l2, {LOST[2]} AS l3 FROM m), h AS (SELECT word, ({" + ".join(ngram_sql("word", f"l{k}", "length(word)", "0") for k in (1, 2, 3))}) // 3 - 1 AS least FROM l),
+g AS (SELECT word, w AS candidate, {ngram_sql("word", "w", "length(word)", "abs(length(w) - length(word))")} AS score FROM t WHERE k <= 10), o AS (SELECT g.*, row_number() OVER (PARTITION BY word ORDER BY score DESC, candidate) AS k FROM g JOIN h USING (word) WHERE score > least)
+SELECT word, candidate, CAST(score AS BIGINT) AS score FROM o WHERE k <= 10""")
+def resembling_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words spelt very poorly, and what resembles them most by their n-grams."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    cut = lambda a, n=1 << 30: F.substring("word", a, n)
+    poor = F.array(F.concat(cut(3, 2), F.lit("z"), cut(1, 2), F.lit("q")), F.concat(cut(1, 3), F.lit("zz"), cut(4)), F.reverse("word"), cut(1, 2))
+    found = spelling.resembling(words.select(F.explode(poor).alias("word")), words)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
+@query("""WITH d AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), m AS (SELECT DISTINCT translate(w, 'eai', 'éàa') AS word FROM d WHERE translate(w, 'eai', 'éàa') <> w)
+SELECT word, w AS candidate FROM m, d WHERE word NOT IN (SELECT w FROM d) AND length(word) > 1 AND translate(word, 'éèàâio', 'eeaaaa') = translate(w, 'éèàâio', 'eeaaaa')""")
+def related_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with characters that are related to the right ones."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    wrong = F.translate("word", "eai", "éàa")
+    return spelling.related(words.where(wrong != F.col("word")).select(wrong.alias("word")), words, ["eéè", "aàâ", "oi", "ia"])
+
+
+@query("""WITH d AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), m AS (SELECT DISTINCT replace(replace(w, 'e', 'ee'), 't', 'ph') AS word FROM d), t(p, r) AS (VALUES ('ee', 'e'), ('ph', 't'), ('e', 'ee')),
+v AS (SELECT word, p, r, unnest(range(1, length(word) + 1)) AS i FROM m, t) SELECT DISTINCT word, substr(word, 1, i - 1) || r || substr(word, i + length(p)) AS candidate FROM v WHERE substr(word, i, length(p)) = p AND word NOT IN (SELECT w FROM d) AND length(word) > 1 AND substr(word, 1, i - 1) || r || substr(word, i + length(p)) IN (SELECT w FROM d)""")
+def replaced_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in which a pattern of a table stands for another."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    wrong = F.replace(F.replace("word", F.lit("e"), F.lit("ee")), F.lit("t"), F.lit("ph"))
+    return spelling.replaced(words.select(wrong.alias("word")), words, [("ee", "e"), ("ph", "t"), ("e", "ee")])
+
+
 @query("SELECT p_name, sha1(p_name) AS sha1, md5(p_name) AS md5, sha256(p_name) AS sha256 FROM (SELECT DISTINCT p_name FROM part)")
 def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.sha1("p_name").alias("sha1"), F.md5("p_name").alias("md5"), F.sha2("p_name", 256).alias("sha256"))
