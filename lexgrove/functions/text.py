@@ -162,9 +162,13 @@ def _literal(new: str) -> str:
     return new.replace("\\", "\\\\").replace("$", "\\$")
 
 
-def compare(a: Column, b: Column, *, case_sensitive: bool = True) -> Column:
-    """-1, 0 or 1, by code point or with A-Z folded."""
-    a, b = (a, b) if case_sensitive else (ascii_lower(a), ascii_lower(b))
+def compare(a: Column, b: Column, *, case_sensitive: bool = True, collation: str | None = None) -> Column:
+    """-1, 0 or 1, by code point or with A-Z folded; or by a collation's letters (UNICODE, or a language's as ``de``)."""
+    if collation is not None:
+        name = collation if case_sensitive else f"{collation}_CI"
+        a, b = F.collate(a, name), F.collate(b, name)
+    elif not case_sensitive:
+        a, b = ascii_lower(a), ascii_lower(b)
     return F.when(a < b, -1).when(a > b, 1).otherwise(0)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ancestors
 from ..tables import cut_lineage
+from . import sorting
 
 
 def closure(edges: DataFrame, roots: DataFrame, depth: int, *, a: str = "a", b: str = "b") -> DataFrame:
@@ -138,3 +139,17 @@ def method_dependencies(parts: DataFrame) -> DataFrame:
     above = W.partitionBy("parent").orderBy("_at", F.col("place").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
     found = line.select("place", F.count("_dep").over(above).alias("n"), F.min("_dep").over(above).alias("first"), F.max("_dep").over(above).alias("last"))
     return found.where(F.col("place").isNotNull() & (F.col("n") > 0))
+
+
+def rearranged(parts: DataFrame) -> DataFrame:
+    """(parent, place, turn): all parts of a class in their order once its methods are in their header's order (parts: parent, place,
+    target, header). What a method needs (method_dependencies) moves before it. The method that comes first needs whatever
+    any method needs, that is all that stands above the lowest method; so these parts go first in their own order, then the methods,
+    then what stood below them. Methods without a place in the header come last; of equal places each needs what the others need,
+    and they stand by their own.
+    No class is one task's: turns are counted over ranges."""
+    lowest = parts.where("target").groupBy("parent").agg(F.max("place").alias("_lowest"))
+    keyed = parts.select("parent", "place", "target", "header").join(lowest, "parent", "left")
+    c = F.col
+    keys = {"_section": F.when(c("target"), 1).when(c("place") < c("_lowest"), 0).otherwise(2), "_unknown": c("target") & c("header").isNull(), "_header": F.when(c("target"), c("header"))}
+    return sorting.place(keyed.withColumns(keys), [c(k) for k in keys], "place", ["parent"], "turn").select("parent", "place", "turn")

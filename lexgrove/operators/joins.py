@@ -80,6 +80,29 @@ def snapshot_status(disk: DataFrame, indexed: DataFrame, key: str = "file_id") -
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
 
 
+def routed_changes(listed: DataFrame, disk: DataFrame, indexed: DataFrame, loaded: DataFrame) -> DataFrame:
+    """(file_id, action, route): what is to be done with files when an index is opened. listed: the project's files (file_id, kind:
+    header or source; others are left alone; system: in a system directory). disk: files that are there, indexed: files with their
+    state (file_id, mtime, size, hash; indexed also ``db``: project, system or solution). loaded: files (file_id) whose symbols are
+    in memory.
+
+    A file that is indexed, neither on disk nor listed, is to be removed. Of listed files on disk, one that is indexed as it is but not
+    loaded is to be loaded; one that isn't indexed (or without a time) or was changed is to be updated, but not if it is loaded
+    and only its time has changed (size and hash agree). The route is that of the solution's or the system's index, or by kind. Each
+    file_id is once in each table; null ids take no part."""
+    c = F.col
+    i = indexed.where("file_id is not null").select("file_id", c("mtime").alias("_it"), c("size").alias("_is"), c("hash").alias("_ih"), "db")
+    d = disk.where("file_id is not null").select("file_id", c("mtime").alias("_dt"), c("size").alias("_ds"), c("hash").alias("_dh"), F.lit(True).alias("_there"))
+    there, known = c("_there").isNotNull(), c("_it").isNotNull()
+    wanted = listed.where("file_id is not null").select("file_id", "kind", "system", F.lit(True).alias("_listed")).join(d, "file_id", "full_outer").join(i, "file_id", "full_outer").join(loaded.select("file_id", F.lit(True).alias("_loaded")), "file_id", "left")
+    in_memory, same = c("_loaded").isNotNull(), known & (c("_it") == c("_dt"))
+    content = (c("_is") == c("_ds")) & (c("_ih") == c("_dh"))
+    parsed = c("_listed") & there & c("kind").isin("header", "source")
+    action = F.when(c("_listed").isNull() & ~there & c("db").isNotNull(), "remove").when(~F.coalesce(parsed, F.lit(False)), None).when(~in_memory & F.coalesce(same, F.lit(False)), "load").when(in_memory & F.coalesce(same, F.lit(False)), None).when(in_memory & known & F.coalesce(content, F.lit(False)), None).otherwise("update")
+    route = F.when(action == "remove", "removed").when(c("db") == "solution", "solution").when((c("db") == "system") | (c("db").isNull() & F.coalesce("system", F.lit(False))), "system").when(c("kind") == "header", "global").otherwise("source")
+    return wanted.select("file_id", action.alias("action"), route.alias("route")).where("action is not null")
+
+
 #: Ends of base names that related files differ in, in the order in which they are taken off (fixed values).
 SUFFIXES = ("iterator", "base", "impl", "priv", "fwd", "_exp", "ex", "-internal", "-inl", "_part", "model", "_p", "_")
 

@@ -110,7 +110,7 @@ def _shortened(definition: Column, width: int) -> Column:
 
 def definitions(symbols: DataFrame, sym: str, scope: str | None = None, *, closures: DataFrame | None = None, width: int = 150, most: tuple[int, int] = (50, 10)) -> DataFrame:
     """Definitions of a symbol, shortened: in a scope, in scopes whose ``closures`` (scope, base) have it, or in any. At most 50
-    in a scope, 10 in any. A name that begins with `#` finds hashtags alone, without that limit, and no other name finds one."""
+    in a scope and of hashtags, 10 in any. A name that begins with `#` finds hashtags alone, and no other name finds one."""
     is_tag = sym.startswith("#")
     hits = symbols.where((F.col("sym") == sym) & F.col("file_id").isNotNull() & ((F.col("sym_type") == "HASHTAG") == is_tag))
     if closures is not None:

@@ -122,8 +122,11 @@ def missing_in_order(expected: DataFrame, present: DataFrame, key: list[str]) ->
     return expected.join(present.select(*key).distinct(), key, "left_anti")
 
 
-def sorted_lines(text: Column, *, ascending: bool = True, case_sensitive: bool = True) -> Column:
-    """The text with its lines in order (by code point; without case, equal lines in case order)."""
+def sorted_lines(text: Column, *, ascending: bool = True, case_sensitive: bool = True, collation: str | None = None) -> Column:
+    """The text with its lines in order: by code point, or by a collation (UNICODE, or a language's as ``de``). Lines that are equal
+    in that order, as without case, stand by code point."""
     lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    keyed = F.array_sort(lines) if case_sensitive else F.transform(F.array_sort(F.transform(lines, lambda x: F.struct(ascii_lower(x).alias("k"), x.alias("v")))), lambda x: x["v"])
+    name = collation if case_sensitive or collation is None else f"{collation}_CI"
+    key = (lambda x: F.collate(x, name)) if collation else ascii_lower
+    keyed = F.array_sort(lines) if case_sensitive and not collation else F.transform(F.array_sort(F.transform(lines, lambda x: F.struct(key(x).alias("k"), x.alias("v")))), lambda x: x["v"])
     return F.array_join(keyed if ascending else F.reverse(keyed), "\n")

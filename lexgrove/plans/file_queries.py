@@ -290,11 +290,11 @@ def definitions_in_derived_scopes(spark: SparkSession, sf_dir: str) -> DataFrame
     return lookup.definitions(symbols(spark, sf_dir), "ring", "Brand#2", closures=closures).select("seq", "def")
 
 
-@query("SELECT p_partkey AS seq FROM part WHERE p_type = 'PROMO' AND regexp_extract(p_name, '[^ ]*$') = 'ring'")
+@query("SELECT p_partkey AS seq FROM part WHERE p_type = 'PROMO' AND regexp_extract(p_name, '[^ ]*$') = 'ring' ORDER BY seq LIMIT 50")
 def hashtag_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A name with a hash finds hashtags alone, and all of them... as far as a list of 50 goes."""
+    """A name with a hash finds hashtags alone, as far as a list of 50 goes."""
     rows = symbols(spark, sf_dir).withColumn("sym_type", F.when(F.col("sym_type") == "PROMO", "HASHTAG").otherwise("FUNC")).withColumn("sym", F.when(F.col("sym_type") == "HASHTAG", F.concat(F.lit("#"), "sym")).otherwise(F.col("sym")))
-    return lookup.definitions(rows, "#ring", most=(10_000, 10)).select("seq")
+    return lookup.definitions(rows, "#ring").select("seq")
 
 
 @query("SELECT user_id, array_to_string(list_transform(list_sort(list({'k': k, 'e': event_type})), lambda x: x.e), ',') AS types FROM (SELECT user_id, event_type, min(event_id) AS k FROM events GROUP BY ALL) GROUP BY 1")
@@ -474,6 +474,14 @@ def method_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn.join(slots, ["parent", "turn"]).select("parent", "place", "slot")
 
 
+@query(f"""WITH m AS (SELECT * FROM {METHODS}), l AS (SELECT parent, max(place) AS lowest FROM m WHERE target GROUP BY parent)
+SELECT parent, place, row_number() OVER (PARTITION BY parent ORDER BY CASE WHEN target THEN 1 WHEN place < lowest THEN 0 ELSE 2 END, CASE WHEN target THEN header END, place) AS turn FROM m LEFT JOIN l USING (parent)""")
+def rearranged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts of a class once its methods are in their header's order and what they need stands before them."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("parent"), F.col("p_partkey").alias("place"), (F.col("p_type") == "PROMO").alias("target"), F.col("p_size").alias("header"))
+    return graph.rearranged(parts)
+
+
 @query("SELECT p_partkey, CASE WHEN p_name LIKE 'red %' THEN 'RED' || substr(p_name, 4) ELSE p_name END AS text FROM part")
 def replaced_by_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each match is replaced by what a function makes of it."""

@@ -191,3 +191,10 @@ line_order("lines_ascending", True, True, f"list_sort({LINES})")
 line_order("lines_descending", False, True, f"list_sort({LINES}, 'DESC')")
 line_order("lines_ascending_without_case", True, False, without_case())
 line_order("lines_descending_without_case", False, False, without_case(", 'DESC'"))
+
+
+@query()
+def lines_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in the order of the letters of all languages, without case; the tests have cases."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    return turns.select("conv_id", "turn", sorting.sorted_lines(F.col("text"), collation="UNICODE", case_sensitive=False).alias("text"))

@@ -64,6 +64,26 @@ def snapshot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.snapshot_status(disk, orders.where("o_orderpriority <> '5-LOW'").select(*state(c("o_orderdate"), F.lit("x"))))
 
 
+LISTED = "SELECT o_orderkey AS file_id, CASE o_orderkey % 5 WHEN 0 THEN 'other' WHEN 1 THEN 'source' ELSE 'header' END AS kind, o_custkey % 4 = 0 AS system FROM orders WHERE o_orderkey % 7 <> 3"
+
+
+@query(f"""WITH l AS ({LISTED}), d AS (SELECT o_orderkey AS file_id, o_totalprice > 200000 AS later, o_orderstatus = 'F' AS other FROM orders WHERE o_orderkey % 11 <> 5),
+i AS (SELECT o_orderkey AS file_id, o_custkey % 13 <> 1 AS timed, CASE o_custkey % 3 WHEN 0 THEN 'system' WHEN 1 THEN 'solution' ELSE 'project' END AS db FROM orders WHERE o_orderpriority <> '5-LOW'), m AS (SELECT o_orderkey AS file_id FROM orders WHERE o_custkey % 2 = 0),
+j AS (SELECT file_id, kind, system, l.file_id IS NOT NULL AS listed, d.file_id IS NOT NULL AS there, coalesce(timed, false) AS known, later, other, db, m.file_id IS NOT NULL AS loaded FROM l FULL JOIN d USING (file_id) FULL JOIN i USING (file_id) LEFT JOIN m USING (file_id)),
+a AS (SELECT *, CASE WHEN NOT listed AND NOT there AND db IS NOT NULL THEN 'remove' WHEN NOT (listed AND there) OR kind = 'other' THEN NULL WHEN known AND NOT later THEN CASE WHEN loaded THEN NULL ELSE 'load' END WHEN loaded AND known AND NOT other THEN NULL ELSE 'update' END AS action FROM j)
+SELECT file_id, action, CASE WHEN action = 'remove' THEN 'removed' WHEN db = 'solution' THEN 'solution' WHEN db = 'system' OR db IS NULL AND system THEN 'system' WHEN kind = 'header' THEN 'global' ELSE 'source' END AS route FROM a WHERE action IS NOT NULL""")
+def routed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is to be loaded, updated and removed when an index is opened, and by which of its parts."""
+    c = F.col
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey").alias("file_id")
+    listed = orders.where("o_orderkey % 7 <> 3").select(key, F.when(c("o_orderkey") % 5 == 0, "other").when(c("o_orderkey") % 5 == 1, "source").otherwise("header").alias("kind"), (c("o_custkey") % 4 == 0).alias("system"))
+    later = F.when(c("o_totalprice") > 200_000, c("o_orderdate") + F.expr("interval 1 day")).otherwise(c("o_orderdate"))
+    disk = orders.where("o_orderkey % 11 <> 5").select(key, later.alias("mtime"), F.lit(1).alias("size"), F.when(c("o_orderstatus") == "F", "y").otherwise("x").alias("hash"))
+    db = F.when(c("o_custkey") % 3 == 0, "system").when(c("o_custkey") % 3 == 1, "solution").otherwise("project")
+    indexed = orders.where("o_orderpriority <> '5-LOW'").select(key, F.when(c("o_custkey") % 13 != 1, c("o_orderdate")).alias("mtime"), F.lit(1).alias("size"), F.lit("x").alias("hash"), db.alias("db"))
+    return joins.routed_changes(listed, disk, indexed, orders.where("o_custkey % 2 = 0").select(key))
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
 def purge_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
@@ -136,10 +156,10 @@ def aliases_of_several(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve_aliases(two).withColumn("hops", F.col("hops").cast("long"))
 
 
-@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES} WHERE a <> b AND a % 4 = b % 4), c(root, node, depth) AS (SELECT a, a, 0 FROM (SELECT DISTINCT p_partkey AS a FROM part WHERE p_type = 'PROMO') UNION SELECT root, b, depth + 1 FROM c JOIN e ON node = a WHERE depth < 5) SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM c GROUP BY ALL HAVING min(depth) > 0")
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES} WHERE a <> b AND a % 5 = b % 5), c(root, node, depth) AS (SELECT a, a, 0 FROM (SELECT DISTINCT p_partkey AS a FROM part WHERE p_type = 'PROMO') UNION SELECT root, b, depth + 1 FROM c JOIN e ON node = a WHERE depth < 5) SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM c GROUP BY ALL HAVING min(depth) > 0")
 def include_closure_in_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As include_closure, along includes of the same directory alone."""
-    within = edges(spark, sf_dir).where(F.col("a") % 4 == F.col("b") % 4)
+    within = edges(spark, sf_dir).where(F.col("a") % 5 == F.col("b") % 5)
     return graph.closure(within, promoted_roots(spark, sf_dir), 5).withColumn("depth", F.col("depth").cast("long"))
 
 

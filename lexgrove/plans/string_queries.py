@@ -89,10 +89,13 @@ def minimum_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.minimum_name(name, F.lit(":PROMO:Brand#2")).alias("short"), text.shortest_name(name, scopes).alias("shortest"))
 
 
-@query("SELECT doc_id, translate(text, '<> .' || chr(9) || chr(13) || chr(10) || '-=,&*^\"''()!', " + " || ".join(f"chr({14 + i})" for i in range(19)) + ") AS coded, text AS back FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\x0E-\\x1F]')")
+SCOPE_MARKS, SCOPE_CODES = "'<> .' || chr(9) || chr(13) || chr(10) || '-=,&*^\"''()!'", " || ".join(f"chr({14 + i})" for i in range(18))
+
+
+@query(f"SELECT doc_id, translate(text, {SCOPE_MARKS}, {SCOPE_CODES}) AS coded, translate(text, {SCOPE_CODES}, {SCOPE_MARKS}) AS back FROM documents WHERE text IS NOT NULL")
 def scope_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that have none of the codes come back as they were."""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike("[\\x0E-\\x1F]"))
+    """Texts come back as they were, but for codes that they had themselves: those come back as what they stand for."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
     coded = text.encode_scope(F.col("text"))
     return docs.select("doc_id", coded.alias("coded"), text.decode_scope(coded).alias("back"))
 
@@ -103,16 +106,16 @@ def squeezed_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.squeeze_spaces(F.translate("text", ",.;", "   ")).alias("text"))
 
 
-@query("SELECT doc_id, true AS valid, CAST(length(text) AS BIGINT) AS n, CAST(strlen(text) AS BIGINT) AS bytes, CAST(strlen(left(text, 100)) AS BIGINT) AS at FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, true AS valid, strlen(text) <= 100 OR substr(hex(encode(text)), 201, 1) NOT IN ('8', '9', 'A', 'B') AS cut_valid, CAST(length(text) AS BIGINT) AS n, CAST(strlen(text) AS BIGINT) AS bytes, CAST(strlen(left(text, 100)) AS BIGINT) AS at FROM documents WHERE text IS NOT NULL")
 def utf8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths in characters and bytes, and whether the text and its first 100 bytes, which may end within a character, are valid."""
     c = F.col("text")
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.is_valid_utf8(c).alias("valid"), F.char_length(c).cast("long").alias("n"), F.octet_length(c).cast("long").alias("bytes"), text.byte_offset(c, 100).cast("long").alias("at"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.is_valid_utf8(c).alias("valid"), F.is_valid_utf8(F.substring(F.encode(c, "UTF-8"), 1, 100).cast("string")).alias("cut_valid"), F.char_length(c).cast("long").alias("n"), F.octet_length(c).cast("long").alias("bytes"), text.byte_offset(c, 100).cast("long").alias("at"))
 
 
-@query("SELECT doc_id, url_encode(left(text, 500)) AS encoded FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, url_encode(text) AS encoded FROM documents WHERE text IS NOT NULL")
 def url_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search for the first 500 characters, which is what fits in a URL."""
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.url_query(F.substring("text", 1, 500)).alias("encoded"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.url_query(F.col("text")).alias("encoded"))
 
 
 @query("""SELECT event_id, 'By ' || strftime(ts, '%A') || ', ' || CAST(day(ts) AS VARCHAR) || ' ' || strftime(ts, '%B %Y') || ' (' || strftime(ts, '%a %d %b %m') || ') at ' || strftime(ts, '%H:%M:%S') AS text FROM events""")
