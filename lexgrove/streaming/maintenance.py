@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,9 +13,18 @@ from ..operators import sorting
 from ..tables import cut_lineage
 
 
-def pending_changes(events: DataFrame, key: str, time: str, settle: str = "500 milliseconds") -> DataFrame:
-    """Change events, each key once while it settles."""
-    return events.withWatermark(time, settle).dropDuplicatesWithinWatermark([key])
+def settled_changes(events: DataFrame, key: str, time: str, settle: str = "500 milliseconds", late: str = "0 seconds") -> DataFrame:
+    """(key, first, last, changes): sources that have had no change for as long as ``settle``, by the time of the changes. A source that
+    changes after it settled is reported again. Changes that come later than ``late`` after others are left out; state is kept for
+    sources that haven't settled alone."""
+    at = F.col(time)
+    sessions = events.withWatermark(time, late).groupBy(F.session_window(at, settle).alias("w"), F.col(key))
+    return sessions.agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("changes")).select(key, "first", "last", "changes")
+
+
+def next_cycle(pending: DataFrame, key: str, time: str, most: int = 10) -> DataFrame:
+    """The first sources of those that are pending; what is left waits for the next cycle."""
+    return pending.groupBy(key).agg(F.min(time).alias(time)).orderBy(time, key).limit(most)
 
 
 def windowed_counts(events: DataFrame, time: str, *by: str, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -56,33 +64,6 @@ def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], check
     stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def replace_by_source(path: str, source: str) -> Callable[[DataFrame, int], None]:
-    """Work for a batch of rows: the table's rows of the same sources are replaced. Sources are partitions of the table, and
-    only those in the batch are overwritten, so a batch that is run again leaves the same table."""
-
-    def work(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(source).parquet(path)
-
-    return work
-
-
-def merge_by_source(path: str, source: str, merge: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """As ``replace_by_source``, but a source's rows are merged with those that it has: (old and new rows) to its new rows. The
-    merge must give the same for rows that come twice, as a batch may be run again."""
-
-    def work(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        sources = batch.select(source).distinct()
-        try:
-            old = spark.read.schema(batch.schema).parquet(path).join(sources, source, "left_semi")
-        except AnalysisException:  # nothing is written yet
-            old = batch.limit(0)
-        merged = cut_lineage(merge(old.unionByName(batch)))
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(source).parquet(path)
-
-    return work
-
-
 def delivered(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Results appended as each batch of sources is done."""
     stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
