@@ -50,13 +50,41 @@ def spread(values: DataFrame, links: DataFrame) -> DataFrame:
     return now
 
 
-def cycles(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
-    """Nodes that reach themselves, by whatever number of edges: strongly connected components by colours. A node's colour is the
-    largest node that reaches it; what reaches that node within its colour is its component. Nodes of settled components go, and
-    the rest is coloured again."""
-    links = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
-    found = cut_lineage(links.where(F.col("_a") == F.col("_b")).select(F.col("_a").alias("node")))
-    links = trimmed(links.where(F.col("_a") != F.col("_b")))
+def contracted(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (_a, _b) with each chain as one. A node with one link in and one out is inside a chain; the others are its ends. Returns
+
+    - the links between ends: _a, _b, _w (how many links it stands for), _chain (its last inside node; null for a plain link);
+    - the inside nodes: n, _chain, _after (links from there to the chain's end);
+    - inside nodes of rings, which have no ends: n.
+
+    Each inside node knows the node 1, 2, 4, ... links ahead, so rounds are the logarithm of the longest chain."""
+    ins = links.groupBy(F.col("_b").alias("n")).agg(F.count("*").alias("_i"), F.first("_a").alias("_from"))
+    outs = links.groupBy(F.col("_a").alias("n")).agg(F.count("*").alias("_o"), F.first("_b").alias("_to"))
+    inside = cut_lineage(ins.join(outs, "n").where("_i = 1 and _o = 1").select("n", "_from", "_to"))
+    names = inside.select(F.col("n").alias("_m"))
+    ahead = inside.join(names, F.col("_to") == F.col("_m"), "left").select("n", F.coalesce("_m", "n").alias("_last"), F.col("_m").isNotNull().cast("long").alias("_steps"), F.col("_m").isNull().alias("_done"))
+    ahead, left = cut_lineage(ahead), None
+    while (now := ahead.where("not _done").count()) and now != left:
+        left = now
+        far = ahead.select(F.col("n").alias("_last"), F.col("_last").alias("_l"), F.col("_steps").alias("_s"), F.col("_done").alias("_d"))
+        moved = ahead.where("not _done").join(far, "_last").select("n", F.col("_l").alias("_last"), (F.col("_steps") + F.col("_s")).alias("_steps"), F.col("_d").alias("_done"))
+        ahead = cut_lineage(ahead.where("_done").unionByName(moved))
+    rings = ahead.where("not _done").select("n")
+    chained = cut_lineage(ahead.where("_done").join(inside, "n").select("n", F.col("_last").alias("_chain"), (F.col("_steps") + 1).alias("_after"), "_from", "_to"))
+    begin = chained.groupBy("_chain").agg(F.max_by("_from", "_after").alias("_a"), F.max("_after").alias("_w"))
+    end = chained.where("n = _chain").select("_chain", F.col("_to").alias("_b"))
+    between = links.join(names, links["_a"] == names["_m"], "left_anti").join(names, links["_b"] == names["_m"], "left_anti")
+    chain_type = links.schema["_a"].dataType
+    plain = between.select("_a", "_b", F.lit(1).cast("long").alias("_w"), F.lit(None).cast(chain_type).alias("_chain"))
+    return cut_lineage(plain.unionByName(begin.join(end, "_chain").select("_a", "_b", (F.col("_w") + 1).alias("_w"), "_chain"))), chained.select("n", "_chain", "_after"), rings
+
+
+def _coloured(links: DataFrame) -> DataFrame:
+    """(n, v): nodes of strongly connected components of several nodes, with a node that names the component. A node's colour is the
+    largest node that reaches it; what reaches that node within its colour is its component. Nodes of settled components go,
+    and the rest is coloured again."""
+    found = links.select(F.col("_a").alias("n"), F.col("_a").alias("v")).limit(0)
+    links = trimmed(links)
     while not links.isEmpty():
         nodes = links.select(F.col("_a").alias("n")).distinct()
         colour = spread(nodes.select("n", F.col("n").alias("v")), links)
@@ -65,9 +93,33 @@ def cycles(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
         reached = spread(colour.select("n", (F.col("n") == F.col("v")).cast("int").alias("v")), back).where("v = 1").select("n")
         component = cut_lineage(reached.join(colour, "n"))
         several = component.groupBy("v").agg(F.count("*").alias("k")).where("k > 1")
-        found = found.unionByName(component.join(several, "v", "left_semi").select(F.col("n").alias("node")))
+        found = found.unionByName(component.join(several, "v", "left_semi").select("n", "v"))
         links = trimmed(links.join(reached.select(F.col("n").alias("_a")), "_a", "left_anti").join(reached.select(F.col("n").alias("_b")), "_b", "left_anti").select("_a", "_b"))
-    return found.distinct()
+    return found
+
+
+def _on_cycles(links: DataFrame, again: int) -> DataFrame:
+    """(n, v): nodes on cycles; those of one cycle or of cycles that meet share v, but for rings (v is null)."""
+    ends, inside, rings = contracted(links)
+    loops, plain = ends.where("_a = _b"), ends.where("_a <> _b").select("_a", "_b").distinct()
+    if plain.isEmpty():
+        known = links.select(F.col("_a").alias("n"), F.col("_a").alias("v")).limit(0)
+    else:
+        known = cut_lineage(_on_cycles(trimmed(plain), again - 1) if again else _coloured(plain))
+    alone = loops.select(F.col("_a").alias("n")).distinct().join(known, "n", "left_anti").select("n", F.col("n").alias("v"))
+    found = known.unionByName(alone)
+    # a chain is on a cycle if its ends are of one component; two ring nodes with a link between them are of one ring
+    a, b = found.select(F.col("n").alias("_a"), F.col("v").alias("_va")), found.select(F.col("n").alias("_b"), F.col("v").alias("_vb"))
+    closed = ends.where("_chain is not null").join(a, "_a").join(b, "_b").where(F.col("_va").eqNullSafe(F.col("_vb"))).select("_chain", F.col("_va").alias("v"))
+    return found.unionByName(inside.join(closed, "_chain").select("n", "v")).unionByName(rings.select("n", F.lit(None).cast(links.schema["_a"].dataType).alias("v")))
+
+
+def cycles(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
+    """Nodes that reach themselves, by whatever number of edges. Chains are contracted first, twice as those that remain when dead ends
+    are cut off are chains again, so long cycles and long ways to them don't make rounds; the rest is coloured."""
+    links = cut_lineage(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).distinct())
+    loops = links.where("_a = _b").select(F.col("_a").alias("node"))
+    return loops.unionByName(_on_cycles(links.where("_a <> _b"), 1).select(F.col("n").alias("node"))).distinct()
 
 
 def resolve_aliases(aliases: DataFrame, hops: int = 10) -> DataFrame:
@@ -113,17 +165,32 @@ def nearest_header(closure_: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def levels(before: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, level): a topological order; a node's level is one above the highest that must precede it (before: a precedes
-    b). Nodes on cycles, and what must follow them, have none."""
-    left, out = before.select("a", "b").distinct(), nodes.select("node", F.lit(0).alias("level")).limit(0)
-    open_, level = nodes.select("node").distinct(), 0
+    b). Nodes on cycles, and what must follow them, have none. Chains are contracted first, so a round is made for each level between
+    nodes where ways part or meet, not for each level."""
+    links = cut_lineage(before.select(F.col("a").alias("_a"), F.col("b").alias("_b")).where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).distinct())
+    known = links.select(F.col("_a").alias("node")).unionByName(links.select(F.col("_b").alias("node")))
+    ends, inside, rings = contracted(links)
+    waits = ends.groupBy(F.col("_b").alias("node")).agg(F.count("*").alias("_missing"))
+    within = inside.select(F.col("n").alias("node")).unionByName(rings.select(F.col("n").alias("node")))
+    every = known.unionByName(nodes.select(F.col("node"))).distinct().join(within, "node", "left_anti")
+    open_ = cut_lineage(every.join(waits, "node", "left").select("node", F.coalesce("_missing", F.lit(0)).cast("long").alias("_missing"), F.lit(0).cast("long").alias("level")))
+    done = []
     while True:
-        now = cut_lineage(open_.join(left.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
-        if now.isEmpty():
-            return out
-        out = cut_lineage(out.unionByName(now.withColumn("level", F.lit(level))))
-        open_ = cut_lineage(open_.join(now, "node", "left_anti"))
-        left = cut_lineage(left.join(now.select(F.col("node").alias("a")), "a", "left_anti"))
-        level += 1
+        ready, rest = open_.where("_missing = 0").select("node", "level"), open_.where("_missing > 0")
+        if ready.isEmpty():
+            break
+        done.append(ready)
+        sent = ends.join(ready, ends["_a"] == ready["node"]).groupBy(F.col("_b").alias("node")).agg(F.count("*").alias("_n"), F.max(F.col("level") + F.col("_w")).alias("_l"))
+        open_ = cut_lineage(rest.join(sent, "node", "left").select("node", (F.col("_missing") - F.coalesce("_n", F.lit(0))).alias("_missing"), F.greatest("level", "_l").alias("level")))
+    if not done:
+        return nodes.select("node", F.lit(0).alias("level")).limit(0)
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    # a chain's inside nodes follow its first end one by one
+    started = ends.where("_chain is not null").join(found, ends["_a"] == found["node"]).select("_chain", F.col("level").alias("_l"), "_w")
+    inner = inside.join(started, "_chain").select(F.col("n").alias("node"), (F.col("_l") + F.col("_w") - F.col("_after")).alias("level"))
+    return found.unionByName(inner).join(nodes.select("node").distinct(), "node", "left_semi").select("node", F.col("level").cast("int").alias("level"))
 
 
 def method_dependencies(parts: DataFrame) -> DataFrame:
