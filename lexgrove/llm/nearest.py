@@ -7,11 +7,13 @@ when the next projected distance is so large that a point nearer than the k-th b
 probability of at most 1 - ``confidence``. So each true neighbour is found with a probability of at least ``confidence``.
 
 The tree is distributed: its upper splits come from a bounded sample (``sample`` vectors, chosen by a hash of the id) and
-send every vector to one of at most ``max_blocks`` blocks; each block has the lower levels of its own. A query first
-searches its home block, which gives it a k-th best distance, and then only the blocks whose boxes the stopping test
-doesn't rule out. A block of many points goes in parts and its queries in chunks, both of bounded size. Inside a block, waves of
-queries visit their next nearest bucket of points together, as one matrix product; points that may be as near as the
-k-th best, but for rounding, are compared by their exact cosine and then by id.
+send every vector to one of at most ``max_leaves`` leaves, some of which next to each other are a block; each block has the
+lower levels of its own. A query goes through the blocks in order of projected distance, which is that of the nearest of the
+tight boxes around a block's leaves, by waves: first its home block, then the next ``growth``, then ``growth`` times as many, and so
+on. What it has found bounds the k-th best distance, and it stops at the first block that the stopping test rules out; so few
+waves are made, and none visits a block that the wave before could rule out. A block of many points goes in parts and its
+queries in chunks, both of bounded size. Inside a block, waves of queries visit their next nearest bucket of points together, as
+one matrix product; points that may be as near as the k-th best, but for rounding, are compared by their exact cosine and then by id.
 
 Vectors are scaled by a power of two, which changes no cosine, so their squares neither overflow nor vanish. Vectors that
 are equal then are one point with its k + 1 smallest ids, so copies cost nothing and no group of them meets in one task.
@@ -33,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrow_text as at
-from .shared_folder import written
+from .shared_folder import Scratch
 
 
 #: More than products of unit vectors may be wrong by.
@@ -59,41 +61,41 @@ def units(vectors: np.ndarray) -> np.ndarray:
 
 
 class Splits:
-    """The upper levels of the tree: blocks, as boxes of the projected space."""
-
-    def __init__(self, points: np.ndarray, depth: int):
-        self.axes = points.shape[1]
-        self.depth = depth
-        n = 1 << depth
-        self.axis, self.at = np.zeros(n, np.int64), np.full(n, np.inf)  # heap order, from 1
-        self.low, self.high = np.full((n, self.axes), -np.inf), np.full((n, self.axes), np.inf)
-        self._split(points, 1, np.full(self.axes, -np.inf), np.full(self.axes, np.inf))
-
-    def _split(self, points: np.ndarray, node: int, low: np.ndarray, high: np.ndarray) -> None:
-        if node >= 1 << self.depth:
-            block = node - (1 << self.depth)
-            self.low[block], self.high[block] = low, high
-            return
+    """The upper levels of the tree: any number of leaves, each with as much of the sample as another."""
+
+    def __init__(self, points: np.ndarray, leaves: int):
+        self.axis, self.at, self.children = [], [], []
+        self.made = 0
+        self.root = self._split(points, leaves)
+        self.axis, self.at, self.children = np.array(self.axis, np.int64), np.array(self.at), np.array(self.children, np.int64).reshape(-1, 2)
+
+    def _split(self, points: np.ndarray, leaves: int) -> int:
+        """The number of a node, or -1 - the number of a leaf."""
+        if leaves == 1:
+            self.made += 1
+            return -self.made
+        node, half = len(self.axis), leaves // 2
         axis = int(np.argmax(np.ptp(points, axis=0))) if len(points) else 0
-        cut = float(np.median(points[:, axis])) if len(points) else np.inf
-        self.axis[node], self.at[node] = axis, cut
+        cut = float(np.quantile(points[:, axis], half / leaves)) if len(points) else np.inf
+        self.axis.append(axis)
+        self.at.append(cut)
+        self.children.append((0, 0))
         left = points[:, axis] <= cut
-        for child, own, side in ((2 * node, left, high), (2 * node + 1, ~left, low)):
-            bound = side.copy()
-            bound[axis] = cut
-            self._split(points[own], child, low if side is high else bound, bound if side is high else high)
+        self.children[node] = (self._split(points[left], half), self._split(points[~left], leaves - half))
+        return node
 
-    def blocks(self, points: np.ndarray) -> np.ndarray:
-        node = np.ones(len(points), np.int64)
-        rows = np.arange(len(points))
-        for _ in range(self.depth):
-            node = 2 * node + (points[rows, self.axis[node]] > self.at[node])
-        return node - (1 << self.depth)
+    def leaves(self, points: np.ndarray) -> np.ndarray:
+        node = np.full(len(points), self.root, np.int64)
+        while len(rows := np.flatnonzero(node >= 0)):
+            own = node[rows]
+            node[rows] = self.children[own, (points[rows, self.axis[own]] > self.at[own]).astype(np.int64)]
+        return -1 - node
 
-    def reach(self, point: np.ndarray) -> np.ndarray:
-        """Squared projected distance of a point to each block's box."""
-        gap = np.maximum(np.maximum(self.low - point, point - self.high), 0)
-        return (gap * gap).sum(axis=1)
+
+def reach(point: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared projected distance of a point to each of several boxes."""
+    gap = np.maximum(np.maximum(low - point, point - high), 0)
+    return (gap * gap).sum(axis=1)
 
 
 class Block:
@@ -186,9 +188,11 @@ def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(keep), batch.column("asks").take(keep), vec], ["vec_id", "asks", "vec"])
 
 
-def nearest(vectors: DataFrame, query: Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, axes: int = 8, confidence: float = 0.97, sample: int = 20_000, block_rows: int = 4096, max_blocks: int = 1 << 16, chunk: int = 4096, seed: int = 11) -> DataFrame:
-    """For the rows where ``query`` holds: query_id, rank (from 1), vec_id, score (cosine), among all other rows."""
-    spark = vectors.sparkSession
+def nearest(vectors: DataFrame, query: Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, axes: int = 16, confidence: float = 0.97, sample: int = 20_000, block_rows: int = 4096, leaf_rows: int = 256, max_leaves: int = 1 << 16, chunk: int = 4096, growth: int = 4, seed: int = 11, visited: list[int] | None = None) -> DataFrame:
+    """For the rows where ``query`` holds: query_id, rank (from 1), vec_id, score (cosine), among all other rows. visited: gets the number
+    of visits of each wave."""
+    spark, scratch = vectors.sparkSession, Scratch()
+    written = scratch.written
     result = "query_id long, rank int, vec_id long, score double"
     components = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), components.alias("v"), F.coalesce(query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
@@ -206,18 +210,39 @@ def nearest(vectors: DataFrame, query: Column, *, vec_id: str = "vec_id", vector
 
     share = min(1.0, 1.2 * sample / max(1, sizes[0]["count"]))
     some = valid.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("vec").limit(sample).collect()
-    blocks = min(max_blocks, max(1, -(-sizes[0]["count"] // block_rows)))
-    splits = Splits(units(np.frombuffer(b"".join(bytes(r.vec) for r in some), np.float64).reshape(-1, dim)) @ matrix, math.ceil(math.log2(blocks)))
-    shared = spark.sparkContext.broadcast((splits, matrix))  # at most max_blocks boxes
+    blocks = min(max_leaves, max(1, -(-sizes[0]["count"] // block_rows)))
+    fan = max(1, min(max_leaves // blocks, block_rows // leaf_rows))  # leaves of a block
+    splits = Splits(units(np.frombuffer(b"".join(bytes(r.vec) for r in some), np.float64).reshape(-1, dim)) @ matrix, blocks * fan)
+    tree = spark.sparkContext.broadcast((splits, matrix))  # at most max_leaves splits
     stop = chi_square_quantile(confidence, axes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, m = shared.value
+        upper, m = tree.value
+        for batch in batches:
+            leaf = upper.leaves(units(_matrix(batch.column("vec"))) @ m) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((leaf // fan).astype(np.int32)), pa.array(leaf.astype(np.int32)), *(batch.column(c) for c in ("vec", "ids"))], ["block", "leaf", "vec", "ids"])
+
+    index = written(distinct.mapInArrow(place, "block int, leaf int, vec binary, ids array<long>"), "vector-index")
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tight boxes of the points that a task has of each leaf."""
+        _, m = tree.value
         for batch in batches:
-            block = tree.blocks(units(_matrix(batch.column("vec"))) @ m) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), *(batch.column(c) for c in ("vec", "ids"))], ["block", "vec", "ids"])
+            if batch.num_rows:
+                points = units(_matrix(batch.column("vec"))) @ m
+                order, cut = at.in_parts(batch.column("leaf").to_numpy(), blocks * fan)
+                own = np.flatnonzero(np.diff(cut))
+                low, high = np.minimum.reduceat(points[order], cut[own]), np.maximum.reduceat(points[order], cut[own])
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(x.tolist(), pa.list_(pa.float64())) for x in (low, high))], ["leaf", "low", "high"])
+
+    edges = index.select("leaf", "vec").mapInArrow(bounds, "leaf int, low array<double>, high array<double>")
+    each = lambda f, c: [f(F.get(c, F.lit(i))).alias(f"{c}{i}") for i in range(axes)]
+    boxes = edges.groupBy("leaf").agg(*each(F.min, "low"), *each(F.max, "high")).orderBy("leaf").collect()  # at most max_leaves
+    numbers = np.array([list(r) for r in boxes], np.float64).reshape(len(boxes), -1)
+    names, turn = np.unique(numbers[:, 0].astype(np.int64) // fan, return_index=True)
+    # at most max_leaves boxes; a block's boxes follow each other from its turn on
+    shared = spark.sparkContext.broadcast((matrix, names, turn, numbers[:, 1 : 1 + axes], numbers[:, 1 + axes :]))
 
-    index = written(distinct.mapInArrow(place, "block int, vec binary, ids array<long>"), "vector-index")
     # equal vectors ask once; an id with several vectors asks for itself, and skips all that are its own
     asking = valid.where("asks").select("vec_id", "vec").distinct()
     several = pairs.join(asking.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("vec_id", F.col("vec_id").alias("skip"))
@@ -227,65 +252,69 @@ def nearest(vectors: DataFrame, query: Column, *, vec_id: str = "vec_id", vector
     parts = index.groupBy("block").agg(F.ceil(F.count("*") / (4 * block_rows)).cast("int").alias("parts"))
 
     def look(key: tuple, points: pa.Table, asks: pa.Table) -> pa.Table:
-        _, m = shared.value
-        names = ["key", "vec", "skip", "bound", "found"]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.float64(), FOUND]
-        same = [asks[c].combine_chunks() for c in ("key", "vec", "skip")]
-        if not asks.num_rows:
+        m = shared.value[0]
+        names, kinds = ["key", "score", "vec_id"], [pa.int64(), pa.float64(), pa.int64()]
+        if not asks.num_rows or not points.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in kinds], names)
-        known = asks["bound"].to_numpy()
-        if not points.num_rows:
-            return pa.Table.from_arrays([*same, pa.array(known), pa.array([[]] * asks.num_rows, FOUND)], names)
         vectors_, wanted = _matrix(points["vec"]), _matrix(asks["vec"])
         ids, skips = points["ids"].to_pylist(), asks["skip"].to_pylist()
         single, only = np.array([len(x) == 1 for x in ids]), np.array([x[0] for x in ids])
         skipping, skip = np.array([x is not None for x in skips]), np.array([x or 0 for x in skips])
-        who, best = Block(vectors_, m).search(wanted, m, k + 1, stop, known, only, lambda q, p: skipping[q, None] & single[p] & (only[p] == skip[q, None]))
+        who, best = Block(vectors_, m).search(wanted, m, k + 1, stop, asks["bound"].to_numpy(), only, lambda q, p: skipping[q, None] & single[p] & (only[p] == skip[q, None]))
         own, place_ = np.nonzero(who >= 0)
-        hit = who[own, place_]
-        scores = best[own, place_]
-        found: list[list[dict]] = [[] for _ in range(len(wanted))]
-        for q, h, s in zip(own.tolist(), hit.tolist(), scores.tolist(), strict=True):
-            found[q] += [{"score": s, "vec_id": i} for i in ids[h] if i != skips[q]]
-        found = [sorted(f, key=lambda x: (-x["score"], x["vec_id"]))[: k + 1] for f in found]
-        return pa.Table.from_arrays([*same, pa.array(np.minimum(known, 2 - 2 * best[:, -1])), pa.array(found, FOUND)], names)
-
-    FOUND = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())]))
-    looked = "key long, vec binary, skip long, bound double, found array<struct<score: double, vec_id: long>>"
+        found: list[list[tuple]] = [[] for _ in range(len(wanted))]
+        for q, h, s in zip(own.tolist(), who[own, place_].tolist(), best[own, place_].tolist(), strict=True):
+            found[q] += [(-s, i) for i in ids[h] if i != skips[q]]
+        keys, lists = asks["key"].to_pylist(), [sorted(f)[: k + 1] for f in found]
+        return pa.Table.from_arrays([pa.array([x for x, f in zip(keys, lists, strict=True) for _ in f], pa.int64()), pa.array([-s for f in lists for s, _ in f], pa.float64()), pa.array([i for f in lists for _, i in f], pa.int64())], names)
 
     def searched(asks: DataFrame, name: str) -> DataFrame:
-        """Each query against its block: cells of a part of the block's points and a chunk of its queries."""
+        """Each query against its block, at most k + 1 hits of each: cells of a part of the block's points and a chunk of its queries."""
         cells = written(asks.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).join(parts, "block"), f"{name}-cells")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         points = index.join(cells, "block").select("block", "vec", "ids", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int").alias("part"), every("chunks").alias("chunk"))
         dealt = asks.join(cells, "block").select(*asks.columns, F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int").alias("chunk"), every("parts").alias("part"))
         key = ["block", "part", "chunk"]
-        return written(points.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(look, looked), name)
-
-    home = searched(queries.withColumn("bound", F.lit(float("inf"))), "vector-home")
-    known = home.groupBy("key").agg(F.first("vec").alias("vec"), F.first("skip").alias("skip"), F.min("bound").alias("bound"))
+        return points.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(look, "key long, score double, vec_id long")
 
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other blocks that the stopping test doesn't rule out."""
-        tree, m = shared.value
+    def visits(batches: Iterator[pa.RecordBatch], start: int, count: int) -> Iterator[pa.RecordBatch]:
+        """Of each query's blocks in order of projected distance (without its own) the next ones, as far as the stopping test lets it go."""
+        m, blocks_, turns, low, high = shared.value
+        kinds = {"block": pa.int32(), "key": pa.int64(), "vec": pa.binary(), "skip": pa.int64(), "bound": pa.float64()}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            points = units(_matrix(batch.column("vec"))) @ m
-            bound = batch.column("bound").to_numpy()
-            base = tree.blocks(points)
+            points, bound = units(_matrix(batch.column("vec"))) @ m, batch.column("bound").to_numpy()
+            base, which, near = batch.column("block").to_numpy(), [], []
             for i in range(len(points)):
-                near = np.flatnonzero(tree.reach(points[i]) <= bound[i] * stop + ROUNDING)
-                near = near[near != base[i]]
-                if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *(pa.array([batch.column(c)[i].as_py()] * len(near), t) for c, t in (("key", pa.int64()), ("vec", pa.binary()), ("skip", pa.int64()), ("bound", pa.float64())))], ["block", "key", "vec", "skip", "bound"])
-
-    visits = written(known.mapInArrow(reach, "block int, key long, vec binary, skip long, bound double"), "vector-visits")
-    away = searched(visits, "vector-away")
-    # at most k + 1 of each visit
-    found = home.unionByName(away).select("key", F.explode("found").alias("f")).select("key", "f.*")
-    top = found.withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") <= k + 1).groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("top"))
+                away = np.minimum.reduceat(reach(points[i], low, high), turns)  # the nearest of a block's boxes
+                away[np.searchsorted(blocks_, base[i])] = -1
+                order = np.argsort(away, kind="stable")[start + 1 : start + 1 + count]
+                near.append(blocks_[order[away[order] <= bound[i] * stop + ROUNDING]])
+                which.append(np.full(len(near[-1]), i))
+            take = pa.array(np.concatenate(which))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(near).astype(np.int32)), *(batch.column(c).take(take) for c in ("key", "vec", "skip", "bound"))], schema=pa.schema(kinds.items()))
+
+    best = lambda hits: hits.withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") <= k + 1).drop("_n")
+    # waves: the home block, then growing numbers of the next ones; what was found bounds what is visited then
+    top = written(best(searched(queries.withColumn("bound", F.lit(float("inf"))), "vector-home")), "vector-top-0")
+    start, count, wave = 0, growth, 0
+    while start < len(names) - 1:
+        wave += 1
+        held = top.groupBy("key").agg(F.count("*").alias("_n"), F.min("score").alias("_s")).where(F.col("_n") > k).select("key", F.greatest(F.lit(0.0), 2 - 2 * F.col("_s")).alias("_b"))
+        known = queries.join(held, "key", "left").withColumn("bound", F.coalesce("_b", F.lit(float("inf")))).select("block", "key", "vec", "skip", "bound")
+        next_ = written(known.mapInArrow(lambda b, s=start, n=count: visits(b, s, n), "block int, key long, vec binary, skip long, bound double"), f"vector-visits-{wave}")
+        seen = next_.count()
+        if visited is not None:
+            visited.append(seen)
+        if not seen:
+            break
+        # each visit gives at most k + 1 hits
+        top = written(best(top.unionByName(searched(next_, f"vector-wave-{wave}"))), f"vector-top-{wave}")
+        scratch.drop(valid, f"vector-visits-{wave}", f"vector-wave-{wave}-cells", f"vector-top-{wave - 1}")
+        start, count = start + count, count * growth
+    listed = top.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("top"))
     same = (F.col("a.vec") == F.col("q.vec")) & F.col("a.skip").eqNullSafe(F.col("q.skip"))
     keys = asked.alias("a").join(queries.alias("q"), same).select(F.col("a.vec_id").alias("query_id"), "q.key")
-    own = keys.join(top, "key").select("query_id", F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("top"))
+    own = keys.join(listed, "key").select("query_id", F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("top"))
     return own.select("query_id", F.posexplode("top").alias("at", "t")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.minus")).alias("score"))
