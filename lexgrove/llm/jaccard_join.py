@@ -12,8 +12,9 @@ document's component, so links between copies need not be listed, and no link be
 3. Token-group matrix: which groups have which tokens. Links that are still unknown lead from one component to another, so
    only tokens in several components count (a bitmap of fixed size leaves most others out before an exact join). A query and a
    member that link have one of the rarest tokens of each in common, as many as it may miss and one more; so the matrix
-   holds these alone, and groups that have one of the query's and whose members' sizes fit are its candidates. Of two
-   components the smaller one asks. Each candidate group's token union is stored; the query's overlap with it bounds what any
+   holds these alone, and groups that have one of the query's and whose members' sizes fit are its candidates. A size fits
+   only if the tokens that either has in several components can make up the share, so near copies about a common passage that
+   is too short for a link are no candidates of each other. Of two components the smaller one asks. Each candidate group's token union is stored; the query's overlap with it bounds what any
    member can have. Only groups in which a query reaches ``percent`` are opened: then the query's
    overlap with every member is counted, and linked components join.
 
@@ -346,10 +347,10 @@ def _open(members: pa.Table, asks: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, probes: int = 4, group_rows: int = 1000, group_tokens: int = 1 << 19, query_rows: int = 500, stretch: int = r.STRETCH_BYTES // 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, probes: int = 4, group_rows: int = 1000, group_tokens: int = 1 << 19, query_rows: int = 500, stretch: int = r.STRETCH_BYTES // 2, counted: list[int] | None = None) -> DataFrame:
     """For each row: doc_id, text_key (hash of the text), n_shingles, set_key (hash of the set; null if empty),
     component_id (the smallest doc_id of its component) and label (a number of the component; null if the row has no id
-    or no words)."""
+    or no words). counted: gets the number of pairs of a query and a candidate group."""
     read, scratch = r.prepared(docs, doc_id, text), Scratch()
     written = scratch.written
     buckets = r.bucket_count(read)
@@ -392,14 +393,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     # the matrix, and each document's rarest tokens in it: two that link have one of these in common, as the rarest token
     # of their intersection stands among the rarest of either, as many as it may miss and one more
-    places = grouped.select("node", "n", "label", "rank", "cell", size.alias("size"), F.explode("tokens").alias("token"))
+    # an intersection is no larger than what either has of such tokens, so it tells how large a set it may link with
+    partner = (F.floor(F.lit(100 + percent) * size / percent) - F.col("n")).alias("partner")
+    places = grouped.select("node", "n", "label", "rank", "cell", size.alias("size"), partner, F.explode("tokens").alias("token"))
     spread = places.groupBy("token", "cell").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("groups"))
     may_miss = F.col("size") - F.ceil(F.col("n") * percent / 100) + 1
-    rare = written(places.join(spread, "token").withColumn("_r", F.row_number().over(W.partitionBy("node").orderBy("groups", "token"))).where(F.col("_r") <= may_miss).select("node", "n", "label", "rank", "cell", "token"), "rarest")
-    matrix = rare.groupBy("token", "cell").agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.max("rank").alias("top"), F.min("label").alias("low"), F.max("label").alias("high"))
-    fits = (100 * F.col("largest") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least")) & (F.col("top") >= F.col("rank")) & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")))
-    wanted = rare.select("node", "n", "label", "rank", "token").join(matrix, "token").where(fits).select("node", "cell").distinct()
+    rare = written(places.join(spread, "token").withColumn("_r", F.row_number().over(W.partitionBy("node").orderBy("groups", "token"))).where(F.col("_r") <= may_miss).select("node", "n", "label", "rank", "cell", "partner", "token"), "rarest")
+    matrix = rare.groupBy("token", "cell").agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.max("partner").alias("reaches"), F.max("rank").alias("top"), F.min("label").alias("low"), F.max("label").alias("high"))
+    fits = (F.col("least") <= F.col("partner")) & (F.col("reaches") >= F.col("n")) & (100 * F.col("largest") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least")) & (F.col("top") >= F.col("rank")) & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")))
+    wanted = rare.select("node", "n", "label", "rank", "partner", "token").join(matrix, "token").where(fits).select("node", "cell").distinct()
     candidates = written(wanted.join(grouped.select("node", "n", "label", "tokens"), "node"), "candidates")
+    if counted is not None:
+        counted.append(candidates.count())
     if not candidates.isEmpty():
         asked = written(candidates.groupBy("cell").agg(parts(query_rows, size)), "asked")
         split = candidates.join(asked, "cell").select(F.col("cell").alias("home"), part_of("cell").alias("cell"), "node", "n", "label", "tokens")

@@ -90,6 +90,29 @@ def test_many_near_copies_of_one_text_and_patterned_words(spark):
         assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == want
 
 
+def test_near_misses_about_a_common_passage_are_no_candidates(spark):
+    """Documents that share 80 of 100 shingles don't link; what is looked at grows with documents, not with pairs. Those of
+    fitting sizes still find each other."""
+    rng = random.Random(3)
+    core = " ".join(f"w{k}" for k in range(84))
+    own = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    found = []
+    for n in (400, 1600):
+        texts = [f"{core} {own(20)}" for _ in range(n)] + [f"{core} {own(8)}", f"{core} {own(7)}"]
+        data = list(zip(rng.sample(range(10**6), len(texts)), texts, strict=True))
+        frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+        counted = []
+        got = near_duplicates(frame, group_rows=50, query_rows=50, counted=counted).collect()
+        component = {r.doc_id: r.component_id for r in got}
+        short = sorted(i for i, _ in data[-2:])
+        # the two short ones link (80 of 95), and with the others they don't: 80 of 107
+        sizes = {i: len(shingles(t)) for i, t in data}
+        assert set(sizes.values()) == {100, 88, 87}
+        assert all(component[i] == c for i, _, c in brute(data[-60:])) and component[short[1]] == short[0]
+        found += counted
+    assert max(found) <= 2 * 1600 / 50 + 1602
+
+
 def test_no_bucket_has_the_settled_tokens_of_many_stretches(spark):
     texts = [" ".join(f"w{k}" for k in range(40))] * 2 + [" ".join(f"w{k}" for k in range(38))] * 2
     frame = r.prepared(spark.createDataFrame([(i, texts[i % 4]) for i in range(1600)], "doc_id long, text string").repartition(8), "doc_id", "text")
