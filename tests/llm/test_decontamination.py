@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from lexgrove.llm import decontamination
 from lexgrove.llm.decontamination import find_contamination, n_hit
@@ -69,3 +71,16 @@ def test_words_are_compared_by_their_bytes():
     bench, docs = of("red fox sat", "solo"), of("x RED fox sat y red fox ran", "solo solos")
     pairs = decontamination.np.array([(1, 0), (2, 1), (3, 2), (7, 2), (8, 3), (9, 3)])
     assert docs.same(pairs[:, 0], bench, pairs[:, 1]).tolist() == [True, True, True, False, True, False]
+
+
+def test_words_of_one_code_are_told_apart(spark, monkeypatch):
+    """Where the usual codes of two words of the benchmark meet, others are taken."""
+    from lexgrove.llm import arrow_text as at
+
+    texts = pa.array(["red fox", "blue", "Red", None])
+    real = at.word_codes
+    monkeypatch.setattr(at, "word_codes", lambda raw, starts, ends: real(raw, starts, ends) & np.uint64(0))
+    index = decontamination.Index([("1", "red"), ("2", "blue fox")], 10)
+    assert index.salt == 1
+    found = sorted((int(row), index.names[part.owners[part.bounds[s]]]) for part, _, rows, strings in index.occurrences(decontamination.Words.of(texts, index.salt)) for row, s in zip(rows.tolist(), strings.tolist(), strict=True))
+    assert found == [(0, "1"), (2, "1")]
