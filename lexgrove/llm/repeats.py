@@ -2,8 +2,8 @@
 
 Map tasks read text in *stretches* of bounded size. An entry (a code and its place) names its document by its place in the
 stretch alone; the stretch's table of documents travels once. Entries go to buckets of their codes, one binary row for each
-bucket and stretch, with places as differences, so an entry costs its code and one or two bytes, however many buckets
-there are. Before anything is sent, a stretch is combined: of equal codes only the smallest document's entries travel, the
+bucket and stretch, with places as differences, so an entry costs its code and one or two bytes (with 8,192 buckets some 9 in all; where
+much text makes more buckets, and a row holds few entries, up to 14). Before anything is sent, a stretch is combined: of equal codes only the smallest document's entries travel, the
 others are settled where they are. So a window that a third of all documents share reaches its bucket once from each
 stretch, not once from each document. What is found goes back to the stretches, where places become documents again.
 
@@ -26,8 +26,8 @@ from . import arrow_text as at
 
 #: Bytes of text in a stretch.
 STRETCH_BYTES = 8 << 20
-#: Bytes of text for each bucket.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text for each bucket; and how many buckets there are before they grow, up to so many times as large.
+BUCKET_BYTES, MANY_BUCKETS, GROWTH = 8 << 20, 1 << 13, 8
 
 #: Rows of the exchanges: packed entries; kind says of what.
 ROW = "kind int, bucket int, stretch long, ids binary, keys binary, counts binary, codes binary, marks binary, sides binary, places binary, sizes binary"
@@ -51,7 +51,14 @@ def text_key(doc_id: Column, text: Column) -> Column:
 def bucket_count(docs: DataFrame) -> int:
     """Buckets for the text there is; as many as shuffle partitions at least."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets_for(total))
+
+
+def buckets_for(total: int) -> int:
+    """A stretch has a row for each bucket, and a row costs as much as some entries; so beyond MANY_BUCKETS buckets become larger before
+    they become more."""
+    buckets = -(-total // BUCKET_BYTES)
+    return min(buckets, max(MANY_BUCKETS, -(-buckets // GROWTH)))
 
 
 @dataclass

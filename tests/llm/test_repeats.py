@@ -114,3 +114,11 @@ def test_leads_and_codes():
             own = [int(c) >> 31 for c in codes[i : i + width]]
             assert got[i] == i + own.index(min(own))
     assert len({int(c) for c in codes}) == len({text[i : i + 3] for i in range(398)})
+
+
+def test_buckets_grow_before_they_are_many():
+    from lexgrove.llm.repeats import BUCKET_BYTES, buckets_for
+
+    gb = 1 << 30
+    assert buckets_for(0) == 0 and buckets_for(gb // 2) == 64 and buckets_for(64 * gb) == buckets_for(512 * gb) == 8192
+    assert buckets_for(8192 * gb) == 8192 * gb // (8 * BUCKET_BYTES) and all(buckets_for(x * gb) <= buckets_for((x + 9) * gb) for x in range(0, 9000, 9))
