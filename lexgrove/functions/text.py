@@ -96,6 +96,11 @@ def initials(c: Column) -> Column:
     return ascii_upper(F.regexp_replace(kept, "\x01", ""))
 
 
+def path_id(path: Column) -> Column:
+    """A number of 32 bits for a scope or a directory; 0 for none."""
+    return F.when(path == "", 0).otherwise(F.conv(F.substring(F.md5(path), 1, 8), 16, 10).cast("long"))
+
+
 def common_prefix(a: Column, b: Column, mark: str = "/") -> Column:
     """The longest common prefix of two paths that ends at a mark."""
     x, y = F.split(a, quote(mark)), F.split(b, quote(mark))
@@ -106,6 +111,11 @@ def common_prefix(a: Column, b: Column, mark: str = "/") -> Column:
     return F.when(upto > 0, F.concat(F.array_join(F.slice(x, F.lit(1), upto), mark), F.lit(mark))).otherwise("")
 
 
+def without_one(c: Column) -> Column:
+    """The word, and the word without each of its characters."""
+    return F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(F.translate(path, "\\", "/"), "/", -1)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import ancestors
+from ..functions.text import ancestors, common_prefix, directory, path_id, scope_of, symbol_of
 from ..tables import cut_lineage
 from . import sorting
 
@@ -158,6 +158,30 @@ def nodes_and_links(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, links
 
 
+def code_graph(symbols: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and links for a graph's files. symbols: those that are nodes (sym_scope as ``:a:b:name``, path, kind, attrs, line,
+    n_lines, seq); refs: references (src, dst: such names; src_path; kind, line).
+
+    A symbol that stands several times is one node, with all attributes' bits, the first kind and line that are not 0, the
+    directory of the first, and the lines of code of all that is in its scope. A link between two nodes and of one kind is one, at its
+    first line, with the scope and the directory that its ends have in common and the directory of the reference. Scopes, names and
+    directories are 32-bit numbers."""
+    c = F.col
+    first = lambda x: F.coalesce(F.min_by(x, F.when(c(x) != 0, c("seq"))), F.lit(0))
+    once = symbols.groupBy("sym_scope").agg(F.bit_or("attrs").alias("attrs"), first("kind").alias("kind"), first("line").alias("line"), F.min_by("path", "seq").alias("path"))
+    total = roll_up(symbols, "sym_scope", "n_lines").select(F.concat(F.lit(":"), "ancestor").alias("sym_scope"), c("total").alias("lines"))
+    own_dir = lambda x: F.regexp_replace(directory(x), "/$", "")
+    known = once.join(total, "sym_scope").withColumns({"_node": path_id(c("sym_scope")), "_dir": own_dir(c("path"))})
+    nodes = known.select(c("_node").alias("node"), path_id(scope_of(c("sym_scope"))).alias("scope"), symbol_of(c("sym_scope")).alias("sym"), "kind", "attrs", "lines", "line", path_id(c("_dir")).alias("dir"))
+    links = refs.where(c("src") != c("dst")).groupBy("src", "dst", "kind", "src_path").agg(F.min("line").alias("line"))
+    ends = known.select("sym_scope", c("_dir").alias("_d"))
+    links = links.join(ends.select(c("sym_scope").alias("src"), c("_d").alias("_from")), "src").join(ends.select(c("sym_scope").alias("dst"), c("_d").alias("_to")), "dst")
+    scope = F.regexp_replace(common_prefix(c("src"), c("dst"), ":"), ":$", "")
+    shared = F.regexp_replace(common_prefix(F.concat("_from", F.lit("/")), F.concat("_to", F.lit("/"))), "/$", "")
+    named = cut_lineage(links.select("src", scope.alias("scope"), "dst", shared.alias("dir"), "kind", "line", own_dir(c("src_path")).alias("own_dir")))
+    return nodes, named.select(*(path_id(c(x)).alias(x) if x not in ("kind", "line") else c(x) for x in named.columns))
+
+
 def nearest_header(closure_: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each wanted node, the root that reaches it by the fewest edges; ties to the smaller root."""
     return closure_.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("depth", "root")).alias("m")).select("node", F.col("m.root").alias("root"), F.col("m.depth").alias("depth"))

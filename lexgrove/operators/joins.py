@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import quote
+from ..functions.text import quote, without_one
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, tie: str, bucket_seconds: int = 86_400) -> DataFrame:
@@ -35,16 +35,21 @@ def closest_before(df: DataFrame, line: Column, order: str, limit: int) -> DataF
 
 def nearest_by_edits(left: DataFrame, right: DataFrame, key: str, left_text: str, right_text: str, left_id: str, right_id: str) -> DataFrame:
     """For each left row, the right row of its key with the least edit distance: exact, without case, or without spaces,
-    whichever is least; ties to the smaller id. Equal texts meet first, and each different text is compared once."""
-    a, b = F.col(left_text), F.col(right_text)
-    squeeze = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
-    distance = F.when(a == b, 0).otherwise(F.least(F.levenshtein(a, b), F.levenshtein(F.lower(a), F.lower(b)), F.levenshtein(squeeze(a), squeeze(b))))
-    texts = right.groupBy(key, right_text).agg(F.min(right_id).alias(right_id))
-    wanted = left.select(key, left_text).distinct()
-    equal = wanted.join(texts.select(key, F.col(right_text).alias(left_text), right_id), [key, left_text]).select(key, left_text, right_id, F.lit(0).alias("distance"))
-    others = wanted.join(equal, [key, left_text], "left_anti").join(texts, key).withColumn("distance", distance)
-    best = others.groupBy(key, left_text).agg(F.min(F.struct("distance", right_id)).alias("m")).select(key, left_text, F.col(f"m.{right_id}").alias(right_id), F.col("m.distance").alias("distance"))
-    return left.join(equal.unionByName(best), [key, left_text]).select(left_id, right_id, "distance")
+    whichever is least; ties to the smaller id. That is the distance of the texts without case and spaces, as no edit is saved by
+    keeping either. Texts that are equal so meet first. Others meet by what is left of them without one character, which finds all that
+    are one edit away; only texts that find none are compared with those of their key, each different pair once."""
+    plain = lambda c: F.regexp_replace(F.lower(F.col(c)), r"\s+", "")
+    texts = right.groupBy(key, plain(right_text).alias("_b")).agg(F.min(right_id).alias(right_id))
+    wanted = left.select(key, plain(left_text).alias("_a")).distinct()
+    equal = wanted.join(texts.withColumnRenamed("_b", "_a"), [key, "_a"]).select(key, "_a", right_id, F.lit(0).alias("distance"))
+    rest = wanted.join(equal, [key, "_a"], "left_anti")
+    cut = lambda df, c: df.withColumn("_cut", F.explode(without_one(F.col(c))))
+    distance = F.levenshtein("_a", "_b")
+    best = lambda df: df.groupBy(key, "_a").agg(F.min(F.struct(distance.alias("distance"), right_id)).alias("m")).select(key, "_a", F.col(f"m.{right_id}").alias(right_id), F.col("m.distance").alias("distance"))
+    near = best(cut(rest, "_a").join(cut(texts, "_b"), [key, "_cut"]).where(distance == 1))
+    far = best(rest.join(near, [key, "_a"], "left_anti").join(texts, key))
+    found = equal.unionByName(near).unionByName(far)
+    return left.withColumn("_a", plain(left_text)).join(found, [key, "_a"]).select(left_id, right_id, "distance")
 
 
 def resolve_names(wanted: DataFrame, files: DataFrame, search_path: DataFrame, name: str = "name") -> DataFrame:

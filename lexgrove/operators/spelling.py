@@ -9,17 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import without_one
 from ..tables import cut_lineage
 
 #: How many dictionary words are looked at more closely, and how many are suggested (fixed values).
 ROOTS, GUESSES = 10, 10
 
 
-def _without_one(c: Column) -> Column:
-    """The word, and the word without each of its characters."""
-    return F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
-
-
 def swapped(a: Column, b: Column) -> Column:
     """Whether b is a with two neighbours exchanged."""
     swaps = F.transform(F.sequence(F.lit(1), F.length(a) - 1), lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))))
@@ -40,8 +36,8 @@ def candidates(words: DataFrame, dictionary: DataFrame, word: str = "word") -> D
     A word of the dictionary has none."""
     known = _known(dictionary, word)
     asked = _asked(words, known, word)
-    left = asked.select(word, F.explode(_without_one(F.col(word))).alias("_key"))
-    right = known.select("candidate", F.explode(_without_one(F.col("candidate"))).alias("_key"))
+    left = asked.select(word, F.explode(without_one(F.col(word))).alias("_key"))
+    right = known.select("candidate", F.explode(without_one(F.col("candidate"))).alias("_key"))
     a, b = F.col(word), F.col("candidate")
     edit = F.when(swapped(a, b), "swap").when(F.levenshtein(a, b) != 1, None).when(F.length(a) < F.length(b), "missing").when(F.length(a) > F.length(b), "extra").otherwise("wrong")
     return left.join(right, "_key").select(word, "candidate").distinct().withColumn("edit", edit).where("edit is not null")

@@ -11,7 +11,6 @@ from ..sources import symbols as sources
 from ..streaming import maintenance
 from .definition_queries import neighbours_sql
 from .order_queries import PATH, files, ordered
-from .relation_queries import REFS, references
 from .shared import query, shared_folder, table
 from .symbol_queries import SYMBOLS, symbols
 from .text_queries import LOW, plain_rank
@@ -88,20 +87,36 @@ def file_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorting.place(sources.read_file_dictionary(spark, path), [F.col("name")], "file_id", [])
 
 
-GRAPH = f"""WITH e AS (SELECT src AS node, seq, kind, attrs, line FROM {REFS} UNION ALL SELECT dst, seq, kind, attrs, line FROM {REFS}),
-n AS (SELECT node, bit_or(attrs) AS attrs, coalesce(arg_min(kind, seq) FILTER (kind <> 0), 0) AS kind, coalesce(arg_min(line, seq) FILTER (line <> 0), 0) AS line, count(*) AS lines FROM e GROUP BY node), v AS (SELECT * FROM n WHERE NOT (node < 1000000 AND kind = 2 AND line = 1))"""
+GRAPH_PARTS = "(SELECT p_partkey, ':' || p_type || ':' || replace(p_brand, '#', '') || ':' || replace(p_name, ' ', '_') AS sym_scope, 'C:/' || p_type || '/' || p_brand || '/f' || CAST(p_partkey % 7 AS VARCHAR) || '.cpp' AS path, 'C:/' || p_type || '/' || p_brand AS dir, p_size % 4 AS kind, 1 << (p_size % 5) AS attrs, p_size % 9 AS line, p_size AS n FROM part WHERE p_size % 6 <> 0)"
+NUMBER = "CASE WHEN {0} = '' THEN 0 ELSE CAST('0x' || md5({0})[1:8] AS BIGINT) END"
+
+
+def common_sql(a: str, b: str, mark: str) -> str:
+    """SQL of the path that two paths have in common."""
+    x, y = f"string_split({a}, '{mark}')", f"string_split({b}, '{mark}')"
+    same = f"list_position(list_concat(list_transform(range(1, least(len({x}), len({y}))), lambda i: {x}[i] = {y}[i]), [false]), false) - 1"
+    return f"array_to_string({x}[1:{same}], '{mark}')"
+
+
+GRAPH = f"""WITH g AS (SELECT * FROM {GRAPH_PARTS}), u AS (SELECT sym_scope, CAST(sum(n) AS BIGINT) AS n FROM (SELECT sym_scope, n FROM g UNION ALL SELECT array_to_string(string_split(sym_scope, ':')[1:3], ':'), n FROM g UNION ALL SELECT array_to_string(string_split(sym_scope, ':')[1:2], ':'), n FROM g) GROUP BY sym_scope),
+v AS (SELECT sym_scope, bit_or(attrs) AS attrs, coalesce(arg_min(kind, p_partkey) FILTER (kind <> 0), 0) AS kind, coalesce(arg_min(line, p_partkey) FILTER (line <> 0), 0) AS line, arg_min(dir, p_partkey) AS dir FROM g GROUP BY sym_scope),
+r AS (SELECT a.sym_scope AS src, b.sym_scope AS dst, a.dir AS own, l_linenumber % 3 AS kind, min(CAST(l_quantity AS INT)) AS line FROM lineitem JOIN g a ON a.p_partkey = l_partkey JOIN g b ON b.p_partkey = l_suppkey WHERE a.sym_scope <> b.sym_scope GROUP BY ALL)"""
 
 
 def code_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and links of the references; nodes that are no symbols of a graph go, and their links with them."""
-    c, refs = F.col, references(spark, sf_dir)
-    nodes, links = graph.nodes_and_links(refs)
-    counts = refs.select(c("src").alias("node")).unionAll(refs.select("dst")).groupBy("node").agg(F.count("*").alias("lines"))
-    shape = {"file_id": F.lit(1), "scope": F.when(c("node") < 1_000_000, "").otherwise(":s"), "sym": F.lit("name"), "def": F.lit("d"), "sym_scope": F.lit(":s:name"), "sym_type": F.when((c("kind") == 2) & (c("line") == 1), "VAR").otherwise("FUNC"), "is_system": F.lit(False), "is_local": F.lit(False)}
-    nodes = nodes.join(counts, "node").withColumns(shape).where(lookup.is_graph_node()).select("node", "kind", "attrs", "line", "lines")
-    there = nodes.select("node")
-    links = links.join(there.withColumnRenamed("node", "src"), "src", "left_semi").join(there.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    return nodes, links.select("src", F.lit(0).alias("scope"), "dst", F.lit(7).alias("dir"), F.col("refs").alias("kind"), "line", F.lit(9).alias("own_dir"))
+    """Parts as symbols of a scope and a file, and references between them; symbols that are no nodes go, and their links with them."""
+    c = F.col
+    scope = F.concat(F.lit(":"), c("p_type"), F.lit(":"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(":"), F.translate("p_name", " ", "_"))
+    path = F.concat(F.lit("C:/"), c("p_type"), F.lit("/"), c("p_brand"), F.lit("/f"), (c("p_partkey") % 7).cast("string"), F.lit(".cpp"))
+    symbols_ = table(spark, sf_dir, "part").select(
+        c("p_partkey").alias("seq"), scope.alias("sym_scope"), path.alias("path"), (c("p_size") % 4).alias("kind"), F.expr("shiftleft(1L, p_size % 5)").alias("attrs"), (c("p_size") % 9).alias("line"), c("p_size").alias("n_lines"),
+        F.lit(1).alias("file_id"), text.scope_of(scope).alias("scope"), text.symbol_of(scope).alias("sym"), F.lit("d").alias("def"), F.lit("FUNC").alias("sym_type"), (c("p_size") % 6 == 0).alias("is_system"), F.lit(False).alias("is_local"),
+    ).where(lookup.is_graph_node())
+    ends = symbols_.select("seq", "sym_scope", "path")
+    refs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", (c("l_linenumber") % 3).alias("kind"), c("l_quantity").cast("int").alias("line"))
+    refs = refs.join(ends.select(c("seq").alias("l_partkey"), c("sym_scope").alias("src"), c("path").alias("_p")), "l_partkey").join(ends.select(c("seq").alias("l_suppkey"), c("sym_scope").alias("dst")), "l_suppkey")
+    # files of one directory are one place of reference
+    return graph.code_graph(symbols_, refs.withColumn("src_path", F.concat(F.regexp_replace("_p", "/[^/]*$", ""), F.lit("/"))))
 
 
 def graph_file(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,12 +125,12 @@ def graph_file(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return sources.read_graph(spark, path, name)
 
 
-@query(GRAPH + " SELECT node, CAST(kind AS BIGINT) AS kind, attrs, CAST(line AS BIGINT) AS line, lines FROM v")
+@query(GRAPH + f" SELECT {NUMBER.format('sym_scope')} AS node, {NUMBER.format("array_to_string(string_split(sym_scope, ':')[1:3], ':')")} AS scope, string_split(sym_scope, ':')[4] AS sym, CAST(kind AS BIGINT) AS kind, CAST(attrs AS BIGINT) AS attrs, n AS lines, CAST(line AS BIGINT) AS line, {NUMBER.format('dir')} AS dir FROM v JOIN u USING (sym_scope)")
 def graph_node_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_file(spark, sf_dir, "Nodes")
 
 
-@query(GRAPH + f" SELECT src, dst, count(*) AS kind, CAST(min(line) AS BIGINT) AS line, CAST(0 AS BIGINT) AS scope, CAST(7 AS BIGINT) AS dir, CAST(9 AS BIGINT) AS own_dir FROM {REFS} WHERE src IN (SELECT node FROM v) AND dst IN (SELECT node FROM v) GROUP BY ALL")
+@query(GRAPH + f" SELECT {NUMBER.format('src')} AS src, {NUMBER.format(common_sql('src', 'dst', ':'))} AS scope, {NUMBER.format('dst')} AS dst, {NUMBER.format(common_sql("a.dir || '/'", "b.dir || '/'", '/'))} AS dir, CAST(r.kind AS BIGINT) AS kind, CAST(r.line AS BIGINT) AS line, {NUMBER.format('own')} AS own_dir FROM r JOIN v a ON a.sym_scope = src JOIN v b ON b.sym_scope = dst")
 def graph_link_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_file(spark, sf_dir, "Links")
 

@@ -69,6 +69,12 @@ def identifiers(df: DataFrame, text: Column, *keep: str) -> DataFrame:
     return lines.select(*keep, (F.col("line") + 1).alias("line"), F.explode(words).alias("identifier"))
 
 
+def identifier_counts(text: Column) -> tuple[Column, Column]:
+    """How many identifiers a source text has, and how many different ones; counted where the text is. Null texts have null."""
+    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z_@$\x{80}-\x{10FFFF}][A-Za-z0-9_@$\x{80}-\x{10FFFF}]*)"), 1)
+    return F.size(words).cast("long"), F.size(F.array_distinct(words)).cast("long")
+
+
 def tags(df: DataFrame, html: Column, *keep: str) -> DataFrame:
     """(kept columns, tag) of the begin tags of markup."""
     return df.select(*keep, F.explode(F.regexp_extract_all(html, F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), 1)).alias("tag")).withColumn("tag", F.lower("tag"))
@@ -111,17 +117,19 @@ def read_file_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Fields of a graph's links and nodes, which stand in hex (names as they are) between bars.
-LINKS, NODES = ("src", "scope", "dst", "dir", "kind", "line", "own_dir"), ("node", "kind", "attrs", "line", "lines")
+LINKS, NODES = ("src", "scope", "dst", "dir", "kind", "line", "own_dir"), ("node", "scope", "sym", "kind", "attrs", "lines", "line", "dir")
+#: Fields that stand as they are.
+NAMES = ("sym",)
 
 
 def write_graph(nodes: DataFrame, links: DataFrame, path: str) -> None:
     for name, df, fields in (("Nodes", nodes, NODES), ("Links", links, LINKS)):
-        df.select(F.concat_ws("|", *(to_hex(F.col(f)) for f in fields)).alias("value")).write.text(f"{path}/{name}")
+        df.select(F.concat_ws("|", *(F.replace(F.col(f), F.lit("|"), F.lit(" ")) if f in NAMES else to_hex(F.col(f)) for f in fields)).alias("value")).write.text(f"{path}/{name}")
 
 
 def read_graph(spark: SparkSession, path: str, name: str) -> DataFrame:
     f, fields = F.split("value", r"\|"), {"Nodes": NODES, "Links": LINKS}[name]
-    return spark.read.text(f"{path}/{name}").select(*(from_hex(F.get(f, F.lit(i))).alias(k) for i, k in enumerate(fields)))
+    return spark.read.text(f"{path}/{name}").select(*((F.get(f, F.lit(i)) if k in NAMES else from_hex(F.get(f, F.lit(i)))).alias(k) for i, k in enumerate(fields)))
 
 
 def read_line_lists(spark: SparkSession, path: str, encoding: str = "UTF-16LE") -> DataFrame:

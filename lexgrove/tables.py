@@ -12,7 +12,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's spark.checkpoint.dir. Where that is unset, a temporary folder will do on one machine
     alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     base = base or f"file://{tempfile.gettempdir()}/lexgrove"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
