@@ -45,14 +45,14 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, no = F.col, F.lit(False)
     which = F.get(F.array(*(F.struct(F.array(*map(F.lit, p)).alias("params"), F.lit(d).alias("n_default"), F.lit(v).alias("variadic")) for p, d, v, _ in OVERLOADS)), (c("p_size") % 8).cast("int"))
     flags = {x: no for x in ("hidden", "is_hashtag", "is_reference", "preferred", "is_system", "is_external", "is_namespace", "has_body", "is_implementation")}
-    rows = table(spark, sf_dir, "part").withColumn("_o", which).withColumns({"params": c("_o.params"), "n_default": c("_o.n_default"), "variadic": c("_o.variadic"), "is_const": c("p_retailprice") > 950})
+    rows = table(spark, sf_dir, "part").withColumn("_o", which).withColumns({"params": c("_o.params"), "n_default": c("_o.n_default"), "variadic": c("_o.variadic"), "is_const": c("p_partkey") % 3 == 0})
     return rows.withColumns(flags | {"name": c("p_name"), "path": c("p_brand"), "in_project": no, "projects": F.array("p_brand"), "file_id": c("p_partkey") % 97, "line": c("p_size"), "seq": c("p_partkey")})
 
 
 WELCOME = " ".join(f"WHEN {i} THEN {w}" for i, (_, _, _, w) in enumerate(OVERLOADS))
 
 
-@query(f"""WITH w AS (SELECT p_partkey, p_size % 8 = 4 AS rest, greatest(CASE p_size % 8 {WELCOME} END, CASE WHEN p_retailprice > 950 THEN 1 ELSE 0 END) AS w FROM part),
+@query(f"""WITH w AS (SELECT p_partkey, p_size % 8 = 4 AS rest, greatest(CASE p_size % 8 {WELCOME} END, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) AS w FROM part),
 m AS (SELECT *, bool_or(w = 1) OVER () AS one, bool_or(w = 2) OVER () AS two, bool_or(w = 0) OVER () AS nil FROM w WHERE w < 9), k AS (SELECT * FROM m WHERE CASE WHEN one AND two THEN w <> 2 WHEN nil THEN w = 0 ELSE true END)
 SELECT p_partkey, CASE WHEN EXISTS (SELECT 1 FROM k AS x WHERE x.p_partkey = part.p_partkey AND (NOT x.rest OR NOT EXISTS (SELECT 1 FROM k WHERE NOT rest))) THEN 0 ELSE 1 END AS part FROM part""")
 def overloads_by_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def overloads_by_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", "part")
 
 
-@query("SELECT p_partkey FROM part WHERE p_size % 8 = 7 AND p_retailprice > 950")
+@query("SELECT p_partkey FROM part WHERE p_size % 8 = 7 AND p_partkey % 3 = 0")
 def overloads_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the number of arguments leaves one signature, types aren't asked."""
     rows = candidates(spark, sf_dir).where("is_const or p_size % 8 <> 7")
