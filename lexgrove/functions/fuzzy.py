@@ -10,17 +10,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Longest common subsequence, a row of bits at a time (Hyyrö, 2004)."""
-    place: dict[str, int] = {}
+def places(a: str) -> dict[str, int]:
+    """The places of each character, as bits."""
+    found: dict[str, int] = {}
     for i, c in enumerate(a):
-        place[c] = place.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
+        found[c] = found.get(c, 0) | 1 << i
+    return found
+
+
+def lcs_of(place: dict[str, int], n: int, b: str) -> int:
+    """Longest common subsequence of a text of n characters, given by its places, and another: a row of bits at a time (Hyyrö, 2004)."""
+    full = (1 << n) - 1
     row = full
     for c in b:
-        match = row & place.get(c, 0)
-        row = ((row + match) | (row - match)) & full
-    return len(a) - row.bit_count()
+        if here := place.get(c):
+            match = row & here
+            row = ((row + match) | (row - match)) & full
+    return n - row.bit_count()
+
+
+def lcs_length(a: str, b: str) -> int:
+    return lcs_of(places(a), len(a), b)
 
 
 def indel_distance(a: str, b: str) -> int:
@@ -33,12 +43,20 @@ def partial_ratio(a: str, b: str) -> float:
     short, long_ = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long_ else 0.0
-    n, best = len(short), 0.0
-    for start in range(1 - n, len(long_)):
-        piece = long_[max(0, start) : start + n]
-        best = max(best, 200.0 * lcs_length(short, piece) / (n + len(piece)))
-        if best == 100.0:
-            break
+    n, best, place = len(short), 0.0, places(short)
+    known = [c in place for c in long_]
+    met = sum(known[: min(n, len(long_))])  # of a stretch, the characters that the shorter text has at all
+    stretches = [(0, end) for end in range(1, n)] + [(start, min(start + n, len(long_))) for start in range(len(long_))]
+    for start, end in stretches:
+        if end - start == n:
+            met = met if start == 0 else met - known[start - 1] + known[end - 1]
+        size = n + end - start
+        bound = met if end - start == n else end - start
+        # no stretch is looked at that can't be better
+        if 200.0 * min(n, bound) / size > best:
+            best = max(best, 200.0 * lcs_of(place, n, long_[start:end]) / size)
+            if best == 100.0:
+                break
     return best
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from lexgrove.functions import text
+from lexgrove.functions import fuzzy, text
 from lexgrove.operators import graph, joins, sorting
 from pyspark.sql import functions as F
 
@@ -63,3 +63,32 @@ def test_lines_and_comparisons_by_locale(spark):
     assert compared("É", "é", collation="UNICODE") != 0 and compared("É", "é", collation="UNICODE", case_sensitive=False) == 0
     # in Swedish ö stands after z
     assert compared("ö", "z", collation="sv") == 1 and compared("ö", "z", collation="de") == -1
+
+
+def test_partial_ratio_equals_all_stretches():
+    rng = random.Random(1)
+
+    def plain(a, b):
+        short, long_ = sorted((a, b), key=len)
+        if not short:
+            return 100.0 if not long_ else 0.0
+        n = len(short)
+        pieces = [long_[max(0, s) : s + n] for s in range(1 - n, len(long_))]
+        return max(100.0 * (1 - fuzzy.indel_distance(short, p) / (n + len(p))) for p in pieces)
+
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("abcdé", k=rng.randrange(0, 9))) for _ in range(2))
+        assert abs(fuzzy.partial_ratio(a, b) - plain(a, b)) < 1e-9, (a, b)
+    assert fuzzy.lcs_length("", "ab") == 0 and fuzzy.lcs_length("abc", "xaxcx") == 2
+
+
+def test_steps_are_removed(spark, tmp_path):
+    import os
+
+    from lexgrove import tables
+
+    tables.remove_steps(spark)
+    step = tables.cut_lineage(spark.range(3))
+    (path,) = tables._STEPS
+    assert step.count() == 3 and os.path.exists(path.removeprefix("file://"))
+    assert tables.remove_steps(spark) == 1 and not os.path.exists(path.removeprefix("file://")) and tables.remove_steps(spark) == 0
