@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors, common_prefix, directory, path_id, scope_of, symbol_of
@@ -220,16 +219,16 @@ def levels(before: DataFrame, nodes: DataFrame) -> DataFrame:
 def method_dependencies(parts: DataFrame) -> DataFrame:
     """(place, n, first, last): how many other parts must stand before each method of a class (parent, place, target, header), and
     the first and last of them. A method needs what stands above it and is no method; once methods are in their header's order,
-    it also needs what those after it need. What stands above is a prefix, so the lowest such method says it all."""
-    methods, others = parts.where("target"), parts.where("not target")
+    it also needs what those after it need. What stands above is a prefix, so the lowest such method says it all. No class is one task's."""
+    methods, others = parts.where("target").drop("target"), parts.where("not target")
     # the lowest place of the methods that come later in the header, without pairs of methods
-    after = W.partitionBy("parent").orderBy(F.desc("header")).rangeBetween(W.unboundedPreceding, -1)
-    reach = methods.withColumn("_reach", F.greatest("place", F.max("place").over(after)))
-    none = F.lit(None).cast("long")
-    line = others.select("parent", F.col("place").alias("_at"), F.col("place").alias("_dep"), none.alias("place")).unionByName(reach.select("parent", F.col("_reach").alias("_at"), none.alias("_dep"), "place"))
-    above = W.partitionBy("parent").orderBy("_at", F.col("place").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = line.select("place", F.count("_dep").over(above).alias("n"), F.min("_dep").over(above).alias("first"), F.max("_dep").over(above).alias("last"))
-    return found.where(F.col("place").isNotNull() & (F.col("n") > 0))
+    heads = methods.groupBy("parent", "header").agg(F.max("place").alias("_low"))
+    later = sorting.running(heads, ["parent"], [F.desc("header")], {"_after": ("max", F.col("_low"))}, before=True).select(F.col("parent").alias("_p"), F.col("header").alias("_h"), "_after")
+    reach = methods.join(later, F.col("parent").eqNullSafe(F.col("_p")) & F.col("header").eqNullSafe(F.col("_h"))).select("parent", F.greatest("place", "_after").alias("_at"), F.lit(None).cast("long").alias("_dep"), "place")
+    line = others.select("parent", F.col("place").alias("_at"), F.col("place").alias("_dep"), F.lit(None).cast("long").alias("place")).unionByName(reach)
+    dep = F.col("_dep")
+    found = sorting.running(line, ["parent"], [F.col("_at"), F.col("place").isNotNull()], {"n": ("sum", dep.isNotNull().cast("long")), "first": ("min", dep), "last": ("max", dep)})
+    return found.where(F.col("place").isNotNull() & (F.col("n") > 0)).select("place", "n", "first", "last")
 
 
 def rearranged(parts: DataFrame) -> DataFrame:

@@ -87,6 +87,23 @@ def place(df: DataFrame, order: list[Column], tie: str, within: list[str], name:
     return placed.select(*df.columns, name)
 
 
+def running(df: DataFrame, within: list[str], order: list[Column], totals: dict[str, tuple[str, Column]], *, before: bool = False) -> DataFrame:
+    """Running totals (name: sum, min or max, and of what) of each group in an order, up to each row, or only of the rows before it.
+    Rows are sorted by ranges; each task adds up its part of a group, and what a group had in the tasks before is added, so no
+    group is one task's."""
+    names = {f"_t{i}": x for i, x in enumerate(totals.values())}
+    held = cut_lineage(df.withColumns({n: v for n, (_, v) in names.items()}).orderBy(*within, *order).withColumns({"_task": F.spark_partition_id(), "_group": F.struct(*within)}))
+    fn = {"sum": F.sum, "min": F.min, "max": F.max}
+    own = W.partitionBy("_task", "_group").orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else W.currentRow)
+    parts = held.groupBy("_task", "_group").agg(*(fn[k](n).alias(n) for n, (k, _) in names.items()))
+    # a row for each task that has rows of a group
+    earlier = W.partitionBy("_group").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    carried = parts.select("_task", "_group", *(fn[k](n).over(earlier).alias(f"_c{n}") for n, (k, _) in names.items()))
+    both = held.withColumns({f"_r{n}": fn[k](n).over(own) for n, (k, _) in names.items()}).join(carried, ["_task", "_group"])
+    add = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
+    return both.select(*df.columns, *(add[k](F.col(f"_r{n}"), F.col(f"_c{n}")).alias(out) for out, (n, (k, _)) in zip(totals, names.items(), strict=True)))
+
+
 def batches(df: DataFrame, order: str, size: int) -> DataFrame:
     """Rows with a running count and the number of the batch that it falls into."""
     return place(df, [], order, [], "count").withColumn("batch", F.expr(f"(count - 1) div {size}"))

@@ -92,3 +92,14 @@ def test_steps_are_removed(spark, tmp_path):
     (path,) = tables._STEPS
     assert step.count() == 3 and os.path.exists(path.removeprefix("file://"))
     assert tables.remove_steps(spark) == 1 and not os.path.exists(path.removeprefix("file://")) and tables.remove_steps(spark) == 0
+
+
+def test_running_totals_over_tasks(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), i, rng.choice([None, rng.randrange(50)])) for i in range(600)]
+    frame = spark.createDataFrame(rows, "g string, i long, v long").repartition(4)
+    for before in (False, True):
+        found = sorting.running(frame, ["g"], [F.desc("i")], {"s": ("sum", F.col("v")), "low": ("min", F.col("v")), "high": ("max", F.col("v"))}, before=before)
+        for r in found.collect():
+            own = [v for g, i, v in rows if g == r.g and (i > r.i or i == r.i and not before) and v is not None]
+            assert (r.s, r.low, r.high) == (sum(own), min(own, default=None), max(own, default=None))
