@@ -74,14 +74,18 @@ class Versions:
     every: int = 32
 
     def log(self, spark: SparkSession) -> list[dict]:
-        """The batches in order: number, batch (its name), data (its folder), upto (what it stands for, if it is compacted)."""
+        """What the table is made of, in order: number, batch (its name) and data (its folder); first what was written as one, with the
+        names of all ``batches`` up to its number. Older entries aren't read."""
         folder = Folder(spark, f"{self.path}/log")
-        return [json.loads(folder.read(n)) | {"number": int(n)} for n in folder.names() if n.isdigit()]
+        names = folder.names()
+        whole = max((n for n in names if n.endswith("-whole")), default=None)
+        entries = [] if whole is None else [json.loads(folder.read(whole)) | {"number": int(whole.removesuffix("-whole"))}]
+        upto = entries[0]["number"] if entries else 0
+        return entries + [json.loads(folder.read(n)) | {"number": int(n)} for n in names if n.isdigit() and int(n) > upto]
 
-    def _live(self, spark: SparkSession) -> list[dict]:
-        entries = self.log(spark)
-        whole = max((e for e in entries if e["upto"] is not None), key=lambda e: e["number"], default=None)
-        return entries if whole is None else [whole, *(e for e in entries if e["number"] > whole["upto"] and e["upto"] is None)]
+    @staticmethod
+    def _batches(entries: list[dict]) -> list[str]:
+        return [b for e in entries for b in e.get("batches", [e["batch"]])]
 
     def _switch(self, spark: SparkSession, entry: dict, entries: list[dict]) -> None:
         number = max((e["number"] for e in entries), default=0) + 1
@@ -93,17 +97,17 @@ class Versions:
         """Adds a batch, unless one of its name is there."""
         spark = rows.sparkSession
         entries = self.log(spark)
-        if any(e["batch"] == batch for e in entries):
+        if batch in self._batches(entries):
             return False
         data = uuid.uuid4().hex
         rows.write.parquet(f"{self.path}/data/version={data}")
-        self._switch(spark, {"batch": batch, "data": data, "upto": None}, entries)
+        self._switch(spark, {"batch": batch, "data": data}, entries)
         return True
 
     def work(self, batch: DataFrame, i: int) -> None:
         """For a stream's ``foreachBatch``."""
         self.commit(batch, f"batch-{i}")
-        if len(self._live(batch.sparkSession)) > self.every:
+        if len(self.log(batch.sparkSession)) > self.every:
             self.compact(batch.sparkSession)
 
     def _read(self, spark: SparkSession, live: list[dict]) -> DataFrame:
@@ -120,23 +124,28 @@ class Versions:
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The table as of the last batch."""
-        return self._read(spark, self._live(spark))
+        return self._read(spark, self.log(spark))
 
     def compact(self, spark: SparkSession) -> None:
-        """Writes all versions as one. Batches that are added meanwhile come after it."""
-        live = self._live(spark)
+        """Writes all versions as one. Batches that are added meanwhile have higher numbers and come after it."""
+        live = self.log(spark)
         if len(live) < 2:
             return
         data = uuid.uuid4().hex
         self._read(spark, live).write.parquet(f"{self.path}/data/version={data}")
-        self._switch(spark, {"batch": f"compacted-{data}", "data": data, "upto": max(e["upto"] or e["number"] for e in live)}, live)
+        Folder(spark, f"{self.path}/log").put(f"{live[-1]['number']:012d}-whole", json.dumps({"batch": None, "data": data, "batches": self._batches(live)}))
 
     def vacuum(self, spark: SparkSession) -> int:
-        """Removes folders that no version names any more: those of failed batches and of compacted ones. Not while others write
-        or read older versions."""
-        folder = Folder(spark, f"{self.path}/data")
-        used = {f"version={e['data']}" for e in self._live(spark)}
-        gone = [n for n in folder.names() if n not in used]
+        """Removes folders that no version names any more, those of failed batches and of compacted ones, and the log's older entries.
+        Not while others write or read older versions."""
+        live, data, log = self.log(spark), Folder(spark, f"{self.path}/data"), Folder(spark, f"{self.path}/log")
+        used = {f"version={e['data']}" for e in live}
+        gone = [n for n in data.names() if n not in used]
         for n in gone:
-            folder.remove(n)
+            data.remove(n)
+        if live and "batches" in live[0]:
+            whole = live[0]["number"]
+            for n in log.names():
+                if n.isdigit() and int(n) <= whole or n.endswith("-whole") and int(n.removesuffix("-whole")) < whole:
+                    log.remove(n)
         return len(gone)

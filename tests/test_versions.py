@@ -55,7 +55,10 @@ def test_merged_and_compacted_by_itself(spark, tmp_path):
     for i in range(8):
         table.work(spark.createDataFrame([("a", i), ("b", -i), (f"c{i}", 0)], SCHEMA), i)
     assert rows(table.read(spark)) == sorted([("a", 7), ("b", 0)] + [(f"c{i}", 0) for i in range(8)])
-    assert len(table._live(spark)) <= 4
+    assert len(table.log(spark)) <= 4 and table._batches(table.log(spark)) == [f"batch-{i}" for i in range(8)]
+    table.vacuum(spark)
+    table.work(spark.createDataFrame([("a", 99)], SCHEMA), 3)  # known, though its entry is gone
+    assert rows(table.read(spark))[0] == ("a", 7)
 
 
 def test_queue_by_the_clock(spark, tmp_path):
