@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy, text
 from ..operators import lookup, match, spelling
 from .shared import query, table
-from .text_queries import LOW, plain_rank
+from .text_queries import LOW, ngram_sql, plain_rank
 
 UP = "translate({}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 
@@ -179,12 +179,6 @@ def words_run_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.two_words(parts.select(F.replace("p_name", F.lit(" "), F.lit("")).alias("word")), parts.select(F.explode(F.split("p_name", " ")).alias("word")))
 
 
-#: The score of n-grams of a in b, each length's hits counting while the length before had two.
-def ngram_sql(a: str, b: str, most: str, apart: str) -> str:
-    hits = f"list_transform(range(1, least({most}, length({a})) + 1), lambda n: len(list_filter(range(1, length({a}) - n + 2), lambda i: contains({b}, substr({a}, i, n)))))"
-    return f"(list_sum(list_transform(range(1, len({hits}) + 1), lambda k: CASE WHEN list_min(list_concat([2], {hits}[1:k - 1])) < 2 THEN 0 ELSE {hits}[k] END)) - greatest(0, {apart} - 2))"
-
-
 POOR = "SELECT DISTINCT substr(w, 3, 2) || 'z' || substr(w, 1, 2) || 'q' AS word FROM d UNION SELECT DISTINCT substr(w, 1, 3) || 'zz' || substr(w, 4) FROM d UNION SELECT DISTINCT reverse(w) FROM d UNION SELECT DISTINCT substr(w, 1, 2) FROM d"
 LOST = ["list_aggregate(list_transform(range(0, length(word)), lambda i: CASE WHEN i >= {0} AND (i - {0}) % 4 = 0 THEN '*' ELSE substr(word, i + 1, 1) END), 'string_agg', '')".format(k) for k in (1, 2, 3)]
 
@@ -226,7 +220,11 @@ def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.sha1("p_name").alias("sha1"), F.md5("p_name").alias("md5"), F.sha2("p_name", 256).alias("sha256"))
 
 
-@query()
+#: Comments, and literals with their first quote as a group.
+STRIPPED = r"""//[^\n]*|/\*.*?(?:\*/|\z)|(")(?:\\.|[^"\\\n])*"?|('')(?:\\.|[^''\\\n])*''?"""
+
+
+@query(f"""SELECT doc_id, sha256(regexp_replace('s = "a // b"; /* ' || text || ' */ t = ''x''; // ' || replace(text, chr(10), ' ') || chr(10) || text, '{STRIPPED}', '\\1\\1\\2\\2', 'gs')) AS sha256 FROM documents WHERE text IS NOT NULL""")
 def stripped_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source text without comments and the contents of literals."""
     docs = table(spark, sf_dir, "documents").where("text is not null")

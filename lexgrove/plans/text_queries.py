@@ -96,13 +96,29 @@ def weak_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.completions(names, "name", "rdg").select("p_partkey", "name", F.col("class").cast("long").alias("class"))
 
 
-@query()
+def ngram_sql(a: str, b: str, most: str, apart: str) -> str:
+    """SQL of the score of a's n-grams in b: each length's hits count while the length before had two."""
+    hits = f"list_transform(range(1, least({most}, length({a})) + 1), lambda n: len(list_filter(range(1, length({a}) - n + 2), lambda i: contains({b}, substr({a}, i, n)))))"
+    return f"(list_sum(list_transform(range(1, len({hits}) + 1), lambda k: CASE WHEN list_min(list_concat([2], {hits}[1:k - 1])) < 2 THEN 0 ELSE {hits}[k] END)) - greatest(0, {apart} - 2))"
+
+
+def similarity_sql(term: str) -> str:
+    """SQL of the names of parts with their best partial ratio to a term and their edits without replacing: common subsequences of the
+    term and each stretch, a row of the table for each character."""
+    row = "list_prepend(0, list_transform(range(1, length(x) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(l[k + 1], CASE WHEN substr(x, k, 1) = substr(y, i + 1, 1) THEN l[k] + 1 ELSE 0 END)))))"
+    return f"""n AS (SELECT DISTINCT p_name, CASE WHEN length(p_name) <= length('{term}') THEN p_name ELSE '{term}' END AS x, CASE WHEN length(p_name) <= length('{term}') THEN '{term}' ELSE p_name END AS whole FROM part),
+s AS (SELECT p_name, x, substr(whole, greatest(b, 0) + 1, b + length(x) - greatest(b, 0)) AS y, false AS total FROM (SELECT *, unnest(range(1 - length(x), length(whole))) AS b FROM n) UNION ALL SELECT p_name, x, whole, true FROM n),
+l AS (SELECT p_name, x, y, total, 0 AS i, list_transform(range(length(x) + 1), lambda j: 0::BIGINT) AS l FROM s UNION ALL SELECT p_name, x, y, total, i + 1, {row} FROM l WHERE i < length(y)),
+q AS (SELECT p_name, max(200.0::DOUBLE * l[-1] / (length(x) + length(y))) FILTER (NOT total) AS ratio, max(length(x) + length(y) - 2 * l[-1]) FILTER (total) AS indel FROM l WHERE i = length(y) GROUP BY p_name)"""
+
+
+@query(f"WITH RECURSIVE {similarity_sql('widgte')} SELECT p_partkey, p_name, CASE WHEN {plain_rank('p_name', 'widgte')} > 0 THEN {plain_rank('p_name', 'widgte')} ELSE 1 END AS rank FROM part JOIN q USING (p_name) WHERE {plain_rank('p_name', 'widgte')} > 0 OR ratio >= 75")
 def fuzzy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A misspelt term still finds similar names."""
     return table(spark, sf_dir, "part").select("p_partkey", "p_name", match.fuzzy_rank(F.col("p_name"), match.compile_term("widgte")).alias("rank")).where("rank > 0")
 
 
-@query()
+@query(f"WITH RECURSIVE {similarity_sql('red wdget')} SELECT p_name, ratio, indel, {ngram_sql("'red wdget'", "p_name", "3", "abs(length(p_name) - 9)")} AS ngrams FROM q")
 def partial_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select("p_name").distinct()
     return names.select("p_name", fuzzy.partial_ratio_of(F.col("p_name"), F.lit("red wdget")).alias("ratio"), fuzzy.indel_of(F.col("p_name"), F.lit("red wdget")).alias("indel"), fuzzy.ngram_score_of(F.lit("red wdget"), F.col("p_name")).alias("ngrams"))
