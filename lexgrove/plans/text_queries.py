@@ -89,7 +89,10 @@ def completion_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("p_partkey", F.explode(classes).alias("typed", "class")).where("class is not null")
 
 
-@query()
+@query(f"""WITH RECURSIVE n AS (SELECT p_partkey, {CAMEL} AS name FROM part), w AS (SELECT DISTINCT name, 0 AS k, 0 AS place, 0 AS skips, 0 AS met, 0 AS passed FROM n WHERE lower(left(name, 1)) = 'r' UNION ALL
+SELECT name, k + 1, place + p, skips + CASE WHEN p > 1 THEN 1 ELSE 0 END, met + CASE WHEN regexp_matches(substr(name, place + p, 1), '[A-Z]') THEN 1 ELSE 0 END, passed + length(regexp_replace(substr(name, place + 1, p - 1), '[^A-Z]', '', 'g')) FROM (SELECT *, instr(lower(substr(name, place + 1)), substr('rdg', k + 1, 1)) AS p FROM w WHERE k < 3) WHERE p > 0),
+x AS (SELECT n.*, {LOW.format('n.name')} AS low, regexp_replace(n.name, '[^A-Z]', '', 'g') AS letters, 30 + skips - met + 2 * passed AS weak FROM n LEFT JOIN w ON w.name = n.name AND k = 3)
+SELECT p_partkey, name, CAST(CASE WHEN low = 'rdg' THEN 3 WHEN starts_with(low, 'rdg') THEN 7 WHEN starts_with(letters, 'RDG') AND length(letters) >= 2 THEN 8 WHEN contains(low, 'rdg') THEN 9 ELSE weak END AS BIGINT) AS class FROM x WHERE class IS NOT NULL""")
 def weak_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was typed stands in a name letter by letter."""
     names = table(spark, sf_dir, "part").withColumn("name", F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")))
