@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import dedup, grouping, sorting
 from .shared import query, table
 from .text_queries import LOW
@@ -193,8 +194,18 @@ line_order("lines_ascending_without_case", True, False, without_case())
 line_order("lines_descending_without_case", False, False, without_case(", 'DESC'"))
 
 
-@query()
+LETTERS = f"list_transform(list_sort(list_transform({LINES}, lambda x: struct_pack(k := icu_sort_key(x, 'root'), v := x))), lambda s: s.v)"
+
+
+@query(f"SELECT conv_id, turn, array_to_string({LETTERS}, chr(10)) AS text FROM conversations WHERE text IS NOT NULL")
 def lines_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines in the order of the letters of all languages, without case; the tests have cases."""
+    """Lines in the order of the letters of all languages."""
     turns = table(spark, sf_dir, "conversations").where("text is not null")
-    return turns.select("conv_id", "turn", sorting.sorted_lines(F.col("text"), collation="UNICODE", case_sensitive=False).alias("text"))
+    return turns.select("conv_id", "turn", sorting.sorted_lines(F.col("text"), collation="UNICODE").alias("text"))
+
+
+@query("""WITH k AS (SELECT doc_id, icu_sort_key(coalesce(text, ''), 'root') AS k FROM documents) SELECT doc_id, CAST(CASE WHEN k < icu_sort_key('étude', 'root') THEN -1 WHEN k > icu_sort_key('étude', 'root') THEN 1 ELSE 0 END AS BIGINT) AS order_ FROM k""")
+def compared_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether texts stand before or after a word with an accent."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.compare(F.coalesce("text", F.lit("")), F.lit("étude"), collation="UNICODE").cast("long").alias("order_"))
