@@ -11,7 +11,8 @@ Prediction reads whole texts in one scan without a shuffle: as the network is li
 output weights multiply into one table of a row of logits for each bucket, and a text's logits are a mean of rows.
 
 Null texts and texts without a letter are `und` with score 0 and rejected; so is every text when there was nothing to
-learn from. Labels that are null take no part in training. Repeated documents are each judged. Ties between languages go
+learn from. Labels that are null take no part in training. Repeated documents are each judged; rows without an
+id, too, and they train the model like any other. Ties between languages go
 to the smaller name. Extra columns are ignored.
 """
 
