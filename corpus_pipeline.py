@@ -12,10 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.llm import decontamination, jaccard_join, language_id, packing, privacy
-from lexgrove.llm.queries import WORD_BPE, small_batches, table
+from lexgrove.llm.queries import WORD_BPE, table
 from lexgrove.llm.shared_folder import written
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole documents pass through all stages in one set of workers: fewer of them in a batch than in a single query."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return language_id.keep_accepted(docs, language_id.train(docs))
@@ -27,15 +32,19 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    benchmark = table(spark, sf_dir, "benchmark")
+    small_batches(spark)
+    return decontamination.keep_clean(docs, benchmark)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sanitised texts; n_chars is that of the new text."""
+    small_batches(spark)
     return privacy.sanitise(docs).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.char_length("text").cast("long"), "n_chars"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path(WORD_BPE))
 
 
