@@ -121,9 +121,10 @@ s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL '5 hours
 SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS changes FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL '5 hours' <= (SELECT max(ts) FROM events) - INTERVAL '1 day'""")
 def pending_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that have settled for five hours, again each time; what comes more than a day late is left out."""
-    out, at = shared_folder(spark, "pending"), shared_folder(spark, "checkpoint")
-    in_batches(spark, sf_dir, lambda events: maintenance.delivered(maintenance.settled_changes(events.select("user_id", "ts"), "user_id", "ts", "5 hours", "1 day"), out, at), by_time())
-    return spark.read.schema("user_id long, first timestamp, last timestamp, changes long").parquet(out)
+    at = shared_folder(spark, "checkpoint")
+    settling = maintenance.SettledChanges(shared_folder(spark, "unsettled"), shared_folder(spark, "pending"), "user_id", "ts", "5 hours", "1 day")
+    in_batches(spark, sf_dir, lambda events: maintenance.run_batches(events.select("user_id", "ts"), settling.work, at), by_time())
+    return spark.read.schema("user_id long, first timestamp, last timestamp, changes long, step int").parquet(settling.done).drop("step")
 
 
 @query("SELECT user_id, CAST((row_number() OVER (ORDER BY ts, user_id) - 1) // 10 AS BIGINT) AS cycle FROM (SELECT user_id, min(ts) AS ts FROM events WHERE event_type = 'error' GROUP BY 1) ORDER BY ts, user_id LIMIT 20")

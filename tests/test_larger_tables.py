@@ -32,3 +32,12 @@ def test_links_of_a_node_to_itself(spark, changed):
     assert sorted(tuple(r) for r in graph.nodes_and_links(refs)[1].collect()) == [(5, 5, 2, 1), (5, 6, 1, 0)]
     sf_dir = changed(lineitem="SELECT * REPLACE (CASE WHEN l_orderkey % 5 = 0 THEN 1000000 + l_suppkey ELSE l_partkey END AS l_partkey) FROM lineitem")
     assert not compare(spark, "graph_links", sf_dir) and not compare(spark, "graph_nodes", sf_dir)
+
+
+def test_changes_between_a_settled_one_and_a_later_one(spark, changed):
+    """A change that comes with the last batch, when the one before it has settled but one after it, which came earlier, has not."""
+    times = [(0, 1, "03 04:00"), (17, 1, "09 09:00"), (18, 1, "09 17:00"), (34, 1, "09 13:30"), (51, 1, "19 12:30"), (1, 2, "09 13:00"), (2, 1, "10 12:00"), (3, 2, "19 15:00"), (4, 1, "20 18:00"), (5, 3, "30 23:00")]
+    rows = ", ".join(f"({i}, {u}, TIMESTAMP '2024-01-{t}:00')" for i, u, t in [*times, (6, 4, "10 20:00"), (7, 4, "19 16:00"), (68, 4, "19 19:00"), (8, 4, "19 22:00"), (9, 3, "20 23:30")])
+    sf_dir = changed(events=f"SELECT CAST(i AS BIGINT) AS event_id, ts, CAST(u AS BIGINT) AS user_id, event_type, value, props FROM (VALUES {rows}) AS v(i, u, ts), (SELECT event_type, value, props FROM events LIMIT 1)")
+    assert not compare(spark, "pending_sources", sf_dir)
+    assert len(QUERIES["pending_sources"](spark, sf_dir).where("user_id = 4").collect()) == 3
