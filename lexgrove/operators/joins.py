@@ -122,11 +122,17 @@ def related_key(name: Column) -> Column:
 
 
 def related_files(files: DataFrame, name: str, key: str) -> DataFrame:
-    """(key, other): files whose reduced names are equal, or but for an i before one of them."""
-    own = files.select(F.col(key), related_key(F.col(name)).alias("_k")).where(F.col("_k") != "")
+    """(key, other): files whose reduced names are equal, or but for an i before one of them. A key of several names has the pairs of
+    all of them, each once: it is taken at the least of the names that meet. So pairs are not compared with each other, and what
+    a task holds follows the files, not their pairs."""
+    base = F.lower(F.regexp_replace(name, r"\.[^.]*$", ""))
+    own = files.where(F.col(key).isNotNull()).select(F.col(key), related_key(F.col(name)).alias("_k")).where(F.col("_k") != "")
     same = F.array_distinct(F.array("_k", F.concat(F.lit("i"), "_k"), F.when(F.col("_k").startswith("i") & (F.length("_k") > 1), F.substring("_k", 2, 1 << 30)).otherwise(F.col("_k"))))
-    others = files.select(F.col(key).alias("other"), F.lower(F.regexp_replace(name, r"\.[^.]*$", "")).alias("_k"))
-    return own.select(key, F.explode(same).alias("_k")).join(others, "_k").where(F.col(key) != F.col("other")).select(key, "other").distinct()
+    own = own.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set(same))).alias("_ks")).select(key, "_ks", F.explode("_ks").alias("_k"))
+    others = files.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("other")).agg(F.collect_set(base).alias("_names"))
+    others = others.select("other", F.when(F.size("_names") > 1, F.col("_names")).alias("_several"), F.explode("_names").alias("_k"))
+    once = F.col("_several").isNull() | (F.array_min(F.array_intersect("_ks", "_several")) == F.col("_k"))
+    return own.join(others, "_k").where((F.col(key) != F.col("other")) & once).select(key, "other")
 
 
 def project_files(known: DataFrame, listed: DataFrame, generations: DataFrame) -> DataFrame:

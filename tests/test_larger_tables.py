@@ -1,8 +1,10 @@
 """What only larger tables or other orders of arrival show, in small."""
 
+import random
+
 import oracle
 import pytest
-from lexgrove.operators import graph
+from lexgrove.operators import graph, joins
 from lexgrove.plans.shared import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -41,3 +43,52 @@ def test_changes_between_a_settled_one_and_a_later_one(spark, changed):
     sf_dir = changed(events=f"SELECT CAST(i AS BIGINT) AS event_id, ts, CAST(u AS BIGINT) AS user_id, event_type, value, props FROM (VALUES {rows}) AS v(i, u, ts), (SELECT event_type, value, props FROM events LIMIT 1)")
     assert not compare(spark, "pending_sources", sf_dir)
     assert len(QUERIES["pending_sources"](spark, sf_dir).where("user_id = 4").collect()) == 3
+
+
+def test_pairs_of_related_files_are_not_shuffled(spark):
+    """Also a file of several names is paired once with each other."""
+    rows = [(1, "Cat.cpp"), (1, "ICat.h"), (2, "cat.h"), (2, "icat.inl"), (3, "CatImpl.cpp"), (4, "dog.h"), (None, "cat.c")]
+    pairs = joins.related_files(spark.createDataFrame(rows, "i long, n string"), "n", "i")
+    want = set()
+    for i, a in rows:
+        k = a.lower().rsplit(".", 1)[0].removesuffix("impl")
+        want |= {(i, j) for j, b in rows if i and j and i != j and b.lower().rsplit(".", 1)[0] in {k, "i" + k, k[1:] if k[0] == "i" else k}}
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(want)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
+
+
+def plain_closure(edges, roots, depth):
+    out, found = {}, set()
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    for root in roots:
+        seen, front = {root}, {root}
+        for d in range(1, depth + 1):
+            front = {b for a in front for b in out.get(a, ())} - seen
+            seen |= front
+            found |= {(root, n, d) for n in front}
+    return found
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4, 30])
+def test_closures_of_many_roots_by_few_nodes(spark, monkeypatch, depth):
+    """Roots that go on to few nodes, some of them roots as well, are not carried through the rounds."""
+    rng, rows, real = random.Random(depth), [0], graph.cut_lineage
+
+    def counted(df):
+        step = real(df)
+        rows[0] += step.count()
+        return step
+
+    monkeypatch.setattr(graph, "cut_lineage", counted)
+    edges = [(i, 1000 + rng.randrange(12)) for i in range(600) for _ in range(1 + i % 2)] + [(1000 + i, 1000 + rng.randrange(30)) for i in range(30) for _ in range(2)] + [(1003, 5), (1004, 7), (5, 5)]
+    roots = [*range(600), 1003]
+    got = [tuple(r) for r in graph.closure(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(r,) for r in roots], "root long"), depth).collect()]
+    assert sorted(got) == sorted(plain_closure(edges, roots, depth))
+    assert depth < 30 or rows[0] < len(got) / 3
+
+
+def test_closure_of_nothing(spark):
+    edges = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert graph.closure(edges, spark.createDataFrame([(7,)], "root long"), 30).count() == 0
