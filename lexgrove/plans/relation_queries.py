@@ -279,8 +279,7 @@ def source_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT w AS identifier, count(*) AS n, count(DISTINCT (doc_id, line)) AS lines FROM (SELECT doc_id, line, unnest(regexp_extract_all(t, '[A-Za-z_@$\\x{80}-\\x{10FFFF}][A-Za-z0-9_@$\\x{80}-\\x{10FFFF}]*')) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents)) GROUP BY w")
 def identifier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each identifier's occurrences, and the lines that have it."""
-    found = sources.identifiers(table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
-    return found.groupBy("doc_id", "line", "identifier").agg(F.count("*").alias("n")).groupBy("identifier").agg(F.sum("n").alias("n"), F.count("*").alias("lines"))
+    return sources.identifier_lines(table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
 
 
 @query("SELECT lower(t) AS tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS t FROM pages) GROUP BY 1")

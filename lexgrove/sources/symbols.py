@@ -69,6 +69,26 @@ def identifiers(df: DataFrame, text: Column, *keep: str) -> DataFrame:
     return lines.select(*keep, (F.col("line") + 1).alias("line"), F.explode(words).alias("identifier"))
 
 
+def identifier_lines(df: DataFrame, text: Column, key: str) -> DataFrame:
+    """(identifier, n, lines) of source texts: how often each identifier occurs, and in how many lines, a line being that of a key. Lines
+    are counted where they are, so what is shuffled are the identifiers of each task. Texts that share a key share their lines;
+    the lines of these alone are told apart over all of them."""
+    shared = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_key"))
+    several = None
+    if not shared.isEmpty():
+        same = F.col(key).eqNullSafe(F.col("_key"))
+        several, df = df.join(shared, same, "left_semi"), df.join(shared, same, "left_anti")
+    lines = df.select(F.explode(F.split(text, "\n")).alias("_text"))
+    words = lines.select(F.regexp_extract_all("_text", F.lit(r"([A-Za-z_@$\x{80}-\x{10FFFF}][A-Za-z0-9_@$\x{80}-\x{10FFFF}]*)"), 1).alias("_words"))
+    row = lambda n, line: lambda w: F.struct(w.alias("identifier"), F.lit(n).alias("n"), F.lit(line).alias("lines"))
+    counts = words.select(F.inline(F.concat(F.transform("_words", row(1, 0)), F.transform(F.array_distinct("_words"), row(0, 1)))))
+    counts = counts.groupBy("identifier").agg(F.sum("n").alias("n"), F.sum("lines").alias("lines"))
+    if several is not None:
+        more = identifiers(several, text, key).groupBy(key, "line", "identifier").agg(F.count("*").alias("n")).groupBy("identifier").agg(F.sum("n").alias("n"), F.count("*").alias("lines"))
+        counts = counts.unionByName(more).groupBy("identifier").agg(F.sum("n").alias("n"), F.sum("lines").alias("lines"))
+    return counts
+
+
 def identifier_counts(text: Column) -> tuple[Column, Column]:
     """How many identifiers a source text has, and how many different ones; counted where the text is. Null texts have null."""
     words = F.regexp_extract_all(text, F.lit(r"([A-Za-z_@$\x{80}-\x{10FFFF}][A-Za-z0-9_@$\x{80}-\x{10FFFF}]*)"), 1)
