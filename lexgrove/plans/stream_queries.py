@@ -188,13 +188,9 @@ def restarted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY ALL) SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type) AS place FROM l""")
 def streamed_recently_used(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's list after the last batch: a batch's lists replace those of their users."""
-    out = Versions(shared_folder(spark, "recent"), "user_id long, place int, event_type string", source="user_id")
+    """Each user's list after the last batch: a batch's lists are merged with those of their users."""
+    lists = lambda uses: maintenance.most_recent(uses, "user_id", "event_type", "ts")
+    out = Versions(shared_folder(spark, "recent"), "user_id long, event_type string, ts timestamp, place int", merge=lists)
     at = shared_folder(spark, "checkpoint")
-
-    def run(events: DataFrame) -> None:
-        used = maintenance.recently_used(events.select("user_id", "event_type", "ts"), "user_id", "event_type", "ts")
-        used.writeStream.outputMode("update").foreachBatch(out.work).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
-
-    in_batches(spark, sf_dir, run)
+    in_batches(spark, sf_dir, lambda events: maintenance.run_batches(events, lambda batch, i: out.work(lists(batch), i), at))
     return out.read(spark).select("user_id", "event_type", F.col("place").cast("long").alias("place"))

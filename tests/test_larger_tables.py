@@ -4,8 +4,12 @@ import random
 
 import oracle
 import pytest
+from lexgrove.functions import fuzzy
 from lexgrove.operators import graph, joins
 from lexgrove.plans.shared import ORACLES, QUERIES
+from lexgrove.sources import symbols
+from lexgrove.streaming import maintenance
+from pyspark.sql import functions as F
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -92,3 +96,36 @@ def test_closures_of_many_roots_by_few_nodes(spark, monkeypatch, depth):
 def test_closure_of_nothing(spark):
     edges = spark.createDataFrame([(1, 2)], "a long, b long")
     assert graph.closure(edges, spark.createDataFrame([(7,)], "root long"), 30).count() == 0
+
+
+def test_identifiers_are_counted_in_place(spark):
+    """Lines aren't shuffled, but for those of texts that share a key."""
+    rows = [(1, "a b a\nb\n\na"), (2, "b b"), (3, None), (4, "c a\nc"), (4, "c c\nd"), (None, "a"), (None, "a a\na")]
+    frame = lambda part: spark.createDataFrame(part, "i long, t string")
+    counts = lambda part: sorted(tuple(r) for r in symbols.identifier_lines(frame(part), F.col("t"), "i").collect())
+    assert counts(rows) == [("a", 8, 5), ("b", 4, 3), ("c", 4, 2), ("d", 1, 1)]
+    assert counts(rows[:3]) == [("a", 3, 2), ("b", 4, 3)]
+    plan = symbols.identifier_lines(frame(rows[:3]), F.col("t"), "i")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(identifier") == 1 and plan.count("Exchange") == 1
+
+
+def test_code_is_stripped_without_batches_of_whole_texts(spark):
+    code = spark.createDataFrame([("a // b",), (None,)], "t string").select(fuzzy.strip_code_of(F.col("t")).alias("s"))
+    assert [r.s for r in code.collect()] == ["a ", None]
+    assert "ArrowEvalPython" not in code._jdf.queryExecution().executedPlan().toString()
+
+
+def test_most_recent_of_parts(spark):
+    rng = random.Random(4)
+    frame = lambda part: spark.createDataFrame(part, "u long, w string, t long")
+    rows = [(rng.randrange(3), f"w{rng.randrange(9)}", i // 2) for i in range(60)]
+    rng.shuffle(rows)
+    top = lambda df: maintenance.most_recent(df, "u", "w", "t", 4).drop("place")
+    whole = sorted(tuple(r) for r in maintenance.most_recent(frame(rows), "u", "w", "t", 4).collect())
+    merged = maintenance.most_recent(top(top(frame(rows[:20])).unionByName(top(frame(rows[20:])))), "u", "w", "t", 4)
+    assert sorted(tuple(r) for r in merged.collect()) == whole and len(whole) == 12
+
+
+def test_recently_used_items_take_no_call_of_python_for_each_user(spark, monkeypatch):
+    monkeypatch.setattr(maintenance, "recently_used", None)
+    assert not compare(spark, "streamed_recently_used", SF_DIR)
