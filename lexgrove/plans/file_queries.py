@@ -112,11 +112,8 @@ def code_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         c("p_partkey").alias("seq"), scope.alias("sym_scope"), path.alias("path"), (c("p_size") % 4).alias("kind"), F.expr("shiftleft(1L, p_size % 5)").alias("attrs"), (c("p_size") % 9).alias("line"), c("p_size").alias("n_lines"),
         F.lit(1).alias("file_id"), text.scope_of(scope).alias("scope"), text.symbol_of(scope).alias("sym"), F.lit("d").alias("def"), F.lit("FUNC").alias("sym_type"), (c("p_size") % 6 == 0).alias("is_system"), F.lit(False).alias("is_local"),
     ).where(lookup.is_graph_node())
-    ends = symbols_.select("seq", "sym_scope", "path")
-    refs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", (c("l_linenumber") % 3).alias("kind"), c("l_quantity").cast("int").alias("line"))
-    refs = refs.join(ends.select(c("seq").alias("l_partkey"), c("sym_scope").alias("src"), c("path").alias("_p")), "l_partkey").join(ends.select(c("seq").alias("l_suppkey"), c("sym_scope").alias("dst")), "l_suppkey")
-    # files of one directory are one place of reference
-    return graph.code_graph(symbols_, refs.withColumn("src_path", F.concat(F.regexp_replace("_p", "/[^/]*$", ""), F.lit("/"))))
+    refs = table(spark, sf_dir, "lineitem").select(c("l_partkey").alias("src"), c("l_suppkey").alias("dst"), (c("l_linenumber") % 3).alias("kind"), c("l_quantity").cast("int").alias("line"))
+    return graph.code_graph(symbols_, refs)
 
 
 def graph_file(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
